@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,46 +23,51 @@ def ln_gamma(x: Column) -> Column:
     return (y - 0.5) * F.ln(y) - y + 0.5 * math.log(2 * math.pi) + series - F.ln(product)
 
 
-def ln_choose(n: Column, k: Column) -> Column:
-    return ln_gamma(n + 1) - ln_gamma(k + 1) - ln_gamma(n - k + 1)
-
-
-def hypergeom_tail(k: Column, total: Column, good: Column, draws: Column) -> Column:
-    """P(X >= k) when ``draws`` of ``total`` items are taken and ``good`` count as hits.
+def with_hypergeom_tail(df: DataFrame, name: str, k: Column, total: Column, good: Column, draws: Column) -> DataFrame:
+    """Add P(X >= k) when ``draws`` of ``total`` items are taken and ``good`` count as hits.
 
     One log-gamma term gives the probability nearest to the mode; the others
     follow by their ratio. Terms fall off at least as fast as a normal tail, so
     the sum ends after forty standard deviations: what is left out is below
     double precision, and the number of terms stays bounded at any table size.
+    The parts are columns of their own, so that no expression is repeated.
     """
-    k, n, g, d = (c.cast("double") for c in (k, total, good, draws))
-    low = F.greatest(F.lit(0.0), d + g - n)
-    high = F.least(g, d)
-    mode = F.floor((d + 1) * (g + 1) / (n + 2)).cast("double")
-    upper = k > mode
-    first = F.when(upper, k).otherwise(k - 1)
+    kept = df.columns
+    k_, n, g, d = (F.col(f"__{x}") for x in "kngd")
+    out = df.withColumns({f"__{x}": c.cast("double") for x, c in zip("kngd", (k, total, good, draws))})
     variance = d * (g / n) * (1 - g / n) * F.greatest(n - d, F.lit(0.0)) / F.greatest(n - 1, F.lit(1.0))
-    width = F.ceil(F.sqrt(variance) * 40) + 60
-    steps = F.least(F.when(upper, high - first).otherwise(first - low), width).cast("int")
-    start = F.exp(ln_choose(g, first) + ln_choose(n - g, d - first) - ln_choose(n, d))
+    out = out.withColumns({
+        "__low": F.greatest(F.lit(0.0), d + g - n), "__high": F.least(g, d),
+        "__up": k_ > F.floor((d + 1) * (g + 1) / (n + 2)), "__width": F.ceil(F.sqrt(variance) * 40) + 60,
+    })
+    low, high, upper, first = (F.col(f"__{x}") for x in ("low", "high", "up", "first"))
+    out = out.withColumn("__first", F.least(F.greatest(F.when(upper, k_).otherwise(k_ - 1), low), high))
+    terms = F.array(g, n - g, n - d, d, n, first, g - first, d - first, n - g - d + first)
+    out = out.withColumns({
+        "__steps": F.least(F.when(upper, high - first).otherwise(first - low), F.col("__width")).cast("int"),
+        "__ln": F.transform(terms, lambda x: ln_gamma(x + 1)),
+    })
+    ln = F.col("__ln")
+    start = F.exp(ln[0] + ln[1] + ln[2] + ln[3] - ln[4] - ln[5] - ln[6] - ln[7] - ln[8])
 
     def grow(acc, t):
-        up = first + t
-        down = first - t
+        up, down = first + t, first - t
         ratio = F.when(upper, (g - up) * (d - up) / ((up + 1) * (n - g - d + up + 1))).otherwise(
             down * (n - g - d + down) / ((g - down + 1) * (d - down + 1))
         )
         return F.struct((acc["term"] * ratio).alias("term"), (acc["total"] + acc["term"]).alias("total"))
 
     zero = F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("total"))
-    added = F.aggregate(F.sequence(F.lit(0), F.greatest(steps, F.lit(0))), zero, grow, lambda a: a["total"])
-    part = F.least(start * added, F.lit(1.0))
-    return F.when(k <= low, F.lit(1.0)).when(k > high, F.lit(0.0)).when(upper, part).otherwise(1.0 - part)
+    added = F.aggregate(F.sequence(F.lit(0), F.greatest(F.col("__steps"), F.lit(0))), zero, grow, lambda a: a["total"])
+    out = out.withColumn("__part", F.least(start * added, F.lit(1.0)))
+    part = F.col("__part")
+    tail = F.when(k_ <= low, F.lit(1.0)).when(k_ > high, F.lit(0.0)).when(upper, part).otherwise(1.0 - part)
+    return out.select(*[c for c in kept if c != name], tail.alias(name))
 
 
-def fisher_greater(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """One-sided p of the table [[a, b], [c, d]]."""
-    return hypergeom_tail(a, a + b + c + d, a + c, a + b)
+def with_fisher_greater(df: DataFrame, name: str, a: Column, b: Column, c: Column, d: Column) -> DataFrame:
+    """Add the one-sided p of the table [[a, b], [c, d]]."""
+    return with_hypergeom_tail(df, name, a, a + b + c + d, a + c, a + b)
 
 
 def odds_ratio(a: Column, b: Column, c: Column, d: Column) -> Column:

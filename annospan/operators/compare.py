@@ -235,10 +235,10 @@ def pair_conservation(
     return out.withColumn("jaccard", F.when(union == 0, 0.0).otherwise(F.round(F.col("n_shared") / union, 4)))
 
 
-def conservation_score(long: DataFrame, left_id: str, right_id: str) -> DataFrame:
+def conservation_score(long: DataFrame, left_id: str, right_id: str, digits: int = 4) -> DataFrame:
     """Mean Jaccard per pair and whether every category is filled on both sides."""
     return long.groupBy(left_id, right_id).agg(
-        F.round(F.avg("jaccard"), 4).alias("conservation_score"),
+        F.round(F.avg("jaccard"), digits).alias("conservation_score"),
         F.min((F.col("n_a") > 0) & (F.col("n_b") > 0)).alias("complete"),
         F.sum(((F.col("n_a") > 0) & (F.col("n_b") > 0)).cast("long")).alias("n_comparable"),
     )

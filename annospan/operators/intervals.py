@@ -66,7 +66,11 @@ def representatives(
     keep: Sequence[str] = (),
     width: int = BIN,
 ) -> DataFrame:
-    """One row per overlap group: longest member, its neighbours, gaps and adjacency."""
+    """One row per overlap group: longest member, its neighbours, gaps, adjacency and N/C label.
+
+    For each column of ``keep`` the value of the representative and of its two
+    neighbours is added (``rep_x``, ``prev_x``, ``next_x``).
+    """
     length = F.col(end) - F.col(start) + 1
     best = F.struct((-length).alias("neg"), F.col(start).alias("s"), F.col(acc).alias("a"), *tie)
     info = F.struct(
@@ -78,21 +82,28 @@ def representatives(
         .agg(F.count(F.lit(1)).alias("overlap_group_size"), F.min_by(info, best).alias("__r"))
         .select(entity, "overlap_group_id", "overlap_group_size", "__r.*")
     )
-    near = F.struct(F.col("rep_start").alias("s"), F.col("rep_end").alias("e"), F.col("rep_acc").alias("t"))
+    near = F.struct(
+        F.col("rep_start").alias("s"), F.col("rep_end").alias("e"), F.col("rep_acc").alias("t"),
+        *[F.col(f"rep_{k}").alias(f"k_{k}") for k in keep],
+    )
     scanned = ordered_scan(
         reps, [entity], coordinate_bin("rep_start", width), ["rep_start", "rep_end", "rep_acc"],
         __p=previous(near), __n=following(near),
     )
+    groups = grouped.groupBy(entity).agg(F.max("overlap_group_id").alias("__groups"))
     gap_prev = F.col("rep_start") - F.col("__p.e")
     gap_next = F.col("__n.s") - F.col("rep_end")
-    return scanned.select(
+    return scanned.join(groups, entity).select(
         *reps.columns,
         F.col("__p.t").alias("prev_domain_type"),
         F.col("__n.t").alias("next_domain_type"),
+        *[F.col(f"__p.k_{k}").alias(f"prev_{k}") for k in keep],
+        *[F.col(f"__n.k_{k}").alias(f"next_{k}") for k in keep],
         gap_prev.alias("gap_from_prev"),
         gap_next.alias("gap_to_next"),
         (gap_prev <= 1).alias("adjacent_to_prev"),
         (gap_next <= 1).alias("adjacent_to_next"),
+        ordinal_label(F.col("overlap_group_id"), F.col("__groups")).alias("ordinal_label_nc"),
     )
 
 
@@ -136,21 +147,38 @@ def domain_order(
     )
 
 
+EDGE = [
+    "gap_from_prev", "gap_to_next", "adjacent_to_prev", "adjacent_to_next", "ordinal_label_nc", "edge_scope",
+]
+
+
 def order_edges(
-    ordered: DataFrame, entity: str, occurrence: str, start: str = "start", end: str = "end",
-    acc: str = "acc", use_representatives: bool = True, width: int = BIN,
+    df: DataFrame, occurrence: str, entity: str = "protein", start: str = "start", end: str = "end", acc: str = "acc",
+    tie: Sequence[str] = (), width: int = BIN,
+) -> DataFrame:
+    """One edge row per representative: neighbours, gaps and N / N+k / C label."""
+    grouped = overlap_groups(df, entity, start, end, (acc, *tie), width)
+    reps = representatives(grouped, entity, start, end, acc, tie, [occurrence], width)
+    return reps.withColumn("edge_scope", F.lit("representatives")).select(
+        entity, F.col(f"rep_{occurrence}").alias("occurrence_id"),
+        F.col(f"prev_{occurrence}").alias("prev_occurrence_id"), F.col(f"next_{occurrence}").alias("next_occurrence_id"), *EDGE,
+    )
+
+
+def order_edges_all(
+    df: DataFrame, occurrence: str, entity: str = "protein", start: str = "start", end: str = "end", acc: str = "acc",
+    width: int = BIN,
 ) -> DataFrame:
-    """Neighbour edge and N / N+k / C label of each representative (or each occurrence)."""
-    rows = ordered.filter("is_representative") if use_representatives else ordered
+    """The same edges over every occurrence, for tables without representatives."""
     near = F.struct(F.col(occurrence).alias("o"), F.col(start).alias("s"), F.col(end).alias("e"))
     scanned = ordered_scan(
-        rows.select(entity, occurrence, start, end, acc), [entity], coordinate_bin(start, width),
+        df.select(entity, occurrence, start, end, acc), [entity], coordinate_bin(start, width),
         [start, end, acc, occurrence], __k=row_number(), __p=previous(near), __n=following(near),
     )
-    sizes = rows.groupBy(entity).agg(F.count(F.lit(1)).alias("__size"))
+    sizes = df.groupBy(entity).agg(F.count(F.lit(1)).alias("__size"))
     gap_prev, gap_next = F.col(start) - F.col("__p.e"), F.col("__n.s") - F.col(end)
     return scanned.join(sizes, entity).select(
-        entity, occurrence,
+        entity, F.col(occurrence).alias("occurrence_id"),
         F.col("__p.o").alias("prev_occurrence_id"),
         F.col("__n.o").alias("next_occurrence_id"),
         gap_prev.alias("gap_from_prev"),
@@ -158,21 +186,10 @@ def order_edges(
         (gap_prev <= 1).alias("adjacent_to_prev"),
         (gap_next <= 1).alias("adjacent_to_next"),
         ordinal_label(F.col("__k"), F.col("__size")).alias("ordinal_label_nc"),
-        F.lit("representatives" if use_representatives else "all_occurrences").alias("edge_scope"),
+        F.lit("all_occurrences").alias("edge_scope"),
     )
 
 
-def label_members(ordered: DataFrame, edges: DataFrame, entity: str, occurrence: str) -> DataFrame:
-    """Give every member of an overlap group the N/C label of its representative."""
-    rep_labels = (
-        ordered.filter("is_representative")
-        .select(entity, "overlap_group_id", occurrence)
-        .join(edges.select(entity, occurrence, "ordinal_label_nc"), [entity, occurrence])
-        .drop(occurrence)
-    )
-    return ordered.join(rep_labels, [entity, "overlap_group_id"], "left")
-
-
 def copy_number(df: DataFrame, entity: str = "protein", acc: str = "acc") -> DataFrame:
     """Occurrences of the same type on the same entity (aggregate, then join)."""
     counts = df.groupBy(entity, acc).agg(F.count(F.lit(1)).alias("copy_number"))
@@ -342,10 +359,8 @@ def nearest_distance(
         events, [entity], coordinate_bin("pos", width), ["pos", "side", "stop", key],
         __before=running_max(F.col("fe")), __after=min_ahead(F.col("fs")),
     ).filter("side = 1")
-    gap = F.least(
-        F.greatest(F.col("pos") - F.col("__before"), F.lit(0)),
-        F.greatest(F.col("__after") - F.col("stop"), F.lit(0)),
-    )
+    clip = lambda d: F.when(d > 0, d).when(d.isNotNull(), 0)
+    gap = F.least(clip(F.col("pos") - F.col("__before")), clip(F.col("__after") - F.col("stop")))
     best = scanned.groupBy(key).agg(F.min(gap).alias(name))
     return iv.join(best, key, "left")
 

@@ -177,7 +177,7 @@ def double_chebi(check_id: str, tokens: Column) -> RowRule:
 def wrong_column(check_id: str, columns: dict[str, Column], forbidden=FORBIDDEN) -> RowRule:
     """Tokens of a namespace that must not appear in their column."""
     hits = [
-        F.when(F.exists(columns[c], lambda t, n=ns: t.startswith(f"{n}:")), f"{ns} term in {c}")
+        F.when(F.exists(columns[c], lambda t: t.startswith(f"{ns}:")), f"{ns} term in {c}")
         for ns, c in forbidden if c in columns
     ]
     reason = F.concat_ws("; ", *hits)

@@ -264,7 +264,7 @@ def protein_summary(df: DataFrame, renames: dict[str, str], entity: str, positio
 
 def features(df: DataFrame, entity: str, cols: dict[str, Column], binary: bool = False) -> DataFrame:
     """(entity, ``column::token``, n) from token columns."""
-    cells = F.array(*[F.transform(toks, lambda t, c=c: F.concat(F.lit(f"{c}::"), t)) for c, toks in cols.items()])
+    cells = F.array(*[F.transform(toks, lambda t: F.concat(F.lit(f"{c}::"), t)) for c, toks in cols.items()])
     long = df.select(entity, F.explode(F.flatten(cells)).alias("feature"))
     counts = long.groupBy(entity, "feature").agg(F.count(F.lit(1)).alias("n"))
     return counts.withColumn("n", F.lit(1).cast("long")) if binary else counts

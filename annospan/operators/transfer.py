@@ -235,7 +235,9 @@ def bootstrap_ci(df: DataFrame, value: str, by: Sequence[str], row_id: str, n: i
     )
 
 
-def random_control(gold: DataFrame, ann: DataFrame, categories: Sequence[str], n: int = 100, seed: int = 42) -> DataFrame:
+def random_control(
+    gold: DataFrame, ann: DataFrame, categories: Sequence[str], n: int = 100, seed: int = 42, digits: tuple[int, int] = (4, 4)
+) -> DataFrame:
     """Mean and spread of the Jaccard with ``n`` random sources per (target, category).
 
     gold: target, category, term_value; ann: source, category, term_value.
@@ -264,7 +266,7 @@ def random_control(gold: DataFrame, ann: DataFrame, categories: Sequence[str], n
     )
     j = prf_columns(F.col("n_tp"), F.col("n_pred"), F.col("n_gold"), 1.0)["jaccard"]
     return full.withColumn("j", j).groupBy("target", "category").agg(
-        F.round(F.avg("j"), 4).alias("jaccard"), F.round(F.stddev_pop("j"), 4).alias("jaccard_std")
+        F.round(F.avg("j"), digits[0]).alias("jaccard"), F.round(F.stddev_pop("j"), digits[1]).alias("jaccard_std")
     )
 
 

@@ -185,7 +185,7 @@ def triples_vocabulary(occ: DataFrame) -> DataFrame:
     """One individual per (prefix, value) in use, plus the fixed position and copy terms."""
     present = [(c, cls, pre) for c, _, cls, pre in VOCABULARY_COLUMNS if c in occ.columns]
     cells = F.array(*[
-        F.transform(_terms(c), lambda t, k=cls, x=pre: F.struct(F.lit(k).alias("cls"), F.lit(x).alias("pre"), t.alias("value")))
+        F.transform(_terms(c), lambda t: F.struct(F.lit(cls).alias("cls"), F.lit(pre).alias("pre"), t.alias("value")))
         for c, cls, pre in present
     ])
     used = occ.select(F.explode(F.flatten(cells)).alias("v")).select("v.*").distinct()
@@ -232,7 +232,7 @@ def triples_proteins(occ: DataFrame) -> DataFrame:
         ("protein_kegg_ids", "hasKEGG", "KEGGEntry", "KEGG_"), ("protein_reactome_ids", "hasReactome", "ReactomePathway", "Reactome_"),
     ):
         if col in occ.columns:
-            arrays.append(_each(split_multi(col), prop, lambda t, x=prefix: term_iri(x, t)))
+            arrays.append(_each(split_multi(col), prop, lambda t: term_iri(prefix, t)))
             ids = occ.select(F.explode(split_multi(col)).alias("value")).distinct()
             parts.append(_emit(ids, term_iri(prefix, F.col("value")), [F.array(
                 _po("rdf:type", F.lit(f"core:{cls}")), _po("rdf:type", F.lit("owl:NamedIndividual")), _po("externalId", F.col("value"), "string"),
@@ -305,7 +305,7 @@ def triples_occurrences(occ: DataFrame) -> DataFrame:
     arrays = [F.array(*fixed)]
     for c, prop, _, prefix in VOCABULARY_COLUMNS:
         if c in occ.columns:
-            arrays.append(_each(_terms(c), prop, lambda t, x=prefix: term_iri(x, t)))
+            arrays.append(_each(_terms(c), prop, lambda t: term_iri(prefix, t)))
     if "cooccurring_domain_types" in occ.columns:
         arrays.append(_each(split_cell("cooccurring_domain_types"), "cooccursWith", type_iri))
     parts = []

@@ -54,3 +54,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder; survives the loss of executors."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write a table that several later steps read, and read it back.
+
+    Used after the expensive part of a plan when what follows would otherwise
+    repeat it; the written size also lets Spark choose the joins that follow.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

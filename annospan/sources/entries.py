@@ -55,7 +55,7 @@ def entries_to_domains(df: DataFrame, accession: str = "accession", sequence: st
         "ranges": ranges_text(F.col("segments")), "go_terms": ids(go),
     }
     for name, codes in ASPECT_CODES.items():
-        out[name] = ids(F.filter(go, lambda g, c=codes: code(g).isin(c)))
+        out[name] = ids(F.filter(go, lambda g: code(g).isin(codes)))
     if sequence:
         parts = F.transform("segments", lambda g: slice_sequence(F.col(sequence), g["start"], g["end"]))
         out["sequences"] = F.array_join(F.filter(parts, lambda s: s != ""), ";")

@@ -65,7 +65,7 @@ def flat_xrefs(df: DataFrame, record: str = "record") -> DataFrame:
     refs = F.transform(_lines(F.col(record), "DR"), lambda x: F.trim(x))
     out = {}
     for db in XREF_DATABASES:
-        hits = F.transform(F.filter(refs, lambda x, d=db: x.startswith(f"{d};")), lambda x: F.regexp_extract(x, r";\s*([^;\s]+)", 1))
+        hits = F.transform(F.filter(refs, lambda x: x.startswith(f"{db};")), lambda x: F.regexp_extract(x, r";\s*([^;\s]+)", 1))
         out[f"{db.lower()}_ids"] = F.filter(hits, lambda t: t != "")
     go = F.filter(F.transform(
         F.filter(refs, lambda x: x.startswith("GO;")),
@@ -75,7 +75,7 @@ def flat_xrefs(df: DataFrame, record: str = "record") -> DataFrame:
     ), lambda g: g["id"].startswith("GO:"))
     out["go_ids"] = F.array_sort(F.array_distinct(F.transform(go, lambda g: g["id"])))
     for name, code in GO_ASPECTS.items():
-        out[name] = F.array_sort(F.array_distinct(F.transform(F.filter(go, lambda g, c=code: g["aspect"] == c), lambda g: g["id"])))
+        out[name] = F.array_sort(F.array_distinct(F.transform(F.filter(go, lambda g: g["aspect"] == code), lambda g: g["id"])))
     return df.withColumns(out)
 
 
@@ -91,7 +91,7 @@ def flat_comments(df: DataFrame, record: str = "record") -> DataFrame:
     )
     out = {}
     for topic in COMMENT_TOPICS:
-        hits = F.filter(blocks, lambda b, t=topic: b["topic"] == t)
+        hits = F.filter(blocks, lambda b: b["topic"] == topic)
         out["cc_" + topic.lower().replace(" ", "_")] = F.when(F.size(hits) > 0, F.element_at(hits, -1)["text"]).otherwise("")
     return df.withColumns(out)
 
@@ -139,7 +139,7 @@ def flat_features(df: DataFrame, record: str = "record") -> DataFrame:
     """Feature array and the number of features of the counted types."""
     out = df.withColumn("features", feature_array(F.col(record)))
     return out.withColumns({
-        f"{t.lower()}_count": F.size(F.filter("features", lambda f, k=t: f["type"] == k)) for t in FEATURE_COUNTS
+        f"{t.lower()}_count": F.size(F.filter("features", lambda f: f["type"] == t)) for t in FEATURE_COUNTS
     })
 
 

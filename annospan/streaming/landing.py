@@ -1,4 +1,9 @@
-"""Incremental landing: new files only, merged into a Parquet table by key."""
+"""Incremental landing: new files only, de-duplicated by key.
+
+Every micro-batch writes its own folder, so the cost of a batch depends on the
+batch and a retried batch replaces only itself. Readers de-duplicate over the
+batches; ``compact`` folds them into one table.
+"""
 
 from __future__ import annotations
 
@@ -11,56 +16,35 @@ from annospan.functions.cells import missing
 from annospan.operators.summaries import dedup_richest
 
 
-def unprocessed(keys: DataFrame, landed: DataFrame, key: str, force: bool = False) -> DataFrame:
-    """Keys still to be processed: not landed at all, or landed without a filled row."""
+def unprocessed(keys: DataFrame, landed: DataFrame, key: str, content: str, force: bool = False) -> DataFrame:
+    """Keys still to be processed: never landed, or landed without content."""
+    wanted = keys.select(key).distinct()
     if force:
-        return keys.select(key).distinct()
-    filled = landed.filter(~missing(key)).groupBy(key).agg(F.sum(F.lit(1)).alias("n")).filter("n > 0")
-    return keys.select(key).distinct().join(filled, key, "left_anti")
+        return wanted
+    done = landed.filter(~missing(content)).select(key).distinct()
+    return wanted.join(done, key, "left_anti")
 
 
 def land(
     spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, key: Sequence[str], tie: Sequence[str],
     file_format: str = "parquet",
-) -> int:
-    """Process every file that arrived since the last call and return the merged row count.
-
-    Each micro-batch is merged with the current snapshot and the richest row per
-    key is written as the next snapshot; the pointer to the snapshot is the
-    batch number in its folder name, so a retried batch overwrites only itself.
-    """
+) -> None:
+    """Process every file that arrived since the last call, then stop."""
 
-    def merge(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        before = [s for s in _snapshots(session, target) if s < number]
-        rows = batch
-        if before:
-            rows = rows.unionByName(session.read.parquet(f"{target}/snapshot={before[-1]:08d}"))
-        dedup_richest(rows, list(key), list(tie)).write.mode("overwrite").parquet(f"{target}/snapshot={number:08d}")
+    def write(batch: DataFrame, number: int) -> None:
+        dedup_richest(batch, list(key), list(tie)).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     stream = spark.readStream.schema(schema).format(file_format).load(source)
     query = (
-        stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return current(spark, target).count()
 
 
-def _snapshots(spark: SparkSession, target: str) -> list[int]:
-    """Complete snapshots (those with a success marker), oldest first."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(target)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    names = [s.getPath() for s in fs.listStatus(path)]
-    done = [p.getName() for p in names if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return sorted(int(n.split("=")[1]) for n in done if n.startswith("snapshot="))
+def current(spark: SparkSession, target: str, key: Sequence[str], tie: Sequence[str]) -> DataFrame:
+    """The richest row per key over all landed batches."""
+    return dedup_richest(spark.read.parquet(target).drop("batch"), list(key), list(tie))
 
 
-def current(spark: SparkSession, target: str) -> DataFrame:
-    """The latest complete snapshot."""
-    found = _snapshots(spark, target)
-    if not found:
-        raise ValueError(f"nothing has landed in {target}")
-    return spark.read.parquet(f"{target}/snapshot={found[-1]:08d}")
+def compact(spark: SparkSession, target: str, output: str, key: Sequence[str], tie: Sequence[str]) -> None:
+    current(spark, target, key, tie).write.mode("overwrite").parquet(output)
