@@ -13,6 +13,7 @@ from annospan.operators.common import attach, product
 from annospan.operators.enrichment import permute
 from annospan.operators.ordered import draw_hash, hash_bucket, ordered_scan, row_number, running_sum, with_iterations
 from annospan.operators.summaries import modal
+from annospan.session import materialise
 
 
 def pairwise_jaccard(features: DataFrame, entity: str, feature: str, block: int = 256) -> DataFrame:
@@ -224,6 +225,12 @@ def mann_whitney(df: DataFrame, value: str, is_x: Column, bucket: Column) -> Dat
     return sums.select(u.alias("u"), "n_x", "n_y", z.alias("z"), normal_sf(z).alias("p_value"))
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson correlation, null when one side is constant."""
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.try_divide(F.covar_pop(x, y), F.when(spread > 0, spread))
+
+
 def mantel(
     pairs: DataFrame, n: int = 9999, method: str = "spearman", seed: int = 42, bucket: Column | None = None
 ) -> DataFrame:
@@ -233,6 +240,7 @@ def mantel(
     iteration renames the ids of the second matrix; all iterations are one join
     and one grouped correlation.
     """
+    pairs = materialise(pairs.select("a", "b", "da", "db"), "mantel")
     if method == "spearman":
         bucket = F.lit(0) if bucket is None else bucket
         pairs = avg_rank(avg_rank(pairs, "da", bucket, name="x"), "db", bucket, name="y").select("a", "b", "x", "y")
@@ -247,8 +255,8 @@ def mantel(
         .select("iteration", "x", F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b"))
         .join(pairs.select("a", "b", "y"), ["a", "b"])
     )
-    null = moved.groupBy("iteration").agg(F.corr("x", "y").alias("r"))
-    return _mantel_result(null, pairs.agg(F.corr("x", "y").alias("r"), F.count(F.lit(1)).alias("n_pairs")), n)
+    null = moved.groupBy("iteration").agg(correlation("x", "y").alias("r"))
+    return _mantel_result(null, pairs.agg(correlation("x", "y").alias("r"), F.count(F.lit(1)).alias("n_pairs")), n)
 
 
 def _mantel_result(null: DataFrame, observed: DataFrame, n: int) -> DataFrame:
@@ -380,6 +388,7 @@ def pcoa(pairs: DataFrame, k: int = 2, limit: int = 4096) -> tuple[DataFrame, Da
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
+    pairs = materialise(pairs.select("a", "b", "distance"), "pcoa")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     n = ids.count()
     if n > limit:
@@ -397,6 +406,7 @@ def pcoa(pairs: DataFrame, k: int = 2, limit: int = 4096) -> tuple[DataFrame, Da
     rows = centred.groupBy("a").agg(F.array_sort(F.collect_list(F.struct("b", "v"))).alias("r")).select(
         F.col("a").alias("id"), array_to_vector(F.transform("r", lambda x: x["v"])).alias("features")
     )
+    rows = rows.persist()  # n x n numbers at most, read by the fit and by the projection
     model = PCA(k=n, inputCol="features", outputCol="bv").fit(rows)
     axes = model.pc.toArray()
     order = [r["id"] for r in ids.orderBy("id").collect()]

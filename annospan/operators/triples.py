@@ -28,7 +28,7 @@ from annospan.functions.cells import (
 )
 from annospan.operators.common import union_all
 from annospan.operators.summaries import cooccurrence
-from annospan.session import cut_lineage
+from annospan.session import cut_lineage, materialise
 
 TRIPLE = ["s", "p", "o", "o_type"]
 
@@ -130,7 +130,7 @@ def _each(tokens: Column, p: str, make) -> Column:
 
 def _emit(df: DataFrame, s: Column, arrays: Sequence[Column]) -> DataFrame:
     """One projection: all statements of a row in one array."""
-    return df.select(s.alias("s"), F.explode(F.flatten(F.array(*arrays))).alias("x")).select("s", "x.*").filter("s is not null and o is not null")
+    return df.select(s.alias("s"), F.explode(F.array_distinct(F.flatten(F.array(*arrays)))).alias("x")).select("s", "x.*").filter("s is not null and o is not null")
 
 
 def protein_iri(c) -> Column:
@@ -220,6 +220,8 @@ def collect_types(occ: DataFrame, position: str) -> DataFrame:
 
 def triples_proteins(occ: DataFrame) -> DataFrame:
     """Proteins with label, location text and pathway links."""
+    wanted = ("protein_accession", "protein_subcellular_location", "protein_kegg_ids", "protein_reactome_ids")
+    occ = occ.select(*[c for c in wanted if c in occ.columns]).distinct()
     s = protein_iri("protein_accession")
     arrays = [F.array(
         _po("rdf:type", F.lit("core:Protein")), _po("rdf:type", F.lit("owl:NamedIndividual")),
@@ -243,6 +245,11 @@ def triples_proteins(occ: DataFrame) -> DataFrame:
 def triples_types(occ: DataFrame, position: str) -> DataFrame:
     """Domain types: identifiers, GO terms by aspect, functional roles, structure."""
     types = collect_types(occ, position)
+    wanted = (
+        "domain_type_id", "go_terms_all", "go_terms_mf", "go_terms_bp", "go_terms_cc", "function_tags",
+        "cath_superfamilies", "structural_coverage_quality",
+    )
+    occ = occ.select(*[c for c in wanted if c in occ.columns]).distinct()
     base = [
         _po("rdf:type", F.lit("core:DomainType")), _po("rdf:type", F.lit("owl:NamedIndividual")),
         _po("rdfs:label", F.coalesce(F.col("label"), F.col("domain_type_id")) if "label" in types.columns else F.col("domain_type_id"), "string"),
@@ -284,7 +291,11 @@ _LITERAL_CAST = {"integer": safe_int, "decimal": safe_float, "boolean": safe_boo
 
 
 def triples_occurrences(occ: DataFrame) -> DataFrame:
-    """All statements about occurrences, and the binding targets they name."""
+    """All statements about occurrences, and the binding targets they name.
+
+    Occurrence ids must be unique (de-duplicate first): repeated statements are
+    then removed inside the row and the large part of the graph is not shuffled.
+    """
     s = occurrence_iri("occurrence_id")
     rows = occ.filter(~missing("occurrence_id") & ~missing("protein_accession") & ~missing("domain_type_id"))
     fixed = [
@@ -330,7 +341,8 @@ def triples_occurrences(occ: DataFrame) -> DataFrame:
         parts.append(_emit(ids, obo_name(F.col("v")), [F.array(
             _po("rdf:type", F.lit("core:ChEBIEntity")), _po("rdf:type", F.lit("owl:NamedIndividual")),
         )]))
-    return union_all([_emit(rows, s, arrays), *parts]).distinct()
+    own = _emit(rows, s, arrays)
+    return union_all([own, union_all(parts).distinct()]) if parts else own
 
 
 def triples_order_patterns(pairs: DataFrame) -> DataFrame:
@@ -528,12 +540,12 @@ def entail(triples: DataFrame, schema: DataFrame, max_iter: int = 20) -> tuple[D
         if new_size == size:
             break
         size = new_size
-    base = triples.select(*TRIPLE).distinct()
+    base = materialise(triples.select(*TRIPLE).distinct(), "asserted")
     derived = base.filter("o_type = 'iri'").join(reach, "p").select(
         F.when(F.col("swap"), F.col("o")).otherwise(F.col("s")).alias("s"), F.col("q").alias("p"),
         F.when(F.col("swap"), F.col("s")).otherwise(F.col("o")).alias("o"), "o_type",
     )
-    props = base.unionByName(derived).distinct()
+    props = materialise(base.unionByName(derived).distinct(), "properties")
     domains = _prop(schema, "rdfs:domain", "p", "cls")
     ranges = _prop(schema, "rdfs:range", "p", "cls").filter("cls not like 'xsd:%'")
     direct = union_all([
@@ -543,7 +555,7 @@ def entail(triples: DataFrame, schema: DataFrame, max_iter: int = 20) -> tuple[D
     ]).distinct()
     lifted = direct.unionByName(direct.join(supers.select(F.col("child").alias("cls"), F.col("parent")), "cls").select("s", F.col("parent").alias("cls")))
     types = lifted.distinct().select("s", F.lit("rdf:type").alias("p"), F.col("cls").alias("o"), F.lit("iri").alias("o_type"))
-    everything = props.unionByName(types).distinct()
+    everything = materialise(props.unionByName(types).distinct(), "entailed")
     inferred = everything.join(base, ["s", "p", "o"], "left_anti").select(*TRIPLE)
     n = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("measure"), "n")
     report = union_all([

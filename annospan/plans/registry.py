@@ -5,8 +5,11 @@ from annospan.plans import (  # noqa: F401
     enrichment_queries,
     interval_queries,
     scalar_queries,
+    similarity_queries,
+    source_queries,
     summary_queries,
     transfer_queries,
+    triple_queries,
     vocab_queries,
 )
 from annospan.plans.base import QUERIES, SQL  # noqa: F401
