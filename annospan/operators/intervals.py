@@ -23,6 +23,7 @@ from annospan.operators.ordered import (
     running_max,
     running_sum,
 )
+from annospan.session import materialise
 
 BIN = 512
 
@@ -121,7 +122,7 @@ def domain_order(
     Gaps and adjacency are filled for representatives only, neighbour types for
     every member of the group.
     """
-    grouped = overlap_groups(df, entity, start, end, (acc, *tie), width)
+    grouped = materialise(overlap_groups(df, entity, start, end, (acc, *tie), width), "groups")
     reps = representatives(grouped, entity, start, end, acc, tie, width=width)
     joined = grouped.join(reps, [entity, "overlap_group_id"])
     s, e = F.col(start), F.col(end)
@@ -157,7 +158,8 @@ def order_edges(
     tie: Sequence[str] = (), width: int = BIN,
 ) -> DataFrame:
     """One edge row per representative: neighbours, gaps and N / N+k / C label."""
-    grouped = overlap_groups(df, entity, start, end, (acc, *tie), width)
+    narrow = df.select(entity, occurrence, start, end, acc, *tie)
+    grouped = materialise(overlap_groups(narrow, entity, start, end, (acc, *tie), width), "groups")
     reps = representatives(grouped, entity, start, end, acc, tie, [occurrence], width)
     return reps.withColumn("edge_scope", F.lit("representatives")).select(
         entity, F.col(f"rep_{occurrence}").alias("occurrence_id"),

@@ -45,10 +45,12 @@ def category_overlap(spark, sf):
 
 
 @query("u02_schema_overlap", """
-SELECT column_name, column_name IN ('o_orderkey', 'o_custkey') AS in_a, TRUE AS in_b FROM (VALUES ('o_orderkey'), ('o_custkey'), ('o_orderstatus'), ('o_totalprice'), ('o_orderdate'), ('o_orderpriority')) t(column_name)""")
+WITH u AS (UNPIVOT (SELECT o_orderkey::VARCHAR AS o_orderkey, o_custkey::VARCHAR AS o_custkey, o_orderstatus, o_orderpriority FROM orders) ON COLUMNS(*) INTO NAME column_name VALUE v)
+SELECT column_name, column_name IN ('o_orderkey', 'o_custkey') AS in_a, TRUE AS in_b, count(v) AS n_filled, count(DISTINCT v) AS n_distinct FROM u GROUP BY 1""")
 def schema_overlap(spark, sf):
-    orders = table(spark, sf, "orders")
-    return cp.schema_overlap(orders.select("o_orderkey", "o_custkey"), orders)
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    shared = cp.schema_overlap(orders.select("o_orderkey", "o_custkey"), orders)
+    return shared.join(cp.profile(orders, orders.columns).select("column_name", "n_filled", "n_distinct"), "column_name")
 
 
 @query("u03_set_similarity", f"""WITH {OCC}, x AS (SELECT protein, list(DISTINCT acc) FILTER (WHERE flag = 'R') AS a, list(DISTINCT acc) FILTER (WHERE flag <> 'R') AS b FROM occ GROUP BY protein),
@@ -96,7 +98,7 @@ UNION ALL SELECT 'vocabulary_reuse', round(rb / ra, 4) FROM s UNION ALL SELECT '
 def transfer_metrics(spark, sf):
     a, b = halves(spark, sf)
     both = cp.long_tokens(union_all([a, b]), columns()).filter("token < 'g' or category = 'type'")
-    extra = both.select(F.lit("tags").alias("category"), F.lit("unused").alias("token")).limit(1)
+    extra = both.select(F.lit("tags").alias("category"), F.lit("unused").alias("token")).distinct()
     return cp.transfer_metrics(a, b, columns(), both.unionByName(extra))
 
 

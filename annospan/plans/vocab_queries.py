@@ -251,8 +251,12 @@ def foreign_terms(spark, sf):
     return rl.foreign_vocabulary(tokens, forbidden, "row_id")
 
 
-@query("q01_column_check", """SELECT * FROM (VALUES ('core', 'o_orderkey', TRUE), ('core', 'o_missing', FALSE), ('soft', 'o_custkey', TRUE)) t(tier, column_name, present)""")
+@query("q01_column_check", """
+SELECT t.*, CASE WHEN present THEN n END AS n_filled FROM (VALUES ('core', 'o_orderkey', TRUE), ('core', 'o_missing', FALSE), ('soft', 'o_custkey', TRUE)) t(tier, column_name, present), (SELECT count(*) AS n FROM orders)""")
 def column_check(spark, sf):
+    from annospan.operators.compare import profile
     from annospan.operators.reshape import column_check as check
 
-    return check(table(spark, sf, "orders"), {"core": ["o_orderkey", "o_missing"], "soft": ["o_custkey"]})
+    orders = table(spark, sf, "orders")
+    filled = profile(orders, ["o_orderkey", "o_custkey"]).select("column_name", "n_filled")
+    return check(orders, {"core": ["o_orderkey", "o_missing"], "soft": ["o_custkey"]}).join(filled, "column_name", "left")

@@ -32,7 +32,7 @@ def read_flatfile(spark: SparkSession, path: str) -> DataFrame:
 def _lines(record: Column, code: str) -> Column:
     """Bodies of the lines with a two-letter code."""
     lines = F.filter(F.split(record, r"\r?\n"), lambda x: x.startswith(f"{code}   "))
-    return F.transform(lines, lambda x: F.rtrim(F.substring(x, 6, 1_000_000)))
+    return F.transform(lines, lambda x: F.rtrim(F.substring(x, F.lit(6), F.length(x))))
 
 
 def parse_records(df: DataFrame, record: str = "record") -> DataFrame:
@@ -96,19 +96,24 @@ def flat_comments(df: DataFrame, record: str = "record") -> DataFrame:
     return df.withColumns(out)
 
 
+def _rest(items: Column) -> Column:
+    """All but the first element."""
+    return F.slice(items, F.lit(2), F.greatest(F.size(items) - 1, F.lit(0)))
+
+
 def feature_array(record: Column) -> Column:
     """Array of (type, start, end, note, ftid, qualifiers) in file order."""
     mark = "\u0001"
     bodies = F.transform(
         _lines(record, "FT"), lambda x: F.when(F.trim(x).rlike(FEATURE_HEADER), F.concat(F.lit(mark), F.trim(x))).otherwise(x)
     )
-    blocks = F.slice(F.split(F.array_join(bodies, "\n"), mark), 2, 1_000_000)
+    blocks = _rest(F.split(F.array_join(bodies, "\n"), mark))
 
     def build(block):
         lines = F.split(block, "\n")
         head = lines[0]
         rest = F.transform(
-            F.filter(F.slice(lines, 2, 1_000_000), lambda x: x.startswith(" " * 11)), lambda x: F.trim(x)
+            F.filter(_rest(lines), lambda x: x.startswith(" " * 11)), lambda x: F.trim(x)
         )
         is_q = lambda x: x.rlike(QUALIFIER)
         value = lambda x: norm_space(F.concat(F.regexp_extract(x, QUALIFIER, 2), F.regexp_extract(x, QUALIFIER, 3)))
