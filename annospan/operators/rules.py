@@ -83,7 +83,9 @@ def row_violations(df: DataFrame, row_id: str, rules: Sequence[RowRule]) -> Data
         F.when(F.coalesce(r.violation, F.lit(False)), F.struct(F.lit(r.check_id).alias("check_id"), r.text().alias("reason")))
         for r in rules
     ]))
-    return df.select(F.col(row_id).cast("string").alias("row_id"), F.explode(items).alias("v")).select("v.check_id", "row_id", "v.reason")
+    # explode_outer: a plain explode would evaluate all predicates once more to skip empty arrays
+    out = df.select(F.col(row_id).cast("string").alias("row_id"), F.explode_outer(items).alias("v"))
+    return out.select("v.check_id", "row_id", "v.reason").filter("check_id is not null")
 
 
 def run_rules(tables: dict[str, DataFrame], book: RuleBook, table: str, row_id: str) -> tuple[DataFrame, DataFrame]:
@@ -249,9 +251,14 @@ def shape_violations(triples: DataFrame, shapes: DataFrame) -> DataFrame:
     """
     types = triples.filter("p = 'rdf:type'").select(F.col("s"), F.col("o").alias("target_class"))
     focus = types.join(shapes, "target_class").select("s", *shapes.columns)
-    values = triples.select("s", F.col("p").alias("property"), "o", "o_type")
+    values = triples.select("s", F.col("p").alias("property"), "o", "o_type").join(
+        shapes.select("property").distinct(), "property", "left_semi"
+    )
     joined = focus.join(values, ["s", "property"], "left")
-    has_class = triples.filter("p = 'rdf:type'").select(F.col("s").alias("o"), F.col("o").alias("value_class")).distinct().withColumn("__ok", F.lit(True))
+    wanted = shapes.select("value_class").filter("value_class is not null").distinct()
+    has_class = types.select(F.col("s").alias("o"), F.col("target_class").alias("value_class")).join(
+        wanted, "value_class", "left_semi"
+    ).distinct().withColumn("__ok", F.lit(True))
     joined = joined.join(has_class, ["o", "value_class"], "left")
     number = F.col("o").try_cast("double")
     present = F.col("o").isNotNull()

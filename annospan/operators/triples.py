@@ -130,7 +130,8 @@ def _each(tokens: Column, p: str, make) -> Column:
 
 def _emit(df: DataFrame, s: Column, arrays: Sequence[Column]) -> DataFrame:
     """One projection: all statements of a row in one array."""
-    return df.select(s.alias("s"), F.explode(F.array_distinct(F.flatten(F.array(*arrays)))).alias("x")).select("s", "x.*").filter("s is not null and o is not null")
+    # explode_outer: a plain explode would build the array once more to skip empty ones
+    return df.select(s.alias("s"), F.explode_outer(F.flatten(F.array(*arrays))).alias("x")).select("s", "x.*").filter("o is not null")
 
 
 def protein_iri(c) -> Column:
@@ -199,7 +200,7 @@ def triples_vocabulary(occ: DataFrame) -> DataFrame:
 
 def _terms(column: str) -> Column:
     """Tokens of a vocabulary column; a blank position counts as unknown."""
-    toks = split_cell(column)
+    toks = F.array_distinct(split_cell(column))
     if column == "positional_category":
         return F.when(F.size(toks) == 0, F.array(F.lit("unknown"))).otherwise(toks)
     return toks
@@ -310,20 +311,21 @@ def triples_occurrences(occ: DataFrame) -> DataFrame:
         n = safe_int("copy_number")
         term = F.when(n == 1, "single").when(n.isNotNull(), "repeated").otherwise("unknown")
         fixed.append(_po("hasCharacterisation", F.concat(F.lit("pop:Copy_"), term)))
-    for c in ("prev_domain_type", "next_domain_type"):
-        if c in occ.columns:
-            fixed.append(_po("isDomainNeighbour", F.when(~missing(c), type_iri(c))))
+    near = [blank_to_null(c) for c in ("prev_domain_type", "next_domain_type") if c in occ.columns]
+    near_types = F.array_distinct(F.array_compact(F.array(*near))) if near else None
     arrays = [F.array(*fixed)]
+    if near:
+        arrays.append(_each(near_types, "isDomainNeighbour", type_iri))
     for c, prop, _, prefix in VOCABULARY_COLUMNS:
         if c in occ.columns:
             arrays.append(_each(_terms(c), prop, lambda t: term_iri(prefix, t)))
     if "cooccurring_domain_types" in occ.columns:
-        arrays.append(_each(split_cell("cooccurring_domain_types"), "cooccursWith", type_iri))
+        arrays.append(_each(F.array_distinct(split_cell("cooccurring_domain_types")), "cooccursWith", type_iri))
     parts = []
     text = []
     if "binding_partner" in occ.columns:
         target = lambda t: term_iri("BindingTarget_", F.when(t.rlike(r"^DOT:\d+\s"), F.substring_index(t, " ", 1)).otherwise(t))
-        arrays.append(_each(split_cell("binding_partner"), "hasBindingTarget", target))
+        arrays.append(_each(F.array_distinct(split_cell("binding_partner")), "hasBindingTarget", target))
         text.append(F.col("binding_partner"))
         names = rows.select(F.explode(split_cell("binding_partner")).alias("v")).distinct()
         coded = F.col("v").rlike(r"^DOT:\d+\s")
@@ -545,7 +547,10 @@ def entail(triples: DataFrame, schema: DataFrame, max_iter: int = 20) -> tuple[D
         F.when(F.col("swap"), F.col("o")).otherwise(F.col("s")).alias("s"), F.col("q").alias("p"),
         F.when(F.col("swap"), F.col("s")).otherwise(F.col("o")).alias("o"), "o_type",
     )
-    props = materialise(base.unionByName(derived).distinct(), "properties")
+    # Only statements of the entailed properties can repeat an asserted one.
+    known = base.join(reach.select(F.col("q").alias("p")).distinct(), "p", "left_semi").select("s", "p", "o")
+    new_props = materialise(derived.distinct().join(known, ["s", "p", "o"], "left_anti").select(*TRIPLE), "properties")
+    props = base.unionByName(new_props)
     domains = _prop(schema, "rdfs:domain", "p", "cls")
     ranges = _prop(schema, "rdfs:range", "p", "cls").filter("cls not like 'xsd:%'")
     direct = union_all([
@@ -553,10 +558,18 @@ def entail(triples: DataFrame, schema: DataFrame, max_iter: int = 20) -> tuple[D
         props.join(domains, "p").select("s", "cls"),
         props.filter("o_type = 'iri'").join(ranges, "p").select(F.col("o").alias("s"), "cls"),
     ]).distinct()
-    lifted = direct.unionByName(direct.join(supers.select(F.col("child").alias("cls"), F.col("parent")), "cls").select("s", F.col("parent").alias("cls")))
-    types = lifted.distinct().select("s", F.lit("rdf:type").alias("p"), F.col("cls").alias("o"), F.lit("iri").alias("o_type"))
-    everything = materialise(props.unionByName(types).distinct(), "entailed")
-    inferred = everything.join(base, ["s", "p", "o"], "left_anti").select(*TRIPLE)
+    ups = supers.select(F.col("child").alias("cls"), F.col("parent")).unionByName(
+        supers.select("child", "parent").unionByName(supers.select("parent", "parent").toDF("child", "parent"))
+        .select(F.col("child").alias("cls"), F.col("child").alias("parent"))
+    ).distinct()
+    lifted = direct.join(ups, "cls", "left").select("s", F.coalesce("parent", "cls").alias("o")).distinct()
+    asserted_types = base.filter("p = 'rdf:type'").select("s", "o")
+    new_types = materialise(
+        lifted.join(asserted_types, ["s", "o"], "left_anti")
+        .select("s", F.lit("rdf:type").alias("p"), "o", F.lit("iri").alias("o_type")), "types",
+    )
+    inferred = new_props.unionByName(new_types)
+    everything = base.unionByName(inferred)
     n = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("measure"), "n")
     report = union_all([
         n(base, "asserted"), n(everything, "total"), n(inferred, "inferred"),

@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from annospan.session import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -32,13 +34,18 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table for CPU-heavy row expressions: few-split files are spread over the cores."""
+    return spread(table(spark, sf, name))
+
+
 def text(c) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("string")
 
 
-def occurrences(spark: SparkSession, sf: str) -> DataFrame:
+def occurrences(spark: SparkSession, sf: str, read=table) -> DataFrame:
     """Lines of an order as intervals on it; the brand is the type."""
-    line, part = table(spark, sf, "lineitem"), table(spark, sf, "part")
+    line, part = read(spark, sf, "lineitem"), table(spark, sf, "part")
     start = (F.col("l_linenumber") * 20 + F.col("l_partkey") % 20).cast("int")
     return line.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("l_orderkey").alias("protein"), F.col("p_brand").alias("acc"), F.col("p_type").alias("label"),

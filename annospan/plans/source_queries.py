@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from annospan.plans.base import OCC, occurrences, query, table, text
+from annospan.plans.base import OCC, occurrences, query, spread_table, table, text
 from annospan.session import scratch_path
 from annospan.sources import entries, flatfile, regions, sequences, tables
 from annospan.streaming import landing
@@ -101,7 +101,7 @@ def feature_counts(spark, sf):
 
 def entry_json(spark, sf):
     """A domain entry per line: two fragments for long lines, member databases, GO terms."""
-    occ = occurrences(spark, sf)
+    occ = occurrences(spark, sf, spread_table)
     frag = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"))
     long = F.col("end") - F.col("start") >= 30
     frags = F.when(long, F.array(frag(F.col("start"), F.col("start") + 9), frag(F.col("end") - 9, F.col("end")))).otherwise(F.array(frag(F.col("start"), F.col("end"))))

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from annospan.operators import rules as rl
 from annospan.operators import triples as tp
 from annospan.operators.common import union_all
-from annospan.plans.base import OCC, occurrences, query, table, text
+from annospan.plans.base import OCC, occurrences, query, spread_table, table, text
 from annospan.sources.tables import ntriples_lines
 
 
 def graph_occ(spark, sf):
     part, supp = F.col("part"), F.col("supp")
-    return occurrences(spark, sf).select(
+    return occurrences(spark, sf, spread_table).select(
         F.col("key").alias("occurrence_id"), text("protein").alias("protein_accession"), F.col("acc").alias("domain_type_id"),
         F.concat(F.lit("type "), "acc").alias("label"), F.lit("BRAND").alias("label_db"), "start", "end",
         F.when(F.col("flag") == "R", "DOF:000016 scaffold").when(F.col("flag") == "N", "DOF:000038 receptor-binding").otherwise("").alias("function_tags"),

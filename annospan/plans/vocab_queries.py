@@ -10,7 +10,7 @@ from annospan.functions.cells import split_cell
 from annospan.operators import rules as rl
 from annospan.operators import vocab as vc
 from annospan.operators.common import union_all
-from annospan.plans.base import OCC, occurrences, query, table, text
+from annospan.plans.base import OCC, occurrences, query, spread_table, table, text
 
 
 def vocabulary(spark, sf):
@@ -120,7 +120,7 @@ def unknown_counts(spark, sf):
 
 def checked(spark, sf):
     """A table with planted faults: blank keys, bad spans, odd identifiers, wrong columns."""
-    occ = occurrences(spark, sf)
+    occ = occurrences(spark, sf, spread_table)
     k = F.col("part") + F.col("supp")
     return occ.select(
         "key", "protein",
