@@ -53,7 +53,7 @@ def occurrences(spark: SparkSession, sf: str, read=table) -> DataFrame:
         F.col("l_linenumber").alias("line"), start.alias("start"),
         (start + F.col("l_quantity") - 1).cast("int").alias("end"),
         F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"),
-        F.concat_ws("-", text("l_orderkey"), text("l_partkey"), text("l_suppkey"), text("l_linenumber")).alias("key"),
+        F.concat_ws("-", text("l_orderkey"), text("l_partkey"), text("l_suppkey"), text("l_linenumber"), text(F.col("l_quantity").cast("int"))).alias("key"),
     )
 
 
@@ -63,7 +63,7 @@ OCC = """occ AS (
          CAST(l_linenumber * 20 + l_partkey % 20 AS INTEGER) AS start,
          CAST(l_linenumber * 20 + l_partkey % 20 + l_quantity - 1 AS INTEGER) AS "end",
          l_returnflag AS flag, l_linestatus AS status,
-         l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber AS key
+         l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber || '-' || CAST(l_quantity AS INTEGER) AS key
   FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
 # Kind of feature a returned line plays, by supplier.
