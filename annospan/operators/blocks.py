@@ -72,6 +72,11 @@ def _min_overlap(measure: str, threshold: float, size: Column) -> Column:
     return F.greatest(F.ceil(bound - F.lit(1e-9)).cast("int"), F.lit(1))
 
 
+def _ranked_token(freq: Column, token: Column) -> Column:
+    """Token as text that sorts by frequency first (text keeps array intersections hashed)."""
+    return F.concat(F.lpad(freq.cast("string"), 19, "0"), F.lit("|"), token.cast("string"))
+
+
 def similar_sets(
     sets: DataFrame,
     id_col: str,
@@ -94,7 +99,7 @@ def similar_sets(
     ranked = (
         exploded.join(freq, "__t")
         .groupBy(id_col)
-        .agg(F.array_sort(F.collect_list(F.struct("__f", "__t"))).alias("__r"))
+        .agg(F.array_sort(F.collect_list(_ranked_token(F.col("__f"), F.col("__t")))).alias("__r"))
         .withColumn("__size", F.size("__r"))
         .withColumn("__plen", F.col("__size") - _min_overlap(measure, threshold, F.col("__size")) + 1)
         .withColumn("__prefix", F.slice("__r", 1, F.col("__plen")))
@@ -110,8 +115,10 @@ def similar_sets(
         sim = inter / (na + nb - inter)
     else:
         sim = 2 * inter / (na + nb)
+    ratio = threshold if measure == "jaccard" else threshold / (2.0 - threshold)
+    sizes_fit = (na >= nb * ratio - 1e-9) & (nb >= na * ratio - 1e-9)
     return (
-        pairs.filter(first_common)
+        pairs.filter(sizes_fit).filter(first_common)
         .select(
             F.col(f"a.{id_col}").alias("a"),
             F.col(f"b.{id_col}").alias("b"),
@@ -140,7 +147,7 @@ def prefix_candidates(
     def prefix(df: DataFrame, key: str, tokens: str, name: str) -> DataFrame:
         ranked = (
             df.select(key, F.explode(tokens).alias("k")).join(freq, "k")
-            .groupBy(key).agg(F.array_sort(F.collect_list(F.struct("f", "k"))).alias("r"))
+            .groupBy(key).agg(F.array_sort(F.collect_list(_ranked_token(F.col("f"), F.col("k")))).alias("r"))
         )
         size = F.size("r")
         cut = ranked.withColumn(name, F.slice("r", 1, size - _min_overlap("dice", threshold, size) + 1))
