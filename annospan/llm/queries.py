@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annospan.llm import mixing, sharding
+from annospan.llm import mixing, packing, sharding
 from annospan.llm.tables import table
 
 
@@ -15,6 +15,15 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens."""
+    import public_tokenizers
+
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    digests = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.pack_pieces(digests)
+
+
 def op10_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight contiguous shards of near equal bytes."""
     placed = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), shards=8)
@@ -26,6 +35,7 @@ def op10_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_mix_sources": op2_mix_sources,
+    "op5_pack_documents": op5_pack_documents,
     "op10_shard_bytes": op10_shard_bytes,
 }
 
