@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annospan.llm import mixing, packing, sharding
+from annospan.llm import mixing, packing, quality, sharding
 from annospan.llm.tables import table
 
 
@@ -24,6 +24,11 @@ def op5_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_pieces(digests)
 
 
+def op6_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from four fifths of the labels."""
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight contiguous shards of near equal bytes."""
     placed = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), shards=8)
@@ -36,6 +41,7 @@ def op10_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op5_pack_documents": op5_pack_documents,
+    "op6_quality_trees": op6_quality_trees,
     "op10_shard_bytes": op10_shard_bytes,
 }
 

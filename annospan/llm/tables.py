@@ -22,6 +22,17 @@ def text_bytes(text_col: str) -> Column:
     return F.coalesce(F.col(text_col), F.lit("")).cast("binary")
 
 
+def hash_share(*key: str) -> Column:
+    """Repeatable number in [0, 1) for a key."""
+    return F.xxhash64(*key, F.lit("sample")) / F.lit(2.0**64) + F.lit(0.5)
+
+
 def bounded_sample(df: DataFrame, key: list[str], rows: int) -> DataFrame:
-    """At most ``rows`` rows in hash order of ``key``: the bounded sample a model is fitted on."""
-    return df.orderBy(F.xxhash64(*key), *key).limit(rows)
+    """At most ``rows`` rows, drawn by hash of ``key``: the bounded sample a model is fitted on.
+
+    A first cut by share leaves about the bound, so the ordered limit that makes
+    it exact never gathers more than that.
+    """
+    share = rows / max(df.count(), 1)
+    drawn = df.filter(hash_share(*key) < share) if share < 1 else df
+    return drawn.orderBy(hash_share(*key), *key).limit(rows)
