@@ -50,6 +50,7 @@ def shard_by_bytes(
     joined = rows.join(placed, group)
     single = joined.filter("n = 1").withColumn("rank", F.lit(0).cast("long"))
     copies = joined.filter("n > 1").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(SPLIT_BUCKETS)))
+    copies = copies.repartition(*group, "part")  # the join has dealt whole groups to tasks
     ranked = ordered_scan(copies, group, F.col("part"), ["part", "id"], rank=row_number())
     ranked = ranked.drop("part").withColumn("rank", F.col("rank") - 1)
     whole = F.col("n") * F.col("size") <= F.lit(together) * F.col("total") / F.lit(shards)
