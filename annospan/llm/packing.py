@@ -19,7 +19,7 @@ from annospan.session import materialise
 LIMIT = 2048
 SLICE_BYTES = 1 << 20
 BATCH_BYTES = 4 << 20
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 400_000
 ROWS_PER_PART = 2048
 CLAUSE_END = re.compile(rb"[,.](?<=[a-z][,.])")
 
