@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annospan.llm import mixing, packing, quality, sharding
-from annospan.llm.tables import table
+from annospan.llm import mixing, packing, quality, sharding, toxicity
+from annospan.llm.tables import crc_rest, table
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,15 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_toxicity_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of every document; ``held_out`` rows are not learned from."""
+    scored = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select(
+        "doc_id", (crc_rest("doc_id", 5) == 0).alias("held_out"), "severity", "grade", "p_toxic",
+        F.col("rejected").cast("int").alias("toxic"),
+    )
+
+
 def op5_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
     import public_tokenizers
@@ -40,6 +49,7 @@ def op10_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_mix_sources": op2_mix_sources,
+    "op3_toxicity_ordinal": op3_toxicity_ordinal,
     "op5_pack_documents": op5_pack_documents,
     "op6_quality_trees": op6_quality_trees,
     "op10_shard_bytes": op10_shard_bytes,
