@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annospan.llm import mixing, packing, quality, sharding, toxicity
+from annospan.llm import language, mixing, packing, quality, sharding, toxicity
 from annospan.llm.tables import crc_rest, table
 
 
+def op1_language_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by the byte network."""
+    return language.identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the weights 5, 2, 1."""
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
@@ -48,6 +53,7 @@ def op10_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_bytes": op1_language_bytes,
     "op2_mix_sources": op2_mix_sources,
     "op3_toxicity_ordinal": op3_toxicity_ordinal,
     "op5_pack_documents": op5_pack_documents,
