@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annospan.llm import language, mixing, packing, quality, sharding, toxicity
+from annospan.llm import language, mixing, neartext, packing, quality, sharding, toxicity
 from annospan.llm.tables import crc_rest, table
 
 
@@ -43,6 +43,11 @@ def op6_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and near-copy class of every document at a five-word Jaccard of 0.8."""
+    return neartext.ngram_jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op10_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight contiguous shards of near equal bytes."""
     placed = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), shards=8)
@@ -58,6 +63,7 @@ QUERIES = {
     "op3_toxicity_ordinal": op3_toxicity_ordinal,
     "op5_pack_documents": op5_pack_documents,
     "op6_quality_trees": op6_quality_trees,
+    "op7_ngram_join": op7_ngram_join,
     "op10_shard_bytes": op10_shard_bytes,
 }
 
