@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annospan.llm import language, mixing, neartext, packing, quality, sharding, toxicity
+from annospan.llm import language, lattice, mixing, neartext, packing, quality, sharding, toxicity
 from annospan.llm.tables import crc_rest, table
 
 
@@ -48,6 +48,11 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neartext.ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op9_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at a cosine of 0.98 within a label."""
+    return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight contiguous shards of near equal bytes."""
     placed = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), shards=8)
@@ -64,6 +69,7 @@ QUERIES = {
     "op5_pack_documents": op5_pack_documents,
     "op6_quality_trees": op6_quality_trees,
     "op7_ngram_join": op7_ngram_join,
+    "op9_lattice_dedup": op9_lattice_dedup,
     "op10_shard_bytes": op10_shard_bytes,
 }
 
