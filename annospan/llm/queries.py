@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annospan.llm import language, lattice, mixing, neartext, packing, quality, sharding, toxicity
+from annospan.llm import language, lattice, mixing, nearest, neartext, packing, quality, sharding, toxicity
 from annospan.llm.tables import crc_rest, table
 
 
@@ -29,6 +29,11 @@ def op3_toxicity_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest inner products of every twentieth vector with all others."""
+    return nearest.nearest_vectors(table(spark, sf_dir, "embeddings"), query_step=20, nearest=20)
+
+
 def op5_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
     import public_tokenizers
@@ -66,6 +71,7 @@ QUERIES = {
     "op1_language_bytes": op1_language_bytes,
     "op2_mix_sources": op2_mix_sources,
     "op3_toxicity_ordinal": op3_toxicity_ordinal,
+    "op4_adaptive_scan": op4_adaptive_scan,
     "op5_pack_documents": op5_pack_documents,
     "op6_quality_trees": op6_quality_trees,
     "op7_ngram_join": op7_ngram_join,
