@@ -109,35 +109,13 @@ def golden_schedule(targets: DataFrame, block: int) -> DataFrame:
     )
 
 
-def mix_sources(
-    docs: DataFrame,
-    weights: Sequence[float] = (5, 2, 1),
-    max_repeats: int = 3,
-    block: int = 128,
-    seed: int = 11,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-) -> DataFrame:
-    """(id, size, source_size, target, taken, passes): how much of every document a mix takes.
-
-    ``size`` counts words, ``target`` is the words its source should give and
-    ``taken`` the words the schedule takes from the document, repeats counted.
-    ``passes`` says in how many passes the document's first word is taken: the
-    number of copies for a mix of whole documents.
-
-    Each source's documents are put in the order of a hash (a repeatable shuffle)
-    and laid end to end; the stream is cut into blocks of equal words that the
-    schedule draws. Offsets are running sums over hash parts of a source, so a
-    source with any share of the rows is spread over many tasks.
-
-    Null or blank texts have size 0 and take nothing; null is a source of its
-    own; repeated rows are separate documents; an empty table gives no rows.
-    """
+def taken_words(docs: DataFrame, weights: Sequence[float], max_repeats: int, block: int, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(id, th, size, source_size, target, taken, passes) of every document, ``th`` hashing its text; see ``mix_sources``."""
     rows = materialise(
         docs.select(
-            F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")
-        ).withColumn("h", F.xxhash64(F.col("id"), F.col("size"), F.lit(seed))),
+            F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
+            F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"),
+        ).withColumn("h", F.xxhash64(F.col("id"), F.col("th"), F.lit(seed))),
         "mix-sizes",
     )
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
@@ -148,7 +126,7 @@ def mix_sources(
     parts = attach(numbered.filter("size > 0"), rows.agg(F.greatest(F.lit(1), F.expr(f"count(1) div {ROWS_PER_PART}")).alias("parts")))
     part = F.floor((F.col("h") / F.lit(2.0**64) + F.lit(0.5)) * F.col("parts"))
     offsets = ordered_scan(
-        parts, ["number"], part, ["h", "id", "size"], offset=running_sum(F.col("size"), exclusive=True)
+        parts, ["number"], part, ["h", "id", "th", "size"], offset=running_sum(F.col("size"), exclusive=True)
     )
     pieces = offsets.withColumn(
         "block",
@@ -163,9 +141,62 @@ def mix_sources(
     )
     first = F.expr(f"block = offset div {block}")
     copies = F.when(first, F.size(F.filter(F.coalesce("lengths", F.array().cast("array<bigint>")), lambda n: n > F.col("start"))))
-    taken = met.groupBy("number", "offset", "id", "size", "source_size", "target").agg(
+    taken = met.groupBy("number", "offset", "id", "th", "size", "source_size", "target").agg(
         F.sum(words).alias("taken"), F.max(copies).alias("passes")
     )
     nothing = numbered.filter("size = 0").withColumns({"taken": F.lit(0).cast("long"), "passes": F.lit(0)})
-    columns = ["id", "size", "source_size", "target", "taken", "passes"]
-    return taken.select(*columns).unionByName(nothing.select(*columns)).withColumnRenamed("id", id_col)
+    columns = ["id", "th", "size", "source_size", "target", "taken", "passes"]
+    return taken.select(*columns).unionByName(nothing.select(*columns))
+
+
+def mix_sources(
+    docs: DataFrame,
+    weights: Sequence[float] = (5, 2, 1),
+    max_repeats: int = 3,
+    block: int = 128,
+    seed: int = 11,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """(id, size, source_size, target, taken, passes): how much of every document a mix takes.
+
+    ``size`` counts words, ``target`` is the words its source should give and
+    ``taken`` the words the schedule takes from the document, repeats counted.
+    ``passes`` says in how many passes the document's first word is taken: the
+    number of copies for a mix of whole documents.
+
+    Each source's documents are put in the order of a hash (a repeatable shuffle)
+    and laid end to end; the stream is cut into blocks of equal words that the
+    schedule draws. Offsets are running sums over hash parts of a source, so a
+    source with any share of the rows is spread over many tasks.
+
+    Null or blank texts have size 0 and take nothing; null is a source of its
+    own; repeated rows are separate documents; an empty table gives no rows. Other
+    columns are ignored.
+    """
+    taken = taken_words(docs, weights, max_repeats, block, seed, id_col, text_col, source_col)
+    return taken.drop("th").withColumnRenamed("id", id_col)
+
+
+def mixed_documents(
+    docs: DataFrame,
+    weights: Sequence[float] = (5, 2, 1),
+    max_repeats: int = 3,
+    block: int = 128,
+    seed: int = 11,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """The mix as whole documents: each row of ``docs`` as often as the schedule takes its first word.
+
+    A document without words is not part of any block and stays out. Repeated
+    rows (equal id and text) share the copies taken of them.
+    """
+    taken = taken_words(docs, weights, max_repeats, block, seed, id_col, text_col, source_col)
+    drawn = taken.groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(F.sum("passes").alias("_copies"), F.count(F.lit(1)).alias("_n"))
+    tagged = docs.withColumn("_text_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    met = tagged.join(drawn.filter("_copies > 0"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_th")))
+    one = met.filter("_n = 1").unionByName(met.filter("_n > 1").dropDuplicates(["_id", "_th"]))
+    return one.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)

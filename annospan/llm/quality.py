@@ -81,8 +81,8 @@ def row_statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.column_stack(columns).reshape(n, len(STATS))
 
 
-def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, *STATS): statistics of every whole text; null counts as empty."""
+def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: list[str] = ()) -> DataFrame:
+    """(id, *STATS, *extra): statistics of every whole text; null counts as empty. ``extra`` columns are doubles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,10 +91,12 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 part = offsets[a : b + 1]
                 stats = row_statistics(data[part[0] : part[-1]], part - part[0])
                 columns = [batch.column(0).slice(a, b - a), *(pa.array(c) for c in stats.T)]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", *STATS])
+                columns += [batch.column(c).slice(a, b - a) for c in extra]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", *STATS, *extra])
 
-    schema = ", ".join(["id long", *(f"{c} double" for c in STATS)])
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("raw")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    schema = ", ".join(["id long", *(f"{c} double" for c in (*STATS, *extra))])
+    raw = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("raw"), *[F.col(c).cast("double").alias(c) for c in extra])
+    return raw.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 @dataclass(frozen=True)
@@ -221,3 +223,40 @@ def score_quality(
         F.col("id").alias(id_col), (crc_rest("id", modulus) == 0).alias("held_out"), "score",
         (F.col("score") >= keep_at).cast("int").alias("predicted"),
     )
+
+
+def keep_quality(
+    docs: DataFrame,
+    labels: DataFrame,
+    modulus: int = 5,
+    keep_at: float = KEEP_AT,
+    fit_rows: int = FIT_ROWS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "quality",
+) -> DataFrame:
+    """``docs`` without the rows whose score (see ``score_quality``) is below ``keep_at``.
+
+    Rows are scored in place, so no text is moved: the fit joins a bounded,
+    broadcast sample of labelled ids, the filter is one expression over the text.
+    Null and empty texts are judged by the statistics of an empty text; labels
+    that are missing or all alike reject nothing unless the prior does.
+    """
+    known = labels.filter(F.col(label_col).isNotNull() & (crc_rest(id_col, modulus) != 0))
+    known = bounded_sample(known.groupBy(id_col).agg(F.avg(label_col).alias("label")), [id_col], fit_rows)
+    found = docs.select(id_col, text_col).join(F.broadcast(known), id_col)
+    stats = document_statistics(found.select(F.xxhash64(id_col, text_col).alias("row"), "label", F.col(text_col)), "row", text_col, ["label"])
+    sample = bounded_sample(stats, ["row"], fit_rows).toPandas().sort_values("row")
+    model = fit_trees(sample[STATS].to_numpy(np.float64), sample["label"].to_numpy(np.float64) >= 0.5)
+
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for raw in batches:
+            data, offsets = buffers.flat(raw)
+            parts = [np.zeros(0)]
+            for a, b in buffers.chunks(offsets):
+                part = offsets[a : b + 1]
+                parts.append(model.probability(row_statistics(data[part[0] : part[-1]], part - part[0])))
+            yield pa.array(np.concatenate(parts))
+
+    scored = F.arrow_udf(score, "double")
+    return docs.filter(scored(text_bytes(text_col)) >= keep_at)

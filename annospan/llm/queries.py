@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annospan.llm import language, lattice, mixing, nearest, neartext, packing, quality, sharding, toxicity
+from annospan.llm import language, lattice, mixing, nearest, neartext, packing, quality, sharding, toxicity, webpage
 from annospan.llm.tables import crc_rest, table
 
 
@@ -34,13 +34,17 @@ def op4_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest_vectors(table(spark, sf_dir, "embeddings"), query_step=20, nearest=20)
 
 
-def op5_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents packed into sequences of at most 2048 tokens."""
+def packed(docs: DataFrame) -> DataFrame:
+    """Documents packed into sequences of at most 2048 tokens, with a digest of each piece's ids."""
     import public_tokenizers
 
-    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    digests = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return packing.pack_pieces(digests)
+    pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_pieces(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
+def op5_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed."""
+    return packed(table(spark, sf_dir, "documents"))
 
 
 def op6_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +57,11 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neartext.ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op8_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return webpage.extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op9_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all vectors at a cosine of 0.98 within a label."""
     return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
@@ -75,6 +84,7 @@ QUERIES = {
     "op5_pack_documents": op5_pack_documents,
     "op6_quality_trees": op6_quality_trees,
     "op7_ngram_join": op7_ngram_join,
+    "op8_line_blocks": op8_line_blocks,
     "op9_lattice_dedup": op9_lattice_dedup,
     "op10_shard_bytes": op10_shard_bytes,
 }
