@@ -78,6 +78,10 @@ class OrdinalModel:
         counts, words = buckets.counts(text)
         return float(sum(self.weights[b][levels(n, words)].sum() for b, n in sorted(counts.items())))
 
+    def exceed(self, score: np.ndarray) -> np.ndarray:
+        """Probabilities of grade 1 or more, 2 or more ... for each score."""
+        return 1 / (1 + np.exp(-np.clip(np.asarray(score)[:, None] - self.thresholds, -40, 40)))
+
 
 def chi_square(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
     """Association of features held by ``a`` of ``n1`` toxic and ``b`` of ``n0`` clean texts, 0 where clean texts hold more."""
