@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from annospan.functions.cells import ordinal_label
 from annospan.functions.spans import overlap_len
+from annospan.operators.blocks import co_members
 from annospan.operators.ordered import (
     following,
     min_ahead,
@@ -501,22 +502,19 @@ def insertion_category(
 
 
 def cooccurring_occurrences(
-    df: DataFrame, key: str, entity: str = "protein", label: str = "label", position: str = "ordinal_position_all",
-    chunk: int = 512,
+    df: DataFrame, key: str, entity: str = "protein", label: str = "label", position: str = "ordinal_position_all", block: int = 256
 ) -> DataFrame:
-    """The other occurrences on the entity as ordered text.
+    """(entity, key, other_key, other_label, other_position): the other occurrences on the entity, one row each.
 
-    The list of an entity is stored in chunks of ``chunk`` ordinals; an entity
-    with more occurrences gives one row per chunk, so neither a task nor a cell
-    has to hold a whole crowded entity.
+    The long form is the contract at any size: a crowded entity is met in blocks
+    (``co_members``), so neither a task nor a cell holds all of it.
     """
-    listed = df.withColumn("part", F.floor((F.col(position) - 1) / chunk).cast("int"))
-    chunks = listed.groupBy(entity, "part").agg(
-        F.array_sort(F.collect_list(F.struct(F.col(position).alias("o"), F.col(key).alias("k"), F.col(label).alias("t")))).alias("__c")
-    )
-    others = F.transform(F.filter("__c", lambda x: x["k"] != F.col(key)), lambda x: x["t"])
-    return df.select(entity, key).join(chunks, entity).select(
-        entity, key, "part", F.array_join(others, ";").alias("cooccurring_domain_occurrences")
+    rows = df.select(entity, key, F.struct(F.col(label).alias("label"), F.col(position).alias("position")).alias("__p"))
+    pairs = co_members(rows, entity, key, ["__p"], block)
+    one = lambda x, y: F.struct(F.col(f"{x}.{key}").alias("k"), F.col(f"{y}.{key}").alias("o"), F.col(f"{y}.__p").alias("p"))
+    both = pairs.select(entity, F.explode(F.array(one("a", "b"), one("b", "a"))).alias("x"))
+    return both.select(
+        entity, F.col("x.k").alias(key), F.col("x.o").alias("other_key"), F.col("x.p.label").alias("other_label"), F.col("x.p.position").alias("other_position")
     )
 
 

@@ -542,6 +542,8 @@ def entail(triples: DataFrame, schema: DataFrame, max_iter: int = 20) -> tuple[D
         if new_size == size:
             break
         size = new_size
+    else:
+        raise ValueError(f"properties did not settle within {max_iter} rounds")
     base = materialise(triples.select(*TRIPLE).distinct(), "asserted")
     derived = base.filter("o_type = 'iri'").join(reach, "p").select(
         F.when(F.col("swap"), F.col("o")).otherwise(F.col("s")).alias("s"), F.col("q").alias("p"),

@@ -249,8 +249,7 @@ def insertion(spark, sf):
 
 @query("j11_cooccurring_occurrences", f"""WITH {GROUPS},
 labelled AS (SELECT protein, key, ordinal_position_all AS o, acc || '|' || start || '..' || "end" || '|ord' || ordinal_position_all AS t FROM grouped)
-SELECT a.protein, a.key, CAST(0 AS INTEGER) AS part, coalesce(string_agg(b.t, ';' ORDER BY b.o), '') AS cooccurring_domain_occurrences
-FROM labelled a LEFT JOIN labelled b ON a.protein = b.protein AND a.key <> b.key GROUP BY a.protein, a.key""")
+SELECT a.protein, a.key, b.key AS other_key, b.t AS other_label, b.o AS other_position FROM labelled a JOIN labelled b ON a.protein = b.protein AND a.key <> b.key""")
 def cooccurring(spark, sf):
     grouped = iv.overlap_groups(occurrences(spark, sf), tie=["acc", *TIE])
     label = F.concat(

@@ -99,14 +99,14 @@ def token_union(spark, sf):
 
 
 @query("a08_type_dimension", """
-WITH e AS (SELECT p_brand, p_partkey AS pos, 0 AS src, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_name END AS name, CASE WHEN p_partkey % 5 = 0 THEN p_type END AS tags FROM part WHERE p_size > 10),
+WITH e AS (SELECT p_brand, p_partkey AS pos, 0 AS src, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_name END AS name, CASE WHEN p_partkey % 5 = 0 THEN p_type END AS tags FROM part),
 o AS (SELECT p_brand, l_orderkey * 1000000 + l_partkey * 100 + l_linenumber AS pos, 1 AS src, p_name AS name, l_returnflag AS tags FROM lineitem JOIN part ON l_partkey = p_partkey),
 b AS (SELECT * FROM e UNION ALL SELECT * FROM o)
 SELECT p_brand, arg_min(name, (src, pos)) FILTER (WHERE name IS NOT NULL) AS name, arg_min(tags, (src, pos)) FILTER (WHERE tags IS NOT NULL) AS tags FROM b GROUP BY p_brand""")
 def type_dimension(spark, sf):
     part, line = table(spark, sf, "part"), table(spark, sf, "lineitem")
     k = F.col("p_partkey")
-    entries = part.filter("p_size > 10").select(
+    entries = part.select(
         "p_brand", F.when(k % 3 == 0, None).otherwise(F.col("p_name")).alias("name"), F.when(k % 5 == 0, F.col("p_type")).alias("tags"), k.alias("pos")
     )
     occ = line.join(part, F.col("l_partkey") == k).select(
@@ -161,15 +161,15 @@ def dup_mask(spark, sf):
 @query("a12_protein_table", """
 SELECT o_custkey AS protein, arg_min(o_orderpriority, o_orderkey) FILTER (WHERE o_orderstatus <> 'P') AS gene_symbol, count(*) AS n_domains,
   coalesce(any_value(c_mktsegment), 'other') AS protein_group, CASE any_value(c_mktsegment) WHEN 'BUILDING' THEN 'kinase' ELSE 'other' END AS family_module
-FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_nationkey < 20) ON o_custkey = c_custkey GROUP BY o_custkey""")
+FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY o_custkey""")
 def protein_table(spark, sf):
     from annospan.functions.cells import module_of
 
     orders = table(spark, sf, "orders").select(
         F.col("o_custkey").alias("protein"), "o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")).alias("gene")
     )
-    groups = table(spark, sf, "customer").filter("c_nationkey < 20").select(F.col("c_custkey").alias("protein"), F.col("c_mktsegment").alias("protein_group"))
-    return sm.protein_table(orders, "protein", "gene", groups, module_of("protein_group", {"kinase": ["BUILDING"]}), "o_orderkey")
+    groups = table(spark, sf, "customer").select(F.col("c_custkey").alias("protein"), F.col("c_mktsegment").alias("protein_group"))
+    return sm.protein_table(orders, "protein", "gene", groups, module_of("protein_group", {"BUILDING": "kinase"}), "o_orderkey")
 
 
 @query("a13_support", f"""WITH {OCC} SELECT acc, count(DISTINCT protein) AS n_entities FROM occ GROUP BY acc""")

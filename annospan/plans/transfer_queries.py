@@ -21,11 +21,11 @@ def customer_lines(spark, sf):
 
 
 def annotations(spark, sf):
-    """(entity, annotation_category, term_value) of the purchases of a customer on lines 1 and 2."""
+    """(entity, annotation_category, term_value) of the purchases of a customer."""
     cats = F.array(*[
         F.struct(F.lit(k).alias("annotation_category"), F.col(c).alias("term_value")) for k, c in zip(CATEGORIES, ("brand", "use", "type"))
     ])
-    return customer_lines(spark, sf).filter("line <= 2").select("entity", F.explode(cats).alias("c")).select("entity", "c.*").distinct()
+    return customer_lines(spark, sf).select("entity", F.explode(cats).alias("c")).select("entity", "c.*").distinct()
 
 
 def pairs(spark, sf):
@@ -49,7 +49,7 @@ def sides(spark, sf):
 ANN = """half AS (SELECT CAST(count(*) // 2 AS BIGINT) AS h FROM customer),
 cl AS (SELECT o_custkey AS entity, p_brand AS brand, p_type AS type, l_returnflag || '-' || l_linestatus || '-' || split_part(p_name, ' ', 2) AS use, l_linenumber AS line
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
-ann AS (SELECT DISTINCT entity, 'domain_type' AS category, brand AS term_value FROM cl WHERE line <= 2 UNION ALL SELECT DISTINCT entity, 'function', use FROM cl WHERE line <= 2 UNION ALL SELECT DISTINCT entity, 'topology', type FROM cl WHERE line <= 2),
+ann AS (SELECT DISTINCT entity, 'domain_type' AS category, brand AS term_value FROM cl UNION ALL SELECT DISTINCT entity, 'function', use FROM cl UNION ALL SELECT DISTINCT entity, 'topology', type FROM cl),
 prs AS (SELECT c_custkey AS source, h + c_custkey * 7 % h AS target, c_mktsegment, c_nationkey FROM customer, half WHERE c_custkey < h),
 src AS (SELECT entity AS source, category, term_value FROM ann, half WHERE entity < h), gold AS (SELECT entity AS target, category, term_value FROM ann, half WHERE entity >= h)"""
 

@@ -33,7 +33,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_keys(spark: SparkSession, path: str, column: str = "gene", sep: str | None = None) -> DataFrame:
-    """Distinct keys in order of first appearance; comment lines start with ``#``."""
+    """Distinct keys in order of first appearance; comment lines start with ``#``. No key at all is an error."""
     if sep:
         table = spark.read.option("header", True).option("sep", sep).option("comment", "#").csv(path)
         name = next((c for c in table.columns if c.strip().lower() == column.lower()), None)
@@ -42,7 +42,7 @@ def read_keys(spark: SparkSession, path: str, column: str = "gene", sep: str | N
         lines = with_position(table).select(F.trim(F.col(name)).alias(column), *POSITION)
     else:
         lines = read_lines(spark, path).select(F.trim("value").alias(column), *POSITION)
-    return distinct_keys(lines, column, POSITION)
+    return require_rows(distinct_keys(lines, column, POSITION), f"the key list {path}")
 
 
 def distinct_keys(lines: DataFrame, column: str, position: Sequence[str]) -> DataFrame:
@@ -64,11 +64,13 @@ def read_table(spark: SparkSession, path: str, columns: Sequence[str], sep: str
 
 
 def scan_partitions(spark: SparkSession, glob: str, columns: Sequence[str], name_regex: str, sep: str = "\t") -> DataFrame:
-    """Many per-key files as one table with the key from the file name and the source file."""
+    """Many per-key files as one table with the key from the file name and the source file.
+
+    A file that cannot be read fails the job: rows are never lost without a trace.
+    """
     schema = ", ".join(f"`{c}` string" for c in columns)
     raw = (
-        spark.read.schema(schema).option("header", True).option("sep", sep).option("quote", "")
-        .option("ignoreCorruptFiles", True).csv(glob)
+        spark.read.schema(schema).option("header", True).option("sep", sep).option("quote", "").option("ignoreCorruptFiles", False).csv(glob)
     )
     path = F.col("_metadata.file_path")
     return raw.select(

@@ -99,7 +99,9 @@ def test_disorder_bands(spark, fraction, status):
     assert iv.disorder_status(df, feat, "acc").head()["disorder_status"] == status
 
 
-def test_long_lists_come_in_parts(spark):
-    df = spark.createDataFrame([("P", f"k{i}", f"t{i}", i) for i in range(1, 8)], "protein string, key string, label string, ordinal_position_all int")
-    rows = iv.cooccurring_occurrences(df, "key", chunk=3).filter("key = 'k4'").orderBy("part").collect()
-    assert [r.cooccurring_domain_occurrences for r in rows] == ["t1;t2;t3", "t5;t6", "t7"]
+@pytest.mark.parametrize("n", [1, 7, 600])
+def test_cooccurrence_has_one_row_per_other_at_any_size(spark, n):
+    df = spark.createDataFrame([("P", f"k{i}", f"t{i}", i) for i in range(1, n + 1)], "protein string, key string, label string, ordinal_position_all int")
+    rows = iv.cooccurring_occurrences(df, "key", block=64)
+    assert rows.count() == n * (n - 1) == rows.select("key", "other_key").distinct().count()
+    assert [r.other_label for r in rows.filter("key = 'k4'").orderBy("other_position").collect()] == [f"t{i}" for i in range(1, n + 1) if i != 4 and n > 1]
