@@ -16,6 +16,9 @@ from annospan.operators.summaries import modal
 from annospan.session import materialise
 
 
+RANK_BUCKETS = 256
+
+
 def pairwise_jaccard(features: DataFrame, entity: str, feature: str, block: int = 256) -> DataFrame:
     """Jaccard of all entity pairs that share a feature; all other pairs are zero.
 
@@ -35,6 +38,30 @@ def pairwise_jaccard(features: DataFrame, entity: str, feature: str, block: int
     )
 
 
+def _equal_pairs(members: DataFrame, sizes: DataFrame, entity: str, block: int) -> DataFrame:
+    """(__x, __y, shared, similarity) of members with the same signature."""
+    return co_members(members, "signature", entity, block=block).join(sizes, "signature").select(
+        F.col(f"a.{entity}").alias("__x"), F.col(f"b.{entity}").alias("__y"), "shared", F.lit(1.0).alias("similarity")
+    )
+
+
+def _ordered_pairs(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("__x", "__y").alias("a"), F.greatest("__x", "__y").alias("b"), "shared", "similarity")
+
+
+def _pairs_of_sets(members: DataFrame, distinct: DataFrame, entity: str, min_sim: float, block: int) -> DataFrame:
+    """Pairs of members whose (distinct) sets reach ``min_sim``, equal sets included."""
+    sizes = distinct.select("signature", F.size("tokens").alias("shared"))
+    equal = _equal_pairs(members, sizes, entity, block)
+    if min_sim >= 1:
+        return _ordered_pairs(equal)
+    across = similar_sets(distinct, "signature", "tokens", min_sim, block=block)
+    left = members.select(F.col(entity).alias("__x"), F.col("signature").alias("a"))
+    right = members.select(F.col(entity).alias("__y"), F.col("signature").alias("b"))
+    mixed = across.join(left, "a").join(right, "b").select("__x", "__y", "shared", "similarity")
+    return _ordered_pairs(mixed.unionByName(equal))
+
+
 def similar_pairs(features: DataFrame, entity: str, feature: str, min_sim: float = 0.3, block: int = 256) -> DataFrame:
     """Entity pairs whose Jaccard reaches ``min_sim`` (exact, prefix filtered).
 
@@ -42,20 +69,26 @@ def similar_pairs(features: DataFrame, entity: str, feature: str, min_sim: float
     distinct sets and the copies are paired afterwards.
     """
     sets = token_sets(features, entity, feature)
-    members = sets.select(entity, "signature")
     distinct = sets.groupBy("signature").agg(F.first("tokens").alias("tokens"))
-    across = similar_sets(distinct, "signature", "tokens", min_sim, block=block)
-    left = members.select(F.col(entity).alias("__x"), F.col("signature").alias("a"))
-    right = members.select(F.col(entity).alias("__y"), F.col("signature").alias("b"))
-    mixed = across.join(left, "a").join(right, "b").select("__x", "__y", "shared", "similarity")
-    sizes = distinct.select("signature", F.size("tokens").alias("shared"))
-    equal = co_members(members, "signature", entity, block=block).join(sizes, "signature").select(
-        F.col(f"a.{entity}").alias("__x"), F.col(f"b.{entity}").alias("__y"), "shared", F.lit(1.0).alias("similarity")
-    )
-    both = mixed.unionByName(equal)
-    return both.select(
-        F.least("__x", "__y").alias("a"), F.greatest("__x", "__y").alias("b"), "shared", "similarity"
-    )
+    return _pairs_of_sets(sets.select(entity, "signature"), distinct, entity, min_sim, block)
+
+
+def best_pairs(features: DataFrame, entity: str, feature: str, n: int, min_sim: float, block: int = 256, steps: Sequence[float] = (1.0, 0.8, 0.6)) -> DataFrame:
+    """The ``n`` most similar pairs with at least ``min_sim``, ties to the smaller ids.
+
+    Of entities with equal sets only the ``n + 1`` smallest can be in the answer.
+    The threshold is lowered step by step until ``n`` pairs reach it: all better
+    pairs are then known, and the weak pairs are never formed.
+    """
+    sets = materialise(token_sets(features, entity, feature), "token-sets")
+    order = F.row_number().over(Window.partitionBy("signature").orderBy(entity))
+    members = sets.select(entity, "signature").withColumn("__n", order).filter(F.col("__n") <= n + 1).drop("__n")
+    distinct = sets.groupBy("signature").agg(F.first("tokens").alias("tokens"))
+    for step in [*(s for s in steps if s > min_sim), min_sim]:
+        best = materialise(_pairs_of_sets(members, distinct, entity, step, block).orderBy(F.desc("similarity"), "a", "b").limit(n), "best-pairs")
+        if step == min_sim or best.count() == n:
+            return best
+    raise ValueError("min_sim must be a number")
 
 
 def top_pairs(
@@ -63,8 +96,7 @@ def top_pairs(
     n: int = 50, min_sim: float = 0.3, shown: int = 5, width: int = 25,
 ) -> DataFrame:
     """The ``n`` most similar pairs with their shared features and a same-label flag."""
-    pairs = similar_pairs(features, entity, feature, min_sim)
-    best = pairs.orderBy(F.desc("similarity"), "a", "b").limit(n)
+    best = best_pairs(features, entity, feature, n, min_sim)
     distinct = features.select(entity, feature).distinct()
     fa = best.select("a", "b").join(distinct.withColumnsRenamed({entity: "a", feature: "f"}), "a")
     both = fa.join(distinct.withColumnsRenamed({entity: "b", feature: "f"}), ["b", "f"])
@@ -231,32 +263,64 @@ def correlation(x: str, y: str) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.when(spread > 0, spread))
 
 
+def _shifted(pairs: DataFrame, name: str, method: str, total: Column, absent: float) -> DataFrame:
+    """(a, b, name): each distance, or its rank, minus the value that all absent pairs share.
+
+    Absent pairs are one block of ties at distance ``absent``, the largest of all;
+    its size is the number of all pairs minus those of the table. The bucket of
+    the rank scan is the leading part of the distance, so no task ranks them all.
+    """
+    if method != "spearman":
+        return pairs.select("a", "b", (F.col("distance") - absent).alias(name))
+    counts = pairs.groupBy("distance").agg(F.count(F.lit(1)).alias("__c"))
+    scanned = ordered_scan(counts, [], F.floor(F.col("distance") * (RANK_BUCKETS / absent)), ["distance"], __before=running_sum(F.col("__c"), exclusive=True))
+    nearer = pairs.filter(F.col("distance") < absent).agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
+    # the block of ties starts behind all nearer pairs and ends with the last pair
+    block = nearer + (total - nearer + 1) / 2.0
+    own = F.when(F.col("distance") < absent, F.col("__before") + (F.col("__c") + 1) / 2.0).otherwise(block)
+    ranks = scanned.select("distance", (own - block).alias(name))
+    return pairs.join(ranks, "distance").select("a", "b", name)
+
+
+def _complete_r(su: Column, suu: Column, sv: Column, svv: Column, suv: Column, m: Column) -> Column:
+    """Correlation over ``m`` pairs from sums over those that differ from the common value."""
+    spread = F.sqrt((m * suu - su * su) * (m * svv - sv * sv))
+    return F.try_divide(m * suv - su * sv, F.when(spread > 0, spread))
+
+
 def mantel(
-    pairs: DataFrame, n: int = 9999, method: str = "spearman", seed: int = 42, bucket: Column | None = None
+    x: DataFrame, y: DataFrame, ids: DataFrame, n: int = 9999, method: str = "spearman", seed: int = 42, absent: float = 1.0
 ) -> DataFrame:
-    """Mantel test on a complete pair table (a < b, da, db), two-tailed with +1.
+    """Mantel test of two distance tables over all pairs of ``ids`` (column id), two-tailed with +1.
 
-    Ranks do not change under permutation, so they are computed once. Each
-    iteration renames the ids of the second matrix; all iterations are one join
-    and one grouped correlation.
+    ``x`` and ``y`` hold (a < b, distance) of the pairs nearer than ``absent``; all
+    other pairs are at that distance and enter in closed form: values are shifted
+    so that theirs is zero, hence sums over the table are sums over all pairs and
+    an inner join gives the cross products. Ranks do not change under permutation,
+    so they are computed once; each iteration renames the ids of the second table.
     """
-    pairs = materialise(pairs.select("a", "b", "da", "db"), "mantel")
-    if method == "spearman":
-        bucket = F.lit(0) if bucket is None else bucket
-        pairs = avg_rank(avg_rank(pairs, "da", bucket, name="x"), "db", bucket, name="y").select("a", "b", "x", "y")
-    else:
-        pairs = pairs.select("a", "b", F.col("da").alias("x"), F.col("db").alias("y"))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    renamed = permute(ids.withColumn("to", F.col("id")), "id", "to", n, seed)
+    count = ids.select("id").distinct().agg(F.count(F.lit(1)).cast("double").alias("k"))
+    total = count.select((F.col("k") * (F.col("k") - 1) / 2).alias("m")).select("m").scalar()
+    u = materialise(_shifted(x, "u", method, total, absent), "mantel-x")
+    v = materialise(_shifted(y, "v", method, total, absent), "mantel-y")
+    sums = attach(
+        u.agg(F.coalesce(F.sum("u"), F.lit(0.0)).alias("su"), F.coalesce(F.sum(F.col("u") * F.col("u")), F.lit(0.0)).alias("suu")),
+        v.agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("sv"), F.coalesce(F.sum(F.col("v") * F.col("v")), F.lit(0.0)).alias("svv")),
+    ).withColumn("m", total)
+    r = _complete_r(*[F.col(c) for c in ("su", "suu", "sv", "svv", "suv", "m")])
+    seen = u.join(v, ["a", "b"]).agg(F.coalesce(F.sum(F.col("u") * F.col("v")), F.lit(0.0)).alias("suv"))
+    observed = attach(seen, sums).select(r.alias("r"), F.col("m").cast("long").alias("n_pairs"))
+    renamed = permute(ids.select("id").distinct().withColumn("to", F.col("id")), "id", "to", n, seed)
     pa = renamed.select("iteration", F.col("id").alias("a"), F.col("to").alias("ta"))
     pb = renamed.select("iteration", F.col("id").alias("b"), F.col("to").alias("tb"))
     moved = (
-        pairs.select("a", "b", "x").join(pa, "a").join(pb, ["iteration", "b"])
-        .select("iteration", "x", F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b"))
-        .join(pairs.select("a", "b", "y"), ["a", "b"])
+        u.join(pa, "a").join(pb, ["iteration", "b"])
+        .select("iteration", "u", F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b"))
+        .join(v, ["a", "b"]).groupBy("iteration").agg(F.sum(F.col("u") * F.col("v")).alias("suv"))
     )
-    null = moved.groupBy("iteration").agg(correlation("x", "y").alias("r"))
-    return _mantel_result(null, pairs.agg(correlation("x", "y").alias("r"), F.count(F.lit(1)).alias("n_pairs")), n)
+    every = u.sparkSession.range(1, n + 1).select(F.col("id").cast("int").alias("iteration"))
+    null = attach(every.join(moved, "iteration", "left").withColumn("suv", F.coalesce("suv", F.lit(0.0))), sums).select("iteration", r.alias("r"))
+    return _mantel_result(null, observed, n)
 
 
 def _mantel_result(null: DataFrame, observed: DataFrame, n: int) -> DataFrame:
@@ -377,53 +441,31 @@ def pca(vectors: DataFrame, k: int = 10) -> tuple[DataFrame, DataFrame]:
     return model.transform(scaled).drop("features", "scaled"), table.withColumn("cumulative_ratio", F.sum("explained_ratio").over(cum))
 
 
-def pcoa(pairs: DataFrame, k: int = 2, limit: int = 4096) -> tuple[DataFrame, DataFrame]:
-    """Principal coordinates of a complete distance table (a < b, distance).
+def double_centred(pairs: DataFrame, ids: DataFrame, absent: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """(cells, means): the Gower-centred matrix of a distance table, the input of principal coordinates.
 
-    Double centring by row, column and grand means; the rows of the centred
-    matrix have its eigenvectors as principal axes, and each eigenvalue keeps
-    its sign through the quadratic form. An n x n matrix is needed by
-    definition, so the number of objects is checked against ``limit``.
+    ``pairs`` holds (a < b, distance) nearer than ``absent``; every other pair is at
+    that distance. ``means`` has (id, mean_square, grand_mean). ``cells`` has the
+    centred value of the diagonal and of the pairs in the table; that of any other
+    pair is ``-(absent ** 2 - mean_a - mean_b + grand_mean) / 2``, so the complete
+    matrix is known without writing its cells. Its spectrum is left to a solver.
     """
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    pairs = materialise(pairs.select("a", "b", "distance"), "pcoa")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    n = ids.count()
-    if n > limit:
-        raise ValueError(f"{n} objects exceed the limit of {limit}; aggregate to groups or signatures first")
-    sq = F.pow("distance", F.lit(2)).alias("d2")
-    full = (
-        pairs.select("a", "b", sq).unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), sq))
-        .unionByName(ids.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("d2")))
-    )
-    means = full.groupBy("a").agg((F.sum("d2") / n).alias("m"))
-    grand = means.agg(F.avg("m").alias("g"))
-    centred = attach(
-        full.join(means, "a").join(means.select(F.col("a").alias("b"), F.col("m").alias("mb")), "b"), grand
-    ).select("a", "b", ((F.col("d2") - F.col("m") - F.col("mb") + F.col("g")) * -0.5).alias("v"))
-    rows = centred.groupBy("a").agg(F.array_sort(F.collect_list(F.struct("b", "v"))).alias("r")).select(
-        F.col("a").alias("id"), array_to_vector(F.transform("r", lambda x: x["v"])).alias("features")
-    )
-    rows = rows.persist()  # n x n numbers at most, read by the fit and by the projection
-    model = PCA(k=n, inputCol="features", outputCol="bv").fit(rows)
-    axes = model.pc.toArray()
-    order = [r["id"] for r in ids.orderBy("id").collect()]
-    vector = pairs.sparkSession.createDataFrame(
-        [(i, [float(x) for x in axes[p]]) for p, i in enumerate(order)], ["id", "axis"]
-    )
-    projected = model.transform(rows).select("id", vector_to_array("bv").alias("bv")).join(vector, "id")
-    parts = projected.select("id", F.posexplode(F.zip_with("bv", "axis", lambda x, y: F.struct(x.alias("bv"), y.alias("v")))).alias("c", "p"))
-    eigen = parts.groupBy("c").agg(F.sum(F.col("p.bv") * F.col("p.v")).alias("eigenvalue"))
-    positive = eigen.filter("eigenvalue > 1e-9")
-    total = positive.agg(F.sum("eigenvalue").alias("s"))
-    ranked = attach(positive, total).withColumn("component", F.row_number().over(Window.orderBy(F.desc("eigenvalue"))))
-    explained = ranked.select("component", "c", "eigenvalue", (F.col("eigenvalue") / F.col("s")).alias("explained_ratio"))
-    coords = parts.join(explained.filter(F.col("component") <= k), "c").select(
-        "id", "component", (F.col("p.v") * F.sqrt("eigenvalue")).alias("coordinate")
+    known = pairs.select("a", "b", F.pow("distance", F.lit(2)).alias("d2"))
+    every = ids.select("id").distinct()
+    size = every.agg(F.count(F.lit(1)).alias("n"))
+    ends = known.select(F.explode(F.array("a", "b")).alias("id"), "d2").groupBy("id").agg(F.sum("d2").alias("s"), F.count(F.lit(1)).alias("k"))
+    rest = (F.col("n") - 1 - F.coalesce("k", F.lit(0))) * absent**2
+    rows = attach(every.join(ends, "id", "left"), size).select("id", ((F.coalesce("s", F.lit(0.0)) + rest) / F.col("n")).alias("mean_square"))
+    rows = materialise(rows, "row-means")
+    means = attach(rows, rows.agg(F.avg("mean_square").alias("grand_mean")))
+    cell = lambda d2, ma, mb: (d2 - ma - mb + F.col("grand_mean")) * -0.5
+    off = (
+        known.join(means.select(F.col("id").alias("a"), F.col("mean_square").alias("ma"), "grand_mean"), "a")
+        .join(rows.select(F.col("id").alias("b"), F.col("mean_square").alias("mb")), "b")
+        .select("a", "b", cell(F.col("d2"), F.col("ma"), F.col("mb")).alias("value"))
     )
-    return coords, explained.drop("c")
+    diagonal = means.select(F.col("id").alias("a"), F.col("id").alias("b"), cell(F.lit(0.0), F.col("mean_square"), F.col("mean_square")).alias("value"))
+    return off.unionByName(diagonal), means
 
 
 def cluster(vectors: DataFrame, k: int | None = None, k_max: int = 12, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -431,6 +473,7 @@ def cluster(vectors: DataFrame, k: int | None = None, k_max: int = 12, seed: int
     from pyspark.ml.clustering import BisectingKMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
 
+    vectors = vectors.persist()  # read by every fit
     n = vectors.count()
     choices = [k] if k else list(range(3, max(4, min(k_max, n - 1) + 1)))
     evaluator = ClusteringEvaluator(predictionCol="cluster")
@@ -440,5 +483,6 @@ def cluster(vectors: DataFrame, k: int | None = None, k_max: int = 12, seed: int
         found = labelled.select("cluster").distinct().count()
         scored.append((c, float(evaluator.evaluate(labelled)) if found > 1 else 0.0, labelled))
     best = max(scored, key=lambda x: x[1])
+    vectors.unpersist()
     scores = vectors.sparkSession.createDataFrame([(c, s, c == best[0]) for c, s, _ in scored], "k int, silhouette double, chosen boolean")
     return best[2].drop("features"), scores

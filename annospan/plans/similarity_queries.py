@@ -47,15 +47,14 @@ def pairwise(spark, sf):
 @query("k01_top_similar_pairs", """WITH d AS (SELECT DISTINCT l_orderkey AS e, p_brand AS f FROM lineitem JOIN part ON l_partkey = p_partkey),
 n AS (SELECT e, count(*) AS n FROM d GROUP BY e),
 s AS (SELECT x.e AS a, y.e AS b, count(*) AS shared, count(*) / (any_value(nx.n) + any_value(ny.n) - count(*)) AS similarity
-  FROM d x JOIN d y ON x.f = y.f AND x.e < y.e JOIN n nx ON nx.e = x.e JOIN n ny ON ny.e = y.e GROUP BY 1, 2 HAVING count(*) >= 2 AND count(*) / (any_value(nx.n) + any_value(ny.n) - count(*)) >= 0.8),
+  FROM d x JOIN d y ON x.f = y.f AND x.e < y.e JOIN n nx ON nx.e = x.e JOIN n ny ON ny.e = y.e GROUP BY 1, 2 HAVING count(*) / (any_value(nx.n) + any_value(ny.n) - count(*)) >= 0.3),
 t AS (SELECT * FROM s ORDER BY similarity DESC, a, b LIMIT 50)
 SELECT a, b, shared, similarity, pa.o_orderpriority AS label_a, pb.o_orderpriority AS label_b, pa.o_orderpriority = pb.o_orderpriority AS same_cluster,
   (SELECT array_to_string(list(x.f ORDER BY x.f)[1:5], ';') FROM d x JOIN d y ON x.f = y.f WHERE x.e = t.a AND y.e = t.b) AS top_shared_features
 FROM t JOIN orders pa ON pa.o_orderkey = a JOIN orders pb ON pb.o_orderkey = b""")
 def top_similar(spark, sf):
     feats, labels = order_types(spark, sf, "p_brand")
-    several = feats.join(feats.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "entity", "left_semi")
-    return si.top_pairs(several, "entity", "feature", labels, "grp", n=50, min_sim=0.8)
+    return si.top_pairs(feats, "entity", "feature", labels, "grp", n=50, min_sim=0.3)
 
 
 @query("m10_cluster_distance", """SELECT x.c_custkey AS a, y.c_custkey AS b, CAST(0 AS INTEGER) AS distance FROM customer x JOIN customer y ON x.c_nationkey = y.c_nationkey AND x.c_mktsegment = y.c_mktsegment AND x.c_custkey < y.c_custkey""")
@@ -135,22 +134,31 @@ def mann_whitney(spark, sf):
 
 
 def brand_distances(spark, sf):
-    a = si.pairwise_jaccard(buyers(spark, sf), "brand", "member").select("a", "b", (1 - F.col("similarity")).alias("da"))
-    b = si.pairwise_jaccard(buyers(spark, sf, "l_orderkey"), "brand", "member").select("a", "b", (1 - F.col("similarity")).alias("db"))
-    return a.join(b, ["a", "b"])
+    """Two sparse distance tables of the brands (pairs that share nothing are at distance 1) and all brands."""
+    tables = [
+        si.pairwise_jaccard(d, "brand", "member").select("a", "b", (1 - F.col("similarity")).alias("distance"))
+        for d in (buyers(spark, sf), buyers(spark, sf, "l_orderkey"))
+    ]
+    return *tables, table(spark, sf, "part").select(F.col("p_brand").alias("id")).distinct()
 
 
-@query("m18_mantel_spearman", f"""WITH {BUYERS}, {ORDERS}, p AS (SELECT a, b, 1 - ja.similarity AS da, 1 - jb.similarity AS db FROM ja JOIN jb USING (a, b)),
+ALL_PAIRS = f"""{BUYERS}, {ORDERS}, ids AS (SELECT DISTINCT p_brand AS id FROM part),
+p AS (SELECT x.id AS a, y.id AS b, 1 - coalesce(ja.similarity, 0) AS da, 1 - coalesce(jb.similarity, 0) AS db FROM ids x JOIN ids y ON x.id < y.id
+  LEFT JOIN ja ON ja.a = x.id AND ja.b = y.id LEFT JOIN jb ON jb.a = x.id AND jb.b = y.id)"""
+MANTEL = 999
+
+
+@query("m18_mantel_spearman", f"""WITH {ALL_PAIRS},
 k AS (SELECT a, b, rank() OVER (ORDER BY da) + (count(*) OVER (PARTITION BY da) - 1) / 2.0 AS x, rank() OVER (ORDER BY db) + (count(*) OVER (PARTITION BY db) - 1) / 2.0 AS y FROM p),
-ids AS (SELECT a AS id FROM k UNION SELECT b FROM k), it AS (SELECT unnest(range(1, 100)) AS i),
+it AS (SELECT unnest(range(1, {MANTEL + 1})) AS i),
 f AS (SELECT i, id, row_number() OVER (PARTITION BY i ORDER BY md5('{SEED}|fixed|' || id || '|' || id), id) AS k FROM ids, it),
 g AS (SELECT i, id AS tid, row_number() OVER (PARTITION BY i ORDER BY md5('{SEED}|' || i || '|' || id || '|' || id), id) AS k FROM ids, it),
 mp AS (SELECT i, id, tid FROM f JOIN g USING (i, k)),
 n AS (SELECT ma.i, corr(k.x, q.y) AS r FROM k JOIN mp ma ON ma.id = k.a JOIN mp mb ON mb.id = k.b AND mb.i = ma.i JOIN k q ON q.a = least(ma.tid, mb.tid) AND q.b = greatest(ma.tid, mb.tid) GROUP BY ma.i),
 o AS (SELECT corr(x, y) AS r, count(*) AS n_pairs FROM k)
-SELECT round(any_value(o.r), 6) AS r, (count(*) FILTER (WHERE abs(n.r) >= abs(o.r)) + 1) / 100 AS p_value, round(avg(n.r), 6) AS null_mean, round(stddev_pop(n.r), 6) AS null_std, any_value(n_pairs) AS n_pairs FROM n, o""")
+SELECT round(any_value(o.r), 6) AS r, (count(*) FILTER (WHERE abs(n.r) >= abs(o.r)) + 1) / {MANTEL + 1} AS p_value, round(avg(n.r), 6) AS null_mean, round(stddev_pop(n.r), 6) AS null_std, any_value(n_pairs) AS n_pairs FROM n, o""")
 def mantel(spark, sf):
-    out = si.mantel(brand_distances(spark, sf), n=99, bucket=None)
+    out = si.mantel(*brand_distances(spark, sf), n=MANTEL)
     return out.withColumns({c: F.round(c, 6) for c in ("r", "null_mean", "null_std")})
 
 
@@ -188,10 +196,12 @@ def pca(spark, sf):
     return si.pca(si.feature_vectors(feats, "entity", "feature"), 5)[1]
 
 
-@query("m12_pcoa")
-def pcoa(spark, sf):
-    pairs = brand_distances(spark, sf).select("a", "b", F.col("da").alias("distance"))
-    return si.pcoa(pairs, 2)[0]
+@query("m12_centred_distances", f"""WITH {ALL_PAIRS}, sq AS (SELECT a, b, da * da AS d FROM p UNION ALL SELECT b, a, da * da FROM p UNION ALL SELECT id, id, 0 FROM ids),
+m AS (SELECT a AS id, avg(d) AS m FROM sq GROUP BY a), g AS (SELECT avg(m) AS g FROM m)
+SELECT sq.a, sq.b, round(-0.5 * (d - x.m - y.m + g), 8) AS value FROM sq JOIN m x ON x.id = sq.a JOIN m y ON y.id = sq.b, g WHERE sq.a = sq.b OR sq.a < sq.b AND d < 1""")
+def centred_distances(spark, sf):
+    x, _, ids = brand_distances(spark, sf)
+    return si.double_centred(x, ids)[0].withColumn("value", F.round("value", 8))
 
 
 @query("m13_cluster_selection")

@@ -166,24 +166,54 @@ def test_empty_set_conventions(spark):
     assert (r.a, r.b, r.c) == (0.0, 1.0, 1.0)
 
 
-def test_mantel_of_equal_tables(spark):
-    rng = random.Random(2)
-    rows = [(f"i{a}", f"i{b}", rng.random()) for a, b in itertools.combinations(range(8), 2)]
-    df = spark.createDataFrame([(a, b, d, d) for a, b, d in rows], "a string, b string, da double, db double")
-    r = si.mantel(df, n=49).head()
-    assert r.r == pytest.approx(1.0) and r.p_value <= 0.1 and r.n_pairs == 28
-
-
-def test_pcoa_recovers_distances(spark):
-    pts = {"a": (0, 0), "b": (3, 0), "c": (0, 4), "d": (3, 4), "e": (1, 1)}
-    df = spark.createDataFrame([(x, y, math.dist(pts[x], pts[y])) for x, y in itertools.combinations(sorted(pts), 2)], "a string, b string, distance double")
-    coords, explained = si.pcoa(df, 2)
-    got = {}
-    for r in coords.collect():
-        got.setdefault(r.id, {})[r.component] = r.coordinate
-    for x, y in itertools.combinations(sorted(pts), 2):
-        assert math.dist(list(dict(sorted(got[x].items())).values()), list(dict(sorted(got[y].items())).values())) == pytest.approx(math.dist(pts[x], pts[y]))
-    assert explained.agg(F.sum("explained_ratio")).head()[0] == pytest.approx(1.0)
+def sparse_distances(seed, n=9):
+    rng = random.Random(seed)
+    return {(f"i{a}", f"i{b}"): rng.choice([0.2, 0.4, rng.random(), 1.0, 1.0]) for a, b in itertools.combinations(range(n), 2)}
+
+
+def ranks(values):
+    order = sorted(values)
+    return [order.index(v) + (order.count(v) + 1) / 2 for v in values]
+
+
+def pearson(x, y):
+    mx, my = sum(x) / len(x), sum(y) / len(y)
+    return sum((a - mx) * (b - my) for a, b in zip(x, y)) / math.sqrt(sum((a - mx) ** 2 for a in x) * sum((b - my) ** 2 for b in y))
+
+
+@pytest.mark.parametrize("method", ["spearman", "pearson"])
+def test_mantel_counts_pairs_that_are_not_in_the_tables(spark, method):
+    tables = [sparse_distances(2), sparse_distances(5)]
+    near = [spark.createDataFrame([(a, b, d) for (a, b), d in t.items() if d < 1], "a string, b string, distance double") for t in tables]
+    ids = spark.createDataFrame([(f"i{k}",) for k in range(9)], "id string")
+    r = si.mantel(*near, ids, n=49, method=method).head()
+    x, y = ([t[k] for k in sorted(tables[0])] for t in tables)
+    assert r.r == pytest.approx(pearson(ranks(x), ranks(y)) if method == "spearman" else pearson(x, y)) and r.n_pairs == 36
+    same = si.mantel(near[0], near[0], ids, n=49, method=method).head()
+    assert same.r == pytest.approx(1.0) and same.p_value <= 0.1
+
+
+def test_double_centring_of_a_sparse_table(spark):
+    full = sparse_distances(3)
+    ids = [f"i{k}" for k in range(9)]
+    d2 = {(a, b): 0.0 if a == b else full[min(a, b), max(a, b)] ** 2 for a in ids for b in ids}
+    mean = {a: sum(d2[a, b] for b in ids) / 9 for a in ids}
+    grand = sum(mean.values()) / 9
+    near = spark.createDataFrame([(a, b, d) for (a, b), d in full.items() if d < 1], "a string, b string, distance double")
+    cells, means = si.double_centred(near, spark.createDataFrame([(i,) for i in ids], "id string"))
+    got = {(r.a, r.b): r.value for r in cells.collect()}
+    assert set(got) == {k for k, d in full.items() if d < 1} | {(i, i) for i in ids}
+    assert all(v == pytest.approx(-0.5 * (d2[k] - mean[k[0]] - mean[k[1]] + grand)) for k, v in got.items())
+    assert {r.id: r.mean_square for r in means.collect()} == pytest.approx(mean)
+
+
+@pytest.mark.parametrize("n", [3, 40, 400])
+def test_best_pairs_are_the_best_of_all(spark, n):
+    data = sets(40, 4)
+    df = spark.createDataFrame([(e, f) for e, s in data.items() for f in s], "e string, f string")
+    j = lambda a, b: len(data[a] & data[b]) / len(data[a] | data[b])
+    ranked = sorted((-j(a, b), a, b) for a, b in itertools.combinations(sorted(data), 2) if j(a, b) >= 0.3)[:n]
+    assert sorted((r.a, r.b) for r in si.best_pairs(df, "e", "f", n, 0.3).collect()) == sorted((a, b) for _, a, b in ranked)
 
 
 def test_cooccurrence_of_a_hot_entity(spark):
