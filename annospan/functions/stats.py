@@ -65,9 +65,19 @@ def with_hypergeom_tail(df: DataFrame, name: str, k: Column, total: Column, good
     return out.select(*[c for c in kept if c != name], tail.alias(name))
 
 
-def with_fisher_greater(df: DataFrame, name: str, a: Column, b: Column, c: Column, d: Column) -> DataFrame:
-    """Add the one-sided p of the table [[a, b], [c, d]]."""
-    return with_hypergeom_tail(df, name, a, a + b + c + d, a + c, a + b)
+def with_fisher_greater(df: DataFrame, name: str, a: Column, b: Column, c: Column, d: Column, repeated: bool = False) -> DataFrame:
+    """Add the one-sided p of the table [[a, b], [c, d]].
+
+    ``repeated`` tests each distinct table once and joins the result: for many
+    families whose counts recur.
+    """
+    if not repeated:
+        return with_hypergeom_tail(df, name, a, a + b + c + d, a + c, a + b)
+    cells = ["__hit", "__miss", "__back_hit", "__back_miss"]
+    marked = df.withColumns(dict(zip(cells, (a, b, c, d))))
+    a, b, c, d = (F.col(x) for x in cells)
+    tested = with_hypergeom_tail(marked.select(*cells).distinct(), name, a, a + b + c + d, a + c, a + b)
+    return marked.join(tested, cells).drop(*cells)
 
 
 def odds_ratio(a: Column, b: Column, c: Column, d: Column) -> Column:

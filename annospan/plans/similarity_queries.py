@@ -170,13 +170,13 @@ def same_pair_sql(counts: str, by: str) -> str:
       JOIN (SELECT {b} sum(n * (n - 1) / 2) AS s1 FROM (SELECT {b} a, sum(n) AS n FROM {counts} GROUP BY {b} a) {g}) {u} JOIN (SELECT {b} sum(n * (n - 1) / 2) AS s2 FROM (SELECT {b} b, sum(n) AS n FROM {counts} GROUP BY {b} b) {g}) {u})"""
 
 
-@query("m18_mantel_membership", f"""WITH c AS (SELECT c_custkey AS e, c_nationkey AS a, c_mktsegment AS b FROM customer), it AS (SELECT unnest(range(1, 21)) AS i),
+@query("m18_mantel_membership", f"""WITH c AS (SELECT c_custkey AS e, c_nationkey AS a, c_mktsegment AS b FROM customer), it AS (SELECT unnest(range(1, 1000)) AS i),
 f AS (SELECT i, a, row_number() OVER (PARTITION BY i ORDER BY md5('{SEED}|fixed|' || e) || e) AS k FROM c, it), g AS (SELECT i, b, row_number() OVER (PARTITION BY i ORDER BY md5('{SEED}|' || i || '|' || e) || e) AS k FROM c, it),
 cn AS (SELECT i, a, b, count(*) AS n FROM f JOIN g USING (i, k) GROUP BY 1, 2, 3), co AS (SELECT a, b, count(*) AS n FROM c GROUP BY 1, 2),
 n AS (SELECT i, r FROM {same_pair_sql('cn', 'i')}), o AS (SELECT r, m FROM {same_pair_sql('co', '')})
-SELECT round(any_value(o.r), 7) AS r, (count(*) FILTER (WHERE abs(n.r) >= abs(o.r)) + 1) / 21 AS p_value, round(avg(n.r), 7) AS null_mean, round(stddev_pop(n.r), 7) AS null_std, CAST(any_value(o.m) AS BIGINT) AS n_pairs FROM n, o""")
+SELECT round(any_value(o.r), 7) AS r, (count(*) FILTER (WHERE abs(n.r) >= abs(o.r)) + 1) / 1000 AS p_value, round(avg(n.r), 7) AS null_mean, round(stddev_pop(n.r), 7) AS null_std, CAST(any_value(o.m) AS BIGINT) AS n_pairs FROM n, o""")
 def mantel_membership(spark, sf):
-    out = si.mantel_membership(table(spark, sf, "customer"), "c_custkey", "c_nationkey", "c_mktsegment", n=20)
+    out = si.mantel_membership(table(spark, sf, "customer"), "c_custkey", "c_nationkey", "c_mktsegment", n=999)
     return out.withColumns({c: F.round(c, 7) for c in ("r", "null_mean", "null_std")})
 
 

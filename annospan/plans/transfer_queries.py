@@ -194,18 +194,18 @@ def evaluation_summary(spark, sf):
 
 @query("m22_bootstrap_ci", f"""WITH v AS (SELECT c_mktsegment AS seg, c_custkey AS id, c_acctbal AS x FROM customer),
 r AS (SELECT seg, x, row_number() OVER (PARTITION BY seg ORDER BY md5(CAST(id AS VARCHAR)), id) AS k, count(*) OVER (PARTITION BY seg) AS n FROM v),
-d AS (SELECT a.seg, iteration, CAST(('0x' || substr(md5('{SEED}|' || a.seg || '|' || iteration || '|' || a.k), 1, 13)) AS BIGINT) % a.n + 1 AS k FROM r a CROSS JOIN (SELECT unnest(range(1, 101)) AS iteration)),
+d AS (SELECT a.seg, iteration, CAST(('0x' || substr(md5('{SEED}|' || a.seg || '|' || iteration || '|' || a.k), 1, 13)) AS BIGINT) % a.n + 1 AS k FROM r a CROSS JOIN (SELECT unnest(range(1, 1001)) AS iteration)),
 m AS (SELECT seg, iteration, avg(x) AS m FROM d JOIN r USING (seg, k) GROUP BY 1, 2)
 SELECT seg, round(avg(m), 4) AS mean, round(quantile_cont(m, 0.025), 4) AS ci_lower, round(quantile_cont(m, 0.975), 4) AS ci_upper FROM m GROUP BY seg""")
 def bootstrap_ci(spark, sf):
     v = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("seg"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("x"))
-    return tr.bootstrap_ci(v, "x", ["seg"], "id", n=100)
+    return tr.bootstrap_ci(v, "x", ["seg"], "id", n=1000)
 
 
 @query("m23_random_control", f"""WITH {ANN},
 s AS (SELECT source, row_number() OVER (ORDER BY md5(CAST(source AS VARCHAR)) || source) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM src)),
 d AS (SELECT target, category, iteration, CAST(('0x' || substr(md5('{SEED}|' || target || '|' || category || '|' || iteration), 1, 13)) AS BIGINT) % (SELECT max(n) FROM s) + 1 AS k
-  FROM (SELECT DISTINCT target FROM gold) CROSS JOIN (VALUES ('domain_type'), ('function'), ('topology')) c(category) CROSS JOIN (SELECT unnest(range(1, 21)) AS iteration)),
+  FROM (SELECT DISTINCT target FROM gold) CROSS JOIN (VALUES ('domain_type'), ('function'), ('topology')) c(category) CROSS JOIN (SELECT unnest(range(1, 101)) AS iteration)),
 x AS (SELECT target, category, iteration, source FROM d JOIN s USING (k)),
 ng AS (SELECT target, category, count(*) AS n_gold FROM gold GROUP BY 1, 2), np AS (SELECT source, category, count(*) AS n_pred FROM src GROUP BY 1, 2),
 t AS (SELECT target, category, source, count(*) AS n_tp FROM (SELECT DISTINCT target, category, source FROM x) JOIN src USING (source, category) JOIN gold USING (target, category, term_value) GROUP BY 1, 2, 3),
@@ -214,13 +214,13 @@ j AS (SELECT target, category, CASE WHEN g = 0 AND p = 0 THEN 1.0 ELSE round(t /
 SELECT target, category, round(avg(j), 8) AS jaccard, round(stddev_pop(j), 6) AS jaccard_std FROM j GROUP BY 1, 2""")
 def random_control(spark, sf):
     source, gold = sides(spark, sf)
-    return tr.random_control(gold, source.withColumnRenamed("annotation_category", "category"), CATEGORIES, n=20, digits=(8, 6))
+    return tr.random_control(gold, source.withColumnRenamed("annotation_category", "category"), CATEGORIES, n=100, digits=(8, 6))
 
 
 @query("m24_permutation_f1", f"""WITH {ANN}, b AS (SELECT source, target FROM prs),
 pm AS (SELECT iteration, source, target FROM
-  (SELECT iteration, source, row_number() OVER (PARTITION BY iteration ORDER BY md5('{SEED}|fixed|' || source || '|' || target), source || '|' || target) AS k FROM b CROSS JOIN (SELECT unnest(range(1, 21)) AS iteration))
-  JOIN (SELECT iteration, target, row_number() OVER (PARTITION BY iteration ORDER BY md5('{SEED}|' || iteration || '|' || source || '|' || target), source || '|' || target) AS k FROM b CROSS JOIN (SELECT unnest(range(1, 21)) AS iteration)) USING (iteration, k)),
+  (SELECT iteration, source, row_number() OVER (PARTITION BY iteration ORDER BY md5('{SEED}|fixed|' || source || '|' || target), source || '|' || target) AS k FROM b CROSS JOIN (SELECT unnest(range(1, 101)) AS iteration))
+  JOIN (SELECT iteration, target, row_number() OVER (PARTITION BY iteration ORDER BY md5('{SEED}|' || iteration || '|' || source || '|' || target), source || '|' || target) AS k FROM b CROSS JOIN (SELECT unnest(range(1, 101)) AS iteration)) USING (iteration, k)),
 al AS (SELECT iteration, source, target FROM pm UNION ALL SELECT 0, source, target FROM b),
 pr AS (SELECT DISTINCT iteration, target, category, term_value FROM al JOIN src USING (source)),
 hit AS (SELECT iteration, target, category, count(*) AS n_pred, count(g.term_value) AS n_tp FROM pr LEFT JOIN gold g USING (target, category, term_value) GROUP BY 1, 2, 3),
@@ -232,7 +232,7 @@ o AS (SELECT category, f1 AS observed FROM mf WHERE iteration = 0)
 SELECT category, round(any_value(observed), 4) AS observed_f1, round(avg(f1), 4) AS null_mean, round(stddev_pop(f1), 4) AS null_std, round(avg((f1 >= observed)::INT), 4) AS p_value FROM mf JOIN o USING (category) WHERE iteration > 0 GROUP BY category""")
 def permutation_f1(spark, sf):
     source, gold = sides(spark, sf)
-    return tr.permutation_f1(pairs(spark, sf), source.withColumnRenamed("annotation_category", "category"), gold, CATEGORIES, n=20)
+    return tr.permutation_f1(pairs(spark, sf), source.withColumnRenamed("annotation_category", "category"), gold, CATEGORIES, n=100)
 
 
 @query("m25_difficulty_strata", f"""WITH {EVAL}, d AS (SELECT target, CASE WHEN source % 101 / 100.0 >= 0.999 THEN 'easy' WHEN source % 101 / 100.0 >= 0.7 THEN 'medium' ELSE 'hard' END AS difficulty FROM prs)
