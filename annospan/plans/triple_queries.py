@@ -123,13 +123,20 @@ def cooccurrence_patterns(spark, sf):
     return tp.triples_cooccurrence(graph_occ(spark, sf))
 
 
-def whole_graph(spark, sf):
-    """Occurrence, type, protein, vocabulary and co-occurrence triples, written once."""
+PARTS = {
+    "occurrences": tp.triples_occurrences,
+    "types": lambda occ: tp.triples_types(occ, "occurrence_id"),
+    "vocabulary": tp.triples_vocabulary,
+    "cooccurrence": tp.triples_cooccurrence,
+}
+
+
+def graph(spark, sf, parts, properties):
+    """The statements of some parts of the graph with some properties, written once: patterns join them repeatedly."""
     from annospan.session import materialise
 
     occ = graph_occ(spark, sf)
-    parts = [tp.triples_occurrences(occ), tp.triples_types(occ, "occurrence_id"), tp.triples_vocabulary(occ), tp.triples_proteins(occ), tp.triples_cooccurrence(occ)]
-    return materialise(union_all(parts), "graph")
+    return materialise(union_all([PARTS[x](occ) for x in parts]).filter(F.col("p").isin(*properties)), "graph")
 
 
 @query("g09_graph_summary", f"""WITH {OCC_TRIPLES}, d AS (SELECT DISTINCT s, p, o FROM xs) SELECT 'triples' AS measure, count(*) AS n FROM d UNION ALL SELECT o, count(*) FROM d WHERE p = 'rdf:type' GROUP BY o""")
@@ -145,7 +152,7 @@ DL = {
     "DL04": f"SELECT {OCCS} FROM g WHERE topo LIKE '%transmembrane' AND fn LIKE '%scaffold'",
     "DL05": "SELECT x.t_iri AS dt_a, 'type ' || x.acc AS label_a, y.t_iri AS dt_b, 'type ' || y.acc AS label_b FROM (SELECT DISTINCT prot, acc, t_iri FROM g) x JOIN (SELECT DISTINCT prot, acc, t_iri FROM g) y ON x.prot = y.prot AND x.t_iri < y.t_iri GROUP BY ALL",
     "DL06": "SELECT p_iri AS prot, count(DISTINCT acc) AS n_domains FROM g GROUP BY p_iri HAVING count(DISTINCT acc) > 1",
-    "DL07": "SELECT s AS ind, s AS type FROM g WHERE FALSE",
+    "DL07": "SELECT s AS ind, unnest(['core:DomainOccurrence', 'owl:NamedIndividual', 'owl:Nothing']) AS type FROM g WHERE b = 9",
     "DL08": "SELECT DISTINCT t_iri AS dt, 'type ' || acc AS dt_label, 'obo:' || replace(go, ':', '_') AS go FROM g WHERE go IS NOT NULL",
     "DL09": """SELECT DISTINCT g.s AS occ, 'pop:DomainType_' || replace(n.v, '#', '_') AS prev_dt, t_iri AS this_dt, 'pop:DomainType_' || replace(m.v, '#', '_') AS next_dt FROM g
       LEFT JOIN (SELECT s, prev AS v FROM g WHERE prev IS NOT NULL UNION SELECT s, nxt FROM g WHERE nxt IS NOT NULL) n ON n.s = g.s
@@ -154,10 +161,33 @@ DL = {
 }
 
 
+LABELLED = ["rdf:type", "rdfs:label"]
+PLACED = ["rdf:type", "core:occursInProtein", "core:hasDomainType"]
+NEEDS = {
+    "DL01": (["types", "vocabulary"], [*LABELLED, "core:hasFunctionalRole"]),
+    "DL02": (["types", "vocabulary"], [*LABELLED, "core:hasFunctionalRole"]),
+    "DL03": (["occurrences", "types", "vocabulary"], [*LABELLED, *PLACED, "core:hasCharacterisation"]),
+    "DL04": (["occurrences", "types", "vocabulary"], [*LABELLED, *PLACED, "core:hasCharacterisation", "core:hasFunctionalRole"]),
+    "DL05": (["types", "cooccurrence"], [*LABELLED, "core:cooccursWith"]),
+    "DL06": (["occurrences"], PLACED),
+    "DL07": (["occurrences"], ["rdf:type"]),
+    "DL08": (["types"], [*LABELLED, "core:hasGOAnnotation"]),
+    "DL09": (["occurrences"], [*PLACED, "core:isDomainNeighbour"]),
+    "DL10": (["occurrences"], [*PLACED, "core:hasBindingTarget"]),
+}
+
+
+def planted(spark, sf):
+    """Members of the empty class: the occurrences of every tenth supplier."""
+    bad = occurrences(spark, sf).filter("supp % 10 = 9")
+    return bad.select(F.concat(F.lit("pop:Occ_id_"), "key").alias("s"), F.lit("rdf:type").alias("p"), F.lit("owl:Nothing").alias("o"), F.lit("iri").alias("o_type"))
+
+
 def _register(name: str):
     @query(f"g10_pattern_{name.lower()}", f"WITH {G} {DL[name]}")
     def run(spark, sf):
-        return tp.pattern(whole_graph(spark, sf), name)
+        triples = graph(spark, sf, *NEEDS[name])
+        return tp.pattern(triples.unionByName(planted(spark, sf)) if name == "DL07" else triples, name)
 
 
 for _name in DL:
