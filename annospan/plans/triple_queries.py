@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from annospan.operators import rules as rl
 from annospan.operators import triples as tp
 from annospan.operators.common import union_all
-from annospan.plans.base import OCC, occurrences, query, spread_table, table, text
+from annospan.plans.base import OCC, SQL, occurrences, query, spread_table, table, text
 from annospan.sources.tables import ntriples_lines
 
 
@@ -62,10 +62,12 @@ def collect_types(spark, sf):
     return tp.collect_types(graph_occ(spark, sf), "occurrence_id")
 
 
-@query("g04_protein_triples", f"""WITH {G}, x AS (SELECT p_iri AS s, 'rdf:type' AS p, 'core:Protein' AS o, 'iri' AS o_type FROM g UNION SELECT p_iri, 'rdf:type', 'owl:NamedIndividual', 'iri' FROM g UNION SELECT p_iri, 'rdfs:label', 'Protein ' || prot, 'string' FROM g
+PROTEIN_TRIPLES = f"""px AS (SELECT p_iri AS s, 'rdf:type' AS p, 'core:Protein' AS o, 'iri' AS o_type FROM g UNION SELECT p_iri, 'rdf:type', 'owl:NamedIndividual', 'iri' FROM g UNION SELECT p_iri, 'rdfs:label', 'Protein ' || prot, 'string' FROM g
   UNION SELECT p_iri, 'core:hasKEGG', 'pop:KEGG_' || replace(kegg, ':', '_'), 'iri' FROM g
-  UNION SELECT 'pop:KEGG_' || replace(kegg, ':', '_'), 'rdf:type', unnest(['core:KEGGEntry', 'owl:NamedIndividual']), 'iri' FROM g UNION SELECT 'pop:KEGG_' || replace(kegg, ':', '_'), 'core:externalId', kegg, 'string' FROM g)
-SELECT s, string_agg(p || ' ' || o || ' ' || o_type, ' . ' ORDER BY p || ' ' || o || ' ' || o_type) AS statements FROM x GROUP BY s""")
+  UNION SELECT 'pop:KEGG_' || replace(kegg, ':', '_'), 'rdf:type', unnest(['core:KEGGEntry', 'owl:NamedIndividual']), 'iri' FROM g UNION SELECT 'pop:KEGG_' || replace(kegg, ':', '_'), 'core:externalId', kegg, 'string' FROM g)"""
+
+
+@query("g04_protein_triples", f"WITH {G}, {PROTEIN_TRIPLES} SELECT s, string_agg(p || ' ' || o || ' ' || o_type, ' . ' ORDER BY p || ' ' || o || ' ' || o_type) AS statements FROM px GROUP BY s")
 def protein_triples(spark, sf):
     return by_subject(tp.triples_proteins(graph_occ(spark, sf)))
 
@@ -127,21 +129,27 @@ PARTS = {
     "occurrences": tp.triples_occurrences,
     "types": lambda occ: tp.triples_types(occ, "occurrence_id"),
     "vocabulary": tp.triples_vocabulary,
+    "proteins": tp.triples_proteins,
     "cooccurrence": tp.triples_cooccurrence,
 }
 
 
-def graph(spark, sf, parts, properties):
-    """The statements of some parts of the graph with some properties, written once: patterns join them repeatedly."""
+def graph(spark, sf, parts=tuple(PARTS), properties=()):
+    """The statements of some parts of the graph (with some properties), written once: what follows joins them repeatedly."""
     from annospan.session import materialise
 
     occ = graph_occ(spark, sf)
-    return materialise(union_all([PARTS[x](occ) for x in parts]).filter(F.col("p").isin(*properties)), "graph")
+    every = union_all([PARTS[x](occ) for x in parts])
+    return materialise(every.filter(F.col("p").isin(*properties)) if properties else every, "graph")
+
+
+WHOLE = f"""{OCC_TRIPLES}, {PROTEIN_TRIPLES}, a AS (SELECT DISTINCT * FROM (SELECT s, p, o, o_type FROM xs UNION ALL SELECT s, p, o, o_type FROM px
+  UNION ALL SELECT s, p, o, o_type FROM ({SQL['g02_vocabulary_individuals']}) UNION ALL SELECT s, p, o, o_type FROM ({SQL['g05_type_triples']}) UNION ALL SELECT s, p, o, o_type FROM ({SQL['g08_cooccurrence_patterns']})))"""
 
 
-@query("g09_graph_summary", f"""WITH {OCC_TRIPLES}, d AS (SELECT DISTINCT s, p, o FROM xs) SELECT 'triples' AS measure, count(*) AS n FROM d UNION ALL SELECT o, count(*) FROM d WHERE p = 'rdf:type' GROUP BY o""")
+@query("g09_graph_summary", f"""WITH {WHOLE}, d AS (SELECT DISTINCT s, p, o FROM a) SELECT 'triples' AS measure, count(*) AS n FROM d UNION ALL SELECT o, count(*) FROM d WHERE p = 'rdf:type' GROUP BY o""")
 def graph_summary(spark, sf):
-    return tp.graph_summary(tp.triples_occurrences(graph_occ(spark, sf)))
+    return tp.graph_summary(graph(spark, sf))
 
 
 OCCS = "g.s AS occ, p_iri AS prot, t_iri AS dt, 'type ' || acc AS dt_label"
@@ -204,17 +212,25 @@ def closure(spark, sf):
     return tp.closure(edges)
 
 
-@query("g11_entailment_report", f"""WITH {OCC_TRIPLES}, a AS (SELECT DISTINCT s, p, o, o_type FROM xs),
-pr AS (SELECT * FROM a UNION SELECT o, 'core:hasDomainOccurrence', s, 'iri' FROM a WHERE p = 'core:occursInProtein' UNION SELECT o, 'core:isDomainTypeOfOccurrence', s, 'iri' FROM a WHERE p = 'core:hasDomainType'
-  UNION SELECT s, 'core:hasBindingTarget', o, 'iri' FROM a WHERE p = 'core:hasBindingTargetChEBI'),
-dr(p, d, r) AS (VALUES ('core:occursInProtein', 'DomainOccurrence', 'Protein'), ('core:hasDomainOccurrence', 'Protein', 'DomainOccurrence'), ('core:hasDomainType', 'DomainOccurrence', 'DomainType'), ('core:isDomainTypeOfOccurrence', 'DomainType', 'DomainOccurrence'),
-  ('core:hasFunctionalRole', NULL, 'FunctionalCategory'), ('core:hasBindingTarget', 'DomainOccurrence', 'BindingTarget'), ('core:hasBindingTargetChEBI', 'DomainOccurrence', 'ChEBIEntity'), ('core:isDomainNeighbour', NULL, 'DomainType')),
-dt AS (SELECT s, o FROM pr WHERE p = 'rdf:type' UNION SELECT s, 'core:' || d FROM pr JOIN dr USING (p) WHERE d IS NOT NULL UNION SELECT o, 'core:' || r FROM pr JOIN dr USING (p) WHERE r IS NOT NULL),
-up(c, par) AS (VALUES ('core:DomainOccurrence', 'core:Entity'), ('core:Protein', 'core:Entity'), ('core:DomainType', 'core:Entity'), ('core:BindingTarget', 'core:Entity'), ('core:ChEBIEntity', 'core:BindingTarget'), ('core:ChEBIEntity', 'core:Entity'), ('core:FunctionalCategory', 'core:AnnotationTerm'), ('core:FunctionalCategory', 'core:Entity')),
+def listed(rows) -> str:
+    cell = lambda x: "NULL" if x is None else f"'core:{x}'"
+    return ", ".join("(" + ", ".join(map(cell, row)) + ")" for row in rows)
+
+
+DOMAIN_RANGE = listed((p, d, r) for p, (d, r) in tp.OBJECT_PROPERTIES.items() if d or r)
+
+
+@query("g11_entailment_report", f"""WITH RECURSIVE {WHOLE},
+inv(p, q) AS (VALUES {listed(tp.INVERSES)}), turn AS (SELECT p, q FROM inv UNION SELECT q, p FROM inv UNION SELECT * FROM (VALUES {listed((x, x) for x in tp.SYMMETRIC)})),
+sub(p, q) AS (VALUES {listed(tp.SUB_PROPERTIES)}),
+pr AS (SELECT s, p, o, o_type FROM a UNION SELECT o, q, s, 'iri' FROM a JOIN turn USING (p) UNION SELECT s, q, o, 'iri' FROM a JOIN sub USING (p)),
+dr(p, d, r) AS (VALUES {DOMAIN_RANGE}),
+dt AS (SELECT s, o FROM pr WHERE p = 'rdf:type' UNION SELECT s, d FROM pr JOIN dr USING (p) WHERE d IS NOT NULL UNION SELECT o, r FROM pr JOIN dr USING (p) WHERE r IS NOT NULL),
+one(c, par) AS (VALUES {listed(tp.CLASS_PARENTS.items())}), up AS (SELECT c, par FROM one UNION SELECT up.c, one.par FROM up JOIN one ON one.c = up.par),
 ty AS (SELECT s, o FROM dt UNION SELECT s, par FROM dt JOIN up ON c = o), al AS (SELECT s, p, o FROM pr UNION SELECT s, 'rdf:type', o FROM ty)
 SELECT 'asserted' AS measure, count(*) AS n FROM a UNION ALL SELECT 'total', count(*) FROM al UNION ALL SELECT 'inferred', (SELECT count(*) FROM al) - (SELECT count(*) FROM a) UNION ALL SELECT 'inconsistent', 0""")
 def entailment(spark, sf):
-    return tp.entail(tp.triples_occurrences(graph_occ(spark, sf)), tp.triples_schema(spark))[2]
+    return tp.entail(graph(spark, sf), tp.triples_schema(spark))[2]
 
 
 SHAPES = [
