@@ -2,11 +2,11 @@
 
 Members that share a bucket are candidates. Writing every candidate pair of a
 crowded bucket would grow with its square, so members are first given one *home
-block* of bounded size: a hash part of the most crowded bucket they are in. Two
-blocks that meet in some bucket make one *job*, which gets the members of both
-and verifies all their pairs at once. Each pair of members belongs to exactly one
-job, so counts from different jobs add up, and what a job returns grows with its
-members and not with their pairs.
+block* of bounded size: a hash part of the most crowded bucket they are in. Blocks
+that meet in some bucket are verified against each other in *jobs* of one block
+and a batch of its guests, all pairs at once. Each pair of members belongs to
+exactly one job, so counts from different jobs add up, and what a job returns
+grows with its members and not with their pairs.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from annospan.operators.blocks import co_members
 from annospan.session import materialise
 
-BLOCK_ROWS = 256
+BLOCK_ROWS = 1024
 
 Verify = Callable[[pa.Table, pa.Table | None], np.ndarray]
 
@@ -36,20 +36,34 @@ def shared_buckets(members: DataFrame) -> DataFrame:
 
 
 def home_blocks(shared: DataFrame, block_rows: int, block_weight: int) -> DataFrame:
-    """(id, block): a part of the most crowded bucket of each member, of bounded size and weight."""
-    best = shared.groupBy("id").agg(F.max(F.struct("n", "bucket", "w")).alias("b"))
+    """(id, weight, block): a part of the most crowded bucket of each member, of bounded size and weight."""
+    best = shared.groupBy("id", "weight").agg(F.max(F.struct("n", "bucket", "w")).alias("b"))
     parts = F.greatest(F.ceil(F.col("b.n") / block_rows), F.ceil(F.col("b.w") / block_weight), F.lit(1))
-    return best.select("id", F.xxhash64("b.bucket", F.pmod(F.xxhash64("id"), parts)).alias("block"))
+    return best.select("id", "weight", F.xxhash64("b.bucket", F.pmod(F.xxhash64("id"), parts)).alias("block"))
 
 
-def block_jobs(shared: DataFrame, homes: DataFrame) -> DataFrame:
-    """(job, block, side): one job per pair of blocks that meet in a bucket, and per block of two or more."""
-    met = shared.select("id", "bucket").join(homes, "id").select("bucket", "block").distinct()
+def block_jobs(shared: DataFrame, homes: DataFrame, block_rows: int, block_weight: int) -> DataFrame:
+    """(job, block, side): jobs for all blocks that meet in a bucket, and for each block of two or more.
+
+    The smaller of two blocks that meet is a guest of the larger one. A block takes
+    its guests in batches of bounded size, so a crowded block is sent once per
+    batch and not once per guest.
+    """
+    sizes = materialise(homes.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")), "blocks")
+    met = shared.select("id", "bucket").join(homes.select("id", "block"), "id").select("bucket", "block").distinct()
     pairs = co_members(met, "bucket", "block").select(F.col("a.block").alias("x"), F.col("b.block").alias("y")).distinct()
-    across = pairs.select(F.xxhash64("x", "y").alias("job"), F.explode(F.array(F.struct(F.col("x").alias("block"), F.lit(0).alias("side")), F.struct(F.col("y").alias("block"), F.lit(1).alias("side")))).alias("s"))
-    inside = homes.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    inside = inside.select(F.xxhash64("block", "block").alias("job"), "block", F.lit(0).alias("side"))
-    return across.select("job", "s.block", "s.side").unionByName(inside)
+    side = lambda c: sizes.select(F.col("block").alias(c), F.struct("n", "block", "w").alias(f"s{c}"))
+    sized = pairs.join(side("x"), "x").join(side("y"), "y").select(F.greatest("sx", "sy").alias("host"), F.least("sx", "sy").alias("guest"))
+    hosted = materialise(sized.select(F.col("host.block").alias("host"), F.col("guest.block").alias("guest"), "guest.n", "guest.w"), "guests")
+    room = hosted.groupBy("host").agg(
+        F.greatest(F.ceil(F.sum("n") / block_rows), F.ceil(F.sum("w") / block_weight), F.lit(1)).alias("batches")
+    )
+    guests = hosted.join(room, "host").select(
+        F.xxhash64("host", F.pmod(F.xxhash64("guest"), F.col("batches"))).alias("job"), F.col("guest").alias("block"), "host"
+    )
+    hosts = guests.select("job", F.col("host").alias("block")).distinct().withColumn("side", F.lit(0))
+    inside = sizes.filter("n > 1").select(F.xxhash64("block", F.lit("own")).alias("job"), "block", F.lit(0).alias("side"))
+    return hosts.unionByName(guests.select("job", "block", F.lit(1).alias("side"))).unionByName(inside)
 
 
 def local_roots(ids: np.ndarray, linked: np.ndarray) -> np.ndarray:
@@ -86,7 +100,7 @@ def run_jobs(payload: DataFrame, jobs: DataFrame, homes: DataFrame, verify: Veri
     (``right`` is None inside a block). Rows arrive sorted by job and are held one
     job at a time.
     """
-    rows = payload.join(homes, "id").join(jobs, "block").drop("block")
+    rows = payload.join(homes.select("id", "block"), "id").join(jobs, "block").drop("block")
     sorted_rows = rows.repartition("job").sortWithinPartitions("job", "side", "id")
 
     def judged(table: pa.Table) -> tuple[np.ndarray, ...] | None:
@@ -133,9 +147,10 @@ def run_jobs(payload: DataFrame, jobs: DataFrame, homes: DataFrame, verify: Veri
     return sorted_rows.mapInArrow(run, "id long, links long, root long")
 
 
-def linked_members(members: DataFrame, payload_of: Callable[[DataFrame], DataFrame], verify: Verify, block_weight: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def linked_members(members: DataFrame, payload_of: Callable[[DataFrame], DataFrame], verify: Verify, block_weight: int, block_rows: int | None = None) -> DataFrame:
     """``run_jobs`` over all candidates of ``members``; ``payload_of(homes)`` builds their payload."""
+    block_rows = block_rows or BLOCK_ROWS
     shared = materialise(shared_buckets(members), "buckets")
     homes = materialise(home_blocks(shared, block_rows, block_weight), "homes")
-    jobs = materialise(block_jobs(shared, homes), "jobs")
+    jobs = materialise(block_jobs(shared, homes, block_rows, block_weight), "jobs")
     return materialise(run_jobs(payload_of(homes), jobs, homes, verify), "links")
