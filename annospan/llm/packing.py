@@ -21,7 +21,8 @@ SLICE_BYTES = 1 << 20
 BATCH_BYTES = 4 << 20
 CACHE_ENTRIES = 400_000
 ROWS_PER_PART = 2048
-CLAUSE_END = re.compile(rb"[,.](?<=[a-z][,.])")
+LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")  # small Latin-1 letters in UTF-8
+CLAUSE_END = re.compile(rb"[,.](?:(?<=[a-z][,.])|(?<=\xc3[\x9f-\xb6\xb8-\xbf][,.]))")
 
 
 class WordIds(dict):
@@ -30,21 +31,23 @@ class WordIds(dict):
     For tokenizers that drop white space and split at it, lower-case their input
     and start a new piece at a comma or full stop that follows a letter: their
     ids of a text are then the ids of its chunks, one after another. A chunk of
-    ASCII letters passes their normalizer and splitter unchanged and goes to the
-    model itself.
+    small Latin-1 letters passes their normalizer and splitter unchanged and goes
+    to the model itself, in the byte alphabet.
     """
 
     def __init__(self, path: str):
         super().__init__()
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        self.byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
 
     def __missing__(self, chunk: bytes) -> bytes:
         text = chunk.decode()
-        if chunk.isalpha() and chunk.islower():
-            ids = [t.id for t in self.model.tokenize(text)]
+        if LETTERS.fullmatch(chunk):
+            word = text if chunk.isascii() else self.byte_level.pre_tokenize_str(text)[0][0]
+            ids = [t.id for t in self.model.tokenize(word)]
         else:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         self[chunk] = packed = np.array(ids, "<u4").tobytes()
