@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from annospan.functions.cells import missing, strip_db_prefix
 from annospan.functions.spans import length_ratio
-from annospan.functions.text_similarity import char_tokens, symbol_similarity
+from annospan.functions.text_similarity import char_tokens, scored_symbols, symbol_stem
 from annospan.functions.tiers import confidence_tier
 from annospan.operators.blocks import prefix_candidates
 from annospan.operators.common import attach, union_all
 from annospan.operators.enrichment import permute
 from annospan.operators.ordered import draw_hash, draw_int, hash_bucket, ordered_scan, row_number, with_iterations
+from annospan.session import materialise
 
 
 def score_pairs(left: DataFrame, right: DataFrame, cut: float = 1.0) -> DataFrame:
@@ -28,7 +29,7 @@ def score_pairs(left: DataFrame, right: DataFrame, cut: float = 1.0) -> DataFram
     a = left.select(*[F.col(c).alias(f"a_{c}") for c in ("accession", "gene", "grp", "length", "cluster")])
     b = right.select(*[F.col(c).alias(f"b_{c}") for c in ("accession", "gene", "grp", "length", "cluster")])
     sym = lambda c: F.upper(F.trim(F.col(c)))
-    stem = lambda c: F.regexp_replace(sym(c), r"\d+$", "")
+    stem = lambda c: symbol_stem(sym(c))
 
     symbols_a = a.filter(~missing("a_gene")).select(sym("a_gene").alias("sa")).distinct()
     symbols_b = b.filter(~missing("b_gene")).select(sym("b_gene").alias("sb")).distinct()
@@ -39,8 +40,8 @@ def score_pairs(left: DataFrame, right: DataFrame, cut: float = 1.0) -> DataFram
         symbols_b.withColumn("t", char_tokens(F.col("sb"))), "sb", "t", max(min_ratio - 1e-4, 1e-6),
     )
     equal = symbols_a.join(symbols_b, F.col("sa") == F.col("sb"))
-    near = union_all([by_stem, by_chars, equal]).distinct().withColumn("sim", symbol_similarity(F.col("sa"), F.col("sb")))
-    near = near.filter(F.col("sim") >= min_ratio - 1e-4)
+    near = materialise(scored_symbols(union_all([by_stem, by_chars, equal]).distinct(), "sa", "sb", "gene_similarity"), "symbols")
+    alike = near.filter(F.col("gene_similarity") >= min_ratio - 1e-4).select("sa", "sb")
 
     ka, kb = a.withColumn("sa", sym("a_gene")), b.withColumn("sb", sym("b_gene"))
     ids = ["a_accession", "b_accession"]
@@ -48,10 +49,14 @@ def score_pairs(left: DataFrame, right: DataFrame, cut: float = 1.0) -> DataFram
     found = union_all([
         a.filter(~missing("a_cluster")).join(b, F.col("a_cluster") == F.col("b_cluster")).select(*ids),
         a.filter(known).join(b, F.col("a_grp") == F.col("b_grp")).select(*ids),
-        ka.join(near.select("sa", "sb"), "sa").join(kb, "sb").select(*ids),
+        ka.join(alike, "sa").join(kb, "sb").select(*ids),
     ]).distinct()
-    full = found.join(a, "a_accession").join(b, "b_accession")
-    full = full.withColumn("gene_similarity", symbol_similarity(F.col("a_gene"), F.col("b_gene")))
+    full = materialise(found.join(ka, "a_accession").join(kb, "b_accession"), "candidates")
+    # pairs found by cluster or group only: each distinct pair of symbols is scored once
+    other = full.select("sa", "sb").distinct().join(near, ["sa", "sb"], "left_anti")
+    scores = near.unionByName(scored_symbols(other, "sa", "sb", "gene_similarity"))
+    same = F.col("sa").eqNullSafe(F.col("xa")) & F.col("sb").eqNullSafe(F.col("xb"))
+    full = full.join(scores.withColumnsRenamed({"sa": "xa", "sb": "xb"}), same).drop("sa", "sb", "xa", "xb")
     same_cluster = F.coalesce((F.col("a_cluster") == F.col("b_cluster")) & ~missing("a_cluster"), F.lit(False))
     same_group = F.coalesce((F.col("a_grp") == F.col("b_grp")) & known, F.lit(False))
     ratio = length_ratio(F.col("a_length"), F.col("b_length"))

@@ -297,6 +297,28 @@ def candidate_pairs(spark, sf):
     return tr.score_pairs(left, right)
 
 
+@query("j13_symbol_tiers", """
+WITH l AS (SELECT c_mktsegment || '-' || c_nationkey AS acc, repeat(chr(65 + c_nationkey), 3) || CASE WHEN c_mktsegment = 'BUILDING' THEN '' ELSE CAST(length(c_mktsegment) AS VARCHAR) END AS gene, c_mktsegment AS grp, count(*) AS len, c_nationkey AS cl FROM customer GROUP BY ALL),
+r AS (SELECT CAST(s_suppkey AS VARCHAR) AS acc, repeat(chr(65 + s_nationkey), 3) AS gene, CASE WHEN s_suppkey % 3 = 0 THEN 'BUILDING' ELSE 'other' END AS grp, s_suppkey % 90 + 1 AS len, s_suppkey % 25 AS cl FROM supplier),
+p AS (SELECT l.acc AS a_accession, r.acc AS b_accession, CASE WHEN l.gene = r.gene THEN 1.0 WHEN l.gene[1] = r.gene[1] THEN 0.9 ELSE 0.0 END AS sim, l.cl = r.cl AS same_cluster, l.grp = r.grp AS same_group, least(l.len, r.len) / greatest(l.len, r.len) AS ratio FROM l, r)
+SELECT a_accession, b_accession, sim AS gene_similarity, same_cluster, same_group, round(same_cluster::INT * 3.0 + sim * 2.5 + same_group::INT + ratio * 0.5, 6) AS candidate_score
+FROM p WHERE same_cluster::INT * 3.0 + sim * 2.5 + same_group::INT + ratio * 0.5 >= 1.0 AND (same_cluster OR same_group OR sim > 0)""")
+def symbol_tiers(spark, sf):
+    letters = lambda c: F.repeat(F.char(F.lit(65) + F.col(c)), 3)
+    left = table(spark, sf, "customer").groupBy("c_mktsegment", "c_nationkey").agg(F.count(F.lit(1)).alias("length")).select(
+        F.concat_ws("-", "c_mktsegment", text("c_nationkey")).alias("accession"),
+        F.concat(letters("c_nationkey"), F.when(F.col("c_mktsegment") == "BUILDING", "").otherwise(text(F.length("c_mktsegment")))).alias("gene"),
+        F.col("c_mktsegment").alias("grp"), "length", text("c_nationkey").alias("cluster"),
+    )
+    key = F.col("s_suppkey")
+    right = table(spark, sf, "supplier").select(
+        text(key).alias("accession"), letters("s_nationkey").alias("gene"), F.when(key % 3 == 0, "BUILDING").otherwise("other").alias("grp"),
+        (key % 90 + 1).alias("length"), text(key % 25).alias("cluster"),
+    )
+    out = tr.score_pairs(left, right).withColumn("candidate_score", F.round("candidate_score", 6))
+    return out.select("a_accession", "b_accession", "gene_similarity", "same_cluster", "same_group", "candidate_score")
+
+
 @query("j20_assign_group", """SELECT c_custkey, coalesce(CASE WHEN c_nationkey < 5 THEN c_mktsegment END, CASE WHEN c_name LIKE '%7%' THEN 'seven' WHEN c_name LIKE '%3%' OR c_name LIKE '%5%' THEN 'odd' ELSE 'other' END) AS grp FROM customer""")
 def assign_group(spark, sf):
     from annospan.operators.similarity import assign_group as assign
