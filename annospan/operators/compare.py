@@ -126,8 +126,41 @@ def transfer_metrics(a: DataFrame, b: DataFrame, columns: dict[str, Column], voc
     return sums.select(stack.alias("x")).select("x.*")
 
 
-def schema_reuse(a: DataFrame, b: DataFrame) -> float:
-    return round(len(set(a.columns) & set(b.columns)) / max(len(a.columns), 1), 4)
+def schema_metrics(a: DataFrame, b: DataFrame, rule_columns: Sequence[str] = ()) -> DataFrame:
+    """(metric, value): how much of the first table's columns and of the column rules the second one carries."""
+    first, second = set(a.columns), set(b.columns)
+    testable = sum(c in second for c in rule_columns)
+    rows = {
+        "schema_reuse_rate": round(len(first & second) / max(len(first), 1), 4),
+        "n_shared_columns": len(first & second), "n_first_only_columns": len(first - second), "n_second_only_columns": len(second - first),
+        "rule_portability_rate": round(testable / max(len(rule_columns), 1), 4),
+        "n_testable_rules": testable, "n_total_rules": len(rule_columns),
+    }
+    return a.sparkSession.createDataFrame([(k, float(v)) for k, v in rows.items()], "metric string, value double")
+
+
+def overlap_items(a: DataFrame, b: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """(category, token, kind): every shared and one-sided token, one row each."""
+    kind = F.when(F.col("in_a") & F.col("in_b"), "shared").when(F.col("in_a"), "only_a").otherwise("only_b")
+    return sided_tokens(a, b, columns).select("category", "token", kind.alias("kind"))
+
+
+def token_report(a: DataFrame, b: DataFrame, columns: dict[str, Column], vocabulary: DataFrame) -> DataFrame:
+    """(metric, value_a, value_b, delta): distinct tokens and the share of token occurrences the vocabulary knows, per category."""
+    known = vocabulary.select("category", "token").distinct().withColumn("__k", F.lit(1))
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        counted = long_tokens(df, columns).groupBy("category", "token").agg(F.count(F.lit(1)).alias("n")).join(known, ["category", "token"], "left")
+        sums = counted.groupBy("category").agg(
+            F.count(F.lit(1)).cast("double").alias("unique"),
+            F.round(100 * F.sum(F.when(F.col("__k").isNotNull(), F.col("n")).otherwise(0)) / F.sum("n"), 1).alias("backed"),
+        )
+        metric = lambda k, c: F.struct(F.concat(F.lit(k), F.col("category")).alias("metric"), F.col(c).alias("v"))
+        both = F.explode(F.array(metric("unique_", "unique"), metric("backed_rate_", "backed")))
+        return sums.select(both.alias("x")).select("x.metric", F.col("x.v").alias(name))
+
+    joined = side(a, "value_a").join(side(b, "value_b"), "metric", "full").fillna(0.0)
+    return joined.withColumn("delta", F.round(F.col("value_b") - F.col("value_a"), 2))
 
 
 def comparison_report(a: DataFrame, b: DataFrame, measures: dict[str, Column]) -> DataFrame:

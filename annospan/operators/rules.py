@@ -107,6 +107,14 @@ def rule_report(flagged: DataFrame, rules: Sequence[tuple[str, str, str]], spark
     return out.withColumn("status", F.when(F.col("n_issues") == 0, "PASS").otherwise(F.col("severity")))
 
 
+def rule_metrics(report: DataFrame) -> DataFrame:
+    """(metric, value): rules checked, failing and passing."""
+    n = lambda status: F.count(F.when(F.col("status") == status, 1))
+    sums = report.agg(F.count(F.lit(1)).alias("n_rules"), n("FAIL").alias("rules_failing"), n("PASS").alias("rules_passing"))
+    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in sums.columns]))
+    return sums.select(rows.alias("x")).select("x.*")
+
+
 def status_summary(report: DataFrame) -> DataFrame:
     return report.groupBy("status").agg(F.count(F.lit(1)).alias("n_checks"), F.sum("n_issues").alias("n_issues"))
 

@@ -165,6 +165,15 @@ def prediction_stats(pred: DataFrame, categories: Sequence[str]) -> DataFrame:
     return pred.groupBy("method").pivot("annotation_category", list(categories)).count().fillna(0)
 
 
+def architecture_stats(pred: DataFrame) -> DataFrame:
+    """(architecture_mode, n, mean, median, min, max) of the Jaccard of architecture predictions."""
+    j = F.col("architecture_jaccard")
+    return pred.filter(j.isNotNull()).groupBy("architecture_mode").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg(j), 3).alias("mean_jaccard"), F.round(F.median(j), 3).alias("median_jaccard"),
+        F.round(F.min(j), 3).alias("min_jaccard"), F.round(F.max(j), 3).alias("max_jaccard"),
+    )
+
+
 def match_sets(gold: DataFrame, pred: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Every gold or predicted key with its status TP / FN / FP."""
     g = gold.select(*keys).distinct().withColumn("__g", F.lit(True))

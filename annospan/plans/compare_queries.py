@@ -44,6 +44,11 @@ def category_overlap(spark, sf):
     return cp.overlap_metrics(a, b, columns())
 
 
+@query("u01_overlap_items", f"WITH {HALVES} SELECT category, token, CASE WHEN n_a > 0 AND n_b > 0 THEN 'shared' WHEN n_a > 0 THEN 'only_a' ELSE 'only_b' END AS kind FROM tok")
+def overlap_items(spark, sf):
+    return cp.overlap_items(*halves(spark, sf), columns())
+
+
 @query("u02_schema_overlap", """
 WITH u AS (UNPIVOT (SELECT o_orderkey::VARCHAR AS o_orderkey, o_custkey::VARCHAR AS o_custkey, o_orderstatus, o_orderpriority FROM orders) ON COLUMNS(*) INTO NAME column_name VALUE v)
 SELECT column_name, column_name IN ('o_orderkey', 'o_custkey') AS in_a, TRUE AS in_b, count(v) AS n_filled, count(DISTINCT v) AS n_distinct FROM u GROUP BY 1""")
@@ -94,12 +99,24 @@ j AS (SELECT coalesce(n_a > 0, FALSE) AS a, coalesce(n_b > 0, FALSE) AS b, v.tok
 s AS (SELECT count(*) FILTER (WHERE a AND b) AS cons, count(*) FILTER (WHERE b AND NOT a) AS new, count(*) FILTER (WHERE a AND NOT b) AS unused,
   count(*) FILTER (WHERE a AND v) AS ra, count(*) FILTER (WHERE a AND b AND v) AS rb, count(*) FILTER (WHERE b) AS tb, count(*) FILTER (WHERE b AND v) AS tv FROM j)
 SELECT 'conserved_terms' AS metric, cons::DOUBLE AS value FROM s UNION ALL SELECT 'new_terms', new FROM s UNION ALL SELECT 'unused_terms', unused FROM s
-UNION ALL SELECT 'vocabulary_reuse', round(rb / ra, 4) FROM s UNION ALL SELECT 'mapping_completeness', round(tv / tb, 4) FROM s UNION ALL SELECT 'species_specific_rate', round(new / tb, 4) FROM s""")
+UNION ALL SELECT 'vocabulary_reuse', round(rb / ra, 4) FROM s UNION ALL SELECT 'mapping_completeness', round(tv / tb, 4) FROM s UNION ALL SELECT 'species_specific_rate', round(new / tb, 4) FROM s
+UNION ALL SELECT * FROM (VALUES ('schema_reuse_rate', 0.75), ('n_shared_columns', 3), ('n_first_only_columns', 1), ('n_second_only_columns', 1), ('rule_portability_rate', round(2 / 3, 4)), ('n_testable_rules', 2), ('n_total_rules', 3))""")
 def transfer_metrics(spark, sf):
     a, b = halves(spark, sf)
     both = cp.long_tokens(union_all([a, b]), columns()).filter("token < 'g' or category = 'type'")
     extra = both.select(F.lit("tags").alias("category"), F.lit("unused").alias("token")).distinct()
-    return cp.transfer_metrics(a, b, columns(), both.unionByName(extra))
+    schema = cp.schema_metrics(a.select("acc", "tags", "owner", "line"), b.select("acc", "tags", "owner", "status"), ["acc", "tags", "line"])
+    return cp.transfer_metrics(a, b, columns(), both.unionByName(extra)).unionByName(schema)
+
+
+@query("a28_token_report", f"""WITH {HALVES}, c AS (SELECT flag, category, token, count(*) AS n FROM long GROUP BY ALL),
+s AS (SELECT flag, category, count(*)::DOUBLE AS u, round(100 * sum(CASE WHEN token LIKE 'S%' OR category = 'type' THEN n ELSE 0 END) / sum(n), 1) AS r FROM c GROUP BY ALL),
+m AS (SELECT flag, 'unique_' || category AS metric, u AS v FROM s UNION ALL SELECT flag, 'backed_rate_' || category, r FROM s)
+SELECT a.metric, a.v AS value_a, b.v AS value_b, round(b.v - a.v, 2) AS delta FROM m a JOIN m b USING (metric) WHERE a.flag = 'R' AND b.flag = 'A'""")
+def token_report(spark, sf):
+    a, b = halves(spark, sf)
+    vocabulary = cp.long_tokens(union_all([a, b]), columns()).filter("token like 'S%' or category = 'type'")
+    return cp.token_report(a, b, columns(), vocabulary)
 
 
 @query("a28_comparison_report", f"""WITH {OCC}, s AS (SELECT CASE WHEN flag = 'R' THEN 'R' ELSE 'A' END AS flag, count(*)::DOUBLE AS rows, count(DISTINCT protein)::DOUBLE AS proteins, count(DISTINCT acc)::DOUBLE AS types, round(avg("end" - start + 1), 6) AS mean_length FROM occ GROUP BY 1),

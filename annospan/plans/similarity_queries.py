@@ -44,16 +44,17 @@ def pairwise(spark, sf):
     return si.pairwise_jaccard(buyers(spark, sf), "brand", "member").withColumn("similarity", F.round("similarity", 6))
 
 
-@query("k01_top_similar_pairs", """WITH d AS (SELECT DISTINCT l_orderkey AS e, p_brand AS f FROM lineitem JOIN part ON l_partkey = p_partkey),
+@query("k01_top_similar_pairs", """WITH d AS (SELECT DISTINCT o_custkey AS e, p_brand AS f FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey),
 n AS (SELECT e, count(*) AS n FROM d GROUP BY e),
 s AS (SELECT x.e AS a, y.e AS b, count(*) AS shared, count(*) / (any_value(nx.n) + any_value(ny.n) - count(*)) AS similarity
   FROM d x JOIN d y ON x.f = y.f AND x.e < y.e JOIN n nx ON nx.e = x.e JOIN n ny ON ny.e = y.e GROUP BY 1, 2 HAVING count(*) / (any_value(nx.n) + any_value(ny.n) - count(*)) >= 0.3),
 t AS (SELECT * FROM s ORDER BY similarity DESC, a, b LIMIT 50)
-SELECT a, b, shared, similarity, pa.o_orderpriority AS label_a, pb.o_orderpriority AS label_b, pa.o_orderpriority = pb.o_orderpriority AS same_cluster,
-  (SELECT array_to_string(list(x.f ORDER BY x.f)[1:5], ';') FROM d x JOIN d y ON x.f = y.f WHERE x.e = t.a AND y.e = t.b) AS top_shared_features
-FROM t JOIN orders pa ON pa.o_orderkey = a JOIN orders pb ON pb.o_orderkey = b""")
+SELECT t.a, t.b, any_value(shared) AS shared, any_value(similarity) AS similarity, any_value(pa.c_mktsegment) AS label_a, any_value(pb.c_mktsegment) AS label_b, any_value(pa.c_mktsegment = pb.c_mktsegment) AS same_cluster,
+  array_to_string(list(x.f ORDER BY x.f)[1:5], ';') AS top_shared_features
+FROM t JOIN customer pa ON pa.c_custkey = a JOIN customer pb ON pb.c_custkey = b JOIN d x ON x.e = t.a JOIN d y ON y.e = t.b AND y.f = x.f GROUP BY t.a, t.b""")
 def top_similar(spark, sf):
-    feats, labels = order_types(spark, sf, "p_brand")
+    feats = buyers(spark, sf).select(F.col("member").alias("entity"), F.col("brand").alias("feature"))
+    labels = table(spark, sf, "customer").select(F.col("c_custkey").alias("entity"), F.col("c_mktsegment").alias("grp"))
     return si.top_pairs(feats, "entity", "feature", labels, "grp", n=50, min_sim=0.3)
 
 

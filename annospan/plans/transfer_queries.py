@@ -112,6 +112,12 @@ def prediction_stats(spark, sf):
     return tr.prediction_stats(all_predictions(spark, sf).withColumnRenamed("category", "annotation_category"), CATEGORIES)
 
 
+@query("a32_architecture_stats", f"""WITH {ANN}, {PRED_B} SELECT architecture_mode, count(*) AS n, round(avg(architecture_jaccard), 3) AS mean_jaccard, round(median(architecture_jaccard), 3) AS median_jaccard,
+  round(min(architecture_jaccard), 3) AS min_jaccard, round(max(architecture_jaccard), 3) AS max_jaccard FROM pb GROUP BY 1""")
+def architecture_stats(spark, sf):
+    return tr.architecture_stats(predictions_b(spark, sf))
+
+
 @query("j17_match_sets", f"""WITH {ANN}, p AS (SELECT DISTINCT target, category, term_value FROM prs JOIN src USING (source))
 SELECT coalesce(g.target, p.target) AS target, coalesce(g.category, p.category) AS category, coalesce(g.term_value, p.term_value) AS term_value,
   CASE WHEN g.target IS NOT NULL AND p.target IS NOT NULL THEN 'TP' WHEN g.target IS NOT NULL THEN 'FN' ELSE 'FP' END AS status

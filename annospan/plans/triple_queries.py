@@ -169,6 +169,13 @@ DL = {
 }
 
 
+@query("a24_entities_per_class", f"""SELECT o AS metric, count(*) AS value FROM (SELECT DISTINCT s, o FROM ({SQL['g02_vocabulary_individuals']}) WHERE p = 'rdf:type' UNION SELECT s, o FROM ({SQL['g05_type_triples']}) WHERE p = 'rdf:type'
+  UNION SELECT s, o FROM (WITH {G}, {PROTEIN_TRIPLES} SELECT * FROM px) WHERE p = 'rdf:type') GROUP BY o""")
+def entities_per_class(spark, sf):
+    typed = graph(spark, sf, ["types", "vocabulary", "proteins"], ["rdf:type"])
+    return tp.graph_summary(typed).filter("measure <> 'triples'").withColumnsRenamed({"measure": "metric", "n": "value"})
+
+
 LABELLED = ["rdf:type", "rdfs:label"]
 PLACED = ["rdf:type", "core:occursInProtein", "core:hasDomainType"]
 NEEDS = {

@@ -257,6 +257,12 @@ def status_summary(spark, sf):
     return rl.status_summary(rule_report(spark, sf))
 
 
+@query("a24_rule_metrics", f"""WITH {FLAGGED}, rep AS (SELECT CASE WHEN coalesce(n, 0) = 0 THEN 'PASS' ELSE severity END AS status FROM {LISTED} LEFT JOIN (SELECT check_id, count(*) AS n FROM flagged GROUP BY 1) USING (check_id))
+SELECT 'n_rules' AS metric, count(*) AS value FROM rep UNION ALL SELECT 'rules_failing', count(*) FILTER (WHERE status = 'FAIL') FROM rep UNION ALL SELECT 'rules_passing', count(*) FILTER (WHERE status = 'PASS') FROM rep""")
+def rule_metrics(spark, sf):
+    return rl.rule_metrics(rule_report(spark, sf))
+
+
 @query("q15_span_reasons", f"""WITH {CHECKED}, s AS (SELECT key, CASE WHEN k % 17 = 0 THEN NULL WHEN k % 19 = 0 THEN -start ELSE start END AS s, CASE WHEN k % 23 = 0 THEN start - 1 ELSE "end" + 1 END AS e FROM v),
 r AS (SELECT key AS row_id, concat_ws('; ', CASE WHEN s IS NULL THEN 'start is not an integer' END, CASE WHEN s <= 0 THEN 'start is not positive' END, CASE WHEN e <= 0 THEN 'end is not positive' END, CASE WHEN s >= e THEN 'start is not below end' END) AS reason FROM s)
 SELECT 'R008' AS check_id, row_id, reason FROM r WHERE reason <> ''""")

@@ -222,6 +222,49 @@ def test_cooccurrence_of_a_hot_entity(spark):
     assert len(rows) == 780 and {(r.domain_a, r.domain_b): r.protein_count for r in rows}["t00", "t01"] == 2
 
 
+def test_landing_updates_forces_and_compacts(spark, tmp_path):
+    from annospan.streaming import landing
+
+    schema, key = "k bigint, name string, v string", ["k"]
+    write = lambda rows: spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{tmp_path}/in")
+    for rows in ([(1, "a", None), (2, "b", "x")], [(1, "a", "later"), (3, " ", None)]):
+        write(rows)
+        landing.land(spark, f"{tmp_path}/in", schema, f"{tmp_path}/out", f"{tmp_path}/progress", key, ["name"])
+    now = landing.current(spark, f"{tmp_path}/out", key, ["name"])
+    assert sorted((r.k, r.v) for r in now.collect()) == [(1, "later"), (2, "x"), (3, None)]
+    landing.compact(spark, f"{tmp_path}/out", f"{tmp_path}/one", key, ["name"])
+    assert spark.read.parquet(f"{tmp_path}/one").count() == 3
+    keys = spark.createDataFrame([(k,) for k in (1, 2, 3, 4)], "k bigint")
+    assert sorted(r.k for r in landing.unprocessed(keys, now, "k", "name").collect()) == [3, 4]
+    assert landing.unprocessed(keys, now, "k", "name", force=True).count() == 4
+
+
+def test_empty_key_list_is_an_error(spark, tmp_path):
+    from annospan.sources.tables import read_keys
+
+    (tmp_path / "keys.txt").write_text("# nothing\n\n")
+    with pytest.raises(ValueError):
+        read_keys(spark, str(tmp_path / "keys.txt"))
+
+
+def test_regions_from_a_list(spark):
+    from annospan.sources.regions import filter_regions
+
+    cells = ["[{'start': 3, 'end': 9, 'desc': 'Linker'}, {\"begin\": \"20\", \"to\": 30, \"description\": \"Disordered\"}, {'start': 4}]", "1) 5-8 | desc=a", "", None, "[oops"]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, regions_pretty string")
+    got = [(r.regions_filtered_pretty, r.region_remained_count) for r in filter_regions(df).orderBy("i").collect()]
+    assert got[0] == ("1) 3-9 | len=7 | desc=Linker", 1) and got[1] == ("1) 5-8 | len=4 | desc=a", 1) and [n for _, n in got[2:]] == [0, 0, 0]
+
+
+def test_entailment_that_does_not_settle_is_an_error(spark):
+    from annospan.operators import triples
+
+    schema = spark.createDataFrame([(f"p{i}", "owl:inverseOf", f"p{i + 1}", "iri") for i in range(8)], "s string, p string, o string, o_type string")
+    data = spark.createDataFrame([("a", "p0", "b", "iri")], schema.schema)
+    with pytest.raises(ValueError):
+        triples.entail(data, schema, max_iter=1)
+
+
 def test_cluster_labels_cover_all_entities(spark):
     df = spark.createDataFrame([(f"e{i}", f"{'abc'[i % 3]}{j}") for i in range(30) for j in range(3)], "e string, f string")
     labels, scores = si.cluster(si.feature_vectors(df, "e", "f"), k_max=4)
