@@ -39,7 +39,8 @@ def packed(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
-    return packing.pack_pieces(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    placed = packing.pack_pieces(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return placed.withColumn("length", F.col("length").cast("long"))
 
 
 def op5_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
