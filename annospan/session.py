@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -29,7 +31,8 @@ def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach.
 
     A cluster names it in ``spark.checkpoint.dir``. Only where that setting is
-    missing (tests, a laptop) is a fresh temporary folder made and recorded.
+    missing (tests, a laptop) is a fresh temporary folder made and recorded, which
+    goes when the process ends.
     """
     sc = spark.sparkContext
     folder = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF)
@@ -40,6 +43,7 @@ def shared_folder(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
         folder = tempfile.mkdtemp(prefix="spark-annospan-", dir="/tmp")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(folder)
     return folder
