@@ -55,7 +55,7 @@ def op6_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and near-copy class of every document at a five-word Jaccard of 0.8."""
-    return neartext.ngram_jaccard_join(table(spark, sf_dir, "documents"))
+    return neartext.ngram_jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "kept")
 
 
 def op8_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,11 +98,11 @@ g AS (SELECT r, doc_id, list_distinct(CASE WHEN len(t) = 0 THEN [] WHEN len(t) <
     ELSE list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i + 4], ' ')) END) AS s FROM w),
 e AS (SELECT r, len(s) AS n, unnest(s) AS x FROM g),
 i AS (SELECT a.r AS a, b.r AS b, count(*) AS k, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.x = b.x AND a.r <> b.r GROUP BY 1, 2),
-l AS (SELECT a, b, k = na AND k = nb AS same FROM i WHERE k / (na + nb - k) >= 0.8),
+l AS (SELECT a, b FROM i WHERE k / (na + nb - k) >= 0.8),
 m AS (SELECT r, r AS o FROM g UNION SELECT m.r, l.b FROM m JOIN l ON l.a = m.o),
 c AS (SELECT m.r, min(g.doc_id) AS class_id FROM m JOIN g ON g.r = m.o GROUP BY m.r),
-n AS (SELECT a AS r, count(*) AS n_links, min(g.doc_id) FILTER (WHERE same) AS twin FROM l JOIN g ON g.r = l.b GROUP BY a)
-SELECT doc_id, least(doc_id, coalesce(twin, doc_id)) AS copy_id, class_id, coalesce(n_links, 0) AS n_links, doc_id = class_id AS kept
+n AS (SELECT a AS r, count(*) AS n_links FROM l GROUP BY a)
+SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, doc_id = class_id AS kept
 FROM g JOIN c USING (r) LEFT JOIN n USING (r)""",
     "op9_lattice_dedup": """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
 u AS (SELECT vec_id, label, x, sqrt(list_dot_product(x, x)) AS n FROM v WHERE label IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
