@@ -42,6 +42,7 @@ MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S
 )
 ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+CONTAINERS = frozenset("article body div html main section".split())  # elements that hold paragraphs
 NAME_PARTS = re.compile(r"[^a-z]+")
 
 
@@ -65,13 +66,17 @@ def is_furniture(name: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def page_lines(html: str) -> list[tuple[str, int]]:
-    """(text, weight) of the page's lines, one per block; blank lines part furniture and articles from the rest.
+def page_lines(html: str) -> tuple[list[tuple[str, int]], bool]:
+    """(text, weight) of the page's lines, one per block, and whether the page marks its article.
 
-    A line weighs its characters outside links. If the page marks its article,
-    lines outside it weigh nothing.
+    If it does, only lines inside the article are given. A line weighs its
+    characters outside links. Blank lines stand where furniture or an article
+    parts lines of different containers; furniture between lines of one
+    container leaves no gap.
     """
     lines: list[tuple[str, int, bool]] = []
+    held = [0]  # serial numbers of the open containers
+    parted = last = serial = 0
     text: list[str] = []
     linked = 0
     stack: list[str] = []
@@ -80,27 +85,32 @@ def page_lines(html: str) -> list[tuple[str, int]]:
     gap = [("", 0, False)] * WINDOW
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, parted, last
         if text:
             line = " ".join("".join(text).split())
             text.clear()
             if line:
+                if parted and held[-1] != last:
+                    lines.extend(gap)
+                parted, last = 0, held[-1]
                 lines.append((line, max(len(line) - linked, 0), articles > 0))
         linked = 0
 
     def pop(to: int) -> None:
-        nonlocal dropped_at, articles, links
+        nonlocal dropped_at, articles, links, parted
         flush()
         while len(stack) > to:
             name = stack.pop()
+            if name in CONTAINERS:
+                held.pop()
             if name in ("article", "main"):
                 articles -= 1
-                lines.extend(gap)
+                parted = 1
             elif name == "a":
                 links -= 1
             if dropped_at and len(stack) < dropped_at:
                 dropped_at = 0
-                lines.extend(gap)
+                parted = 1
 
     at, end = 0, len(html)
     while at < end:
@@ -153,30 +163,35 @@ def page_lines(html: str) -> list[tuple[str, int]]:
                 if stack[depth] in SCOPES:
                     break
         stack.append(name)
+        if name in CONTAINERS:
+            serial += 1
+            held.append(serial)
         if name in ("article", "main"):
             if not dropped_at:
                 marked = True
-                lines.extend(gap)
+                parted = 1
             articles += 1
         elif name == "a":
             links += 1
         if not dropped_at and is_furniture(name, found[3] or found[6] or "", articles > 0):
             flush()
             dropped_at = len(stack)
-            lines.extend(gap)
+            parted = 1
     flush()
-    return [(line, weight if inside or not marked else 0) for line, weight, inside in lines]
+    return [(line, weight) for line, weight, inside in lines if inside or not marked], marked
 
 
 def main_text(html: str, surge: int = SURGE, window: int = WINDOW) -> str:
-    """Lines between the surge and dive points of the line-block distribution, joined by blank lines.
+    """All lines of the marked article, else those between surge and dive points of the line-block distribution; joined by blank lines.
 
     The block of a line is the sum of the weights of ``window`` lines from it on.
     A run of blocks with text begins where the sum leaves zero and dives where it
     is zero again. A run counts if its sum surges to ``surge`` somewhere, or to
     the page's highest sum if no run reaches that. All its lines are kept.
     """
-    lines = page_lines(html)
+    lines, marked = page_lines(html)
+    if marked:
+        return "\n\n".join(line for line, _ in lines if line)
     weights = np.array([w for _, w in lines] + [0] * window, dtype=np.int64)
     if not weights.any():
         return ""
@@ -193,9 +208,10 @@ def extract_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """``pages`` without ``html_col``, with ``text`` and its length ``n_chars`` in code points.
 
     Markup, scripts, styles and page furniture (by element, role, class or id) are
-    stripped; every block element is a line; line-block distribution picks the
-    main text. Character references are decoded and white space inside a line
-    becomes one space.
+    stripped; every block element is a line; on pages that mark no article,
+    line-block distribution picks the main text. Character references are decoded and white space inside a line
+    becomes one space. Where the page marks its article, every line inside it that
+    is not furniture is kept.
 
     Null, empty or text-free pages give an empty text; broken markup is read as
     far as it goes; repeated rows are extracted alike; an empty table gives no

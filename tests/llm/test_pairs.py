@@ -199,6 +199,25 @@ def test_broken_markup():
     assert webpage.main_text('<div class="ad">only an advert</div>') == ""
 
 
+LONG = "A paragraph of more than one hundred characters, which alone is enough for its run of lines to reach the surge of a page."
+
+
+@pytest.mark.parametrize("wrap", ["<article>%s</article>", "<main>%s</main>", '<div class="content">%s</div>', "%s"])
+@pytest.mark.parametrize("furniture", ['<div class="ad">x</div>', "<aside><p>More of it</p></aside>", '<div class="ad">x</div><nav><a href="/">Home</a></nav>'])
+def test_short_paragraphs_between_furniture(wrap, furniture):
+    body = furniture.join(["<h1>T</h1>", f"<p>{LONG}</p>", "<p>Just so.</p>", "<p>That is all.</p>"])
+    assert webpage.main_text(wrap % body) == f"T\n\n{LONG}\n\nJust so.\n\nThat is all."
+
+
+@pytest.mark.parametrize("wrap", ["<article>%s</article>", "<main>%s</main>"])
+def test_lines_of_links_in_a_marked_article(wrap):
+    links = [f"Reference {i}" for i in range(5)]
+    items = "".join(f'<li><a href="/{i}">{x}</a></li>' for i, x in enumerate(links))
+    last = '<p><a href="/r">Full report</a></p>'
+    assert webpage.main_text(wrap % f"<p>{LONG}</p>{last}") == f"{LONG}\n\nFull report"
+    assert webpage.main_text(wrap % f"<p>{LONG}</p><ol>{items}</ol><p>End.</p>{last}") == "\n\n".join([LONG, *links, "End.", "Full report"])
+
+
 def test_pages_of_any_kind(spark):
     data = [(1, "u", "<p>hello world</p>", "t", "x"), (1, "u", "<p>hello world</p>", "t", "x"), (2, None, None, None, None), (None, "v", "", "t", "x"), (3, "w", "<p>" + "long text " * 50_000, "t", "x")]
     out = webpage.extract_pages(spark.createDataFrame(data, "page_id long, url string, html string, text string, extra string"))
