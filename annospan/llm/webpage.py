@@ -24,6 +24,7 @@ BLOCK = frozenset(
 DROPPED = frozenset(
     "aside button canvas dialog fieldset footer form head header iframe menu nav noscript object search select svg template textarea title".split()
 )
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())  # may stand in a head
 RAW = frozenset("script style textarea title xmp".split())
 CLOSES = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]),
@@ -116,6 +117,8 @@ def page_lines(html: str) -> tuple[list[tuple[str, int]], bool]:
     while at < end:
         found = MARKUP.search(html, at)
         stop = found.start() if found else end
+        if stop > at and stack and stack[-1] == "head" and not html[at:stop].isspace():
+            pop(len(stack) - 1)
         if stop > at and not dropped_at:
             part = unescape(html[at:stop])
             text.append(part)
@@ -142,6 +145,10 @@ def page_lines(html: str) -> tuple[list[tuple[str, int]], bool]:
             elif name in BLOCK:
                 flush()
             continue
+        if stack and stack[-1] == "head" and name not in HEAD:
+            pop(len(stack) - 1)
+        elif name == "body" and "head" in stack:
+            pop(stack.index("head"))
         if name in RAW:
             close = re.compile(rf"</{name}\s*>", re.I).search(html, at)
             at = close.end() if close else end

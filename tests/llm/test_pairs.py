@@ -218,6 +218,15 @@ def test_lines_of_links_in_a_marked_article(wrap):
     assert webpage.main_text(wrap % f"<p>{LONG}</p><ol>{items}</ol><p>End.</p>{last}") == "\n\n".join([LONG, *links, "End.", "Full report"])
 
 
+@pytest.mark.parametrize("begin", ["<body>", "<body class=x>", "", "<BODY>", "<noscript><body>"])
+@pytest.mark.parametrize("wrap", ["<article>%s</article>", "%s"])
+def test_head_without_end_tag(begin, wrap):
+    head = "<!DOCTYPE html><html><head>\n<meta charset=utf-8><title>T</title><link rel=x><style>p { margin: 0 }</style><noscript><img src=x></noscript>\n"
+    for end in ("", "</head>"):
+        assert webpage.main_text(f"{head}{begin}{wrap % BODY}{end}</body></html>") == WANT
+    assert webpage.main_text("<head><title>T</title>plain text") == "plain text"
+
+
 def test_pages_of_any_kind(spark):
     data = [(1, "u", "<p>hello world</p>", "t", "x"), (1, "u", "<p>hello world</p>", "t", "x"), (2, None, None, None, None), (None, "v", "", "t", "x"), (3, "w", "<p>" + "long text " * 50_000, "t", "x")]
     out = webpage.extract_pages(spark.createDataFrame(data, "page_id long, url string, html string, text string, extra string"))
