@@ -24,6 +24,8 @@ BLOCK = frozenset(
 DROPPED = frozenset(
     "aside button canvas dialog fieldset footer form head header iframe menu nav noscript object search select svg template textarea title".split()
 )
+WRAPPERS = frozenset(["form", "fieldset"])  # may stand around a whole page
+CLOSED = DROPPED - WRAPPERS
 HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())  # may stand in a head
 RAW = frozenset("script style textarea title xmp".split())
 CLOSES = {
@@ -37,28 +39,55 @@ FURNITURE = frozenset(
     " promo promoted promotion recommended related replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe"
     " toolbar topbar widget".split()
 )
+# Words that may follow the furniture word of a name, and words before it that say the name is of something else.
+PARTS = frozenset(
+    "area articles bar block body bottom box button buttons collapse container content form icons inner items label link links list message panel placeholder"
+    " posts section slot slots stories text thread top unit widgets wrap wrapper x".split()
+)
+LAYOUTS = frozenset("category content has hide hides is no not tag with without".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S
 )
+FORM = re.compile(r"<(?:form|fieldset)\b", re.I)
 ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 CONTAINERS = frozenset("article body div html main section".split())  # elements that hold paragraphs
 NAME_PARTS = re.compile(r"[^a-z]+")
 
 
-def is_furniture(name: str, attributes: str, in_article: bool) -> bool:
+def names_furniture(token: str) -> bool:
+    """Whether a class or id token names furniture: its last word does, apart from words for parts.
+
+    cookie-notice, main-nav and ad-slot-2 do; related-work, share-enabled, no-sidebar and
+    content-sidebar-wrap do not.
+    """
+    words = [w for w in NAME_PARTS.split(token) if w]
+    while len(words) > 1 and words[-1] in PARTS and words[-1] not in FURNITURE:
+        words.pop()
+    return bool(words) and words[-1] in FURNITURE and not LAYOUTS.intersection(words)
+
+
+def is_comment(attributes: str) -> bool:
+    """Whether an article is one comment of a reader."""
+    for key, a, b, c in ATTRIBUTE.findall(attributes):
+        if key.lower() in ("class", "id") and any(NAME_PARTS.split(t)[0] == "comment" for t in (a or b or c).lower().split()):
+            return True
+    return False
+
+
+def is_furniture(name: str, attributes: str, in_article: bool, dropped: frozenset[str] = DROPPED) -> bool:
     """Whether an element holds page furniture and not main text.
 
     A header inside an article belongs to the article.
     """
-    if name in DROPPED and not (name == "header" and in_article):
+    if name in dropped and not (name == "header" and in_article):
         return True
     if not attributes or name in ("html", "body", "article", "main"):
         return False
     for key, a, b, c in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), (a or b or c).lower()
-        if key in ("class", "id") and FURNITURE.intersection(NAME_PARTS.split(value)):
+        if key in ("class", "id") and any(names_furniture(t) for t in value.split()):
             return True
         if key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
             return True
@@ -67,13 +96,15 @@ def is_furniture(name: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def page_lines(html: str) -> tuple[list[tuple[str, int]], bool]:
+def page_lines(html: str, dropped: frozenset[str] = DROPPED) -> tuple[list[tuple[str, int]], bool]:
     """(text, weight) of the page's lines, one per block, and whether the page marks its article.
 
     If it does, only lines inside the article are given. A line weighs its
     characters outside links. Blank lines stand where furniture or an article
     parts lines of different containers; furniture between lines of one
-    container leaves no gap.
+    container leaves no gap. An article inside an element that is furniture by its
+    attributes, or inside a form, opens the text again, unless it is a comment or
+    an article around them is open.
     """
     lines: list[tuple[str, int, bool]] = []
     held = [0]  # serial numbers of the open containers
@@ -83,6 +114,7 @@ def page_lines(html: str) -> tuple[list[tuple[str, int]], bool]:
     stack: list[str] = []
     dropped_at = articles = links = 0  # depth at which furniture began, open articles and links
     marked = False
+    reopened: list[tuple[int, int]] = []  # depth of an article inside furniture, depth at which that began
     gap = [("", 0, False)] * WINDOW
 
     def flush() -> None:
@@ -101,6 +133,8 @@ def page_lines(html: str) -> tuple[list[tuple[str, int]], bool]:
         nonlocal dropped_at, articles, links, parted
         flush()
         while len(stack) > to:
+            if reopened and len(stack) == reopened[-1][0]:
+                dropped_at = reopened.pop()[1]
             name = stack.pop()
             if name in CONTAINERS:
                 held.pop()
@@ -142,6 +176,7 @@ def page_lines(html: str) -> tuple[list[tuple[str, int]], bool]:
                         del stack[place:]
                     else:
                         del stack[place]
+                        reopened[:] = [(a - (a > place + 1), b - (b > place + 1)) for a, b in reopened]
             elif name in BLOCK:
                 flush()
             continue
@@ -174,13 +209,17 @@ def page_lines(html: str) -> tuple[list[tuple[str, int]], bool]:
             serial += 1
             held.append(serial)
         if name in ("article", "main"):
+            attributes = found[3] or found[6] or ""
+            if dropped_at and not CLOSED.intersection(stack[dropped_at - 1 :]) and "article" not in stack[:-1] and not is_comment(attributes):
+                reopened.append((len(stack), dropped_at))
+                dropped_at = 0
             if not dropped_at:
                 marked = True
                 parted = 1
             articles += 1
         elif name == "a":
             links += 1
-        if not dropped_at and is_furniture(name, found[3] or found[6] or "", articles > 0):
+        if not dropped_at and is_furniture(name, found[3] or found[6] or "", articles > 0, dropped):
             flush()
             dropped_at = len(stack)
             parted = 1
@@ -197,6 +236,10 @@ def main_text(html: str, surge: int = SURGE, window: int = WINDOW) -> str:
     the page's highest sum if no run reaches that. All its lines are kept.
     """
     lines, marked = page_lines(html)
+    if not (marked and lines) and FORM.search(html):
+        whole, _ = page_lines(html, CLOSED)
+        if sum(len(x) for x, _ in whole) > 2 * sum(len(x) for x, _ in lines):  # most of the text is in forms: they stand around the page
+            lines = whole
     if marked:
         return "\n\n".join(line for line, _ in lines if line)
     weights = np.array([w for _, w in lines] + [0] * window, dtype=np.int64)

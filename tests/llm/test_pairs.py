@@ -227,6 +227,38 @@ def test_head_without_end_tag(begin, wrap):
     assert webpage.main_text("<head><title>T</title>plain text") == "plain text"
 
 
+WRAPPERS = [
+    '<div class="content-sidebar-wrap">%s</div>', '<div class="layout has-sidebar">%s</div>', '<div class="no-sidebar">%s</div>',
+    '<div class="post-content share-enabled">%s</div>', '<form id="aspnetForm" action="/x">%s</form>',
+]
+
+
+@pytest.mark.parametrize("inner", ["<article>%s</article>", "<main>%s</main>", '<main><div class="layout has-sidebar"><article>%s</article></div></main>', "%s"])
+@pytest.mark.parametrize("wrap", WRAPPERS)
+def test_layout_wrappers_keep_the_text(wrap, inner):
+    page = wrap % (FURNITURE[0] + inner % BODY + FURNITURE[6])
+    assert webpage.main_text(page) == WANT
+    assert webpage.main_text(f'<body><a href="#text">Skip to the text</a>{FURNITURE[4]}<div>{page}</div></body>') == WANT
+
+
+def test_furniture_words_inside_names():
+    sections = "".join(f'<section id="{x}"><p>{x}</p></section>' for x in ("related-work", "share-price", "notice-of-change"))
+    assert webpage.main_text(f"<article><p>{LONG}</p>{sections}</article>") == "\n\n".join([LONG, "related-work", "share-price", "notice-of-change"])
+    names = "ad ad-slot-2 cookie-notice main-nav related-posts comment-list site-footer sidebar sticky_ad_wrapper navbar-collapse".split()
+    for x in names:
+        assert webpage.main_text(f'<article><p>{LONG}</p><div class="x {x}"><p>{LONG}</p></div></article>') == LONG
+
+
+def test_articles_inside_furniture():
+    page = f"<article><p>{LONG}</p>%s</article>"
+    for x in ("<aside><article>Teaser</article></aside>", '<div id="comments"><article>First!</article></div>'):
+        assert webpage.main_text(page % x) == LONG
+    assert webpage.main_text(f'<b><div class="sidebar"><article><p>{LONG}</b><p>two</p><p>three</p></article>aside</div>') == f"{LONG}\n\ntwo\n\nthree"
+    comments = '<div id="comments"><article class="comment-body">First!</article></div>'
+    assert webpage.main_text(f"<main>{page % ''}{comments}</main>") == LONG
+    assert webpage.main_text(f'<div class="sidebar">aside{page % FURNITURE[3]}aside</div>after') == LONG
+
+
 def test_pages_of_any_kind(spark):
     data = [(1, "u", "<p>hello world</p>", "t", "x"), (1, "u", "<p>hello world</p>", "t", "x"), (2, None, None, None, None), (None, "v", "", "t", "x"), (3, "w", "<p>" + "long text " * 50_000, "t", "x")]
     out = webpage.extract_pages(spark.createDataFrame(data, "page_id long, url string, html string, text string, extra string"))
