@@ -208,4 +208,4 @@ def centred_distances(spark, sf):
 @query("m13_cluster_selection")
 def cluster_selection(spark, sf):
     feats = order_types(spark, sf)[0]
-    return si.cluster(si.feature_vectors(feats, "entity", "feature"), k_max=6)[1]
+    return si.cluster(si.feature_vectors(feats, "entity", "feature"))[1]
