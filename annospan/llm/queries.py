@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annospan.llm import language, lattice, mixing, nearest, neartext, packing, quality, sharding, toxicity, webpage
+from annospan.llm import language, lattice, mixing, nearest, neartext, packing, passages, quality, sharding, toxicity, webpage, whitening
 from annospan.llm.tables import crc_rest, table
 
 
@@ -77,6 +77,22 @@ def op10_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the 20-word windows that also start earlier."""
+    cut = passages.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four leading whitened components of all embeddings."""
+    white = whitening.whiten_vectors(table(spark, sf_dir, "embeddings"))
+    rows = white.select("*", F.posexplode(F.arrays_zip("whitened", "explained")).alias("k", "c"))
+    return rows.select(
+        "vec_id", (F.col("k") + 1).alias("component"), "n", "deviation",
+        F.col("c.whitened").alias("whitened"), F.col("c.explained").alias("explained"), "identity_error",
+    )
+
+
 QUERIES = {
     "op1_language_bytes": op1_language_bytes,
     "op2_mix_sources": op2_mix_sources,
@@ -88,6 +104,8 @@ QUERIES = {
     "op8_line_blocks": op8_line_blocks,
     "op9_lattice_dedup": op9_lattice_dedup,
     "op10_shard_bytes": op10_shard_bytes,
+    "op11_remove_repeats": op11_remove_repeats,
+    "op12_whitening": op12_whitening,
 }
 
 # Every link by brute force; the joins find links by hashing, so equal rows show that none was lost.
@@ -110,4 +128,11 @@ l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label
 m AS (SELECT vec_id, vec_id AS o FROM v UNION SELECT m.vec_id, l.b FROM m JOIN l ON l.a = m.o),
 c AS (SELECT vec_id, min(o) AS component_id FROM m GROUP BY vec_id), n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
 SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)""",
+    "op11_remove_repeats": r"""WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS t FROM documents),
+x AS (SELECT r, doc_id, s.p, s.k FROM (SELECT r, doc_id, unnest(list_transform(range(0, len(t) - 19), lambda i: {'p': i, 'k': array_to_string(t[i + 1:i + 20], ' ')})) AS s FROM w)),
+f AS (SELECT k, min({'d': doc_id, 'p': p}) AS m FROM x GROUP BY k),
+g AS (SELECT DISTINCT r, unnest(range(p, p + 20)) AS j FROM x JOIN f USING (k) WHERE {'d': doc_id, 'p': p} > m),
+e AS (SELECT r, unnest(t) AS word, unnest(range(0, len(t))) AS j FROM w),
+k AS (SELECT e.r, count(g.r) AS n, string_agg(word, ' ' ORDER BY e.j) FILTER (WHERE g.r IS NULL) AS kept FROM e LEFT JOIN g ON g.r = e.r AND g.j = e.j GROUP BY e.r)
+SELECT doc_id, len(t)::BIGINT AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (r)""",
 }

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from annospan.session import materialise
+
+CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -36,3 +39,20 @@ def bounded_sample(df: DataFrame, key: list[str], rows: int) -> DataFrame:
     share = rows / max(df.count(), 1)
     drawn = df.filter(hash_share(*key) < share) if share < 1 else df
     return drawn.orderBy(hash_share(*key), *key).limit(rows)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back; the shuffle files of that one job go when it ends.
+
+    Nothing else reads them, so the disk in use is that of one step and not of all.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP_CONF, None)
+    conf.set(CLEANUP_CONF, "true")
+    try:
+        return materialise(df, name)
+    finally:
+        if before is None:
+            conf.unset(CLEANUP_CONF)
+        else:
+            conf.set(CLEANUP_CONF, before)
