@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annospan.llm import language, lattice, mixing, nearest, neartext, packing, passages, quality, sharding, toxicity, webpage, whitening
+from annospan.llm import language, lattice, lexical, mixing, nearest, neartext, packing, passages, quality, sharding, toxicity, webpage, whitening
 from annospan.llm.tables import crc_rest, table
 
 
@@ -93,6 +93,11 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_language_bytes": op1_language_bytes,
     "op2_mix_sources": op2_mix_sources,
@@ -106,6 +111,7 @@ QUERIES = {
     "op10_shard_bytes": op10_shard_bytes,
     "op11_remove_repeats": op11_remove_repeats,
     "op12_whitening": op12_whitening,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 # Every link by brute force; the joins find links by hashing, so equal rows show that none was lost.
@@ -135,4 +141,13 @@ g AS (SELECT DISTINCT r, unnest(range(p, p + 20)) AS j FROM x JOIN f USING (k) W
 e AS (SELECT r, unnest(t) AS word, unnest(range(0, len(t))) AS j FROM w),
 k AS (SELECT e.r, count(g.r) AS n, string_agg(word, ' ' ORDER BY e.j) FILTER (WHERE g.r IS NULL) AS kept FROM e LEFT JOIN g ON g.r = e.r AND g.j = e.j GROUP BY e.r)
 SELECT doc_id, len(t)::BIGINT AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (r)""",
+    "op13_ranked_search": r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+q AS (SELECT DISTINCT i, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT row_number() OVER () AS i, * FROM benchmark)),
+n AS (SELECT count(*) AS docs, sum(len(t))::BIGINT AS total FROM d WHERE len(t) > 0),
+f AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM f, n GROUP BY term, docs),
+m AS (SELECT r, doc_id, 50 + (50 * len(t)::BIGINT * docs) // total AS m FROM d, n WHERE len(t) > 0),
+s AS (SELECT i, item_id, doc_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score FROM q JOIN f USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY ALL),
+k AS (SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id, r) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM k WHERE rank <= 50""",
 }
