@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
@@ -64,7 +64,7 @@ def texts_of(column: pa.Array) -> Iterator[tuple[int, int, Text]]:
 
 
 def anchors(docs: DataFrame, words: int) -> DataFrame:
-    """(key, hash, pos): the anchors of documents (key, raw) at cover positions of the period."""
+    """(pos, key, tag, hash): the anchors of documents (key, raw) at cover positions of the period; ``tag`` is 0."""
     period, length = cover_plan(words)
     covered = np.isin(np.arange(period), COVERS[period])
 
@@ -75,43 +75,53 @@ def anchors(docs: DataFrame, words: int) -> DataFrame:
                 h, inside = text.runs(length)
                 at = np.flatnonzero(inside & covered[text.place[: len(h)] % period])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[a + text.rows[at]]), pa.array(h[at].view(np.int64)), pa.array(text.place[at].astype(np.int32))], names=["key", "hash", "pos"]
+                    [pa.array(text.place[at].astype(np.int32)), pa.array(keys[a + text.rows[at]]), pa.array(np.zeros(len(at), dtype=np.int64)), pa.array(h[at].view(np.int64))],
+                    names=["pos", "key", "tag", "hash"],
                 )
 
-    return docs.select("key", "raw").mapInArrow(run, "key long, hash long, pos int")
+    return docs.select("key", "raw").mapInArrow(run, "pos int, key long, tag long, hash long")
 
 
-def hot_keys(sample: DataFrame, by: list[str]) -> DataFrame:
-    """Keys that hold at least 1 / ``HOT_KEYS`` of a sample, so at most that many rows.
+def hot_keys(sample: DataFrame) -> DataFrame:
+    """(hash, tag) that hold at least 1 / ``HOT_KEYS`` of a sample, so at most that many rows.
 
     Only how rows are dealt to tasks depends on it; every key found here does
     occur several times.
     """
-    counts = written(sample.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).filter("n > 8"), "frequent")
+    counts = written(sample.groupBy("hash", "tag").agg(F.count(F.lit(1)).alias("n")).filter("n > 8"), "frequent")
     total = sample.count()
-    return counts.filter(F.col("n") * HOT_KEYS >= total).select(*by)
+    return counts.filter(F.col("n") * HOT_KEYS >= total).select("hash", "tag")
 
 
-def dealt(rows: DataFrame, hot: DataFrame, by: list[str]) -> DataFrame:
-    """Rows with ``hot`` and a ``part``: hot keys are spread over parts by document, the others have one."""
-    marked = rows.join(F.broadcast(hot.withColumn("hot", F.lit(True))), by, "left")
-    return marked.withColumns({"part": F.when(F.col("hot"), F.pmod(F.xxhash64("key"), F.lit(HOT_PARTS))).otherwise(0).cast("int"), "hot": F.coalesce("hot", F.lit(False))})
+def dealt(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """Rows whose hot keys are spread over parts by document: the low half of their ``tag``, 0 for all other keys.
+
+    The order of columns keeps what changes from row to row together, for the
+    compression of the shuffle.
+    """
+    marked = rows.join(F.broadcast(hot.withColumn("hot", F.lit(True))), ["hash", "tag"], "left")
+    part = F.when(F.col("hot"), F.pmod(F.xxhash64("key"), F.lit(HOT_PARTS)) + 1).otherwise(0)
+    return marked.withColumn("tag", F.col("tag") + part).select(*rows.columns)
+
+
+def part_of(tag: str) -> Column:
+    return F.col(tag).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
 def shared_anchors(docs: DataFrame, share: float, words: int) -> DataFrame:
     """(key, spots): for each document the positions of its anchors that occur more than once in the corpus."""
-    hot = hot_keys(anchors(docs.filter(hash_share("key") < share), words), ["hash"])
-    rows = dealt(anchors(docs, words), hot, ["hash"])
-    n = F.count(F.lit(1)).over(Window.partitionBy("hash", "part"))
-    shared = rows.withColumn("n", n).filter("hot or n > 1")
+    rows = dealt(anchors(docs, words), hot_keys(anchors(docs.filter(hash_share("key") < share), words)))
+    n = F.count(F.lit(1)).over(Window.partitionBy("hash", "tag"))
+    shared = rows.withColumn("n", n).filter((part_of("tag") > 0) | (F.col("n") > 1))
     return shared.groupBy("key").agg(F.collect_set("pos").alias("spots"))
 
 
 def windows(found: DataFrame, words: int) -> DataFrame:
-    """(key, doc, start, hash, more): windows that hold a shared anchor, of rows (key, doc, raw, spots).
+    """(start, doc, key, tag, hash): windows that hold a shared anchor, of rows (key, doc, raw, spots).
 
     An anchor at ``a`` is extended to the windows that start in the period up to it.
-    ``hash`` and ``more`` are 96 bits of two independent hashes of the words.
+    ``hash`` and the high half of ``tag`` are 96 bits of two independent hashes of
+    the words.
     """
     period, _ = cover_plan(words)
 
@@ -130,12 +140,13 @@ def windows(found: DataFrame, words: int) -> DataFrame:
                 np.add.at(near, at + 1, -1)
                 at = np.flatnonzero(inside & (np.cumsum(near)[: len(h)] > 0))
                 rows = a + text.rows[at]
+                tag = more[at] >> np.uint64(32) << np.uint64(32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[rows]), pa.array(docs[rows]), pa.array(text.place[at].astype(np.int32)), pa.array(h[at].view(np.int64)), pa.array((more[at] >> np.uint64(32)).astype(np.int64).astype(np.uint32).view(np.int32))],
-                    names=["key", "doc", "start", "hash", "more"],
+                    [pa.array(text.place[at].astype(np.int32)), pa.array(docs[rows]), pa.array(keys[rows]), pa.array(tag.view(np.int64)), pa.array(h[at].view(np.int64))],
+                    names=["start", "doc", "key", "tag", "hash"],
                 )
 
-    return found.select("key", "doc", "raw", "spots").mapInArrow(run, "key long, doc long, start int, hash long, more int")
+    return found.select("key", "doc", "raw", "spots").mapInArrow(run, "start int, doc long, key long, tag long, hash long")
 
 
 def later_windows(found: DataFrame, share: float, words: int) -> DataFrame:
@@ -144,15 +155,16 @@ def later_windows(found: DataFrame, share: float, words: int) -> DataFrame:
     The first occurrence is a minimum per window. That of a hot window is taken in
     parts, one row per part stays open, and the parts' minima decide those.
     """
-    by = ["hash", "more"]
-    hot = hot_keys(windows(found.filter(hash_share("key") < share), words), by)
-    place = F.struct("doc", "start")
-    rows = dealt(windows(found, words), hot, by).withColumn("least", F.min(place).over(Window.partitionBy(*by, "part")))
-    judged = written(rows.withColumn("later", place > F.col("least")).filter("hot or later").select("key", "doc", "start", *by, "later"), "windows")
-    unsure = judged.filter("not later")  # at most HOT_KEYS * HOT_PARTS places, repeated rows aside
-    least = unsure.groupBy(*by).agg(F.min(place).alias("least"))
-    resolved = unsure.join(F.broadcast(least), by).filter(place > F.col("least"))
-    every = judged.filter("later").select("key", "start").unionByName(resolved.select("key", "start"))
+    place, part = F.struct("doc", "start"), part_of("tag")
+    rows = dealt(windows(found, words), hot_keys(windows(found.filter(hash_share("key") < share), words)))
+    least = F.min(place).over(Window.partitionBy("hash", "tag"))
+    told = rows.withColumn("later", place > least).filter((part > 0) | F.col("later"))
+    open_only = lambda c: F.when(~F.col("later"), c)
+    judged = written(told.select("key", "start", open_only(F.col("doc")).alias("doc"), open_only(F.col("tag") - part).alias("tag"), open_only(F.col("hash")).alias("hash")), "windows")
+    unsure = judged.filter("hash is not null")  # at most HOT_KEYS * HOT_PARTS places, repeated rows aside
+    first = unsure.groupBy("hash", "tag").agg(F.min(place).alias("least"))
+    resolved = unsure.join(F.broadcast(first), ["hash", "tag"]).filter(place > F.col("least"))
+    every = judged.filter("hash is null").select("key", "start").unionByName(resolved.select("key", "start"))
     return every.groupBy("key").agg(F.collect_set("start").alias("starts"))
 
 
@@ -237,9 +249,7 @@ def remove_repeats(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id",
     )
     share = min(1.0, HOT_SAMPLE / max(docs.count(), 1))
     spots = written(shared_anchors(rows, share, words), "anchors")
-    marked = written(rows.join(spots, "key", "left"), "marked")
-    found = marked.filter("spots is not null")
+    found = written(rows.drop("id").join(spots, "key"), "marked")
     starts = later_windows(found, share, words)
     id_field = StructField(id_col, docs.schema[id_col].dataType)
-    clean = marked.filter("spots is null").select("id", "raw", F.lit(None).cast("array<int>").alias("starts"))
-    return cut(found.join(starts, "key", "left").select("id", "raw", "starts").unionByName(clean), words, id_field)
+    return cut(rows.join(starts, "key", "left").select("id", "raw", "starts"), words, id_field)
