@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annospan.functions.stats import normal_sf
+from annospan.operators import tiles
 from annospan.operators.blocks import co_members, similar_sets, token_sets
 from annospan.operators.common import attach, product
 from annospan.operators.enrichment import permute
@@ -118,40 +120,18 @@ def cluster_distance(clusters: DataFrame, entity: str, cluster: str, block: int
     )
 
 
-def _sharing_signatures(sets: DataFrame, block: int) -> DataFrame:
-    """(a, b, shared, n_a, n_b) over distinct signatures that share a token, each once."""
-    distinct = sets.groupBy("signature").agg(F.first("tokens").alias("tokens"))
-    members = distinct.withColumn("__key", F.explode("tokens"))
-    pairs = co_members(members, "__key", "signature", ["tokens"], block)
-    common = F.array_intersect("a.tokens", "b.tokens")
-    return pairs.filter(F.array_min(common) == F.col("__key")).select(
-        F.col("a.signature").alias("a"), F.col("b.signature").alias("b"),
-        F.size(common).alias("shared"), F.size("a.tokens").alias("n_a"), F.size("b.tokens").alias("n_b"),
-    )
-
-
-def group_matrix(features: DataFrame, groups: DataFrame, entity: str, feature: str, group: str, block: int = 256) -> DataFrame:
+def group_matrix(features: DataFrame, groups: DataFrame, entity: str, feature: str, group: str) -> DataFrame:
     """(group_a <= group_b, sum_similarity, n_pairs, mean_similarity) over all entity pairs.
 
-    Entities with equal sets count once with their multiplicity, pairs without a
-    shared feature add zero, so only distinct sets that share a token are compared
-    and nothing pair-sized is shuffled.
+    Entities with equal sets count once with their multiplicity; the sums are made
+    in tiles of pairs of set blocks.
     """
-    sets = token_sets(features, entity, feature).join(groups.select(entity, group), entity)
-    mult = sets.groupBy("signature", group).agg(F.count(F.lit(1)).alias("m"))
-    ma = mult.select(F.col("signature").alias("a"), F.col(group).alias("ga"), F.col("m").alias("ma"))
-    mb = mult.select(F.col("signature").alias("b"), F.col(group).alias("gb"), F.col("m").alias("mb"))
-    sim = F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))
-    mixed = _sharing_signatures(sets, block).join(ma, "a").join(mb, "b").select(
-        F.least("ga", "gb").alias("group_a"), F.greatest("ga", "gb").alias("group_b"),
-        (sim * F.col("ma") * F.col("mb")).alias("s"),
+    sets, names = tiles.marked_sets(token_sets(features, entity, feature), groups, entity, group)
+    sizes = sets.select(F.explode("marks").alias("k")).groupBy(F.col("k.label").alias("code")).agg(F.sum("k.m").cast("long").alias("n")).join(names, "code")
+    side = lambda c: names.select(F.col("code").alias(c), F.col(group).alias(f"__{c}"))
+    sums = tiles.group_sums(sets).join(side("x"), "x").join(side("y"), "y").select(
+        F.least("__x", "__y").alias("group_a"), F.greatest("__x", "__y").alias("group_b"), F.col("total").alias("sum_similarity")
     )
-    same = ma.join(mb.withColumnRenamed("b", "a"), "a").filter("ga <= gb").select(
-        F.col("ga").alias("group_a"), F.col("gb").alias("group_b"),
-        F.when(F.col("ga") == F.col("gb"), F.col("ma") * (F.col("ma") - 1) / 2.0).otherwise(F.col("ma") * F.col("mb") * 1.0).alias("s"),
-    )
-    sums = mixed.unionByName(same).groupBy("group_a", "group_b").agg(F.sum("s").alias("sum_similarity"))
-    sizes = mult.groupBy(group).agg(F.sum("m").alias("n"))
     grid = product(
         sizes.select(F.col(group).alias("group_a"), F.col("n").alias("na")),
         sizes.select(F.col(group).alias("group_b"), F.col("n").alias("nb")),
@@ -188,46 +168,10 @@ def cluster_matrix(matrix: DataFrame, labels: DataFrame, entity: str, cluster: s
     ).join(dom.select(F.col(cluster).alias("group_b"), F.col("dominant").alias("dominant_b")), "group_b")
 
 
-def silhouette(features: DataFrame, labels: DataFrame, entity: str, feature: str, label: str, block: int = 256) -> DataFrame:
-    """Exact mean silhouette (Euclidean distance of binary features), one row.
-
-    Summed distances per (set, cluster) = distances as if nothing were shared,
-    from a size histogram, plus a correction for the sets that do share tokens.
-    """
-    sets = token_sets(features, entity, feature).join(labels.select(entity, label), entity)
-    mult = sets.groupBy("signature", label, F.size("tokens").alias("n")).agg(F.count(F.lit(1)).alias("m"))
-    hist = mult.groupBy(label, "n").agg(F.sum("m").alias("m"))
-    lengths = mult.select(F.col("n").alias("own")).distinct()
-    base = (
-        product(lengths, hist).groupBy("own", label)
-        .agg(F.sum(F.col("m") * F.sqrt(F.col("own") + F.col("n"))).alias("s"))
-    )
-    sigs = mult.select("signature", F.col("n").alias("own")).distinct()
-    start = sigs.join(base, "own").select("signature", F.col(label).alias("c"), "s")
-    shared = _sharing_signatures(sets, block)
-    delta = F.sqrt(F.col("n_a") + F.col("n_b") - 2 * F.col("shared")) - F.sqrt(F.col("n_a") + F.col("n_b"))
-    both = shared.select(F.explode(F.array(
-        F.struct(F.col("a").alias("x"), F.col("b").alias("y"), delta.alias("d")),
-        F.struct(F.col("b").alias("x"), F.col("a").alias("y"), delta.alias("d")),
-    )).alias("p")).select("p.*")
-    own = sigs.select(F.col("signature").alias("x"), F.col("signature").alias("y"), (-F.sqrt(F.col("own") * 2.0)).alias("d"))
-    fix = both.unionByName(own).join(
-        mult.select(F.col("signature").alias("y"), F.col(label).alias("c"), "m"), "y"
-    ).select(F.col("x").alias("signature"), "c", (F.col("d") * F.col("m")).alias("s"))
-    sums = start.unionByName(fix).groupBy("signature", "c").agg(F.sum("s").alias("s"))
-    sizes = mult.groupBy(F.col(label).alias("c")).agg(F.sum("m").alias("nc"))
-    rows = (
-        mult.select("signature", F.col(label).alias("mine"), "m")
-        .join(sums, "signature").join(sizes, "c")
-        .groupBy("signature", "mine", "m").agg(
-            F.max(F.when(F.col("c") == F.col("mine"), F.col("nc"))).alias("n_own"),
-            F.max(F.when((F.col("c") == F.col("mine")) & (F.col("nc") > 1), F.greatest(F.col("s"), F.lit(0.0)) / (F.col("nc") - 1))).alias("a"),
-            F.min(F.when(F.col("c") != F.col("mine"), F.greatest(F.col("s"), F.lit(0.0)) / F.col("nc"))).alias("b"),
-        )
-    )
-    high = F.greatest("a", "b")
-    score = F.when((F.col("n_own") == 1) | (high == 0), 0.0).otherwise((F.col("b") - F.col("a")) / high)
-    return rows.agg((F.sum(score * F.col("m")) / F.sum("m")).alias("silhouette"), F.sum("m").alias("n"))
+def silhouette(features: DataFrame, labels: DataFrame, entity: str, feature: str, label: str) -> DataFrame:
+    """Exact mean silhouette (Euclidean distance of binary features), one row; distances are summed in tiles."""
+    sets, _ = tiles.marked_sets(token_sets(features, entity, feature), labels, entity, label)
+    return tiles.silhouette_of(sets, tiles.distance_sums(sets))
 
 
 def avg_rank(df: DataFrame, value: str, bucket: Column, by: Sequence[str] = (), name: str = "avg_rank") -> DataFrame:
@@ -421,24 +365,13 @@ def assign_group(df: DataFrame, entity: str, labels: DataFrame, group: str, keyw
 
 
 def feature_vectors(features: DataFrame, entity: str, feature: str) -> DataFrame:
-    """Binary sparse vector per entity (column ``features``)."""
+    """Binary sparse vector per entity (column ``features``) over all features."""
     from pyspark.ml.feature import CountVectorizer
 
-    docs = features.select(entity, feature).distinct().groupBy(entity).agg(F.array_sort(F.collect_list(feature)).alias("tokens"))
-    return CountVectorizer(inputCol="tokens", outputCol="features", binary=True).fit(docs).transform(docs).select(entity, "features")
-
-
-def pca(vectors: DataFrame, k: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(coordinates, explained): standardised principal components with cumulative ratio."""
-    from pyspark.ml.feature import PCA, StandardScaler
-
-    width = vectors.head()["features"].size
-    scaled = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True).fit(vectors).transform(vectors)
-    model = PCA(k=min(k, width), inputCol="scaled", outputCol="pca").fit(scaled)
-    ratios = [(i + 1, float(v)) for i, v in enumerate(model.explainedVariance)]
-    table = vectors.sparkSession.createDataFrame(ratios, "component int, explained_ratio double")
-    cum = Window.orderBy("component").rowsBetween(Window.unboundedPreceding, 0)
-    return model.transform(scaled).drop("features", "scaled"), table.withColumn("cumulative_ratio", F.sum("explained_ratio").over(cum))
+    distinct = features.select(entity, F.col(feature).cast("string").alias("__f")).dropna().distinct()
+    docs = distinct.groupBy(entity).agg(F.array_sort(F.collect_list("__f")).alias("tokens"))
+    every = max(distinct.select("__f").distinct().count(), 1)
+    return CountVectorizer(inputCol="tokens", outputCol="features", binary=True, vocabSize=every).fit(docs).transform(docs).select(entity, "features")
 
 
 def double_centred(pairs: DataFrame, ids: DataFrame, absent: float = 1.0) -> tuple[DataFrame, DataFrame]:
@@ -448,7 +381,7 @@ def double_centred(pairs: DataFrame, ids: DataFrame, absent: float = 1.0) -> tup
     that distance. ``means`` has (id, mean_square, grand_mean). ``cells`` has the
     centred value of the diagonal and of the pairs in the table; that of any other
     pair is ``-(absent ** 2 - mean_a - mean_b + grand_mean) / 2``, so the complete
-    matrix is known without writing its cells. Its spectrum is left to a solver.
+    matrix is known without writing its cells; ``spectral`` has its eigenpairs.
     """
     known = pairs.select("a", "b", F.pow("distance", F.lit(2)).alias("d2"))
     every = ids.select("id").distinct()
@@ -468,21 +401,61 @@ def double_centred(pairs: DataFrame, ids: DataFrame, absent: float = 1.0) -> tup
     return off.unionByName(diagonal), means
 
 
-def cluster(vectors: DataFrame, k: int | None = None, k_max: int = 12, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(labels, scores): bisecting k-means; without ``k`` the best silhouette of 3..k_max."""
+def ward_cuts(centres: np.ndarray, sizes: np.ndarray, ks: Sequence[int]) -> dict[int, list[int]]:
+    """For each k the cluster (0..k-1, by smallest member) of every leaf under Ward linkage of leaf centres."""
+    groups = {i: [i] for i in range(len(sizes))}
+    centre, weight = {i: np.asarray(c, dtype=float) for i, c in enumerate(centres)}, {i: float(n) for i, n in enumerate(sizes)}
+    cuts = {}
+    while True:
+        if len(groups) in ks:
+            label = {leaf: c for c, members in enumerate(sorted(groups.values())) for leaf in members}
+            cuts[len(groups)] = [label[i] for i in range(len(sizes))]
+        if len(groups) <= max(1, min(ks)):
+            return cuts
+        keys = sorted(groups)
+        cost = lambda a, b: weight[a] * weight[b] / (weight[a] + weight[b]) * float(((centre[a] - centre[b]) ** 2).sum())
+        _, a, b = min((cost(a, b), a, b) for i, a in enumerate(keys) for b in keys[i + 1 :])
+        total = weight[a] + weight[b]
+        centre[a] = (centre[a] * weight[a] + centre[b] * weight[b]) / total
+        weight[a], groups[a] = total, sorted(groups[a] + groups.pop(b))
+        centre.pop(b), weight.pop(b)
+
+
+def cluster(features: DataFrame, entity: str, feature: str, k: int | None = None, k_max: int = 12, leaves: int = 48, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(labels, scores): ``labels`` is (entity, cluster), ``scores`` (k, silhouette, chosen) for k = 3..k_max, or the given k.
+
+    One bisecting k-means fit makes ``leaves`` small clusters; Ward linkage of their
+    centres merges them, and every k is a cut of that one tree. The exact
+    Euclidean silhouette of every cut comes from one pass over all pairs, which
+    sums the distances of each entity to each leaf. k ends below the number of
+    entities; ties go to the smaller k. A cut that the tree lacks (fewer distinct
+    sets) has no row; without any row the labels are the leaves.
+    """
     from pyspark.ml.clustering import BisectingKMeans
-    from pyspark.ml.evaluation import ClusteringEvaluator
 
-    vectors = vectors.persist()  # read by every fit
+    vectors = materialise(feature_vectors(features, entity, feature), "vectors")
     n = vectors.count()
-    choices = [k] if k else list(range(3, max(4, min(k_max, n - 1) + 1)))
-    evaluator = ClusteringEvaluator(predictionCol="cluster")
-    scored = []
-    for c in choices:
-        labelled = BisectingKMeans(k=c, seed=seed, predictionCol="cluster").fit(vectors).transform(vectors)
-        found = labelled.select("cluster").distinct().count()
-        scored.append((c, float(evaluator.evaluate(labelled)) if found > 1 else 0.0, labelled))
-    best = max(scored, key=lambda x: x[1])
-    vectors.unpersist()
-    scores = vectors.sparkSession.createDataFrame([(c, s, c == best[0]) for c, s, _ in scored], "k int, silhouette double, chosen boolean")
-    return best[2].drop("features"), scores
+    model = BisectingKMeans(k=max(2, min(leaves, n)), seed=seed, predictionCol="leaf", minDivisibleClusterSize=2.0).fit(vectors)
+    placed = materialise(model.transform(vectors).select(entity, "leaf"), "leaves")
+    counts = {r.leaf: r.n for r in placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
+    used = sorted(counts)  # at most ``leaves``
+    centres = np.array([model.clusterCenters()[i] for i in used])
+    ks = [k] if k else list(range(3, max(4, min(k_max, n - 1) + 1)))
+    cuts = ward_cuts(centres, np.array([counts[i] for i in used]), ks)
+    spark = features.sparkSession
+    schema = "k int, silhouette double, chosen boolean"
+    if not cuts:
+        return placed.select(entity, F.col("leaf").alias("cluster")), spark.createDataFrame([], schema)
+    sets, names = tiles.marked_sets(token_sets(features, entity, feature), placed, entity, "leaf")
+    sums = materialise(tiles.distance_sums(sets), "leaf-distances")
+    codes = {r.leaf: r.code for r in names.collect()}
+    scores = []
+    for c, cut in sorted(cuts.items()):
+        moved = spark.createDataFrame([(codes[leaf], label) for leaf, label in zip(used, cut)], "code long, cut long")
+        near = sums.join(F.broadcast(moved), F.col("label") == F.col("code")).groupBy("sid", F.col("cut").alias("label")).agg(F.sum("s").alias("s"))
+        marks = sets.select("sid", F.explode("marks").alias("m")).join(F.broadcast(moved), F.col("m.label") == F.col("code"))
+        relabelled = marks.groupBy("sid", "cut").agg(F.sum("m.m").alias("m")).groupBy("sid").agg(F.collect_list(F.struct(F.col("cut").alias("label"), "m")).alias("marks"))
+        scores.append((c, tiles.silhouette_of(relabelled, near).first().silhouette or 0.0))
+    best = max(scores, key=lambda x: (x[1], -x[0]))[0]
+    final = spark.createDataFrame([(leaf, label) for leaf, label in zip(used, cuts[best])], "leaf int, cluster int")
+    return placed.join(F.broadcast(final), "leaf").select(entity, "cluster"), spark.createDataFrame([(c, float(s), c == best) for c, s in scores], schema)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from annospan.functions.stats import ERFC
 from annospan.operators import similarity as si
+from annospan.operators import spectral
 from annospan.plans.base import query, table
 
 SEED = 42
@@ -191,10 +192,78 @@ def cluster_agreement(spark, sf):
     return si.cluster_agreement(emb, "a", "b")
 
 
-@query("m11_w10_pca")
+def suppliers(spark, sf):
+    """Sparse distances of the suppliers by their parts, and all suppliers."""
+    parts = table(spark, sf, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    near = si.pairwise_jaccard(parts, "l_suppkey", "l_partkey").select("a", "b", (1 - F.col("similarity")).alias("distance"))
+    return near, table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"))
+
+
+def squared_sql(m: str) -> str:
+    """Square of a symmetric matrix of nested lists."""
+    return f"list_transform({m}, lambda ra: list_transform({m}, lambda rb: list_dot_product(ra, rb)))"
+
+
+def inner_sql(a: str, b: str) -> str:
+    """Sum of the products of the entries of two matrices."""
+    return f"list_sum(list_transform(range(1, len({a}) + 1), lambda i: list_dot_product({a}[i], {b}[i])))"
+
+
+def projectors_sql(matrix: str, k: int, steps: int = 40) -> str:
+    """p1..pk of a positive semi-definite matrix (table ``matrix``, column x): l, the largest eigenvalue, and p, the projector on its vector.
+
+    The matrix is squared until only its largest eigenvalue is left, then taken out for the next one.
+    """
+    parts, now = [], matrix
+    for i in range(1, k + 1):
+        parts.append(f"""r{i} AS (SELECT 0 AS t, x FROM {now} UNION ALL
+  SELECT t + 1, list_transform(y, lambda r: list_transform(r, lambda v: v / tr)) FROM (SELECT t, y, list_sum(list_transform(range(1, len(y) + 1), lambda i: y[i][i])) AS tr FROM (SELECT t, {squared_sql('x')} AS y FROM r{i} WHERE t < {steps}))),
+p{i} AS (SELECT z.x AS p, {inner_sql('m.x', 'z.x')} AS l FROM r{i} z, {now} m WHERE z.t = {steps}),
+d{i} AS (SELECT list_transform(range(1, len(x) + 1), lambda i: list_transform(range(1, len(x) + 1), lambda j: x[i][j] - l * p[i][j])) AS x FROM {now}, p{i})""")
+        now = f"d{i}"
+    return ",\n".join(parts)
+
+
+COMPONENTS = 5
+
+
+@query("m11_w10_pca", f"""WITH RECURSIVE d AS (SELECT DISTINCT l_orderkey AS e, p_type AS f FROM lineitem JOIN part ON l_partkey = p_partkey),
+n AS (SELECT count(DISTINCT e)::DOUBLE AS n FROM d), s AS (SELECT f, count(*) / n AS mu, sqrt(count(*) / n * (1 - count(*) / n)) AS sd FROM d, n GROUP BY f, n HAVING count(*) < n),
+c AS (SELECT x.f AS a, y.f AS b, count(*)::DOUBLE AS c FROM d x JOIN d y USING (e) GROUP BY 1, 2),
+z AS (SELECT a.f AS a, list((coalesce(c.c, 0) / n - a.mu * b.mu) / (a.sd * b.sd) ORDER BY b.f) AS row FROM s a CROSS JOIN s b CROSS JOIN n LEFT JOIN c ON c.a = a.f AND c.b = b.f GROUP BY a.f),
+m0 AS (SELECT list(row ORDER BY a) AS x FROM z), {projectors_sql('m0', COMPONENTS)},
+l AS ({' UNION ALL '.join(f'SELECT {i} AS component, l / len(p) AS r FROM p{i}' for i in range(1, COMPONENTS + 1))})
+SELECT component, round(r, 6) AS explained_ratio, round(sum(r) OVER (ORDER BY component), 6) AS cumulative_ratio FROM l""")
 def pca(spark, sf):
     feats = order_types(spark, sf)[0]
-    return si.pca(si.feature_vectors(feats, "entity", "feature"), 5)[1]
+    components = spectral.principal_components(feats, "entity", "feature", COMPONENTS)[1]
+    return components.withColumns({c: F.round(c, 6) for c in ("explained_ratio", "cumulative_ratio")})
+
+
+SUPPLIERS = """sd AS (SELECT DISTINCT l_suppkey AS e, l_partkey AS f FROM lineitem), sn AS (SELECT e, count(*) AS n FROM sd GROUP BY e),
+sj AS (SELECT x.e AS a, y.e AS b, 1 - count(*) / (any_value(nx.n) + any_value(ny.n) - count(*)) AS d FROM sd x JOIN sd y ON x.f = y.f AND x.e < y.e JOIN sn nx ON nx.e = x.e JOIN sn ny ON ny.e = y.e GROUP BY 1, 2)"""
+
+
+@query("m12_principal_coordinates", f"""WITH RECURSIVE {SUPPLIERS},
+sq AS (SELECT x.s_suppkey AS a, y.s_suppkey AS b, CASE WHEN x.s_suppkey = y.s_suppkey THEN 0 ELSE coalesce(d, 1) ** 2 END AS v FROM supplier x CROSS JOIN supplier y
+  LEFT JOIN sj ON sj.a = least(x.s_suppkey, y.s_suppkey) AND sj.b = greatest(x.s_suppkey, y.s_suppkey)),
+mn AS (SELECT a AS id, avg(v) AS m FROM sq GROUP BY a), gm AS (SELECT avg(m) AS g FROM mn),
+cells AS (SELECT a, b, -0.5 * (v - x.m - y.m + g) AS v FROM sq JOIN mn x ON x.id = a JOIN mn y ON y.id = b, gm),
+size AS (SELECT sqrt(sum(v * v)) AS c, sum(v) FILTER (WHERE a = b) AS trace FROM cells),
+bm AS (SELECT list(row ORDER BY a) AS x FROM (SELECT a, list(v ORDER BY b) AS row FROM cells GROUP BY a)),
+sg AS (SELECT 0 AS t, list_transform(x, lambda r: list_transform(r, lambda v: v / c)) AS x FROM bm, size UNION ALL
+  SELECT t + 1, list_transform(range(1, len(x) + 1), lambda i: list_transform(range(1, len(x) + 1), lambda j: 1.5 * x[i][j] - 0.5 * list_dot_product(y[i], x[j]))) FROM (SELECT t, x, {squared_sql('x')} AS y FROM sg WHERE t < 36)),
+total AS (SELECT (trace + {inner_sql('bm.x', 'sg.x')}) / 2 AS s FROM bm, sg, size WHERE sg.t = 36),
+m0 AS (SELECT list_transform(range(1, len(x) + 1), lambda i: list_transform(range(1, len(x) + 1), lambda j: x[i][j] + CASE WHEN i = j THEN c ELSE 0 END)) AS x FROM bm, size),
+{projectors_sql('m0', 2)}, ids AS (SELECT list(s_suppkey ORDER BY s_suppkey) AS ids FROM supplier),
+ax AS (SELECT 1 AS axis, l - c AS l, p FROM p1, size UNION ALL SELECT 2, l - c, p FROM p2, size),
+u AS (SELECT axis, l, l / s AS r, sum(l / s) OVER () AS fit, unnest(ids) AS id, unnest(list_transform(range(1, len(p) + 1), lambda i: sqrt(greatest(l * p[i][i], 0)))) AS z FROM ax, total, ids)
+SELECT id, axis, round(l, 6) AS eigenvalue, round(r, 6) AS explained_ratio, round(fit, 6) AS fit, round(z, 5) AS magnitude FROM u""")
+def principal_coordinates(spark, sf):
+    coordinates, axes = spectral.principal_coordinates(*suppliers(spark, sf), k=2)
+    return coordinates.join(axes, "axis").select(
+        "id", "axis", *[F.round(c, 6).alias(c) for c in ("eigenvalue", "explained_ratio", "fit")], F.round(F.abs("coordinate"), 5).alias("magnitude")
+    )
 
 
 @query("m12_centred_distances", f"""WITH {ALL_PAIRS}, sq AS (SELECT a, b, da * da AS d FROM p UNION ALL SELECT b, a, da * da FROM p UNION ALL SELECT id, id, 0 FROM ids),
@@ -208,4 +277,4 @@ def centred_distances(spark, sf):
 @query("m13_cluster_selection")
 def cluster_selection(spark, sf):
     feats = order_types(spark, sf)[0]
-    return si.cluster(si.feature_vectors(feats, "entity", "feature"))[1]
+    return si.cluster(feats, "entity", "feature")[1]

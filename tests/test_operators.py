@@ -267,18 +267,18 @@ def test_entailment_that_does_not_settle_is_an_error(spark):
 
 def test_cluster_labels_cover_all_entities(spark):
     df = spark.createDataFrame([(f"e{i}", f"{'abc'[i % 3]}{j}") for i in range(30) for j in range(3)], "e string, f string")
-    labels, scores = si.cluster(si.feature_vectors(df, "e", "f"), k_max=4)
+    labels, scores = si.cluster(df, "e", "f", k_max=4)
     assert labels.count() == 30 and scores.filter("chosen").head()["silhouette"] > 0.9
 
 
 def brute_silhouette(points, labels):
-    """Mean silhouette by squared distances; 0 for a cluster of one."""
+    """Mean silhouette by Euclidean distances; 0 for a cluster of one."""
     total = 0.0
     for i, p in enumerate(points):
         by = {}
         for j, q in enumerate(points):
             if i != j:
-                by.setdefault(labels[j], []).append(len(p ^ q))
+                by.setdefault(labels[j], []).append(len(p ^ q) ** 0.5)
         own = by.pop(labels[i], None)
         if own and by:
             a, b = sum(own) / len(own), min(sum(d) / len(d) for d in by.values())
@@ -298,5 +298,5 @@ def test_cluster_selection_searches_up_to_twelve(spark, monkeypatch):
     best = max(got, key=lambda k: got[k][0])
     assert best > 6 and [k for k, (_, chosen) in got.items() if chosen] == [best]
     for k in (3, best):
-        labels = {r.entity: r.cluster for r in si.cluster(si.feature_vectors(feats, "entity", "feature"), k=k)[0].collect()}
+        labels = {r.entity: r.cluster for r in si.cluster(feats, "entity", "feature", k=k)[0].collect()}
         assert got[k][0] == pytest.approx(brute_silhouette([sets[e] for e in sorted(sets)], [labels[e] for e in sorted(sets)]))
