@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from hashlib import md5
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from annospan.functions.stats import normal_sf
 from annospan.operators import tiles
@@ -19,6 +22,8 @@ from annospan.session import materialise
 
 
 RANK_BUCKETS = 256
+DENSE_IDS = 2048  # a square of so many doubles is 32 MB
+DENSE_ENTITIES = 200_000
 
 
 def pairwise_jaccard(features: DataFrame, entity: str, feature: str, block: int = 256) -> DataFrame:
@@ -232,6 +237,63 @@ def _complete_r(su: Column, suu: Column, sv: Column, svv: Column, suv: Column, m
     return F.try_divide(m * suv - su * sv, F.when(spread > 0, spread))
 
 
+def draw_order(prefix: str, texts: list[bytes]) -> np.ndarray:
+    """Order of the texts by md5 of prefix and text: that of ``draw_hash`` as first sort key."""
+    head = prefix.encode()
+    digests = np.frombuffer(b"".join([md5(head + t).digest() for t in texts]), dtype=">u8").reshape(-1, 2)
+    return np.lexsort((digests[:, 1], digests[:, 0]))
+
+
+def over_iterations(spark, n: int, of: Callable[[int], float], name: str) -> DataFrame:
+    """(iteration, name) for iterations 1..n, in a few batches per core."""
+    rows = spark.range(1, n + 1, 1, min(n, 4 * spark.sparkContext.defaultParallelism))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            its = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(its, pa.int32()), pa.array([float(of(i)) for i in its])], names=["iteration", name])
+
+    return rows.mapInArrow(run, f"iteration int, {name} double")
+
+
+def _joined_products(u: DataFrame, v: DataFrame, ids: DataFrame, n: int, seed: int) -> DataFrame:
+    """(iteration, suv): cross products under permuted ids, a row per iteration and pair."""
+    renamed = permute(ids.select("id").distinct().withColumn("to", F.col("id")), "id", "to", n, seed)
+    pa_, pb = (renamed.select("iteration", F.col("id").alias(c), F.col("to").alias(f"t{c}")) for c in "ab")
+    return (
+        u.join(pa_, "a").join(pb, ["iteration", "b"])
+        .select("iteration", "u", F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b"))
+        .join(v, ["a", "b"]).groupBy("iteration").agg(F.sum(F.col("u") * F.col("v")).alias("suv"))
+    )
+
+
+def _permuted_products(u: DataFrame, v: DataFrame, ids: DataFrame, n: int, seed: int) -> DataFrame:
+    """The same from at most ``DENSE_IDS`` ids: the pairs and a square of that side are held by each task."""
+    named = ids.select("id", F.concat_ws("|", F.col("id").cast("string"), F.col("id").cast("string")).alias("t")).distinct().orderBy("t").toArrow()
+    place = ids.sparkSession.createDataFrame([(x, i) for i, x in enumerate(named.column("id").to_pylist())], StructType([StructField("id", ids.schema["id"].dataType), StructField("at", IntegerType())]))
+    k, texts = named.num_rows, [t.encode() for t in named.column("t").to_pylist()]
+
+    def numbered(pairs: DataFrame, name: str) -> pa.Table:
+        side = lambda c: F.broadcast(place.withColumnsRenamed({"id": c, "at": f"at_{c}"}))
+        return pairs.join(side("a"), "a").join(side("b"), "b").select("at_a", "at_b", F.col(name).cast("double").alias(name)).toArrow()
+
+    left, right = numbered(u, "u"), numbered(v, "v")
+    a, b, weight = (left.column(c).to_numpy() for c in ("at_a", "at_b", "u"))
+    square = np.zeros((k, k))
+    square[right.column("at_a").to_numpy(), right.column("at_b").to_numpy()] = right.column("v").to_numpy()
+    square += square.T
+    held = u.sparkSession.sparkContext.broadcast((a, b, weight, square))
+    fixed = draw_order(f"{seed}|fixed|", texts)
+
+    def product(iteration: int) -> float:
+        a, b, weight, square = held.value
+        to = np.empty(k, dtype=np.int64)
+        to[fixed] = draw_order(f"{seed}|{iteration}|", texts)
+        return float(weight @ square[to[a], to[b]])
+
+    return over_iterations(u.sparkSession, n, product, "suv")
+
+
 def mantel(
     x: DataFrame, y: DataFrame, ids: DataFrame, n: int = 9999, method: str = "spearman", seed: int = 42, absent: float = 1.0
 ) -> DataFrame:
@@ -242,6 +304,8 @@ def mantel(
     so that theirs is zero, hence sums over the table are sums over all pairs and
     an inner join gives the cross products. Ranks do not change under permutation,
     so they are computed once; each iteration renames the ids of the second table.
+    Up to ``DENSE_IDS`` ids a task evaluates many permutations over the whole tables,
+    beyond that (iteration, pair) rows are joined; both draw the same permutations.
     """
     count = ids.select("id").distinct().agg(F.count(F.lit(1)).cast("double").alias("k"))
     total = count.select((F.col("k") * (F.col("k") - 1) / 2).alias("m")).select("m").scalar()
@@ -254,14 +318,8 @@ def mantel(
     r = _complete_r(*[F.col(c) for c in ("su", "suu", "sv", "svv", "suv", "m")])
     seen = u.join(v, ["a", "b"]).agg(F.coalesce(F.sum(F.col("u") * F.col("v")), F.lit(0.0)).alias("suv"))
     observed = attach(seen, sums).select(r.alias("r"), F.col("m").cast("long").alias("n_pairs"))
-    renamed = permute(ids.select("id").distinct().withColumn("to", F.col("id")), "id", "to", n, seed)
-    pa = renamed.select("iteration", F.col("id").alias("a"), F.col("to").alias("ta"))
-    pb = renamed.select("iteration", F.col("id").alias("b"), F.col("to").alias("tb"))
-    moved = (
-        u.join(pa, "a").join(pb, ["iteration", "b"])
-        .select("iteration", "u", F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b"))
-        .join(v, ["a", "b"]).groupBy("iteration").agg(F.sum(F.col("u") * F.col("v")).alias("suv"))
-    )
+    few = ids.select("id").distinct().limit(DENSE_IDS + 1).count() <= DENSE_IDS
+    moved = (_permuted_products if few else _joined_products)(u, v, ids, n, seed)
     every = u.sparkSession.range(1, n + 1).select(F.col("id").cast("int").alias("iteration"))
     null = attach(every.join(moved, "iteration", "left").withColumn("suv", F.coalesce("suv", F.lit(0.0))), sums).select("iteration", r.alias("r"))
     return _mantel_result(null, observed, n)
@@ -294,9 +352,18 @@ def mantel_membership(df: DataFrame, entity: str, a: str, b: str, n: int = 9999,
     """Mantel test of two memberships (distance 0 inside a cluster, else 1).
 
     The correlation over all pairs follows from the contingency table, so an
-    iteration costs one row per entity instead of one per pair.
+    iteration costs one number per entity instead of one per pair. Up to
+    ``DENSE_ENTITIES`` entities a task evaluates many permutations.
     """
-    observed = _same_pair_corr(df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n")), [], a, b)
+    cells = df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
+    observed = _same_pair_corr(cells, [], a, b)
+    few = df.limit(DENSE_ENTITIES + 1).count() <= DENSE_ENTITIES
+    null = (_permuted_memberships if few else _joined_memberships)(df, entity, a, b, n, seed)
+    return _mantel_result(null, observed, n)
+
+
+def _joined_memberships(df: DataFrame, entity: str, a: str, b: str, n: int, seed: int) -> DataFrame:
+    """(iteration, r) by numbering both sides of every iteration, a row per iteration and entity."""
     tagged = df.select(
         F.struct(F.col(entity).alias("e"), F.col(a).alias("v")).alias("l"), F.struct(F.col(entity).alias("e"), F.col(b).alias("v")).alias("r")
     )
@@ -310,7 +377,26 @@ def mantel_membership(df: DataFrame, entity: str, a: str, b: str, n: int = 9999,
         ["iteration"], hash_bucket("h"), ["h"], k=row_number(),
     )
     counts = fixed.drop("h").join(mixed.drop("h"), ["iteration", "k"]).groupBy("iteration", a, b).agg(F.count(F.lit(1)).alias("n"))
-    return _mantel_result(_same_pair_corr(counts, ["iteration"], a, b).drop("n_pairs"), observed, n)
+    return _same_pair_corr(counts, ["iteration"], a, b).drop("n_pairs")
+
+
+def _permuted_memberships(df: DataFrame, entity: str, a: str, b: str, n: int, seed: int) -> DataFrame:
+    """The same from at most ``DENSE_ENTITIES`` entities, whose two labels each task holds as numbers."""
+    rows = df.select(F.col(entity).cast("string").alias("e"), a, b).orderBy("e", a, b).toArrow()
+    texts = [t.encode() for t in rows.column("e").to_pylist()]
+    codes = [rows.column(c).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy() for c in (a, b)]
+    width = int(codes[1].max(initial=0)) + 1
+    held = df.sparkSession.sparkContext.broadcast((texts, codes[0][draw_order(f"{seed}|fixed|", texts)].astype(np.int64) * width, codes[1]))
+    choose = lambda c: float((c * (c - 1)).sum()) / 2
+    s1, s2, m = choose(np.bincount(codes[0])), choose(np.bincount(codes[1])), len(texts) * (len(texts) - 1) / 2
+    spread = (s1 * (m - s1) * s2 * (m - s2)) ** 0.5
+
+    def correlation_of(iteration: int) -> float:
+        texts, first, second = held.value
+        s11 = choose(np.unique(first + second[draw_order(f"{seed}|{iteration}|", texts)], return_counts=True)[1])
+        return (m * s11 - s1 * s2) / spread if spread else float("nan")
+
+    return over_iterations(df.sparkSession, n, correlation_of, "r")
 
 
 def mantel_interpretation(r: Column, p: Column) -> Column:

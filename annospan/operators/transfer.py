@@ -17,6 +17,8 @@ from annospan.operators.enrichment import permute
 from annospan.operators.ordered import draw_hash, draw_int, hash_bucket, ordered_scan, row_number, with_iterations
 from annospan.session import materialise
 
+UNIT = 10_000
+
 
 def score_pairs(left: DataFrame, right: DataFrame, cut: float = 1.0) -> DataFrame:
     """Candidate pairs with a score of at least ``cut`` (accession, gene, grp, length, cluster).
@@ -225,9 +227,21 @@ def evaluate(
     return out.withColumns(prf_columns(F.col("n_tp"), F.col("n_pred"), F.col("n_gold"), empty))
 
 
+def units(value: Column) -> Column:
+    """A value of four decimals as a whole number of 1e-4, so that sums do not depend on their order."""
+    return F.round(value * UNIT).cast("long")
+
+
+def mean_of_units(total: Column, n: Column) -> Column:
+    """total / n rounded half up to a whole unit, as a value."""
+    return F.floor((2 * total + n) / (2 * n)) / UNIT
+
+
 def evaluation_summary(per: DataFrame, by: Sequence[str] = ("method", "category")) -> DataFrame:
+    """Mean scores of four decimals, exact before they are rounded once."""
+    n = F.count(F.lit(1))
     return per.groupBy(*by).agg(
-        *[F.round(F.avg(c), 4).alias(c) for c in ("precision", "recall", "f1", "jaccard")], F.count(F.lit(1)).alias("n_targets")
+        *[mean_of_units(F.sum(units(F.col(c))), n).alias(c) for c in ("precision", "recall", "f1", "jaccard")], n.alias("n_targets")
     )
 
 
@@ -284,10 +298,10 @@ def random_control(
     )
 
 
-def mean_f1(pairs: DataFrame, ann: DataFrame, gold: DataFrame, categories: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Mean F1 per category (and iteration) when every target gets its sources' annotations.
+def summed_f1(pairs: DataFrame, ann: DataFrame, gold: DataFrame, categories: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Summed F1 (whole units of 1e-4) per category (and iteration) when every target gets its sources' annotations.
 
-    The mean runs over all gold targets; empty cells on both sides count as 1.
+    The sum runs over all gold targets; empty cells on both sides count as 1.
     Only cells with a prediction or gold are built, the others follow from counts.
     """
     by = list(by)
@@ -304,7 +318,7 @@ def mean_f1(pairs: DataFrame, ann: DataFrame, gold: DataFrame, categories: Seque
         .withColumn("f1", prf_columns(F.col("n_tp"), F.col("n_pred"), F.col("n_gold"), 1.0)["f1"])
     )
     sums = scored.groupBy(*by, "category").agg(
-        F.sum("f1").alias("s"), F.count(F.lit(1)).alias("cells"), F.sum((F.col("n_gold") > 0).cast("long")).alias("gold_cells")
+        F.sum(units(F.col("f1"))).alias("s"), F.count(F.lit(1)).alias("cells"), F.sum((F.col("n_gold") > 0).cast("long")).alias("gold_cells")
     )
     grid = g.sparkSession.createDataFrame([(c,) for c in categories], "category string")
     if by:
@@ -314,19 +328,20 @@ def mean_f1(pairs: DataFrame, ann: DataFrame, gold: DataFrame, categories: Seque
     full = attach(grid.join(sums, [*by, "category"], "left").join(total_gold, "category", "left"), n_targets).fillna(0)
     # Cells with neither gold nor prediction score 1; gold cells without prediction score 0.
     both_empty = F.col("n_targets") - F.col("cells") - (F.col("all_gold") - F.col("gold_cells"))
-    return full.select(*by, "category", ((F.col("s") + both_empty) / F.col("n_targets")).alias("f1"))
+    return full.select(*by, "category", "n_targets", (F.col("s") + both_empty * UNIT).alias("total"))
 
 
 def permutation_f1(pairs: DataFrame, ann: DataFrame, gold: DataFrame, categories: Sequence[str], n: int = 1000, seed: int = 42, plus_one: bool = False) -> DataFrame:
     """Observed mean F1 per category against targets shuffled over the pairs."""
-    observed = mean_f1(pairs, ann, gold, categories).withColumnRenamed("f1", "observed_f1")
+    observed = summed_f1(pairs, ann, gold, categories).select("category", F.col("total").alias("observed"))
     shuffled = permute(pairs.select("source", "target"), "source", "target", n, seed)
-    null = mean_f1(shuffled, ann, gold, categories, ["iteration"]).join(observed, "category")
-    add = 1 if plus_one else 0
+    null = summed_f1(shuffled, ann, gold, categories, ["iteration"]).join(observed, "category")
+    add, count, targets = 1 if plus_one else 0, F.count(F.lit(1)), F.first("n_targets")
     return null.groupBy("category").agg(
-        F.round(F.first("observed_f1"), 4).alias("observed_f1"),
-        F.round(F.avg("f1"), 4).alias("null_mean"), F.round(F.stddev_pop("f1"), 4).alias("null_std"),
-        F.round((F.sum((F.col("f1") >= F.col("observed_f1")).cast("long")) + add) / (F.count(F.lit(1)) + add), 4).alias("p_value"),
+        mean_of_units(F.first("observed"), targets).alias("observed_f1"),
+        mean_of_units(F.sum("total"), targets * count).alias("null_mean"),
+        F.round(F.stddev_pop("total") / targets / UNIT, 4).alias("null_std"),
+        F.round((F.sum((F.col("total") >= F.col("observed")).cast("long")) + add) / (count + add), 4).alias("p_value"),
     )
 
 

@@ -147,20 +147,47 @@ def brand_distances(spark, sf):
 ALL_PAIRS = f"""{BUYERS}, {ORDERS}, ids AS (SELECT DISTINCT p_brand AS id FROM part),
 p AS (SELECT x.id AS a, y.id AS b, 1 - coalesce(ja.similarity, 0) AS da, 1 - coalesce(jb.similarity, 0) AS db FROM ids x JOIN ids y ON x.id < y.id
   LEFT JOIN ja ON ja.a = x.id AND ja.b = y.id LEFT JOIN jb ON jb.a = x.id AND jb.b = y.id)"""
-MANTEL = 999
+MANTEL = 9999
 
 
-@query("m18_mantel_spearman", f"""WITH {ALL_PAIRS},
+def suppliers(spark, sf):
+    """Sparse distances of the suppliers by their parts, and all suppliers."""
+    parts = table(spark, sf, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    near = si.pairwise_jaccard(parts, "l_suppkey", "l_partkey").select("a", "b", (1 - F.col("similarity")).alias("distance"))
+    return near, table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"))
+
+
+SUPPLIERS = """sd AS (SELECT DISTINCT l_suppkey AS e, l_partkey AS f FROM lineitem), sn AS (SELECT e, count(*) AS n FROM sd GROUP BY e),
+sj AS (SELECT x.e AS a, y.e AS b, 1 - count(*) / (any_value(nx.n) + any_value(ny.n) - count(*)) AS d FROM sd x JOIN sd y ON x.f = y.f AND x.e < y.e JOIN sn nx ON nx.e = x.e JOIN sn ny ON ny.e = y.e GROUP BY 1, 2)"""
+
+
+def supplier_distances(spark, sf):
+    """Two sparse distance tables of the suppliers, by their parts and by their customers, and all suppliers."""
+    line, orders = table(spark, sf, "lineitem"), table(spark, sf, "orders")
+    customers = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("l_suppkey", "o_custkey").distinct()
+    other = si.pairwise_jaccard(customers, "l_suppkey", "o_custkey").select("a", "b", (1 - F.col("similarity")).alias("distance"))
+    x, ids = suppliers(spark, sf)
+    return x, other, ids
+
+
+@query("m18_mantel_spearman", f"""WITH {SUPPLIERS},
+cd AS (SELECT DISTINCT l_suppkey AS e, o_custkey AS f FROM lineitem JOIN orders ON l_orderkey = o_orderkey), cn AS (SELECT e, count(*) AS n FROM cd GROUP BY e),
+cj AS (SELECT x.e AS a, y.e AS b, 1 - count(*) / (any_value(nx.n) + any_value(ny.n) - count(*)) AS d FROM cd x JOIN cd y ON x.f = y.f AND x.e < y.e JOIN cn nx ON nx.e = x.e JOIN cn ny ON ny.e = y.e GROUP BY 1, 2),
+ids AS (SELECT s_suppkey AS id FROM supplier),
+p AS (SELECT x.id AS a, y.id AS b, coalesce(sj.d, 1) AS da, coalesce(cj.d, 1) AS db FROM ids x JOIN ids y ON x.id < y.id LEFT JOIN sj ON sj.a = x.id AND sj.b = y.id LEFT JOIN cj ON cj.a = x.id AND cj.b = y.id),
 k AS (SELECT a, b, rank() OVER (ORDER BY da) + (count(*) OVER (PARTITION BY da) - 1) / 2.0 AS x, rank() OVER (ORDER BY db) + (count(*) OVER (PARTITION BY db) - 1) / 2.0 AS y FROM p),
 it AS (SELECT unnest(range(1, {MANTEL + 1})) AS i),
-f AS (SELECT i, id, row_number() OVER (PARTITION BY i ORDER BY md5('{SEED}|fixed|' || id || '|' || id), id) AS k FROM ids, it),
-g AS (SELECT i, id AS tid, row_number() OVER (PARTITION BY i ORDER BY md5('{SEED}|' || i || '|' || id || '|' || id), id) AS k FROM ids, it),
-mp AS (SELECT i, id, tid FROM f JOIN g USING (i, k)),
-n AS (SELECT ma.i, corr(k.x, q.y) AS r FROM k JOIN mp ma ON ma.id = k.a JOIN mp mb ON mb.id = k.b AND mb.i = ma.i JOIN k q ON q.a = least(ma.tid, mb.tid) AND q.b = greatest(ma.tid, mb.tid) GROUP BY ma.i),
+f AS (SELECT id, row_number() OVER (ORDER BY md5('{SEED}|fixed|' || id || '|' || id), id) AS k FROM ids),
+g AS (SELECT i, list(id ORDER BY md5('{SEED}|' || i || '|' || id || '|' || id), id) AS tos FROM ids, it GROUP BY i),
+w AS (SELECT list(row ORDER BY a) AS m FROM (SELECT x.id AS a, list(coalesce(k.y, 0) ORDER BY y.id) AS row FROM ids x CROSS JOIN ids y LEFT JOIN k ON k.a = least(x.id, y.id) AND k.b = greatest(x.id, y.id) GROUP BY x.id)),
+g2 AS (SELECT i, list_transform(tos, lambda t: list_position(every, t)) AS pos FROM g, (SELECT list(id ORDER BY id) AS every FROM ids)),
+u AS (SELECT list({{'x': k.x, 'a': fa.k, 'b': fb.k}}) AS us FROM k JOIN f fa ON fa.id = k.a JOIN f fb ON fb.id = k.b),
+n AS (SELECT i, (cnt * list_sum(list_transform(us, lambda e: e.x * m[pos[e.a]][pos[e.b]])) - sx * sy) / sqrt((cnt * sxx - sx * sx) * (cnt * syy - sy * sy)) AS r
+  FROM g2, u, w, (SELECT count(*)::DOUBLE AS cnt, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(y * y) AS syy FROM k)),
 o AS (SELECT corr(x, y) AS r, count(*) AS n_pairs FROM k)
 SELECT round(any_value(o.r), 6) AS r, (count(*) FILTER (WHERE abs(n.r) >= abs(o.r)) + 1) / {MANTEL + 1} AS p_value, round(avg(n.r), 6) AS null_mean, round(stddev_pop(n.r), 6) AS null_std, any_value(n_pairs) AS n_pairs FROM n, o""")
 def mantel(spark, sf):
-    out = si.mantel(*brand_distances(spark, sf), n=MANTEL)
+    out = si.mantel(*supplier_distances(spark, sf), n=MANTEL)
     return out.withColumns({c: F.round(c, 6) for c in ("r", "null_mean", "null_std")})
 
 
@@ -172,13 +199,13 @@ def same_pair_sql(counts: str, by: str) -> str:
       JOIN (SELECT {b} sum(n * (n - 1) / 2) AS s1 FROM (SELECT {b} a, sum(n) AS n FROM {counts} GROUP BY {b} a) {g}) {u} JOIN (SELECT {b} sum(n * (n - 1) / 2) AS s2 FROM (SELECT {b} b, sum(n) AS n FROM {counts} GROUP BY {b} b) {g}) {u})"""
 
 
-@query("m18_mantel_membership", f"""WITH c AS (SELECT c_custkey AS e, c_nationkey AS a, c_mktsegment AS b FROM customer), it AS (SELECT unnest(range(1, 1000)) AS i),
+@query("m18_mantel_membership", f"""WITH c AS (SELECT c_custkey AS e, c_nationkey AS a, c_mktsegment AS b FROM customer), it AS (SELECT unnest(range(1, {MANTEL + 1})) AS i),
 f AS (SELECT i, a, row_number() OVER (PARTITION BY i ORDER BY md5('{SEED}|fixed|' || e) || e) AS k FROM c, it), g AS (SELECT i, b, row_number() OVER (PARTITION BY i ORDER BY md5('{SEED}|' || i || '|' || e) || e) AS k FROM c, it),
 cn AS (SELECT i, a, b, count(*) AS n FROM f JOIN g USING (i, k) GROUP BY 1, 2, 3), co AS (SELECT a, b, count(*) AS n FROM c GROUP BY 1, 2),
 n AS (SELECT i, r FROM {same_pair_sql('cn', 'i')}), o AS (SELECT r, m FROM {same_pair_sql('co', '')})
-SELECT round(any_value(o.r), 7) AS r, (count(*) FILTER (WHERE abs(n.r) >= abs(o.r)) + 1) / 1000 AS p_value, round(avg(n.r), 7) AS null_mean, round(stddev_pop(n.r), 7) AS null_std, CAST(any_value(o.m) AS BIGINT) AS n_pairs FROM n, o""")
+SELECT round(any_value(o.r), 7) AS r, (count(*) FILTER (WHERE abs(n.r) >= abs(o.r)) + 1) / {MANTEL + 1} AS p_value, round(avg(n.r), 7) AS null_mean, round(stddev_pop(n.r), 7) AS null_std, CAST(any_value(o.m) AS BIGINT) AS n_pairs FROM n, o""")
 def mantel_membership(spark, sf):
-    out = si.mantel_membership(table(spark, sf, "customer"), "c_custkey", "c_nationkey", "c_mktsegment", n=999)
+    out = si.mantel_membership(table(spark, sf, "customer"), "c_custkey", "c_nationkey", "c_mktsegment", n=MANTEL)
     return out.withColumns({c: F.round(c, 7) for c in ("r", "null_mean", "null_std")})
 
 
@@ -192,13 +219,6 @@ def cluster_agreement(spark, sf):
     return si.cluster_agreement(emb, "a", "b")
 
 
-def suppliers(spark, sf):
-    """Sparse distances of the suppliers by their parts, and all suppliers."""
-    parts = table(spark, sf, "lineitem").select("l_suppkey", "l_partkey").distinct()
-    near = si.pairwise_jaccard(parts, "l_suppkey", "l_partkey").select("a", "b", (1 - F.col("similarity")).alias("distance"))
-    return near, table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"))
-
-
 def squared_sql(m: str) -> str:
     """Square of a symmetric matrix of nested lists."""
     return f"list_transform({m}, lambda ra: list_transform({m}, lambda rb: list_dot_product(ra, rb)))"
@@ -240,10 +260,6 @@ def pca(spark, sf):
     return components.withColumns({c: F.round(c, 6) for c in ("explained_ratio", "cumulative_ratio")})
 
 
-SUPPLIERS = """sd AS (SELECT DISTINCT l_suppkey AS e, l_partkey AS f FROM lineitem), sn AS (SELECT e, count(*) AS n FROM sd GROUP BY e),
-sj AS (SELECT x.e AS a, y.e AS b, 1 - count(*) / (any_value(nx.n) + any_value(ny.n) - count(*)) AS d FROM sd x JOIN sd y ON x.f = y.f AND x.e < y.e JOIN sn nx ON nx.e = x.e JOIN sn ny ON ny.e = y.e GROUP BY 1, 2)"""
-
-
 @query("m12_principal_coordinates", f"""WITH RECURSIVE {SUPPLIERS},
 sq AS (SELECT x.s_suppkey AS a, y.s_suppkey AS b, CASE WHEN x.s_suppkey = y.s_suppkey THEN 0 ELSE coalesce(d, 1) ** 2 END AS v FROM supplier x CROSS JOIN supplier y
   LEFT JOIN sj ON sj.a = least(x.s_suppkey, y.s_suppkey) AND sj.b = greatest(x.s_suppkey, y.s_suppkey)),

@@ -46,12 +46,19 @@ def sides(spark, sf):
     return source, gold
 
 
+def mean_sql(column: str) -> str:
+    """Mean of values of four decimals: whole units are added up and rounded once."""
+    return f"floor((2 * sum(round({column} * 10000)::BIGINT) + count(*)) / (2 * count(*))) / 10000 AS {column}"
+
+
+MEANS = ", ".join(mean_sql(c) for c in ("precision", "recall", "f1", "jaccard"))
+
 ANN = """half AS (SELECT CAST(count(*) // 2 AS BIGINT) AS h FROM customer),
 cl AS (SELECT o_custkey AS entity, p_brand AS brand, p_type AS type, l_returnflag || '-' || l_linestatus || '-' || split_part(p_name, ' ', 2) AS use, l_linenumber AS line
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
 ann AS (SELECT DISTINCT entity, 'domain_type' AS category, brand AS term_value FROM cl UNION ALL SELECT DISTINCT entity, 'function', use FROM cl UNION ALL SELECT DISTINCT entity, 'topology', type FROM cl),
-prs AS (SELECT c_custkey AS source, h + c_custkey * 7 % h AS target, c_mktsegment, c_nationkey FROM customer, half WHERE c_custkey < h),
-src AS (SELECT entity AS source, category, term_value FROM ann, half WHERE entity < h), gold AS (SELECT entity AS target, category, term_value FROM ann, half WHERE entity >= h)"""
+prs AS (SELECT c_custkey AS source, h + c_custkey * 7 % h AS target, c_mktsegment, c_nationkey FROM customer, half WHERE c_custkey < (SELECT h FROM half)),
+src AS (SELECT entity AS source, category, term_value FROM ann WHERE entity < (SELECT h FROM half)), gold AS (SELECT entity AS target, category, term_value FROM ann WHERE entity >= (SELECT h FROM half))"""
 
 PRED_A = "pa AS (SELECT target, source, 'A_direct_ortholog' AS method, category AS annotation_category, term_value, 'high' AS transfer_confidence FROM prs JOIN src USING (source))"
 ARCH = """ar AS (SELECT source, target, count(*) FILTER (WHERE s = 3) AS shared, round(count(*) FILTER (WHERE s = 3) / count(*), 4) AS j FROM (
@@ -193,7 +200,7 @@ def evaluate(spark, sf):
     return per_protein(spark, sf)
 
 
-@query("m21_evaluation_summary", f"WITH {EVAL} SELECT method, category, round(avg(precision), 4) AS precision, round(avg(recall), 4) AS recall, round(avg(f1), 4) AS f1, round(avg(jaccard), 4) AS jaccard, count(*) AS n_targets FROM per GROUP BY 1, 2")
+@query("m21_evaluation_summary", f"WITH {EVAL} SELECT method, category, {MEANS}, count(*) AS n_targets FROM per GROUP BY 1, 2")
 def evaluation_summary(spark, sf):
     return tr.evaluation_summary(per_protein(spark, sf))
 
@@ -225,24 +232,25 @@ def random_control(spark, sf):
 
 @query("m24_permutation_f1", f"""WITH {ANN}, b AS (SELECT source, target FROM prs),
 pm AS (SELECT iteration, source, target FROM
-  (SELECT iteration, source, row_number() OVER (PARTITION BY iteration ORDER BY md5('{SEED}|fixed|' || source || '|' || target), source || '|' || target) AS k FROM b CROSS JOIN (SELECT unnest(range(1, 101)) AS iteration))
-  JOIN (SELECT iteration, target, row_number() OVER (PARTITION BY iteration ORDER BY md5('{SEED}|' || iteration || '|' || source || '|' || target), source || '|' || target) AS k FROM b CROSS JOIN (SELECT unnest(range(1, 101)) AS iteration)) USING (iteration, k)),
+  (SELECT iteration, source, row_number() OVER (PARTITION BY iteration ORDER BY md5('{SEED}|fixed|' || source || '|' || target), source || '|' || target) AS k FROM b CROSS JOIN (SELECT unnest(range(1, 1001)) AS iteration))
+  JOIN (SELECT iteration, target, row_number() OVER (PARTITION BY iteration ORDER BY md5('{SEED}|' || iteration || '|' || source || '|' || target), source || '|' || target) AS k FROM b CROSS JOIN (SELECT unnest(range(1, 1001)) AS iteration)) USING (iteration, k)),
 al AS (SELECT iteration, source, target FROM pm UNION ALL SELECT 0, source, target FROM b),
 pr AS (SELECT DISTINCT iteration, target, category, term_value FROM al JOIN src USING (source)),
 hit AS (SELECT iteration, target, category, count(*) AS n_pred, count(g.term_value) AS n_tp FROM pr LEFT JOIN gold g USING (target, category, term_value) GROUP BY 1, 2, 3),
 ng AS (SELECT target, category, count(*) AS n_gold FROM gold GROUP BY 1, 2),
 grid AS (SELECT iteration, target, category FROM (SELECT DISTINCT iteration FROM al) CROSS JOIN (SELECT DISTINCT target FROM gold) CROSS JOIN (VALUES ('domain_type'), ('function'), ('topology')) c(category)),
 cell AS (SELECT iteration, category, coalesce(n_gold, 0) AS n_gold, coalesce(n_pred, 0) AS n_pred, coalesce(n_tp, 0) AS n_tp FROM grid LEFT JOIN ng USING (target, category) LEFT JOIN hit USING (iteration, target, category)),
-sc AS (SELECT iteration, category, {prf_sql()} FROM cell), mf AS (SELECT iteration, category, avg(f1) AS f1 FROM sc GROUP BY 1, 2),
-o AS (SELECT category, f1 AS observed FROM mf WHERE iteration = 0)
-SELECT category, round(any_value(observed), 4) AS observed_f1, round(avg(f1), 4) AS null_mean, round(stddev_pop(f1), 4) AS null_std, round(avg((f1 >= observed)::INT), 4) AS p_value FROM mf JOIN o USING (category) WHERE iteration > 0 GROUP BY category""")
+sc AS (SELECT iteration, category, {prf_sql()} FROM cell), mf AS (SELECT iteration, category, sum(round(f1 * 10000)::BIGINT)::BIGINT AS s, count(*) AS t FROM sc GROUP BY 1, 2),
+o AS (SELECT category, s AS observed FROM mf WHERE iteration = 0)
+SELECT category, floor((2 * any_value(observed) + any_value(t)) / (2 * any_value(t))) / 10000 AS observed_f1, floor((2 * sum(s) + any_value(t) * count(*)) / (2 * any_value(t) * count(*))) / 10000 AS null_mean,
+  round(stddev_pop(s) / any_value(t) / 10000, 4) AS null_std, round(count(*) FILTER (WHERE s >= observed) / count(*), 4) AS p_value FROM mf JOIN o USING (category) WHERE iteration > 0 GROUP BY category""")
 def permutation_f1(spark, sf):
     source, gold = sides(spark, sf)
-    return tr.permutation_f1(pairs(spark, sf), source.withColumnRenamed("annotation_category", "category"), gold, CATEGORIES, n=100)
+    return tr.permutation_f1(pairs(spark, sf), source.withColumnRenamed("annotation_category", "category"), gold, CATEGORIES)
 
 
 @query("m25_difficulty_strata", f"""WITH {EVAL}, d AS (SELECT target, CASE WHEN source % 101 / 100.0 >= 0.999 THEN 'easy' WHEN source % 101 / 100.0 >= 0.7 THEN 'medium' ELSE 'hard' END AS difficulty FROM prs)
-SELECT method, difficulty, category, round(avg(precision), 4) AS precision, round(avg(recall), 4) AS recall, round(avg(f1), 4) AS f1, round(avg(jaccard), 4) AS jaccard, count(*) AS n_targets FROM per JOIN (SELECT DISTINCT * FROM d) USING (target) GROUP BY 1, 2, 3""")
+SELECT method, difficulty, category, {MEANS}, count(*) AS n_targets FROM per JOIN (SELECT DISTINCT * FROM d) USING (target) GROUP BY 1, 2, 3""")
 def difficulty(spark, sf):
     from annospan.functions.tiers import difficulty_tier
 
