@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from annospan.llm.tables import unused
 from annospan.operators.common import attach
 from annospan.operators.ordered import ordered_scan, row_number, running_sum
 from annospan.session import materialise
@@ -109,12 +110,17 @@ def golden_schedule(targets: DataFrame, block: int) -> DataFrame:
     )
 
 
+def source_hash(source_col: str) -> Column:
+    """Hash of a source; null is a source of its own."""
+    return F.xxhash64(F.col(source_col).isNull(), F.col(source_col))
+
+
 def taken_words(docs: DataFrame, weights: Sequence[float], max_repeats: int, block: int, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """(id, th, size, source_size, target, taken, passes) of every document, ``th`` hashing its text; see ``mix_sources``."""
+    """(id, th, sh, size, source_size, target, taken, passes) of every document, ``th`` and ``sh`` hashing its text and source; see ``mix_sources``."""
     rows = materialise(
         docs.select(
             F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
-            F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"),
+            F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), source_hash(source_col).alias("sh"),
         ).withColumn("h", F.xxhash64(F.col("id"), F.col("th"), F.lit(seed))),
         "mix-sizes",
     )
@@ -141,11 +147,11 @@ def taken_words(docs: DataFrame, weights: Sequence[float], max_repeats: int, blo
     )
     first = F.expr(f"block = offset div {block}")
     copies = F.when(first, F.size(F.filter(F.coalesce("lengths", F.array().cast("array<bigint>")), lambda n: n > F.col("start"))))
-    taken = met.groupBy("number", "offset", "id", "th", "size", "source_size", "target").agg(
+    taken = met.groupBy("number", "offset", "id", "th", "sh", "size", "source_size", "target").agg(
         F.sum(words).alias("taken"), F.max(copies).alias("passes")
     )
     nothing = numbered.filter("size = 0").withColumns({"taken": F.lit(0).cast("long"), "passes": F.lit(0)})
-    columns = ["id", "th", "size", "source_size", "target", "taken", "passes"]
+    columns = ["id", "th", "sh", "size", "source_size", "target", "taken", "passes"]
     return taken.select(*columns).unionByName(nothing.select(*columns))
 
 
@@ -176,7 +182,7 @@ def mix_sources(
     columns are ignored.
     """
     taken = taken_words(docs, weights, max_repeats, block, seed, id_col, text_col, source_col)
-    return taken.drop("th").withColumnRenamed("id", id_col)
+    return taken.drop("th", "sh").withColumnRenamed("id", id_col)
 
 
 def mixed_documents(
@@ -192,11 +198,18 @@ def mixed_documents(
     """The mix as whole documents: each row of ``docs`` as often as the schedule takes its first word.
 
     A document without words is not part of any block and stays out. Repeated
-    rows (equal id and text) share the copies taken of them.
+    rows (equal id, text and source) share the copies taken of them; an equal id and
+    text in another source is another document. Columns of ``docs`` may have any names.
     """
     taken = taken_words(docs, weights, max_repeats, block, seed, id_col, text_col, source_col)
-    drawn = taken.groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(F.sum("passes").alias("_copies"), F.count(F.lit(1)).alias("_n"))
-    tagged = docs.withColumn("_text_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    met = tagged.join(drawn.filter("_copies > 0"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_th")))
-    one = met.filter("_n = 1").unionByName(met.filter("_n > 1").dropDuplicates(["_id", "_th"]))
-    return one.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    th, sh, own, own_th, own_sh, copies, n, copy = (
+        unused(docs, c) for c in ("mix_text", "mix_source", "drawn_id", "drawn_text", "drawn_source", "drawn_copies", "drawn_rows", "mix_copy")
+    )
+    drawn = taken.groupBy(F.col("id").alias(own), F.col("th").alias(own_th), F.col("sh").alias(own_sh)).agg(
+        F.sum("passes").alias(copies), F.count(F.lit(1)).alias(n)
+    )
+    tagged = docs.withColumns({th: F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), sh: source_hash(source_col)})
+    same = F.col(id_col).eqNullSafe(F.col(own)) & (F.col(th) == F.col(own_th)) & (F.col(sh) == F.col(own_sh))
+    met = tagged.join(drawn.filter(F.col(copies) > 0), same)
+    one = met.filter(F.col(n) == 1).unionByName(met.filter(F.col(n) > 1).dropDuplicates([own, th, sh]))
+    return one.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annospan.llm.lattice import unit_rows, usable
@@ -82,13 +82,14 @@ class Index:
         found = (needed[:, :, None] <= np.arange(len(self.centres))).mean(axis=(0, 1))
         return int(np.argmax(found >= recall)) + 1
 
-    def sample_nearest(self, ids: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(columns, scores) of each query's nearest sample rows; the last score bounds what is worth finding."""
+    def bound(self, ids: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """A score that each query's nearest rows reach: that of its last sample neighbour, less what rounding may do."""
         scores = q @ self.vectors.T
         scores[ids[:, None] == self.ids[None, :]] = -np.inf
-        k = min(self.nearest, scores.shape[1])
-        at = np.argpartition(-scores, k - 1, axis=1)[:, :k]
-        return at, np.take_along_axis(scores, at, axis=1)
+        if scores.shape[1] < self.nearest:
+            return np.full(len(q), -np.inf)
+        last = np.partition(scores, -self.nearest, axis=1)[:, -self.nearest]
+        return last - 1e-12 * (self.norm * np.sqrt((q * q).sum(1)) + 1e-300)
 
 
 def fit_index(rows: DataFrame, nearest: int, fit_rows: int, recall: float) -> Index | None:
@@ -100,6 +101,11 @@ def fit_index(rows: DataFrame, nearest: int, fit_rows: int, recall: float) -> In
     return Index(sample["id"].to_numpy(np.int64), np.array(sample["vec"].tolist(), dtype=np.float64), size[1], lists, nearest, recall)
 
 
+def exact_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products row by row, always summed in the same order: equal vectors get equal scores."""
+    return np.multiply(a, b, order="C").sum(axis=1)
+
+
 def adaptive_scan(queries: np.ndarray, bound: np.ndarray, candidates: np.ndarray, own: np.ndarray, norm: float, turned: np.ndarray, placed: np.ndarray, nearest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, candidate, score) of the pairs that are among each query's ``nearest`` here.
 
@@ -136,7 +142,7 @@ def adaptive_scan(queries: np.ndarray, bound: np.ndarray, candidates: np.ndarray
             rows, cols = np.nonzero(alive)
         if not len(rows):
             continue
-        score = np.einsum("ij,ij->i", queries[rows], candidates[at + cols])
+        score = exact_scores(queries[rows], candidates[at + cols])
         keep = score >= bound[rows]
         rows, cols, score = rows[keep], cols[keep], score[keep]
         found.append((rows, at + cols, score))
@@ -163,7 +169,9 @@ def nearest_vectors(vectors: DataFrame, query_step: int = 20, nearest: int = NEA
     centres, the number of lists to probe (the fewest that reach ``recall`` inside
     the sample) and, for each query, a score that its neighbours must reach. Every
     row is put in its list; lists and the queries that probe them are cut into
-    blocks, one job per pair of blocks, scanned by ``adaptive_scan``.
+    blocks, one job per pair of blocks, scanned by ``adaptive_scan``. Queries that
+    find fewer than ``nearest`` rows of that score go through the remaining lists too.
+    All rows of the result come from the scan and are scored by one routine.
 
     Vectors that are null, empty, zero or hold null or non-finite entries take no
     part, nor do rows without an id or of another width than most. Repeated rows
@@ -194,32 +202,21 @@ def nearest_vectors(vectors: DataFrame, query_step: int = 20, nearest: int = NEA
             if batch.num_rows == 0:
                 continue
             q = unit_rows(batch.column("vec"))[0].reshape(batch.num_rows, -1)
-            at, scores = index.sample_nearest(batch.column("id").to_numpy(), q)
-            bound = scores.min(axis=1) if scores.shape[1] == nearest else np.full(len(q), -np.inf)
-            probes = index.order(index.turn(q))[:, : index.probes].astype(np.int32)
+            probes = index.order(index.turn(q)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("vec"), pa.array(bound), pa.array(list(probes), pa.list_(pa.int32())),
-                 pa.array(list(index.ids[at]), pa.list_(pa.int64())), pa.array(list(scores), pa.list_(pa.float64()))],
-                names=["id", "vec", "bound", "probes", "sample", "scores"],
+                [batch.column("id"), batch.column("vec"), pa.array(index.bound(batch.column("id").to_numpy(), q)), pa.array(list(probes), pa.list_(pa.int32()))],
+                names=["id", "vec", "bound", "lists"],
             )
 
     base = rows.select("id", "vec")
     lists = materialise(base.mapInArrow(listed, "id long, vec array<double>, list int"), "lists")
     queries = base.filter(F.pmod("id", F.lit(query_step)) == 0)
-    queries = materialise(
-        queries.mapInArrow(routed, "id long, vec array<double>, bound double, probes array<int>, sample array<long>, scores array<double>"), "routes"
-    )
-    probing = queries.select("id", "vec", "bound", F.explode("probes").alias("list"))
-    parts = lists.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CANDIDATE_BLOCK).cast("int").alias("c_parts")).join(
-        probing.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("q_parts")), "list"
-    )
+    queries = materialise(queries.mapInArrow(routed, "id long, vec array<double>, bound double, lists array<int>"), "routes")
+    sizes = lists.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CANDIDATE_BLOCK).cast("int").alias("c_parts"))
     part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     columns = ["list", "c", "q", "side", "id", "vec", "bound"]
-    left = lists.join(parts, "list").withColumns({"c": part("c_parts"), "q": every("q_parts"), "side": F.lit(0), "bound": F.lit(0.0)})
-    right = probing.join(parts, "list").withColumns({"q": part("q_parts"), "c": every("c_parts"), "side": F.lit(1)})
     job = ["list", "c", "q"]
-    jobs = left.select(*columns).unionByName(right.select(*columns)).repartition(*job).sortWithinPartitions(*job, "side", "id")
 
     def scanned(table: pa.Table) -> pa.RecordBatch | None:
         side, ids = table.column("side").to_numpy(), table.column("id").to_numpy()
@@ -248,9 +245,21 @@ def nearest_vectors(vectors: DataFrame, query_step: int = 20, nearest: int = NEA
         if held and (out := scanned(pa.Table.from_batches(held))) is not None:
             yield out
 
-    hits = jobs.mapInArrow(run, result)
-    known = queries.select(F.col("id").alias("query_id"), F.explode(F.arrays_zip("sample", "scores")).alias("s"))
-    known = known.select("query_id", F.col("s.sample").alias("vec_id"), F.col("s.scores").alias("score")).filter(F.col("score") > float("-inf"))
-    found = hits.unionByName(known).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    def scan(some: DataFrame, probed: Column) -> DataFrame:
+        """(query_id, vec_id, score): what the probed lists hold for some queries, block by block."""
+        probing = some.select("id", "vec", "bound", F.explode(probed).alias("list"))
+        parts = F.broadcast(sizes.join(probing.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("q_parts")), "list"))  # a row per list
+        left = lists.join(parts, "list").withColumns({"c": part("c_parts"), "q": every("q_parts"), "side": F.lit(0), "bound": F.lit(0.0)})
+        right = probing.join(parts, "list").withColumns({"q": part("q_parts"), "c": every("c_parts"), "side": F.lit(1)})
+        jobs = left.select(*columns).unionByName(right.select(*columns)).repartition(*job).sortWithinPartitions(*job, "side", "id")
+        return materialise(jobs.mapInArrow(run, result), "hits")
+
+    first, others = index.probes, len(index.centres) - index.probes
+    hits = scan(queries, F.slice("lists", 1, first))
+    if others:  # queries whose lists held too few go through all the other lists
+        found = hits.groupBy("query_id").agg(F.count_distinct("vec_id").alias("n"))
+        short = queries.join(found, queries["id"] == found["query_id"], "left").filter(F.coalesce("n", F.lit(0)) < nearest).select("id", "vec", "bound", "lists")
+        hits = hits.unionByName(scan(short, F.slice("lists", first + 1, others)))
+    found = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).filter(F.col("rank") <= nearest).select("query_id", F.col("rank").cast("int"), F.col("vec_id").alias(id_col), "score")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from annospan.llm import buffers
 from annospan.llm.candidates import linked_members
 from annospan.llm.components import components
+from annospan.llm.tables import unused
 from annospan.session import materialise
 
 WORDS = 5
@@ -247,10 +248,11 @@ def one_per_class(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     without words all stay. The columns are those of ``docs``.
     """
     kept = near_classes(docs, threshold, recall, id_col, text_col).filter("kept")
-    counted = kept.groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(F.count(F.lit(1)).alias("_n"))
-    tagged = docs.withColumn("_text_hash", text_hash(text_col))
-    met = tagged.join(counted, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_th")))
+    own, other, n, th = (unused(docs, c) for c in ("kept_id", "kept_text", "kept_rows", "text_hash"))
+    counted = kept.groupBy(F.col("id").alias(own), F.col("th").alias(other)).agg(F.count(F.lit(1)).alias(n))
+    tagged = docs.withColumn(th, text_hash(text_col))
+    met = tagged.join(counted, F.col(id_col).cast("long").eqNullSafe(F.col(own)) & (F.col(th) == F.col(other)))
     wordless = ~F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    single = met.filter((F.col("_n") == 1) | wordless)
-    repeated = met.filter((F.col("_n") > 1) & ~wordless).dropDuplicates(["_id", "_th"])
+    single = met.filter((F.col(n) == 1) | wordless)
+    repeated = met.filter((F.col(n) > 1) & ~wordless).dropDuplicates([own, other])
     return single.unionByName(repeated).select(*docs.columns)

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from annospan.llm.tables import unused
 from annospan.operators.common import attach
 from annospan.operators.ordered import ordered_scan, row_number
 from annospan.session import materialise
@@ -226,14 +227,15 @@ def pack_pieces(pieces: DataFrame, id_col: str = "doc_id", tokens: int = LIMIT,
     binary search in the placements. Repeated rows are pieces of their own.
     """
     rows = materialise(pieces, "pieces")
+    h, of, rank = (unused(pieces, c) for c in ("place_hash", "place_parts", "place_rank"))
     histogram = rows.groupBy("length").count().collect()
     plan = best_fit([r["length"] for r in histogram], [r["count"] for r in histogram], tokens, **capacities)
     parts = attach(
-        rows.withColumn("_h", F.xxhash64(id_col, "piece")),
-        rows.agg(F.greatest(F.lit(1), F.expr(f"count(1) div {ROWS_PER_PART}")).alias("_parts")),
+        rows.withColumn(h, F.xxhash64(id_col, "piece")),
+        rows.agg(F.greatest(F.lit(1), F.expr(f"count(1) div {ROWS_PER_PART}")).alias(of)),
     )
-    part = F.floor((F.col("_h") / F.lit(2.0**64) + F.lit(0.5)) * F.col("_parts"))
-    ranked = ordered_scan(parts, ["length"], part, ["_h", id_col, "piece"], _rank=row_number()).drop("_h", "_parts")
+    part = F.floor((F.col(h) / F.lit(2.0**64) + F.lit(0.5)) * F.col(of))
+    ranked = ordered_scan(parts, ["length"], part, [h, id_col, "piece"], **{rank: row_number()}).drop(h, of)
     span = 1 << 44
     keys = plan.length * span + plan.first
     order = np.argsort(keys)
@@ -242,15 +244,15 @@ def pack_pieces(pieces: DataFrame, id_col: str = "doc_id", tokens: int = LIMIT,
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length = batch.column("length").to_numpy(zero_copy_only=False).astype(np.int64)
-            key = length * span + batch.column("_rank").to_numpy(zero_copy_only=False).astype(np.int64) - 1
+            key = length * span + batch.column(rank).to_numpy(zero_copy_only=False).astype(np.int64) - 1
             at = np.searchsorted(keys, key, side="right") - 1
             n = key - keys[at]
-            names = [c for c in batch.schema.names if c != "_rank"]
+            names = [c for c in batch.schema.names if c != rank]
             columns = [batch.column(c) for c in names]
             columns += [pa.array(base[at] + n // each[at]), pa.array(offset[at] + n % each[at] * length)]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "sequence_id", "offset"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "_rank")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != rank)
     return ranked.mapInArrow(place, f"{fields}, sequence_id long, offset long")
 
 

@@ -41,6 +41,14 @@ def bounded_sample(df: DataFrame, key: list[str], rows: int) -> DataFrame:
     return drawn.orderBy(hash_share(*key), *key).limit(rows)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so (case does not count)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back; the shuffle files of that one job go when it ends.
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annospan.llm.tables import bounded_sample, crc_rest
+from annospan.llm.tables import bounded_sample, crc_rest, unused
 
 WORD = re.compile(r"\w+")
 STEMS = (4, 5, 6)
@@ -164,18 +164,29 @@ def fit_ordinal(texts: list[str], toxic: np.ndarray, most: int = FEATURES, steps
     return OrdinalModel({b: by_bucket[i] for b, i in number.items() if by_bucket[i].max() > 1e-3}, cuts)
 
 
-def fit_on_labels(docs: DataFrame, labels: DataFrame, modulus: int, fit_rows: int, id_col: str, text_col: str, label_col: str) -> OrdinalModel:
-    """Fit on at most ``fit_rows`` texts of either label, none longer than ``FIT_CHARS``, not held out."""
+def fit_on_labels(docs: DataFrame, labels: DataFrame, modulus: int, fit_rows: int, id_col: str, text_col: str, label_col: str, fit_chars: int) -> OrdinalModel:
+    """Fit on at most ``fit_rows`` texts of either label, not held out; ``fit_chars`` bounds a text that goes to the driver."""
     known = labels.filter(F.col(label_col).isNotNull() & (crc_rest(id_col, modulus) != 0))
     known = known.groupBy(id_col).agg((F.avg(label_col) >= 0.5).alias("toxic"))
     # two bounded samples: small enough to broadcast whatever the table's size
     ids = bounded_sample(known.filter("toxic"), [id_col], fit_rows).unionByName(bounded_sample(known.filter("not toxic"), [id_col], fit_rows))
-    found = docs.filter(F.length(text_col) <= FIT_CHARS).join(F.broadcast(ids), id_col).select("toxic", F.col(text_col).alias("text"))
+    found = docs.select(id_col, text_col).filter(F.length(text_col) <= fit_chars).join(F.broadcast(ids), id_col).select("toxic", F.col(text_col).alias("text"))
     distinct = found.groupBy("text").agg(F.max("toxic").alias("toxic"))  # copies would pass off chance words as evidence
     rows = bounded_sample(distinct, ["text"], 2 * fit_rows).toPandas().sort_values("text")
     return fit_ordinal(rows["text"].tolist(), rows["toxic"].to_numpy(bool))
 
 
+def cue_weight(model: OrdinalModel):
+    """Column function: the weighted sum of a text's cues, 0 for null and empty texts."""
+
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        buckets = Buckets(frozenset(model.weights))
+        for texts in batches:
+            yield pa.array([model.score(t, buckets) if t else 0.0 for t in texts.to_pylist()], pa.float64())
+
+    return F.arrow_udf(score, "double")
+
+
 def score_toxicity(
     docs: DataFrame,
     labels: DataFrame,
@@ -185,6 +196,7 @@ def score_toxicity(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
+    fit_chars: int = FIT_CHARS,
 ) -> DataFrame:
     """``docs`` plus severity (0 to 3), grade, p_toxic and rejected.
 
@@ -192,29 +204,46 @@ def score_toxicity(
     and by share; one weighted sum is held against the ordered thresholds of the grades. ``severity`` is the expected
     grade, ``grade`` the number of thresholds passed with even odds, ``p_toxic``
     the probability of grade 1 or more and ``rejected`` says that it reaches
-    ``reject_at``. The model is fitted on a bounded sample of labelled rows; rows
-    whose id's crc32 has remainder 0 are held out of it.
+    ``reject_at``. The model is fitted on a bounded sample of labelled rows: at most
+    ``fit_rows`` texts of either label, of at most ``fit_chars`` characters each (longer
+    ones are scored whole but not learned from); rows whose id's crc32 has
+    remainder 0 are held out of it.
 
     Null and empty texts have no features and are kept; repeated rows are scored
     alike; an empty table gives no rows; without labels nothing is rejected.
     Columns of ``docs`` called like a result are replaced.
     """
-    model = fit_on_labels(docs, labels, modulus, fit_rows, id_col, text_col, label_col)
-
-    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        buckets = Buckets(frozenset(model.weights))
-        for texts in batches:
-            yield pa.array([model.score(t, buckets) if t else 0.0 for t in texts.to_pylist()], pa.float64())
-
-    cues = F.arrow_udf(score, "double")
+    model = fit_on_labels(docs, labels, modulus, fit_rows, id_col, text_col, label_col, fit_chars)
     cut = [float(c) for c in model.thresholds]
-    p = lambda k: 1 / (1 + F.exp(F.lit(cut[k]) - F.col("_cue")))
-    scored = docs.withColumn("_cue", cues(F.col(text_col)))
+    cue = unused(docs, "_cue")
+    p = lambda k: 1 / (1 + F.exp(F.lit(cut[k]) - F.col(cue)))
+    scored = docs.withColumn(cue, cue_weight(model)(F.col(text_col)))
     return scored.withColumns(
         {
             "severity": sum((p(k) for k in range(1, GRADES)), p(0)),
-            "grade": sum(((F.col("_cue") >= c).cast("int") for c in cut[1:]), (F.col("_cue") >= cut[0]).cast("int")),
+            "grade": sum(((F.col(cue) >= c).cast("int") for c in cut[1:]), (F.col(cue) >= cut[0]).cast("int")),
             "p_toxic": p(0),
             "rejected": p(0) >= reject_at,
         }
-    ).drop("_cue")
+    ).drop(cue)
+
+
+def keep_harmless(
+    docs: DataFrame,
+    labels: DataFrame,
+    modulus: int = 5,
+    reject_at: float = REJECT_AT,
+    fit_rows: int = FIT_ROWS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "toxic",
+    fit_chars: int = FIT_CHARS,
+) -> DataFrame:
+    """``docs`` without the rows that ``score_toxicity`` rejects; columns of any name stay as they are.
+
+    Null and empty texts stay; repeated rows stay or go together; an empty table
+    gives no rows; without labels nothing goes.
+    """
+    model = fit_on_labels(docs, labels, modulus, fit_rows, id_col, text_col, label_col, fit_chars)
+    p_toxic = 1 / (1 + F.exp(F.lit(float(model.thresholds[0])) - cue_weight(model)(F.col(text_col))))
+    return docs.filter(p_toxic < reject_at)

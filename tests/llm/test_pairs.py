@@ -148,6 +148,27 @@ def test_search_returns_all_candidates_of_a_small_table(spark):
     assert sorted((r.query_id, r["rank"]) for r in got) == [(20 * i, k) for i in range(4) for k in (1, 2, 3)]
 
 
+@pytest.mark.parametrize("fit_rows", [4096, 150])
+def test_copies_rank_by_id_with_equal_scores(spark, monkeypatch, fit_rows):
+    monkeypatch.setattr(nearest, "LIST_ROWS", 120)
+    x = np.random.default_rng(8).normal(size=(200, 24))
+    data = [(3 * i + c, v.tolist(), 0, "", "", "") for i, v in enumerate(x) for c in range(3)]
+    got = nearest.nearest_vectors(spark.createDataFrame(data, VECTORS), fit_rows=fit_rows).collect()
+    x = np.repeat(np.float32(x).astype(np.float64), 3, axis=0)
+    found = {}
+    for r in sorted(got, key=lambda r: (r.query_id, r["rank"])):
+        assert r.score == (x[r.query_id] * x[r.vec_id]).sum()
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    hits = 0
+    for q in range(0, 600, 20):
+        scores = (x[q] * x).sum(axis=1)
+        want = [i for i in np.lexsort((np.arange(600), -scores)) if i != q][:20]
+        assert len(found[q]) == 20 and [scores[i] for i in found[q]] == sorted((scores[i] for i in found[q]), reverse=True)
+        assert found[q] == sorted(found[q], key=lambda i: (-scores[i], i))
+        hits += len(set(found[q]) & set(want))
+    assert hits >= 0.9 * 30 * 20
+
+
 def test_search_recall_beyond_the_sample(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(3000, 16)) * rng.uniform(0.5, 2, size=(3000, 1))
