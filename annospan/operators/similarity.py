@@ -125,7 +125,7 @@ def cluster_distance(clusters: DataFrame, entity: str, cluster: str, block: int
     )
 
 
-def group_matrix(features: DataFrame, groups: DataFrame, entity: str, feature: str, group: str) -> DataFrame:
+def group_matrix(features: DataFrame, groups: DataFrame, entity: str, feature: str, group: str, block: int | None = None) -> DataFrame:
     """(group_a <= group_b, sum_similarity, n_pairs, mean_similarity) over all entity pairs.
 
     Entities with equal sets count once with their multiplicity; the sums are made
@@ -134,7 +134,7 @@ def group_matrix(features: DataFrame, groups: DataFrame, entity: str, feature: s
     sets, names = tiles.marked_sets(token_sets(features, entity, feature), groups, entity, group)
     sizes = sets.select(F.explode("marks").alias("k")).groupBy(F.col("k.label").alias("code")).agg(F.sum("k.m").cast("long").alias("n")).join(names, "code")
     side = lambda c: names.select(F.col("code").alias(c), F.col(group).alias(f"__{c}"))
-    sums = tiles.group_sums(sets).join(side("x"), "x").join(side("y"), "y").select(
+    sums = tiles.group_sums(sets, block).join(side("x"), "x").join(side("y"), "y").select(
         F.least("__x", "__y").alias("group_a"), F.greatest("__x", "__y").alias("group_b"), F.col("total").alias("sum_similarity")
     )
     grid = product(
@@ -173,10 +173,10 @@ def cluster_matrix(matrix: DataFrame, labels: DataFrame, entity: str, cluster: s
     ).join(dom.select(F.col(cluster).alias("group_b"), F.col("dominant").alias("dominant_b")), "group_b")
 
 
-def silhouette(features: DataFrame, labels: DataFrame, entity: str, feature: str, label: str) -> DataFrame:
+def silhouette(features: DataFrame, labels: DataFrame, entity: str, feature: str, label: str, block: int | None = None) -> DataFrame:
     """Exact mean silhouette (Euclidean distance of binary features), one row; distances are summed in tiles."""
     sets, _ = tiles.marked_sets(token_sets(features, entity, feature), labels, entity, label)
-    return tiles.silhouette_of(sets, tiles.distance_sums(sets))
+    return tiles.silhouette_of(sets, tiles.distance_sums(sets, block))
 
 
 def avg_rank(df: DataFrame, value: str, bucket: Column, by: Sequence[str] = (), name: str = "avg_rank") -> DataFrame:
