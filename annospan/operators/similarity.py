@@ -282,6 +282,11 @@ def _permuted_products(u: DataFrame, v: DataFrame, ids: DataFrame, n: int, seed:
     square = np.zeros((k, k))
     square[right.column("at_a").to_numpy(), right.column("at_b").to_numpy()] = right.column("v").to_numpy()
     square += square.T
+    full = len(weight) * 8 > k * k  # of many pairs whole rows are moved, which is faster than pair by pair
+    if full:
+        weights = np.zeros((k, k))
+        weights[a, b] = weight
+        a, b, weight = None, None, weights.ravel()
     held = u.sparkSession.sparkContext.broadcast((a, b, weight, square))
     fixed = draw_order(f"{seed}|fixed|", texts)
 
@@ -289,7 +294,7 @@ def _permuted_products(u: DataFrame, v: DataFrame, ids: DataFrame, n: int, seed:
         a, b, weight, square = held.value
         to = np.empty(k, dtype=np.int64)
         to[fixed] = draw_order(f"{seed}|{iteration}|", texts)
-        return float(weight @ square[to[a], to[b]])
+        return float(weight @ (square[to][:, to].ravel() if full else square[to[a], to[b]]))
 
     return over_iterations(u.sparkSession, n, product, "suv")
 
