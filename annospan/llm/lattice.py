@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import product
 
 import numpy as np
@@ -16,10 +17,13 @@ from annospan.llm.components import components
 from annospan.session import materialise
 
 COSINE = 0.98
-TABLES = 6
+TABLES = 6  # at least
+MOST_TABLES = 48
+RECALL = 0.999
+TRIALS = 2000
 BLOCKS = 2
 PROBES = 3
-CELL = 0.2
+CELL = 8.0
 ROWS_AT_ONCE = 2048
 BLOCK_VALUES = 256 * 4096
 
@@ -52,6 +56,7 @@ def nearest_e8(x: np.ndarray) -> np.ndarray:
     return np.where(better, whole, half)
 
 
+@lru_cache(maxsize=8)
 def projections(width: int, tables: int, seed: int = 3) -> np.ndarray:
     """(tables, width, 8 * BLOCKS) random directions, orthonormal where the width allows it."""
     rng = np.random.default_rng([seed, width])
@@ -62,8 +67,42 @@ def projections(width: int, tables: int, seed: int = 3) -> np.ndarray:
     return np.array(out)
 
 
-def cell_codes(unit: np.ndarray, tables: int = TABLES, probes: int = PROBES, cell: float = CELL) -> np.ndarray:
-    """(rows, tables * (1 + probes)) codes of the home cell and of the ``probes`` closest neighbouring cells.
+def cell_size(width: int, cosine: float) -> float:
+    """Size of a lattice step: ``CELL`` times the root mean square coordinate of a projected difference at the threshold."""
+    return CELL * max(2 - 2 * cosine, 1e-12) ** 0.5 / width**0.5
+
+
+def pairs_at(width: int, cosine: float, n: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """``n`` random pairs of unit vectors at exactly this cosine (equal ones at width 1)."""
+    a = rng.normal(size=(n, width))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    if width == 1:
+        return a, a
+    b = rng.normal(size=(n, width))
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    return a, cosine * a + (1 - cosine * cosine) ** 0.5 * b
+
+
+@lru_cache(maxsize=256)
+def tables_for(width: int, cosine: float = COSINE, recall: float = RECALL) -> int:
+    """Tables with which pairs at the threshold, the hardest ones, share a cell with this probability.
+
+    The same trial pairs are drawn wherever this is called. Raises an error where
+    ``MOST_TABLES`` do not do.
+    """
+    a, b = pairs_at(width, cosine, TRIALS, np.random.default_rng([width, 11]))
+    met = np.zeros(TRIALS, dtype=bool)
+    for t in range(MOST_TABLES):
+        x, y = cell_codes(a, t + 1, cosine=cosine, first=t), cell_codes(b, t + 1, cosine=cosine, first=t)
+        met |= (x[:, :, None] == y[:, None, :]).any(axis=(1, 2))
+        if t + 1 >= TABLES and met.mean() >= recall:
+            return t + 1
+    raise ValueError(f"no {MOST_TABLES} tables reach a recall of {recall} at width {width} and cosine {cosine}")
+
+
+def cell_codes(unit: np.ndarray, tables: int = TABLES, probes: int = PROBES, cosine: float = COSINE, first: int = 0) -> np.ndarray:
+    """(rows, (tables - first) * (1 + probes)) codes of the home cell and of the ``probes`` closest neighbouring cells.
 
     Each table projects a unit vector to ``BLOCKS`` groups of eight coordinates
     and decodes each group to an E8 point; the points together name the cell. A
@@ -73,9 +112,9 @@ def cell_codes(unit: np.ndarray, tables: int = TABLES, probes: int = PROBES, cel
     n, width = unit.shape
     salt = np.random.default_rng(23).integers(1, 1 << 62, 8 * BLOCKS, dtype=np.int64) | 1
     options = [c for c in product(range(3), repeat=BLOCKS) if any(c)]
-    out = np.empty((n, tables, 1 + probes), dtype=np.uint64)
-    for t, directions in enumerate(projections(width, tables)):
-        x = (unit @ directions).reshape(n, BLOCKS, 8) / cell
+    out = np.empty((n, tables - first, 1 + probes), dtype=np.uint64)
+    for t, directions in list(enumerate(projections(width, tables)))[first:]:
+        x = (unit @ directions).reshape(n, BLOCKS, 8) / cell_size(width, cosine)
         home = nearest_e8(x)
         gain = (x - home) @ SHORTEST.T
         near = np.argpartition(-gain, 2, axis=-1)[..., :2]
@@ -91,7 +130,7 @@ def cell_codes(unit: np.ndarray, tables: int = TABLES, probes: int = PROBES, cel
         for k in range(1 + probes):
             point = np.take_along_axis(points, picks[:, k, :, None, None], axis=2).reshape(n, 8 * BLOCKS)
             code = (np.rint(2 * point).astype(np.int64) * salt).sum(axis=1).astype(np.uint64)
-            out[:, t, k] = buffers.mixed(code ^ np.uint64(0x100000001B3 * (t + 1)))
+            out[:, t - first, k] = buffers.mixed(code ^ np.uint64(0x100000001B3 * (t + 1)))
     return out.reshape(n, -1)
 
 
@@ -107,7 +146,7 @@ def unit_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return values, np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
 
 
-def cells_of(classes: DataFrame) -> DataFrame:
+def cells_of(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(id, weight, bucket) of rows (id, label, vec): distinct cells, parted by label and width."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,12 +154,12 @@ def cells_of(classes: DataFrame) -> DataFrame:
             values, ends = unit_rows(batch.column("vec"))
             ids, labels, width = batch.column("id").to_numpy(), batch.column("label").to_numpy(), np.diff(ends)
             for w in np.unique(width):
-                rows = np.flatnonzero(width == w)
+                rows, tables = np.flatnonzero(width == w), tables_for(int(w), cosine)
                 for k in range(0, len(rows), ROWS_AT_ONCE):
                     part = rows[k : k + ROWS_AT_ONCE]
                     x = values[ends[part][:, None] + np.arange(w)]
                     scaled = x / np.abs(x).max(axis=1, keepdims=True)
-                    codes = cell_codes(scaled / np.linalg.norm(scaled, axis=1, keepdims=True))
+                    codes = cell_codes(scaled / np.linalg.norm(scaled, axis=1, keepdims=True), tables, cosine=cosine)
                     tag = buffers.mixed(labels[part].astype(np.uint64) ^ np.uint64(0x100000001B3 * int(w)))
                     codes = np.sort(buffers.mixed(codes ^ tag[:, None]), axis=1)
                     fresh = np.ones(codes.shape, dtype=bool)
@@ -157,7 +196,9 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
     Equal vectors are collapsed first; random projections are decoded to E8 points
     in several tables, each vector enters its own cell and the closest
     neighbouring ones, and the blocks that meet in a cell are verified with exact
-    cosines. ``component_id`` is the smallest id reachable over links.
+    cosines. The size of the cells follows from width and threshold, the number of
+    tables from trials at the threshold (``tables_for``). ``component_id`` is the
+    smallest id reachable over links.
 
     Vectors that are null, empty, zero or hold null or non-finite entries, and
     those without a label, link with nothing. Vectors of different width do not
@@ -177,7 +218,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
     def payload(homes: DataFrame) -> DataFrame:
         return classes.select("id", "copies", "vec")
 
-    found = linked_members(cells_of(classes), payload, cosine_links(cosine), BLOCK_VALUES)
+    found = linked_members(cells_of(classes, cosine), payload, cosine_links(cosine), BLOCK_VALUES)
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("id").alias("u"), F.col("root").alias("v")))
     placed = (

@@ -52,6 +52,7 @@ MARKUP = re.compile(
 )
 FORM = re.compile(r"<(?:form|fieldset)\b", re.I)
 ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("article body div html main section".split())  # elements that hold paragraphs
 NAME_PARTS = re.compile(r"[^a-z]+")
 
@@ -96,41 +97,54 @@ def is_furniture(name: str, attributes: str, in_article: bool, dropped: frozense
     return False
 
 
-def page_lines(html: str, dropped: frozenset[str] = DROPPED) -> tuple[list[tuple[str, int]], bool]:
-    """(text, weight) of the page's lines, one per block, and whether the page marks its article.
+def page_lines(html: str, dropped: frozenset[str] = DROPPED) -> list[tuple[str, int]]:
+    """(text, weight) of the page's lines, one per block.
 
-    If it does, only lines inside the article are given. A line weighs its
-    characters outside links. Blank lines stand where furniture or an article
-    parts lines of different containers; furniture between lines of one
-    container leaves no gap. An article inside an element that is furniture by its
-    attributes, or inside a form, opens the text again, unless it is a comment or
-    an article around them is open.
+    A line weighs its characters outside links. On a page that marks its article,
+    lines outside it weigh nothing and lines inside it at least 1.
+
+    Blank lines part what does not belong together: lines with the border of an
+    article or furniture between them, if they lie in different containers, and
+    lines of neighbouring containers of unlike name or attributes. Lines of one
+    article are never parted, nor is a heading from what follows it.
+
+    An article inside an element that is furniture by its attributes, or inside a
+    form, opens the text again, unless it is a comment or an article around them
+    is open.
     """
-    lines: list[tuple[str, int, bool]] = []
+    lines: list[tuple[str, int, int]] = []
     held = [0]  # serial numbers of the open containers
+    kinds = [("", "")]  # their names and attributes
     parted = last = serial = 0
+    lowest, left, entered = 1, None, None  # fewest open containers since the last line, the container closed and opened there
     text: list[str] = []
     linked = 0
     stack: list[str] = []
-    dropped_at = articles = links = 0  # depth at which furniture began, open articles and links
+    dropped_at = articles = links = headings = 0  # depth at which furniture began, open articles, links and headings
+    article = last_article = 0  # serial number of the outermost open article
+    headed = False  # whether the last line was a heading
     marked = False
     reopened: list[tuple[int, int]] = []  # depth of an article inside furniture, depth at which that began
-    gap = [("", 0, False)] * WINDOW
+    gap = [("", 0, 0)] * WINDOW
 
     def flush() -> None:
-        nonlocal linked, parted, last
+        nonlocal linked, parted, last, lowest, left, entered, last_article, headed
         if text:
             line = " ".join("".join(text).split())
             text.clear()
             if line:
-                if parted and held[-1] != last:
+                now = article if articles else 0
+                unlike = left is not None and len(held) > lowest and left != entered
+                together = now == last_article and (now or headed and not parted)
+                if not together and (unlike or parted and held[-1] != last):
                     lines.extend(gap)
-                parted, last = 0, held[-1]
-                lines.append((line, max(len(line) - linked, 0), articles > 0))
+                parted, last, last_article, headed = 0, held[-1], now, headings > 0
+                lowest, left, entered = len(held), None, None
+                lines.append((line, max(len(line) - linked, 0), now))
         linked = 0
 
     def pop(to: int) -> None:
-        nonlocal dropped_at, articles, links, parted
+        nonlocal dropped_at, articles, links, headings, parted, lowest, left
         flush()
         while len(stack) > to:
             if reopened and len(stack) == reopened[-1][0]:
@@ -138,6 +152,11 @@ def page_lines(html: str, dropped: frozenset[str] = DROPPED) -> tuple[list[tuple
             name = stack.pop()
             if name in CONTAINERS:
                 held.pop()
+                kind = kinds.pop()
+                if len(held) < lowest:
+                    lowest, left = len(held), kind
+            if name in HEADINGS:
+                headings -= 1
             if name in ("article", "main"):
                 articles -= 1
                 parted = 1
@@ -205,9 +224,14 @@ def page_lines(html: str, dropped: frozenset[str] = DROPPED) -> tuple[list[tuple
                 if stack[depth] in SCOPES:
                     break
         stack.append(name)
+        headings += name in HEADINGS
         if name in CONTAINERS:
+            kind = (name, found[3] or found[6] or "")
+            if len(held) == lowest:
+                entered = kind
             serial += 1
             held.append(serial)
+            kinds.append(kind)
         if name in ("article", "main"):
             attributes = found[3] or found[6] or ""
             if dropped_at and not CLOSED.intersection(stack[dropped_at - 1 :]) and "article" not in stack[:-1] and not is_comment(attributes):
@@ -216,6 +240,8 @@ def page_lines(html: str, dropped: frozenset[str] = DROPPED) -> tuple[list[tuple
             if not dropped_at:
                 marked = True
                 parted = 1
+            if not articles:
+                article = serial
             articles += 1
         elif name == "a":
             links += 1
@@ -224,44 +250,62 @@ def page_lines(html: str, dropped: frozenset[str] = DROPPED) -> tuple[list[tuple
             dropped_at = len(stack)
             parted = 1
     flush()
-    return [(line, weight) for line, weight, inside in lines if inside or not marked], marked
+    if marked:
+        return [(line, max(weight, 1) if line and inside else 0) for line, weight, inside in lines]
+    return [(line, weight) for line, weight, _ in lines]
 
 
-def main_text(html: str, surge: int = SURGE, window: int = WINDOW) -> str:
-    """All lines of the marked article, else those between surge and dive points of the line-block distribution; joined by blank lines.
+def line_blocks(weights: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """For every line the sum of the weights of ``window`` lines from it on."""
+    total = np.concatenate([[0], np.cumsum(np.concatenate([weights, np.zeros(window - 1, dtype=np.int64)]))])
+    return total[window:] - total[:-window]
+
+
+def kept_lines(blocks: np.ndarray, surge: int = SURGE) -> np.ndarray:
+    """Positions of the lines between surge and dive points of the line-block distribution.
 
-    The block of a line is the sum of the weights of ``window`` lines from it on.
     A run of blocks with text begins where the sum leaves zero and dives where it
     is zero again. A run counts if its sum surges to ``surge`` somewhere, or to
     the page's highest sum if no run reaches that. All its lines are kept.
     """
-    lines, marked = page_lines(html)
-    if not (marked and lines) and FORM.search(html):
-        whole, _ = page_lines(html, CLOSED)
-        if sum(len(x) for x, _ in whole) > 2 * sum(len(x) for x, _ in lines):  # most of the text is in forms: they stand around the page
-            lines = whole
-    if marked:
-        return "\n\n".join(line for line, _ in lines if line)
-    weights = np.array([w for _, w in lines] + [0] * window, dtype=np.int64)
-    if not weights.any():
-        return ""
-    total = np.concatenate([[0], np.cumsum(weights)])
-    blocks = np.minimum(total[window:] - total[:-window], np.iinfo(np.int64).max)
+    if not blocks.any():
+        return np.zeros(0, dtype=np.int64)
     least = min(surge, int(blocks.max()))
     live = np.concatenate([[0], (blocks > 0).astype(np.int8), [0]])
     begins, dives = np.flatnonzero(np.diff(live) == 1), np.flatnonzero(np.diff(live) == -1)
-    kept = [lines[i][0] for a, b in zip(begins, dives) if blocks[a:b].max() >= least for i in range(a, min(b, len(lines))) if lines[i][0]]
-    return "\n\n".join(kept)
+    peaks = np.maximum.reduceat(blocks, begins)  # blocks between runs are zero
+    return np.concatenate([np.arange(a, b) for a, b, peak in zip(begins, dives, peaks) if peak >= least])
+
+
+def main_text(html: str, surge: int = SURGE, window: int = WINDOW) -> str:
+    """The lines that the line-block distribution keeps, joined by blank lines.
+
+    Markup only weighs lines and parts them; marked or not, surge and dive
+    points choose the text. Forms count as text if nothing outside them surges
+    and something inside them does (or there is no text outside).
+    """
+    def measured(dropped: frozenset[str]) -> tuple[list[str], np.ndarray]:
+        lines = page_lines(html, dropped)
+        return [line for line, _ in lines], line_blocks(np.array([w for _, w in lines], dtype=np.int64), window)
+
+    lines, blocks = measured(DROPPED)
+    peak = blocks.max(initial=0)
+    if peak < surge and FORM.search(html):
+        whole, inside = measured(CLOSED)
+        if peak == 0 or inside.max(initial=0) >= surge:
+            lines, blocks = whole, inside
+    return "\n\n".join(lines[i] for i in kept_lines(blocks, surge) if lines[i])
 
 
 def extract_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """``pages`` without ``html_col``, with ``text`` and its length ``n_chars`` in code points.
 
     Markup, scripts, styles and page furniture (by element, role, class or id) are
-    stripped; every block element is a line; on pages that mark no article,
-    line-block distribution picks the main text. Character references are decoded and white space inside a line
-    becomes one space. Where the page marks its article, every line inside it that
-    is not furniture is kept.
+    stripped; every block element is a line, and line-block distribution picks the
+    main text. Where the page marks its article, only lines inside it have weight
+    and they stay together; of several articles those without a surge go, unless
+    none has one. Character references are decoded and white space inside a line
+    becomes one space.
 
     Null, empty or text-free pages give an empty text; broken markup is read as
     far as it goes; repeated rows are extracted alike; an empty table gives no

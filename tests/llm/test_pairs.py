@@ -5,6 +5,8 @@ import random
 
 import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 
 from annospan.llm import candidates, lattice, nearest, neartext, webpage
 from annospan.llm.components import components
@@ -104,6 +106,36 @@ def good(v):
     return bool(v) and all(x is not None and math.isfinite(x) for x in v) and any(v)
 
 
+@pytest.mark.parametrize("width", [1, 2, 3, 4, 8, 12, 16, 17, 24, 48, 64, 200, 768])
+def test_lattice_recall_at_every_width(width):
+    """Pairs at the threshold itself, other than those the plan was made with, share a cell."""
+    rng = np.random.default_rng(77)
+    for cosine in (0.98, 0.9):
+        a, b = lattice.pairs_at(width, cosine, 1500, rng)
+        tables = lattice.tables_for(width, cosine)
+        x, y = lattice.cell_codes(a, tables, cosine=cosine), lattice.cell_codes(b, tables, cosine=cosine)
+        met = np.array([np.intersect1d(p, q).size > 0 for p, q in zip(x, y)])
+        assert met.mean() >= 0.995
+
+
+@pytest.mark.parametrize("width", [24, 64, 768])
+def test_lattice_cells_part_unlike_vectors(width):
+    x = np.random.default_rng(5).normal(size=(1000, width))
+    codes = lattice.cell_codes(x / np.linalg.norm(x, axis=1, keepdims=True))
+    assert np.unique(codes, return_counts=True)[1].max() < 100
+
+
+@pytest.mark.parametrize("width", [2, 5, 12])
+def test_narrow_vectors_equal_brute_force(spark, width):
+    rng = np.random.default_rng(width)
+    x = np.repeat(rng.normal(size=(40, width)), 5, axis=0) + rng.normal(size=(200, width)) * 0.12
+    got = {r.vec_id: r.n_links for r in lattice.near_vectors(spark.createDataFrame([(i, v.tolist(), i % 2, "", "", "") for i, v in enumerate(x)], VECTORS)).collect()}
+    x = np.float32(x).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = (x @ x.T >= 0.98) & (np.arange(200)[:, None] % 2 == np.arange(200) % 2)
+    assert [got[i] for i in range(200)] == (near.sum(axis=1) - 1).tolist()
+
+
 def test_lattice_links_equal_brute_force(spark):
     data = vector_rows()
     unit = [np.array(d[1]) / np.linalg.norm(d[1]) if good(d[1]) else None for d in data]
@@ -280,6 +312,43 @@ def test_articles_inside_furniture():
     assert webpage.main_text(f'<div class="sidebar">aside{page % FURNITURE[3]}aside</div>after') == LONG
 
 
+@given(st.lists(st.sampled_from([0, 0, 0, 1, 20, 40, 90]), max_size=30), st.integers(1, 5), st.integers(1, 120))
+def test_runs_between_surge_and_dive(weights, window, surge):
+    sums = [sum(weights[i : i + window]) for i in range(len(weights))]
+    least, want, i = min(surge, max(sums, default=0)), [], 0
+    while i < len(sums):
+        run = []
+        while i < len(sums) and sums[i] > 0:
+            run.append(i)
+            i += 1
+        if run and any(sums[j] >= least for j in run):
+            want += run
+        i += 1
+    blocks = webpage.line_blocks(np.array(weights, dtype=np.int64), window)
+    assert blocks.tolist() == sums and webpage.kept_lines(blocks, surge).tolist() == want
+
+
+def test_line_blocks_choose_the_text_of_unmarked_pages():
+    short = [f'<div class="z{i}">{x}</div>' for i, x in enumerate(["Buy this now.", "All news of the day.", "Imprint and contact."])]
+    page = f'<body>{short[0]}{short[1]}<div class="q"><h1>T</h1><p>{LONG}</p><p>Just so.</p></div>{short[2]}</body>'
+    assert webpage.main_text(page) == f"T\n\n{LONG}\n\nJust so."
+    alike = "".join(f'<div class="p">{x}</div>' for x in (LONG, "Just so.", "That is all."))
+    assert webpage.main_text(f'<div class="t"><h1>T</h1></div>{alike}{short[2]}') == f"T\n\n{LONG}\n\nJust so.\n\nThat is all."
+    assert webpage.main_text("".join(short)) == "All news of the day.\n\nImprint and contact."  # equal highest sums
+
+
+def test_articles_without_a_surge_go():
+    teaser = "<article><h2>More</h2><p>A teaser.</p></article>"
+    assert webpage.main_text(f"<article><p>{LONG}</p><p>End.</p></article>{teaser}outside") == f"{LONG}\n\nEnd."
+    assert webpage.main_text(teaser + "outside, longer than all that the article says") == "More\n\nA teaser."
+
+
+def test_forms_are_text_if_nothing_else_surges():
+    assert webpage.main_text(f"<p>Short.</p><form><p>{LONG}</p></form>") == f"Short.\n\n{LONG}"
+    assert webpage.main_text(f"<p>{LONG}</p><form><p>{LONG * 3}</p></form>") == LONG
+    assert webpage.main_text("<form><p>Only this.</p></form>") == "Only this."
+
+
 def test_pages_of_any_kind(spark):
     data = [(1, "u", "<p>hello world</p>", "t", "x"), (1, "u", "<p>hello world</p>", "t", "x"), (2, None, None, None, None), (None, "v", "", "t", "x"), (3, "w", "<p>" + "long text " * 50_000, "t", "x")]
     out = webpage.extract_pages(spark.createDataFrame(data, "page_id long, url string, html string, text string, extra string"))
