@@ -256,27 +256,38 @@ def shape_violations(triples: DataFrame, shapes: DataFrame) -> DataFrame:
 
     shapes: shape_id, target_class, property, min_count, max_count, datatype,
     min_value, max_value, value_class (nulls switch a constraint off).
+
+    Type statements and values are counted together per (subject, shape), so the
+    only shuffle of the graph is one by subject, after map-side sums; values are
+    joined with the types of their objects only where a shape names a value class.
+    A repeated type statement counts once, repeated values count each.
     """
-    types = triples.filter("p = 'rdf:type'").select(F.col("s"), F.col("o").alias("target_class"))
-    focus = types.join(shapes, "target_class").select("s", *shapes.columns)
-    values = triples.select("s", F.col("p").alias("property"), "o", "o_type").join(
-        shapes.select("property").distinct(), "property", "left_semi"
+    keys = ["s", "shape_id", "target_class", "property"]
+    types = triples.filter("p = 'rdf:type'").select("s", F.col("o").alias("target_class"))
+    focus = types.join(shapes, "target_class").select(
+        *keys, "min_count", "max_count", F.lit(True).alias("focus"),
+        *[F.lit(None).cast("boolean").alias(c) for c in ("value", "bad_type", "bad_range", "bad_class")],
     )
-    joined = focus.join(values, ["s", "property"], "left")
+    values = triples.select("s", F.col("p").alias("property"), "o", "o_type").filter("o is not null").join(shapes, "property")
     wanted = shapes.select("value_class").filter("value_class is not null").distinct()
     has_class = types.select(F.col("s").alias("o"), F.col("target_class").alias("value_class")).join(
         wanted, "value_class", "left_semi"
     ).distinct().withColumn("__ok", F.lit(True))
-    joined = joined.join(has_class, ["o", "value_class"], "left")
     number = F.col("o").try_cast("double")
-    present = F.col("o").isNotNull()
-    per = joined.groupBy("shape_id", "s", "property").agg(
-        F.first("min_count").alias("min_count"), F.first("max_count").alias("max_count"),
-        F.count("o").alias("n"),
-        F.max(present & F.col("datatype").isNotNull() & (F.col("o_type") != F.col("datatype"))).alias("bad_type"),
-        F.max(present & ((number < F.col("min_value")) | (number > F.col("max_value")))).alias("bad_range"),
-        F.max(present & F.col("value_class").isNotNull() & F.col("__ok").isNull()).alias("bad_class"),
-    )
+
+    def judged(rows: DataFrame, bad_class: Column) -> DataFrame:
+        return rows.select(
+            *keys, "min_count", "max_count", F.lit(None).cast("boolean").alias("focus"), F.lit(True).alias("value"),
+            (F.col("o_type") != F.col("datatype")).alias("bad_type"),
+            ((number < F.col("min_value")) | (number > F.col("max_value"))).alias("bad_range"), bad_class.alias("bad_class"),
+        )
+
+    plain = judged(values.filter("value_class is null"), F.lit(None).cast("boolean"))
+    classed = judged(values.filter("value_class is not null").join(has_class, ["o", "value_class"], "left"), F.col("__ok").isNull())
+    per = focus.unionByName(plain).unionByName(classed).groupBy(*keys).agg(
+        F.first("min_count").alias("min_count"), F.first("max_count").alias("max_count"), F.max("focus").alias("focus"),
+        F.count("value").alias("n"), *[F.max(c).alias(c) for c in ("bad_type", "bad_range", "bad_class")],
+    ).filter("focus")
     kinds = F.array_compact(F.array(
         F.when(F.col("n") < F.col("min_count"), "min_count"), F.when(F.col("n") > F.col("max_count"), "max_count"),
         F.when(F.col("bad_type"), "datatype"), F.when(F.col("bad_range"), "range"), F.when(F.col("bad_class"), "class"),
@@ -286,7 +297,8 @@ def shape_violations(triples: DataFrame, shapes: DataFrame) -> DataFrame:
 
 def shape_report(triples: DataFrame, shapes: DataFrame, violations: DataFrame) -> DataFrame:
     """Focus nodes and violations per shape; a shape without focus nodes is a warning."""
-    types = triples.filter("p = 'rdf:type'").select(F.col("o").alias("target_class"), "s").distinct()
+    types = triples.filter("p = 'rdf:type'").select(F.col("o").alias("target_class"), "s")
+    types = types.join(shapes.select("target_class").distinct(), "target_class", "left_semi").distinct()
     focus = types.groupBy("target_class").agg(F.count(F.lit(1)).alias("n_focus"))
     bad = violations.groupBy("shape_id").agg(F.count(F.lit(1)).alias("n_violations"))
     out = shapes.select("shape_id", "target_class").join(focus, "target_class", "left").join(bad, "shape_id", "left").fillna(0)
