@@ -383,7 +383,8 @@ def graph_summary(triples: DataFrame) -> DataFrame:
     """(measure, n): distinct triples, named individuals and members per class.
 
     Statements are told apart by two 64-bit digests, so no text but the class
-    names is shuffled, and total and classes are counted in one pass.
+    names is shuffled, and total and classes are counted in one pass. An empty
+    graph has the total of 0 alone.
     """
     keys = triples.select(
         F.xxhash64("s", "p", "o").alias("d1"), F.xxhash64(F.lit(1), "o", "p", "s").alias("d2"),
@@ -392,6 +393,7 @@ def graph_summary(triples: DataFrame) -> DataFrame:
     counts = keys.groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
     both = F.array(F.struct(F.lit(True).alias("whole"), F.lit("triples").alias("measure")), F.struct(F.lit(False).alias("whole"), F.col("cls").alias("measure")))
     rows = counts.select(F.explode(both).alias("m"), "n").select("m.*", "n").filter("measure is not null")
+    rows = rows.unionByName(triples.sparkSession.range(1).select(F.lit(True).alias("whole"), F.lit("triples").alias("measure"), F.lit(0).alias("n")))
     return rows.groupBy("whole", "measure").agg(F.sum("n").alias("n")).select("measure", "n")
 
 
