@@ -5,6 +5,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from annospan.operators.permutation import permute
+from annospan.operators.transfer import random_control
 
 
 def plain(pairs, n, seed):
@@ -28,3 +29,25 @@ def test_no_exploded_draws_are_broadcast(spark):
     df = spark.range(300).select(F.col("id").cast("string").alias("e"), F.col("id").alias("f"))
     plan = permute(df, "e", "f", 50, 7)._jdf.queryExecution().optimizedPlan().toString()
     assert "CoGroup" in plan and "explode(sequence(1, 50" not in plan
+
+
+def test_random_control_equals_loops_and_broadcasts_no_draws(spark):
+    ann = [(s, c, f"{c}{t}") for s in range(9) for c in ("a", "b") for t in range(4) if (s * 5 + t) % 3 and (s, c) != (4, "b")]
+    gold = [(t, c, f"{c}{x}") for t in range(20, 26) for c in ("a", "b") for x in range(4) if (t + x) % 2 and (t, c) != (22, "a")]
+    out = random_control(
+        spark.createDataFrame(gold, "target int, category string, term_value string"),
+        spark.createDataFrame(ann, "source int, category string, term_value string"), ["a", "b"], n=5, digits=(8, 6),
+    )
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    sources = sorted({r[0] for r in ann}, key=lambda x: md5(str(x)) + str(x))
+    for row in out.collect():
+        scores = []
+        for i in range(1, 6):
+            source = sources[int(md5(f"42|{row.target}|{row.category}|{i}")[:13], 16) % len(sources)]
+            p = {r[2] for r in ann if r[:2] == (source, row.category)}
+            g = {r[2] for r in gold if r[:2] == (row.target, row.category)}
+            scores.append(round(len(p & g) / len(p | g), 4) if p | g else 1.0)
+        assert abs(row.jaccard - sum(scores) / 5) < 1e-7
+    assert out.count() == 12
+    above = out._jdf.queryExecution().optimizedPlan().toString().split("explode(sequence(1, 5")[0]
+    assert "Join Inner" not in above and "Join LeftOuter" in above
