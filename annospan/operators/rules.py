@@ -18,6 +18,7 @@ from annospan.functions.cells import id_part, id_prefix, missing, namespace_of,
 from annospan.functions.formats import FORMATS
 from annospan.operators.common import union_all
 from annospan.operators.vocab import known_tokens
+from annospan.session import materialise
 
 VIOLATION = "check_id string, row_id string, reason string"
 
@@ -257,37 +258,40 @@ def shape_violations(triples: DataFrame, shapes: DataFrame) -> DataFrame:
     shapes: shape_id, target_class, property, min_count, max_count, datatype,
     min_value, max_value, value_class (nulls switch a constraint off).
 
-    Type statements and values are counted together per (subject, shape), so the
-    only shuffle of the graph is one by subject, after map-side sums; values are
+    Statements that no shape names are left out first. Type statements and plain
+    values are met with the shapes in one scan and summed per (subject, shape
+    number) before the shuffle, which carries no text but the subject; values are
     joined with the types of their objects only where a shape names a value class.
     A repeated type statement counts once, repeated values count each.
     """
-    keys = ["s", "shape_id", "target_class", "property"]
+    shapes = materialise(shapes.withColumn("__shape", F.monotonically_increasing_id()), "shapes")
     types = triples.filter("p = 'rdf:type'").select("s", F.col("o").alias("target_class"))
-    focus = types.join(shapes, "target_class").select(
-        *keys, "min_count", "max_count", F.lit(True).alias("focus"),
-        *[F.lit(None).cast("boolean").alias(c) for c in ("value", "bad_type", "bad_range", "bad_class")],
-    )
-    values = triples.select("s", F.col("p").alias("property"), "o", "o_type").filter("o is not null").join(shapes, "property")
     wanted = shapes.select("value_class").filter("value_class is not null").distinct()
-    has_class = types.select(F.col("s").alias("o"), F.col("target_class").alias("value_class")).join(
-        wanted, "value_class", "left_semi"
-    ).distinct().withColumn("__ok", F.lit(True))
+    # Written, so that its size is known before the values are shuffled.
+    has_class = materialise(
+        types.select(F.col("s").alias("o"), F.col("target_class").alias("value_class")).join(wanted, "value_class", "left_semi")
+        .distinct().withColumn("__ok", F.lit(True)), "classes",
+    )
     number = F.col("o").try_cast("double")
 
-    def judged(rows: DataFrame, bad_class: Column) -> DataFrame:
-        return rows.select(
-            *keys, "min_count", "max_count", F.lit(None).cast("boolean").alias("focus"), F.lit(True).alias("value"),
-            (F.col("o_type") != F.col("datatype")).alias("bad_type"),
-            ((number < F.col("min_value")) | (number > F.col("max_value"))).alias("bad_range"), bad_class.alias("bad_class"),
-        )
-
-    plain = judged(values.filter("value_class is null"), F.lit(None).cast("boolean"))
-    classed = judged(values.filter("value_class is not null").join(has_class, ["o", "value_class"], "left"), F.col("__ok").isNull())
-    per = focus.unionByName(plain).unionByName(classed).groupBy(*keys).agg(
-        F.first("min_count").alias("min_count"), F.first("max_count").alias("max_count"), F.max("focus").alias("focus"),
-        F.count("value").alias("n"), *[F.max(c).alias(c) for c in ("bad_type", "bad_range", "bad_class")],
-    ).filter("focus")
+    def flags(bad_class: Column) -> list[Column]:
+        value = F.coalesce("is_value", F.lit(False))
+        return [
+            "s", "__shape", (~value).alias("focus"), value.cast("int").alias("value"),
+            (value & (F.col("o_type") != F.col("datatype"))).alias("bad_type"),
+            (value & ((number < F.col("min_value")) | (number > F.col("max_value")))).alias("bad_range"), bad_class.alias("bad_class"),
+        ]
+
+    as_focus = shapes.select(F.lit("rdf:type").alias("p"), F.col("target_class").alias("__object"), F.lit(False).alias("is_value"), "__shape", "datatype", "min_value", "max_value")
+    as_value = shapes.filter("value_class is null").select(F.col("property").alias("p"), F.lit(None).cast("string").alias("__object"), F.lit(True).alias("is_value"), "__shape", "datatype", "min_value", "max_value")
+    uses = materialise(as_focus.unionByName(as_value), "uses")
+    met = triples.filter("o is not null").join(uses, "p").filter("__object is null or __object = o")
+    plain = met.select(*flags(F.lit(None).cast("boolean")))
+    classed = shapes.filter("value_class is not null").select(F.col("property").alias("p"), F.lit(True).alias("is_value"), "__shape", "datatype", "min_value", "max_value", "value_class")
+    classed = triples.filter("o is not null").join(classed, "p").join(has_class, ["o", "value_class"], "left").select(*flags(F.col("__ok").isNull()))
+    per = plain.unionByName(classed).groupBy("s", "__shape").agg(
+        F.max("focus").alias("focus"), F.sum("value").alias("n"), *[F.max(c).alias(c) for c in ("bad_type", "bad_range", "bad_class")],
+    ).filter("focus").join(shapes.select("__shape", "shape_id", "property", "min_count", "max_count"), "__shape")
     kinds = F.array_compact(F.array(
         F.when(F.col("n") < F.col("min_count"), "min_count"), F.when(F.col("n") > F.col("max_count"), "max_count"),
         F.when(F.col("bad_type"), "datatype"), F.when(F.col("bad_range"), "range"), F.when(F.col("bad_class"), "class"),
