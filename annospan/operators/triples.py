@@ -130,8 +130,26 @@ def _each(tokens: Column, p: str, make) -> Column:
 
 def _emit(df: DataFrame, s: Column, arrays: Sequence[Column]) -> DataFrame:
     """One projection: all statements of a row in one array."""
+    # The subject is a column before the explode, which would otherwise make it again for every statement.
     # explode_outer: a plain explode would build the array once more to skip empty ones
-    return df.select(s.alias("s"), F.explode_outer(F.flatten(F.array(*arrays))).alias("x")).select("s", "x.*").filter("o is not null")
+    named = df.withColumn("__s", s)
+    return named.select("__s", F.explode_outer(F.flatten(F.array(*arrays))).alias("x")).select(F.col("__s").alias("s"), "x.*").filter("o is not null")
+
+
+def _nest(df: DataFrame, s: Column, arrays: Sequence[Column]) -> DataFrame:
+    """(s, statements): the statements of each row as one array."""
+    held = F.filter(F.flatten(F.array(*arrays)), lambda x: x["o"].isNotNull())
+    return df.select(s.alias("s"), held.alias("statements"))
+
+
+def nested(triples: DataFrame) -> DataFrame:
+    """(s, statements) with one statement a row."""
+    return triples.select("s", F.array(F.struct("p", "o", "o_type")).alias("statements"))
+
+
+def unnested(rows: DataFrame) -> DataFrame:
+    """Back from (s, statements) to statements."""
+    return rows.select("s", F.explode("statements").alias("x")).select("s", "x.*")
 
 
 def protein_iri(c) -> Column:
@@ -189,7 +207,8 @@ def triples_vocabulary(occ: DataFrame) -> DataFrame:
         F.transform(_terms(c), lambda t: F.struct(F.lit(cls).alias("cls"), F.lit(pre).alias("pre"), t.alias("value")))
         for c, cls, pre in present
     ])
-    used = occ.select(F.explode(F.flatten(cells)).alias("v")).select("v.*").distinct()
+    # Few distinct rows: cells are split once for each.
+    used = occ.select(*[c for c, _, _ in present]).distinct().select(F.explode(F.flatten(cells)).alias("v")).select("v.*").distinct()
     fixed = occ.sparkSession.createDataFrame(
         [("PositionalCategory", "Pos_", t) for t in POSITION_TERMS] + [("CopyNumberCategory", "Copy_", t) for t in COPY_TERMS],
         "cls string, pre string, value string",
@@ -210,19 +229,44 @@ def collect_types(occ: DataFrame, position: str) -> DataFrame:
     """(domain_type_id, label, label_db, label_acc): all types in use, neighbours included."""
     others = [c for c in ("prev_domain_type", "next_domain_type", "cooccurring_domain_types") if c in occ.columns]
     named = [c for c in ("label", "label_db", "label_acc") if c in occ.columns]
-    own = occ.filter(~missing("domain_type_id")).groupBy("domain_type_id").agg(
-        *[F.min_by(blank_to_null(c), F.when(~missing(c), F.col(position))).alias(c) for c in named]
-    )
+    rows = occ.filter(~missing("domain_type_id"))
+    own = rows.select("domain_type_id").distinct()
+    if named:
+        # Most types have one value in each column, which needs no position: only rows of the others are compared.
+        value = lambda c: F.when(~missing(c) & F.col("__placed"), blank_to_null(c))
+        values = rows.select("domain_type_id", *named, F.col(position).isNotNull().alias("__placed")).distinct()
+        values = materialise(values.groupBy("domain_type_id").agg(
+            F.greatest(*[F.count_distinct(value(c)) for c in named], F.lit(0), F.lit(0)).alias("__n"), *[F.max(value(c)).alias(c) for c in named]
+        ), "types")
+        unclear = rows.join(values.filter("__n > 1").select("domain_type_id"), "domain_type_id", "left_semi")
+        own = values.filter("__n <= 1").drop("__n").unionByName(unclear.groupBy("domain_type_id").agg(
+            *[F.min_by(blank_to_null(c), F.when(~missing(c), F.col(position))).alias(c) for c in named]
+        ))
     if not others:
         return own
-    extra = occ.select(F.explode(F.flatten(F.array(*[split_cell(c) for c in others]))).alias("domain_type_id")).distinct()
+    extra = occ.select(*others).distinct().select(F.explode(F.flatten(F.array(*[split_cell(c) for c in others]))).alias("domain_type_id")).distinct()
     return extra.unionByName(own.select("domain_type_id")).distinct().join(own, "domain_type_id", "left")
 
 
 def triples_proteins(occ: DataFrame) -> DataFrame:
     """Proteins with label, location text and pathway links."""
+    own, rest = _proteins(occ, _emit)
+    return union_all([own, *rest]).distinct()
+
+
+def nested_proteins(occ: DataFrame) -> list[DataFrame]:
+    """The same as (s, statements): the cells of a protein are gathered into one row (per location text)."""
+    lists = [F.array_join(F.collect_set(c), ";").alias(c) for c in ("protein_kegg_ids", "protein_reactome_ids") if c in occ.columns]
+    own, rest = _proteins(occ, _nest, lambda rows, keys: rows.groupBy(*keys).agg(*lists) if lists else rows.distinct())
+    return [own, *rest]
+
+
+def _proteins(occ: DataFrame, emit, gather=None) -> tuple[DataFrame, list[DataFrame]]:
     wanted = ("protein_accession", "protein_subcellular_location", "protein_kegg_ids", "protein_reactome_ids")
-    occ = occ.select(*[c for c in wanted if c in occ.columns]).distinct()
+    occ = occ.select(*[c for c in wanted if c in occ.columns])
+    occ = occ if gather else occ.distinct()
+    rows = occ.filter(~missing("protein_accession"))
+    rows = gather(rows, [c for c in wanted[:2] if c in occ.columns]) if gather else rows
     s = protein_iri("protein_accession")
     arrays = [F.array(
         _po("rdf:type", F.lit("core:Protein")), _po("rdf:type", F.lit("owl:NamedIndividual")),
@@ -237,10 +281,10 @@ def triples_proteins(occ: DataFrame) -> DataFrame:
         if col in occ.columns:
             arrays.append(_each(split_multi(col), prop, lambda t: term_iri(prefix, t)))
             ids = occ.select(F.explode(split_multi(col)).alias("value")).distinct()
-            parts.append(_emit(ids, term_iri(prefix, F.col("value")), [F.array(
+            parts.append(emit(ids, term_iri(prefix, F.col("value")), [F.array(
                 _po("rdf:type", F.lit(f"core:{cls}")), _po("rdf:type", F.lit("owl:NamedIndividual")), _po("externalId", F.col("value"), "string"),
             )]))
-    return union_all([_emit(occ.filter(~missing("protein_accession")), s, arrays), *parts]).distinct()
+    return emit(rows, s, arrays), parts
 
 
 def triples_types(occ: DataFrame, position: str) -> DataFrame:
@@ -291,45 +335,62 @@ def triples_types(occ: DataFrame, position: str) -> DataFrame:
 _LITERAL_CAST = {"integer": safe_int, "decimal": safe_float, "boolean": safe_bool, "string": blank_to_null}
 
 
-def triples_occurrences(occ: DataFrame) -> DataFrame:
-    """All statements about occurrences, and the binding targets they name.
+def triples_occurrences(occ: DataFrame, only: Sequence[str] = ()) -> DataFrame:
+    """All statements about occurrences (or those of some properties), and the binding targets they name.
 
     Occurrence ids must be unique (de-duplicate first): repeated statements are
     then removed inside the row and the large part of the graph is not shuffled.
     """
+    own, rest = _occurrence_parts(occ, _emit, only)
+    out = union_all([own, union_all(rest).distinct()]) if rest else own
+    return out.filter(F.col("p").isin(*only)) if only else out
+
+
+def nested_occurrences(occ: DataFrame) -> list[DataFrame]:
+    """The same as (s, statements): a row per occurrence, and those of the binding targets."""
+    own, rest = _occurrence_parts(occ, _nest)
+    return [own, *rest]
+
+
+def _occurrence_parts(occ: DataFrame, emit, only: Sequence[str] = ()) -> tuple[DataFrame, list[DataFrame]]:
+    """Statements of the occurrences and, each by itself, of what they name; ``only`` leaves the others unmade."""
+    wanted = lambda p: not only or (p if ":" in p else f"core:{p}") in only
     s = occurrence_iri("occurrence_id")
     rows = occ.filter(~missing("occurrence_id") & ~missing("protein_accession") & ~missing("domain_type_id"))
     fixed = [
-        _po("rdf:type", F.lit("core:DomainOccurrence")), _po("rdf:type", F.lit("owl:NamedIndividual")),
-        _po("rdfs:label", F.concat(F.lit("DomainOccurrence "), F.col("occurrence_id")), "string"),
-        _po("occursInProtein", protein_iri("protein_accession")), _po("hasDomainType", type_iri("domain_type_id")),
+        ("rdf:type", F.lit("core:DomainOccurrence"), "iri"), ("rdf:type", F.lit("owl:NamedIndividual"), "iri"),
+        ("rdfs:label", F.concat(F.lit("DomainOccurrence "), F.col("occurrence_id")), "string"),
+        ("occursInProtein", protein_iri("protein_accession"), "iri"), ("hasDomainType", type_iri("domain_type_id"), "iri"),
     ]
-    fixed += [_po(p, _LITERAL_CAST[t](c), t) for c, p, t in OCCURRENCE_LITERALS if c in occ.columns]
+    fixed += [(p, _LITERAL_CAST[t](c), t) for c, p, t in OCCURRENCE_LITERALS if c in occ.columns]
     if "ordinal_label_nc" in occ.columns:
-        fixed.append(_po("ordinalPositionIndex", ordinal_index(F.col("ordinal_label_nc"), F.lit(None).cast("int")), "integer"))
+        fixed.append(("ordinalPositionIndex", ordinal_index(F.col("ordinal_label_nc"), F.lit(None).cast("int")), "integer"))
     if "copy_number" in occ.columns:
         n = safe_int("copy_number")
         term = F.when(n == 1, "single").when(n.isNotNull(), "repeated").otherwise("unknown")
-        fixed.append(_po("hasCharacterisation", F.concat(F.lit("pop:Copy_"), term)))
+        fixed.append(("hasCharacterisation", F.concat(F.lit("pop:Copy_"), term), "iri"))
     near = [blank_to_null(c) for c in ("prev_domain_type", "next_domain_type") if c in occ.columns]
     near_types = F.array_distinct(F.array_compact(F.array(*near))) if near else None
-    arrays = [F.array(*fixed)]
-    if near:
+    none = F.array().cast("array<struct<p:string,o:string,o_type:string>>")
+    made = [_po(*x) for x in fixed if wanted(x[0])]
+    arrays = [F.array(*made) if made else none]
+    if near and wanted("isDomainNeighbour"):
         arrays.append(_each(near_types, "isDomainNeighbour", type_iri))
     for c, prop, _, prefix in VOCABULARY_COLUMNS:
-        if c in occ.columns:
+        if c in occ.columns and wanted(prop):
             arrays.append(_each(_terms(c), prop, lambda t: term_iri(prefix, t)))
-    if "cooccurring_domain_types" in occ.columns:
+    if "cooccurring_domain_types" in occ.columns and wanted("cooccursWith"):
         arrays.append(_each(F.array_distinct(split_cell("cooccurring_domain_types")), "cooccursWith", type_iri))
     parts = []
     text = []
     if "binding_partner" in occ.columns:
         target = lambda t: term_iri("BindingTarget_", F.when(t.rlike(r"^DOT:\d+\s"), F.substring_index(t, " ", 1)).otherwise(t))
-        arrays.append(_each(F.array_distinct(split_cell("binding_partner")), "hasBindingTarget", target))
+        if wanted("hasBindingTarget"):
+            arrays.append(_each(F.array_distinct(split_cell("binding_partner")), "hasBindingTarget", target))
         text.append(F.col("binding_partner"))
-        names = rows.select(F.explode(split_cell("binding_partner")).alias("v")).distinct()
+        names = rows.select("binding_partner").distinct().select(F.explode(split_cell("binding_partner")).alias("v")).distinct()
         coded = F.col("v").rlike(r"^DOT:\d+\s")
-        parts.append(_emit(names, target(F.col("v")), [F.array(
+        parts.append(emit(names, target(F.col("v")), [F.array(
             _po("rdf:type", F.lit("core:BindingTarget")), _po("rdf:type", F.lit("owl:NamedIndividual")),
             _po("rdfs:label", F.when(coded, F.trim(F.regexp_replace("v", r"^DOT:\d+\s+", ""))).otherwise(F.col("v")), "string"),
             _po("externalId", F.when(coded, F.substring_index("v", " ", 1)), "string"),
@@ -338,13 +399,15 @@ def triples_occurrences(occ: DataFrame) -> DataFrame:
         text.append(F.col("binding_target_chebi"))
     if text:
         chebi = extract_chebi(F.concat_ws(";", *text))
-        arrays.append(_each(chebi, "hasBindingTargetChEBI", obo_name))
-        ids = rows.select(F.explode(chebi).alias("v")).distinct()
-        parts.append(_emit(ids, obo_name(F.col("v")), [F.array(
+        if wanted("hasBindingTargetChEBI"):
+            arrays.append(_each(chebi, "hasBindingTargetChEBI", obo_name))
+        ids = rows.select(*[c for c in ("binding_partner", "binding_target_chebi") if c in occ.columns]).distinct().select(F.explode(chebi).alias("v")).distinct()
+        parts.append(emit(ids, obo_name(F.col("v")), [F.array(
             _po("rdf:type", F.lit("core:ChEBIEntity")), _po("rdf:type", F.lit("owl:NamedIndividual")),
         )]))
-    own = _emit(rows, s, arrays)
-    return union_all([own, union_all(parts).distinct()]) if parts else own
+    if not any(wanted(p) for p in ("rdf:type", "rdfs:label", "externalId")):
+        parts = []
+    return emit(rows, s, arrays), parts
 
 
 def triples_order_patterns(pairs: DataFrame) -> DataFrame:
@@ -397,6 +460,36 @@ def graph_summary(triples: DataFrame) -> DataFrame:
     return rows.groupBy("whole", "measure").agg(F.sum("n").alias("n")).select("measure", "n")
 
 
+def subject_summary(rows: DataFrame) -> DataFrame:
+    """The same from (s, statements) rows.
+
+    A subject of one row alone needs no shuffle of its statements: they are counted in the row.
+    Subjects are told to be alone by the counts of their digests; those of several rows
+    (or with a digest in common) are summarised statement by statement.
+    """
+    marked = rows.withColumn("__d", F.xxhash64("s"))
+    # Written, so that its size is known; few subjects have several rows.
+    shared = materialise(marked.groupBy("__d").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__d", F.lit(True).alias("__shared")), "shared")
+    # As text, as sets of text are hashed; the length keeps property and object apart.
+    told = F.array_distinct(F.transform("statements", lambda x: F.concat(F.length(x["p"]).cast("string"), F.lit(":"), x["p"], x["o"])))
+    classes = F.array_distinct(F.transform(F.filter("statements", lambda x: x["p"] == "rdf:type"), lambda x: x["o"]))
+    no, one = F.lit(None).cast("long"), F.lit(1).cast("long")
+    count = lambda whole, measure, n: F.struct(no.alias("d1"), no.alias("d2"), F.lit(whole).alias("whole"), measure.alias("measure"), n.alias("n"))
+    in_row = F.concat(F.array(count(True, F.lit("triples"), F.size(told).cast("long"))), F.transform(classes, lambda o: count(False, o, one)))
+    single = F.transform("statements", lambda x: F.struct(
+        F.xxhash64("s", x["p"], x["o"]).alias("d1"), F.xxhash64(F.lit(1), x["o"], x["p"], "s").alias("d2"), F.lit(False).alias("whole"),
+        F.when(x["p"] == "rdf:type", x["o"]).alias("measure"), one.alias("n"),
+    ))
+    parts = marked.join(shared, "__d", "left").select(F.explode(F.when(F.col("__shared"), single).otherwise(in_row)).alias("x")).select("x.*")
+    parts = parts.groupBy("d1", "d2", "whole", "measure").agg(F.sum("n").alias("n"))
+    of_single = F.array(*[
+        F.struct(F.lit(w).alias("whole"), m.alias("measure"), one.alias("n")) for w, m in ((True, F.lit("triples")), (False, F.col("measure")))
+    ])
+    counts = parts.select(F.explode(F.when(F.col("d1").isNotNull(), of_single).otherwise(F.array(F.struct("whole", "measure", "n")))).alias("x")).select("x.*")
+    least = rows.sparkSession.range(1).select(F.lit(True).alias("whole"), F.lit("triples").alias("measure"), F.lit(0).cast("long").alias("n"))
+    return counts.filter("measure is not null").unionByName(least).groupBy("whole", "measure").agg(F.sum("n").alias("n")).select("measure", "n")
+
+
 # Pattern queries -----------------------------------------------------------
 
 
