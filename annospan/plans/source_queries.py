@@ -52,7 +52,7 @@ def records(spark, sf):
         F.lit('\nFT                   /note="'), "pname", F.lit('"\nFT                   /ligand_id="ChEBI:'), text("supp"), F.lit('"\nFT                   more text\n'),
     )
     item = F.struct("key", refs.alias("r"), feats.alias("f"))
-    per = occ.groupBy("protein").agg(F.array_sort(F.collect_list(item)).alias("x"), F.min("pname").alias("n"), F.min("acc").alias("g"))
+    per = occ.groupBy("protein").agg(F.sort_array(F.collect_list(item)).alias("x"), F.min("pname").alias("n"), F.min("acc").alias("g"))
     lines = lambda f: F.array_join(F.transform("x", lambda e: e[f]), "")
     return per.select("protein", F.concat(
         F.lit("ID   P"), text("protein"), F.lit("_HUMAN   Reviewed;\nDE   RecName: Full="), "n", F.lit(";\nGN   Name="), "g", F.lit("; Synonyms=syn1, syn2;\n"),
@@ -71,7 +71,7 @@ def read_flatfile(spark, sf):
     path = scratch_path(spark, "flat")
     records(spark, sf).select(F.concat("record", F.lit("//")).alias("value")).write.text(path)
     parsed = flatfile.flat_features(flatfile.parse_records(flatfile.read_flatfile(spark, path)))
-    return parsed.select("entry_id", "protein_length", F.size("features").alias("n_features"))
+    return parsed.select("entry_id", "protein_length", "n_features")
 
 
 @query("s06_cross_references", f"""WITH {OCC} SELECT protein, string_agg('PF' || part, ';' ORDER BY key) AS pfam, string_agg(DISTINCT 'GO:' || supp, ';' ORDER BY 'GO:' || supp) AS go,

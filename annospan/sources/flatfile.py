@@ -101,51 +101,64 @@ def _rest(items: Column) -> Column:
     return F.slice(items, F.lit(2), F.greatest(F.size(items) - 1, F.lit(0)))
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value made once: what a lambda names several times would be made each time."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def feature_array(record: Column) -> Column:
     """Array of (type, start, end, note, ftid, qualifiers) in file order."""
     mark = "\u0001"
     bodies = F.transform(
-        _lines(record, "FT"), lambda x: F.when(F.trim(x).rlike(FEATURE_HEADER), F.concat(F.lit(mark), F.trim(x))).otherwise(x)
+        _lines(record, "FT"), lambda x: _let(F.trim(x), lambda y: F.when(y.rlike(FEATURE_HEADER), F.concat(F.lit(mark), y)).otherwise(x))
     )
     blocks = _rest(F.split(F.array_join(bodies, "\n"), mark))
+    value = lambda x: norm_space(F.concat(F.regexp_extract(x, QUALIFIER, 2), F.regexp_extract(x, QUALIFIER, 3)))
 
-    def build(block):
-        lines = F.split(block, "\n")
-        head = lines[0]
-        rest = F.transform(
-            F.filter(_rest(lines), lambda x: x.startswith(" " * 11)), lambda x: F.trim(x)
+    def line(x):
+        """(k, v): a qualifier, or a line of the note without a key."""
+        return F.when(x.rlike(QUALIFIER), F.struct(F.trim(F.regexp_extract(x, QUALIFIER, 1)).alias("k"), value(x).alias("v"))).otherwise(
+            F.struct(F.lit(None).cast("string").alias("k"), x.alias("v"))
         )
-        is_q = lambda x: x.rlike(QUALIFIER)
-        value = lambda x: norm_space(F.concat(F.regexp_extract(x, QUALIFIER, 2), F.regexp_extract(x, QUALIFIER, 3)))
-        pairs = F.transform(
-            F.filter(rest, is_q), lambda x: F.struct(F.trim(F.regexp_extract(x, QUALIFIER, 1)).alias("k"), value(x).alias("v"))
-        )
-        notes = F.filter(F.transform(
-            rest, lambda x: F.when(~is_q(x), x).when(F.lower(F.trim(F.regexp_extract(x, QUALIFIER, 1))) == "note", value(x))
-        ), lambda x: x.isNotNull())
-        keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-        ids = F.filter(pairs, lambda p: p["k"] == "FTId")
+
+    def qualifiers(pairs):
+        """Values by key, keys in order of appearance."""
+        lists = lambda keys: F.map_from_arrays(keys, F.transform(
+            keys, lambda k: F.transform(F.filter(pairs, lambda p: p["k"] == k), lambda p: p["v"])
+        ))
+        return _let(F.array_distinct(F.transform(pairs, lambda p: p["k"])), lists)
+
+    def build(lines):
+        head = lines[0]
+        rest = F.filter(_rest(lines), lambda x: x.startswith(" " * 11))
+        return _let(F.transform(rest, lambda x: _let(F.trim(x), line)), lambda told: _feature(head, told))
+
+    def _feature(head, told):
         number = lambda g: F.regexp_extract(F.regexp_extract(head, FEATURE_HEADER, g), r"(\d+)", 1).try_cast("int")
+        notes = F.transform(F.filter(told, lambda p: p["k"].isNull() | (F.lower(p["k"]) == "note")), lambda p: p["v"])
+        ids = F.filter(told, lambda p: p["k"] == "FTId")
         return F.struct(
             F.upper(F.regexp_extract(head, FEATURE_HEADER, 1)).alias("type"),
             number(2).alias("start"),
             F.coalesce(number(3), number(2)).alias("end"),
             norm_space(F.concat_ws(" ", F.regexp_extract(head, FEATURE_HEADER, 4), F.array_join(notes, " "))).alias("note"),
             F.when(F.size(ids) > 0, F.element_at(ids, -1)["v"]).otherwise("").alias("ftid"),
-            F.map_from_arrays(keys, F.transform(
-                keys, lambda k: F.transform(F.filter(pairs, lambda p: p["k"] == k), lambda p: p["v"])
-            )).alias("qualifiers"),
+            _let(F.filter(told, lambda p: p["k"].isNotNull()), qualifiers).alias("qualifiers"),
         )
 
-    return F.transform(blocks, build)
+    return F.transform(blocks, lambda block: _let(F.split(block, "\n"), build))
 
 
 def flat_features(df: DataFrame, record: str = "record") -> DataFrame:
-    """Feature array and the number of features of the counted types."""
-    out = df.withColumn("features", feature_array(F.col(record)))
-    return out.withColumns({
-        f"{t.lower()}_count": F.size(F.filter("features", lambda f: f["type"] == t)) for t in FEATURE_COUNTS
-    })
+    """Feature array, the number of features and of those of the counted types.
+
+    Numbers are taken from the header lines alone, so a reader of the numbers pays for no feature.
+    """
+    heads = F.filter(F.transform(_lines(F.col(record), "FT"), lambda x: F.trim(x)), lambda x: x.rlike(FEATURE_HEADER))
+    out = df.withColumn("__types", F.transform(heads, lambda x: F.upper(F.regexp_extract(x, FEATURE_HEADER, 1))))
+    counts = {f"{t.lower()}_count": F.size(F.filter("__types", lambda x: x == t)) for t in FEATURE_COUNTS}
+    out = out.withColumns({"n_features": F.size("__types")} | counts).drop("__types")
+    return out.withColumn("features", feature_array(F.col(record)))
 
 
 def feature_table(df: DataFrame, key: str, types: list[str] | None = None, sequence: str | None = None) -> DataFrame:
