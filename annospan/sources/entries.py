@@ -36,8 +36,10 @@ def _locations(accession: str) -> Column:
 def entries_to_domains(df: DataFrame, accession: str = "accession", sequence: str | None = None) -> DataFrame:
     """One row per location of a domain entry on the protein of the row."""
     m = "e.metadata"
-    rows = df.filter(F.lower(F.trim(F.col(f"{m}.type"))) == "domain").select(
-        accession, *([sequence] if sequence else []), "e", F.posexplode(_locations(accession)).alias("li", "loc")
+    # The test is part of the explode: a filter on the entry would move below its parser and parse it once more.
+    is_domain = F.lower(F.trim(F.col(f"{m}.type"))) == "domain"
+    rows = df.select(
+        accession, *([sequence] if sequence else []), "e", F.posexplode(F.when(is_domain, _locations(accession))).alias("li", "loc")
     )
     valid = F.filter("loc.fragments", lambda g: g["start"] <= g["end"])
     rows = rows.withColumn("segments", valid).filter(F.size("segments") > 0)
@@ -65,8 +67,10 @@ def entries_to_domains(df: DataFrame, accession: str = "accession", sequence: st
 def entry_members(df: DataFrame) -> DataFrame:
     """(entry, name, member_db, member_accession, member_name) of integrated entries."""
     m = "e.metadata"
-    own = df.filter(F.lower(F.trim(F.col(f"{m}.source_database"))) == "interpro")
-    dbs = own.select(F.col(f"{m}.accession").alias("entry"), F.col(f"{m}.name").alias("name"), F.explode(f"{m}.member_databases").alias("member_db", "accs"))
+    # The test is part of the explode, see entries_to_domains.
+    own = F.lower(F.trim(F.col(f"{m}.source_database"))) == "interpro"
+    dbs = df.select(F.col("e.metadata"), F.explode(F.when(own, F.col(f"{m}.member_databases"))).alias("member_db", "accs"))
+    dbs = dbs.select(F.col("metadata.accession").alias("entry"), F.col("metadata.name").alias("name"), "member_db", "accs")
     return dbs.select("entry", "name", "member_db", F.explode("accs").alias("member_accession", "member_name"))
 
 
