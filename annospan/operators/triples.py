@@ -522,13 +522,18 @@ def _occurrences(t: DataFrame) -> DataFrame:
 def occurrences_by_context(t: DataFrame, context: str, role: str | None = None) -> DataFrame:
     """DL03 (context only) and DL04 (context and role on the same occurrence)."""
     labels = _prop(t, "rdfs:label", "x", "x_label")
-    ctx = _prop(t, "hasCharacterisation", "occ", "x").join(labels.filter(F.lower("x_label") == context), "x")
-    if role is None:
-        ctx = ctx.join(_of_class(t, "TopologyContext", "x"), "x", "left_semi")
-    out = _occurrences(t).join(_prop(t, "rdfs:label", "dt", "dt_label"), "dt").join(ctx, "occ", "left_semi")
+
+    def terms(wanted: str, cls: str | None = None) -> DataFrame:
+        """Few names, each on many occurrences. Written, so that their size is known and no occurrence is dealt by its term."""
+        found = labels.filter(F.lower("x_label") == wanted).select("x")
+        return materialise((found.join(_of_class(t, cls, "x"), "x", "left_semi") if cls else found).distinct(), "terms")
+
+    ctx = _prop(t, "hasCharacterisation", "occ", "x").join(terms(context, None if role else "TopologyContext"), "x", "left_semi")
+    used = materialise(_prop(t, "hasDomainType", "occ", "dt").select("dt").distinct(), "types")
+    names = materialise(_prop(t, "rdfs:label", "dt", "dt_label").join(used, "dt", "left_semi"), "names")
+    out = _occurrences(t).join(names, "dt").join(ctx, "occ", "left_semi")
     if role is not None:
-        with_role = _prop(t, "hasFunctionalRole", "occ", "x").join(labels.filter(F.lower("x_label") == role), "x")
-        out = out.join(with_role, "occ", "left_semi")
+        out = out.join(_prop(t, "hasFunctionalRole", "occ", "x").join(terms(role), "x", "left_semi"), "occ", "left_semi")
     return out.select("prot", "occ", "dt", "dt_label").distinct()
 
 

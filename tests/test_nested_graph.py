@@ -51,3 +51,15 @@ def test_fragments_of_odd_values(spark):
     values = [("a b", "a_b"), ("1-2", "id_1-2"), ("nan", "empty"), ("", "empty"), (None, "empty"), (" x", "x"), ("x\n", "x_"), ("é:1", "__1"), ("٣", "_"), (":a", "_a"), ("-", "-"), ("A", "A")]
     out = spark.createDataFrame([(v,) for v, _ in values], "v string").select("v", iri_fragment("v").alias("f")).collect()
     assert [tuple(r) for r in out] == values
+
+
+def test_no_occurrence_is_dealt_by_its_type_or_term(spark):
+    rows = [(f"o{i}", "rdf:type", "core:DomainOccurrence") for i in range(3)] + [(f"o{i}", "core:occursInProtein", "p") for i in range(3)]
+    rows += [(f"o{i}", "core:hasDomainType", "t") for i in range(3)] + [(f"o{i}", "core:hasCharacterisation", f"x{i % 2}") for i in range(3)]
+    rows += [("t", "rdfs:label", "T"), ("t", "rdfs:label", "U"), ("x0", "rdfs:label", "Transmembrane"), ("x0", "rdf:type", "core:TopologyContext"), ("o0", "core:hasFunctionalRole", "r"), ("r", "rdfs:label", "scaffold")]
+    graph = spark.createDataFrame(rows, "s string, p string, o string")
+    out = tp.occurrences_by_context(graph, "transmembrane")
+    assert sorted(tuple(r) for r in out.collect()) == [("p", o, "t", n) for o in ("o0", "o2") for n in "TU"]
+    assert {r["occ"] for r in tp.occurrences_by_context(graph, "transmembrane", "scaffold").collect()} == {"o0"}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(dt" not in plan and "hashpartitioning(x#" not in plan
