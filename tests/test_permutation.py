@@ -2,9 +2,12 @@
 
 import hashlib
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from annospan.operators.permutation import permute
+from annospan.functions.digests import digest_table, text_array
+from annospan.operators.permutation import permute, shuffled_counts
 from annospan.operators.transfer import F1Sums, bootstrap_ci, random_control
 
 
@@ -85,3 +88,30 @@ def test_bootstrap_in_tasks_equals_joined_draws(spark):
         drawn = [[x[int(md5(f"42|{g}|{i}|{k}")[:13], 16) % len(x)] for k in range(1, len(x) + 1)] for i in range(1, 31)]
         means = [sum(v for v in d if v is not None) / sum(v is not None for v in d) for d in drawn]
         assert abs(held[g][0] - sum(means) / 30) < 1e-4
+
+
+@pytest.mark.parametrize("move", ["f", "e"])
+def test_counts_of_shuffled_pairs_equal_loops_and_send_no_row_per_draw(spark, move):
+    """Pairs that a shuffle makes twice count once, in one block and bucket or many."""
+    pairs = sorted({(i % 37, (i * i) % 11) for i in range(400)})
+    keep = "e" if move == "f" else "f"
+    df = spark.createDataFrame(pairs, "e int, f byte").withColumn("id", F.concat_ws("|", keep, move))
+    named = pairs if move == "f" else [(f, e) for e, f in pairs]
+    made = {(i, a, b) if move == "f" else (i, b, a) for i, a, b in plain(named, 6, 7)}
+    expected = {}
+    for i, _, f in made:
+        expected[i, f] = expected.get((i, f), 0) + 1
+    for draws, bucket in ((50, 100), (1_000_000, 1_000_000)):
+        out = shuffled_counts(df, "e", "f", move, 6, 7, "id", block_draws=draws, bucket_draws=bucket)
+        assert {(r.iteration, r.f): r.n for r in out.collect()} == expected
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "__digest" in plan and "__high" not in plan  # draws travel as arrays
+
+
+def test_digests_equal_hashlib():
+    texts = ["", "a", "é|ü", *[str(i) * (i % 30 + 1) for i in range(300)]]
+    starts = ["42|1|", "42|fixed|", "42|10000|"]
+    high, low = digest_table(starts, *text_array(pa.array(texts)))
+    for k, s in enumerate(starts):
+        for i, t in enumerate(texts):
+            assert f"{high[k, i]:016x}{low[k, i]:016x}" == hashlib.md5((s + t).encode()).hexdigest()
