@@ -121,3 +121,30 @@ def test_permutation_batches_draw_what_the_joins_draw(spark, monkeypatch):
         runs.append([si.mantel(x, y, ids, n=40, method=m).first() for m in ("spearman", "pearson")] + [si.mantel_membership(members, "e", "a", "b", n=40).first()])
     for one, two in zip(*runs):
         assert one.asDict() == pytest.approx(two.asDict())
+
+
+def test_tasks_evaluate_thousands_of_ids(spark, monkeypatch):
+    """Above 2,048 ids and pair by pair no row per iteration and pair is joined; the draws stay the same."""
+    from annospan.operators import similarity as si
+
+    ids = spark.range(2100).select("id")
+    pairs = [(a, a + 1 + a % 5, (a * 7 % 10) / 10) for a in range(2000)]
+    near = spark.createDataFrame(pairs, "a long, b long, distance double")
+    other = spark.createDataFrame([(a, b, (a * 3 % 9) / 10) for a, b, _ in pairs], "a long, b long, distance double")
+    joined = si._joined_products
+    monkeypatch.setattr(si, "PAIRS_AT_ONCE", 300)
+    monkeypatch.setattr(si, "_joined_products", None)
+    in_tasks = si.mantel(near, other, ids, n=3).first()
+    monkeypatch.setattr(si, "_joined_products", joined)
+    monkeypatch.setattr(si, "DENSE_PAIRS", 1_999)
+    by_join = si.mantel(near, other, ids, n=3).first()
+    assert [round(x, 9) for x in in_tasks] == [round(x, 9) for x in by_join]
+
+
+def test_tasks_evaluate_memberships_of_many_entities(spark, monkeypatch):
+    """More than 200,000 entities are not copied once an iteration."""
+    from annospan.operators import similarity as si
+
+    monkeypatch.setattr(si, "_joined_memberships", None)
+    rows = spark.range(200_100).selectExpr("id", "id % 7 AS x", "id % 3 AS y")
+    assert si.mantel_membership(rows, "id", "x", "y", n=2).first().n_pairs == 200_100 * 200_099 // 2
