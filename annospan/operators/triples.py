@@ -652,17 +652,19 @@ def entail(triples: DataFrame, schema: DataFrame, max_iter: int = 20) -> tuple[D
         size = new_size
     else:
         raise ValueError(f"properties did not settle within {max_iter} rounds")
+    reach = materialise(reach, "reach")
     base = materialise(triples.select(*TRIPLE).distinct(), "asserted")
     derived = base.filter("o_type = 'iri'").join(reach, "p").select(
         F.when(F.col("swap"), F.col("o")).otherwise(F.col("s")).alias("s"), F.col("q").alias("p"),
         F.when(F.col("swap"), F.col("s")).otherwise(F.col("o")).alias("o"), "o_type",
     )
     # Only statements of the entailed properties can repeat an asserted one.
-    known = base.join(reach.select(F.col("q").alias("p")).distinct(), "p", "left_semi").select("s", "p", "o")
+    entailed = materialise(reach.select(F.col("q").alias("p")).distinct(), "entailed")
+    known = base.join(entailed, "p", "left_semi").select("s", "p", "o")
     new_props = materialise(derived.distinct().join(known, ["s", "p", "o"], "left_anti").select(*TRIPLE), "properties")
     props = base.unionByName(new_props)
-    domains = _prop(schema, "rdfs:domain", "p", "cls")
-    ranges = _prop(schema, "rdfs:range", "p", "cls").filter("cls not like 'xsd:%'")
+    domains = materialise(_prop(schema, "rdfs:domain", "p", "cls"), "domains")
+    ranges = materialise(_prop(schema, "rdfs:range", "p", "cls").filter("cls not like 'xsd:%'"), "ranges")
     direct = union_all([
         props.filter("p = 'rdf:type'").select("s", F.col("o").alias("cls")),
         props.join(domains, "p").select("s", "cls"),
@@ -672,6 +674,7 @@ def entail(triples: DataFrame, schema: DataFrame, max_iter: int = 20) -> tuple[D
         supers.select("child", "parent").unionByName(supers.select("parent", "parent").toDF("child", "parent"))
         .select(F.col("child").alias("cls"), F.col("child").alias("parent"))
     ).distinct()
+    ups = materialise(ups, "superclasses")
     lifted = direct.join(ups, "cls", "left").select("s", F.coalesce("parent", "cls").alias("o")).distinct()
     asserted_types = base.filter("p = 'rdf:type'").select("s", "o")
     new_types = materialise(

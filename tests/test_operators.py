@@ -300,3 +300,28 @@ def test_cluster_selection_searches_up_to_twelve(spark, monkeypatch):
     for k in (3, best):
         labels = {r.entity: r.cluster for r in si.cluster(feats, "entity", "feature", k=k)[0].collect()}
         assert got[k][0] == pytest.approx(brute_silhouette([sets[e] for e in sorted(sets)], [labels[e] for e in sorted(sets)]))
+
+
+def test_what_follows_from_the_schema_is_written_before_it_meets_statements(spark, monkeypatch):
+    """A table of unknown size would have all statements shuffled by their property, most of them into a few tasks."""
+    from annospan.operators import triples
+
+    written, write = [], triples.materialise
+    monkeypatch.setattr(triples, "materialise", lambda df, name: written.append(name) or write(df, name))
+    data = spark.createDataFrame([("a", "core:hasDomainType", "b", "iri")], "s string, p string, o string, o_type string")
+    report = {r.measure: r.n for r in triples.entail(data, triples.triples_schema(spark))[2].collect()}
+    assert {"reach", "entailed", "domains", "ranges", "superclasses"} <= set(written)
+    assert report["asserted"] == 1 and report["total"] == 1 + report["inferred"]
+
+
+def test_reasons_of_tokens_are_found_once_and_rows_meet_the_bad_ones_only(spark, monkeypatch):
+    from annospan.operators import rules
+
+    kept, write = [], rules.materialise
+    monkeypatch.setattr(rules, "materialise", lambda df, name: kept.append(write(df, name)) or kept[-1])
+    tokens = [(str(i), "position", t) for i, t in enumerate(["Cterminal", "DOF:1 x", "new", "new", "DOP:000009", "DOF:1 x"])]
+    tokens = spark.createDataFrame(tokens, "row_id string, term_type string, token string")
+    index = spark.createDataFrame([("position", "Cterminal")], "term_type string, form string")
+    got = sorted(map(tuple, rules.outside_vocabulary(tokens, index, "row_id", "DOP").collect()))
+    assert got == [("1", "wrong namespace: DOF:1 x"), ("2", "unrecognised: new"), ("3", "unrecognised: new"), ("5", "wrong namespace: DOF:1 x")]
+    assert [t.count() for t in kept] == [2]
