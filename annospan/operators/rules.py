@@ -227,8 +227,9 @@ def outside_vocabulary(tokens: DataFrame, index: DataFrame, row_id: str, namespa
     With ``namespace`` a token of another namespace is reported as such, and an
     identifier of the right namespace is accepted even when it is new.
     """
-    known = known_tokens(tokens, index)
-    t = tokens.join(known, ["term_type", "token"])
+    # A reason depends on the token alone: it is found once for each, and the few bad tokens are
+    # written, so that their size is known and no row is shuffled by its token.
+    known = known_tokens(tokens, index).select("term_type", "token", "known")
     if namespace is None:
         bad = F.when(~F.col("known"), F.concat(F.lit("not in vocabulary: "), F.col("token")))
     else:
@@ -237,7 +238,8 @@ def outside_vocabulary(tokens: DataFrame, index: DataFrame, row_id: str, namespa
         bad = F.when(ns.isNotNull() & (ns != namespace), F.concat(F.lit("wrong namespace: "), F.col("token"))).when(
             ~F.col("known") & ~own, F.concat(F.lit("unrecognised: "), F.col("token"))
         )
-    return t.withColumn("reason", bad).filter("reason is not null").select(F.col(row_id).alias("row_id"), "reason")
+    reasons = materialise(known.withColumn("reason", bad).filter("reason is not null").select("term_type", "token", "reason"), "bad-tokens")
+    return tokens.join(reasons, ["term_type", "token"]).select(F.col(row_id).alias("row_id"), "reason")
 
 
 def foreign_vocabulary(tokens: DataFrame, forbidden: DataFrame, row_id: str) -> DataFrame:
