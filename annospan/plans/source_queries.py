@@ -140,7 +140,9 @@ def structural_hits(spark, sf):
 @query("s12_merge_sources", f"""WITH {OCC}, e AS (SELECT protein, CASE WHEN flag = 'R' THEN 'G3DSA:1.10.' || (part % 9) || '.' || (supp % 9) ELSE acc END AS a, start, CASE WHEN "end" - start >= 30 THEN start + 9 ELSE "end" END AS fe, CASE WHEN status = 'F' THEN 0 ELSE 1 END AS src FROM occ)
 SELECT 'P' || protein AS accession, a AS entry, min(src) AS source_rank FROM e GROUP BY protein, a, start, fe""")
 def merge_sources(spark, sf):
-    both = entry_json(spark, sf).withColumnRenamed("key", "position")
+    # Of an entry only its accession and locations are merged: names, terms and members are not sent.
+    slim = F.struct(F.struct("e.metadata.accession").alias("metadata"), F.col("e.proteins").alias("proteins"))
+    both = entry_json(spark, sf).select("accession", "status", F.col("key").alias("position"), slim.alias("e"))
     merged = entries.merge_entry_sources(both.filter("status = 'F'").select("accession", "position", "e"), both.filter("status <> 'F'").select("accession", "position", "e"))
     return merged.select("accession", F.col("e.metadata.accession").alias("entry"), "source_rank")
 
