@@ -47,15 +47,15 @@ def overlap_groups(
     earlier ends; ``start`` equal to that maximum stays in the group.
     """
     order = [start, end, *tie]
-    bins = coordinate_bin(start, width)
+    binned = df.withColumn("__bin", coordinate_bin(start, width))
     ranked = ordered_scan(
-        df, [entity], bins, order,
+        binned, [entity], "__bin", order,
         ordinal_position_all=row_number(),
         __reach=running_max(F.col(end), exclusive=True),
     )
     opens = F.when(F.col("__reach").isNull() | (F.col(start) > F.col("__reach")), 1).otherwise(0)
-    grouped = ordered_scan(ranked, [entity], bins, order, overlap_group_id=running_sum(opens))
-    return grouped.drop("__reach")
+    grouped = ordered_scan(ranked, [entity], "__bin", order, overlap_group_id=running_sum(opens))
+    return grouped.drop("__reach", "__bin")
 
 
 def representatives(

@@ -54,7 +54,9 @@ SELECT g.key, r.overlap_group_size, r.rep_acc AS representative_type, g.overlap_
        CASE WHEN g.key = r.rep_key THEN r.gap_to_next <= 1 END AS adjacent_to_next
 FROM grouped g JOIN reps r USING (protein, overlap_group_id)""")
 def domain_order(spark, sf):
-    return iv.domain_order(occurrences(spark, sf), tie=TIE).select(
+    # Only what the order and the result need travels through its scans.
+    needed = occurrences(spark, sf).select("protein", "acc", "start", "end", *TIE, "key")
+    return iv.domain_order(needed, tie=TIE).select(
         "key", "overlap_group_size", "representative_type", "ordinal_position_group", "is_representative",
         "overlap_relation_to_rep", "prev_domain_type", "next_domain_type", "gap_from_prev", "gap_to_next",
         "adjacent_to_prev", "adjacent_to_next",

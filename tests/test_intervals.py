@@ -105,3 +105,28 @@ def test_cooccurrence_has_one_row_per_other_at_any_size(spark, n):
     rows = iv.cooccurring_occurrences(df, "key", block=64)
     assert rows.count() == n * (n - 1) == rows.select("key", "other_key").distinct().count()
     assert [r.other_label for r in rows.filter("key = 'k4'").orderBy("other_position").collect()] == [f"t{i}" for i in range(1, n + 1) if i != 4 and n > 1]
+
+
+def test_a_second_scan_finds_rows_in_their_buckets(spark):
+    """Order and groups come from two scans over the same bins; the rows are shuffled for the first one only."""
+    rows = [("p", 5 * i, 5 * i + (9 if i % 4 else 2), f"a{i % 3}", i) for i in range(60)] + [("q", 0, 3, "a", 1)]
+    df = spark.createDataFrame(rows, "protein string, start int, end int, acc string, t int")
+    out = iv.overlap_groups(df, tie=["acc", "t"], width=20)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "__bin" in plan and "__bucket" not in plan and set(out.columns) == {*df.columns, "ordinal_position_all", "overlap_group_id"}
+    group, reach, expected = 0, -1, {}
+    for k, r in enumerate(sorted(r[1:] for r in rows if r[0] == "p")):
+        group, reach = (group + 1 if r[0] > reach or not k else group), max(reach, r[1])
+        expected[r[3]] = (k + 1, group)
+    assert {r.t: (r.ordinal_position_all, r.overlap_group_id) for r in out.filter("protein = 'p'").collect()} == expected
+
+
+def test_merged_entries_travel_slim(spark, monkeypatch):
+    """Names, terms and members of an entry are no part of its merge and are not shuffled."""
+    from annospan.plans.registry import QUERIES
+    from annospan.sources import entries
+
+    sent, merge = [], entries.merge_entry_sources
+    monkeypatch.setattr(entries, "merge_entry_sources", lambda first, second: sent.append(first) or merge(first, second))
+    QUERIES["s12_merge_sources"](spark, "/root/testdata/sf0.001")
+    assert sent[0].select("e.metadata.*").columns == ["accession"]
