@@ -54,6 +54,23 @@ def test_principal_coordinates_of_few_ids(spark):
     assert [round(r.eigenvalue, 9) for r in axes.collect()] == [0.5] and sorted(round(abs(r.coordinate), 6) for r in coordinates.collect()) == [0.5, 0.5]
 
 
+def test_ratios_of_many_ids_are_of_the_positive_eigenvalues(spark):
+    """Above 512 ids the trace stood for the sum, and the search took a job per product."""
+    n = 560
+    rng = np.random.default_rng(5)
+    pairs = [(i, j, float(rng.random())) for i in range(n) for j in range(i + 1, n) if rng.random() < 0.1]
+    frame = spark.createDataFrame(pairs, "a long, b long, distance double")
+    coordinates, axes = spectral.principal_coordinates(frame, spark.range(n), k=2)
+    values, vectors = dense_scaling(n, pairs)
+    found = {r.axis: r for r in axes.collect()}
+    assert values[-1] < -0.1
+    assert [found[i].explained_ratio for i in (1, 2)] == pytest.approx(values[:2] / values[values > 1e-10].sum(), rel=1e-8)
+    got = np.zeros((n, 2))
+    for r in coordinates.collect():
+        got[r.id, r.axis - 1] = r.coordinate
+    assert np.allclose(np.abs(got), np.abs(vectors[:, :2] * np.sqrt(values[:2])), atol=1e-7)
+
+
 @pytest.mark.parametrize("exact", [512, 4])
 def test_components_equal_a_dense_solver(spark, monkeypatch, exact):
     monkeypatch.setattr(spectral, "EXACT_IDS", exact)
