@@ -84,3 +84,36 @@ def test_pairs_are_not_copied_per_draw(spark):
     assert counts.agg(F.countDistinct("iteration")).first()[0] == 100
     joined = df.join(masks, "e")
     assert joined.count() == 50 and {len(r.mask) for r in joined.collect()} == {2}
+
+
+def test_cuts_are_found_without_a_row_per_draw(spark):
+    """Digests of all draws were rows of a shuffle; a task now sends one array of counts per draw."""
+    members = [f"é{i}" for i in range(400)] + ["x" * 60]
+    df = spark.createDataFrame([(e, len(e) % 2, 90) for e in members], "e string, s int, q long")
+    cuts = rs.digest_cuts(df, "e", "q", 5, 3, "s")
+    for at, s in enumerate(cuts.strata):
+        group = [e for e in members if len(e) % 2 == s]
+        for i in range(5):
+            assert cuts.whole[at, i] == (len(group) < 90)
+            if len(group) >= 90:
+                last = sorted(digest(3, i + 1, e) for e in group)[89]
+                assert f"{int(cuts.high[at, i]):016x}{int(cuts.low[at, i]):016x}{cuts.text[at][i]}" == last
+    plan = rs.draw_masks(df, "e", 5, 3, ("s", cuts))._jdf.queryExecution().toString()
+    assert "md5" not in plan and "Exchange" not in plan
+
+
+def test_long_sums_of_repeated_tests_are_spread(spark):
+    """All tests of all draws met in one task, as their few rows make one small partition."""
+    from math import comb
+
+    from annospan.functions import stats
+
+    rows = [(900 + i % 50, 2100 - i % 50, 6000 + i, 14000 - i) for i in range(200)]
+    df = spark.createDataFrame(rows, "a long, b long, c long, d long")
+    out = stats.with_fisher_greater(df, "p", *[F.col(c) for c in "abcd"], repeated=True)
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().toString()
+    for r in out.limit(5).collect():
+        n, good, draws = r.a + r.b + r.c + r.d, r.a + r.c, r.a + r.b
+        part = sum(comb(good, k) * comb(n - good, draws - k) for k in range(r.a, min(good, draws) + 1))
+        whole = comb(n, draws)
+        assert r.p == pytest.approx(part * 10**30 // whole / 1e30, rel=1e-8)
