@@ -40,6 +40,26 @@ def test_co_members_meet_once(spark, block):
     assert got == want
 
 
+@pytest.mark.parametrize("block, task_pairs", [(2, 1), (7, 50), (1024, 10**9)])
+def test_member_pairs_meet_once(spark, block, task_pairs):
+    data = sets(60)
+    rows = [(f, e) for e, s in data.items() for f in s] + [(None, "e001"), (None, "e002"), ("a", None)]
+    df = spark.createDataFrame(rows, "f string, e string")
+    got = sorted((r.a, r.b) for r in blocks.member_pairs(df, "f", "e", block, task_pairs).collect())
+    assert got == sorted((a, b) for a, b in itertools.combinations(sorted(data), 2) for _ in data[a] & data[b])
+
+
+def test_tasks_of_cluster_pairs_follow_the_pairs(spark):
+    """5,000 ids are one small partition, but two million pairs; a null is no cluster of its own."""
+    from annospan.operators import similarity as si
+
+    df = spark.range(5000).selectExpr("id", "if(id % 100 = 0, null, id % 5) AS c")
+    out = si.cluster_distance(df, "id", "c")
+    assert out.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    sizes = [sum(1 for i in range(5000) if i % 100 and i % 5 == c) for c in range(5)]
+    assert out.count() == sum(n * (n - 1) // 2 for n in sizes) and out.filter("a >= b OR distance <> 0").count() == 0
+
+
 @pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8, 1.0])
 def test_similar_pairs_is_exact(spark, threshold):
     data = sets(80)
