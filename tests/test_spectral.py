@@ -71,6 +71,26 @@ def test_ratios_of_many_ids_are_of_the_positive_eigenvalues(spark):
     assert np.allclose(np.abs(got), np.abs(vectors[:, :2] * np.sqrt(values[:2])), atol=1e-7)
 
 
+@pytest.mark.parametrize("exact", [512, 4])
+def test_whole_ratios_do_not_depend_on_a_switch_by_size(spark, monkeypatch, exact):
+    """Above ``EXACT_IDS`` the trace stood for the sum of the positive eigenvalues."""
+    monkeypatch.setattr(spectral, "EXACT_IDS", exact)
+    monkeypatch.setattr(spectral, "ROW_CELLS", 7)
+    monkeypatch.setattr(spectral, "CELLS_AT_ONCE", 50)
+    monkeypatch.setattr(spectral, "SPACE_VECTORS", 20)
+    n, pairs = 60, distances(60)
+    frame = spark.createDataFrame(pairs, "a long, b long, distance double")
+    coordinates, axes = spectral.principal_coordinates(frame, spark.range(n), k=2, whole=True)
+    values, vectors = dense_scaling(n, pairs)
+    assert (values < -1e-3).sum() > 3
+    found = {r.axis: r for r in axes.collect()}
+    assert [found[i].explained_ratio for i in (1, 2)] == pytest.approx(values[:2] / values[values > 1e-10].sum(), rel=1e-6)
+    got = np.zeros((n, 2))
+    for r in coordinates.collect():
+        got[r.id, r.axis - 1] = r.coordinate
+    assert np.allclose(np.abs(got), np.abs(vectors[:, :2] * np.sqrt(values[:2])), atol=1e-5)
+
+
 @pytest.mark.parametrize("exact", [512, 4])
 def test_components_equal_a_dense_solver(spark, monkeypatch, exact):
     monkeypatch.setattr(spectral, "EXACT_IDS", exact)
