@@ -620,6 +620,162 @@ def closure(edges: DataFrame, max_iter: int = 20) -> DataFrame:
     raise ValueError(f"closure did not settle within {max_iter} rounds")
 
 
+CLASSES_PER_WORD = 62
+TYPE = "rdf:type"
+
+
+def _ancestors(edges: set[tuple[str, str]]) -> dict[str, set[str]]:
+    """All that can be reached from each child of (child, parent)."""
+    up = {}
+    for child, parent in edges:
+        up.setdefault(child, set()).add(parent)
+    out = {}
+    for child in up:
+        seen, todo = set(), [child]
+        while todo:
+            new = up.get(todo.pop(), set()) - seen
+            seen |= new
+            todo += new
+        out[child] = seen
+    return out
+
+
+def _ways(flips: set[tuple[str, str]], subs: set[tuple[str, str]]) -> set[tuple[str, str, bool]]:
+    """(p, q, swap): the property statements q that a statement p entails, with its ends swapped or not."""
+    step = {(a, b, True) for a, b in flips} | {(a, b, False) for a, b in subs}
+    ways = set(step)
+    while True:
+        longer = {(p, r, a != b) for p, q, a in ways for x, r, b in step if x == q}
+        if longer <= ways:
+            return {(p, q, swap) for p, q, swap in ways if p != q or swap}
+        ways |= longer
+
+
+def entailment_counts(rows: DataFrame, schema: DataFrame) -> DataFrame:
+    """(measure, n): the report of ``entail`` from (s, statements) rows, without its statements.
+
+    What a statement entails lies in its row: other properties of the same ends and classes of both. So a row
+    sends one number of bits (its classes, those asserted) for its subject and for each object that gets a class,
+    under two 64-bit digests, and its distinct statements are counted in the row. Statements go on one by one, as
+    digests, only for subjects of several rows and for properties that can be entailed in several ways. A property that
+    no statement has and one other entails with ends swapped has as many statements as that one. The
+    schema is held by the driver.
+    """
+    axioms = [(r.s, r.p, r.o) for r in schema.select("s", "p", "o").distinct().collect()]
+    pairs = lambda p: {(s, o) for s, x, o in axioms if x == p}
+    supers = _ancestors({(a, b) for a, b in pairs("rdfs:subClassOf") if a != b})
+    inverse = pairs("owl:inverseOf")
+    flips = inverse | {(b, a) for a, b in inverse} | {(s, s) for s, o in pairs(TYPE) if o == "owl:SymmetricProperty"}
+    ways = _ways(flips, {(a, b) for a, b in pairs("rdfs:subPropertyOf") if a != b})
+    if TYPE in {x for p, q, _ in ways for x in (p, q)}:
+        raise ValueError("properties that entail types need entail()")
+    domains, ranges = pairs("rdfs:domain"), {(p, c) for p, c in pairs("rdfs:range") if not c.startswith("xsd:")}
+    known = {c for e in pairs("rdfs:subClassOf") for c in e} | {c for _, c in domains | ranges} | {"owl:Nothing"}
+    place = {c: i for i, c in enumerate(sorted(known))}
+    words = range(len(place) // CLASSES_PER_WORD + 1)
+
+    def bits(classes, word: int, lift: bool = True) -> int:
+        every = {x for c in classes for x in ({c} | supers.get(c, set()) if lift else {c})}
+        return sum(1 << place[c] % CLASSES_PER_WORD for c in every if place[c] // CLASSES_PER_WORD == word)
+
+    def looked_up(of: dict[str, int], key: Column) -> Column:
+        cells = [F.lit(x) for k, v in sorted(of.items()) if v for x in (k, v)]
+        zero = F.lit(0).cast("long")
+        return F.coalesce(F.create_map(*cells)[key].cast("long"), zero) if cells else zero
+
+    properties = {p for p, _ in domains | ranges} | {x for p, q, _ in ways for x in (p, q)}
+    own = lambda table, p: [c for x, c in table if x == p]
+    entailed = lambda p, straight, turned: [c for x, q, swap in ways if x == p for c in own(turned if swap else straight, q)]
+    of_any = [{p: bits(own(domains, p), w) for p in properties} for w in words]
+    of_iri = [{p: bits(own(domains, p) + entailed(p, domains, ranges), w) for p in properties} for w in words]
+    of_object = [{p: bits(own(ranges, p) + entailed(p, ranges, domains), w) for p in properties} for w in words]
+    lifted, alone = ([{c: bits([c], w, lift) for c in place} for w in words] for lift in (True, False))
+    is_iri, is_type = lambda x: x["o_type"] == "iri", lambda x: x["p"] == TYPE
+    subject = lambda x, w: F.when(is_type(x), looked_up(lifted[w], x["o"])).when(is_iri(x), looked_up(of_iri[w], x["p"])).otherwise(looked_up(of_any[w], x["p"]))
+    asserted = lambda x, w: F.when(is_type(x), looked_up(alone[w], x["o"])).otherwise(F.lit(0).cast("long"))
+    target = lambda x, w: F.when(is_iri(x), looked_up(of_object[w], x["p"])).otherwise(F.lit(0).cast("long"))
+
+    sources = {q: {(p, swap) for p, x, swap in ways if x == q} for _, q, _ in ways}
+    local = {q for q, by in sources.items() if not any(swap for _, swap in by)}  # entailed by statements of the same subject
+    turned = sorted(q for q, by in sources.items() if len(by) == 1 and q not in local and (q, True) not in by)  # by one other property
+    entail_by = {q: next(iter(sources[q]))[0] for q in turned}
+    told = set(sources) - local - set(turned)
+
+    def listed(x: Column) -> Column:
+        """As text, as sets of text are hashed; lengths keep the parts apart."""
+        return F.concat(F.length(x["p"]).cast("string"), F.lit(":"), F.length(x["o"]).cast("string"), F.lit(":"), x["p"], x["o"], x["o_type"])
+
+    distinct_of = lambda found: F.size(F.array_distinct(F.transform(found, lambda x: x["o"]))).cast("long")
+    of = lambda *ps: F.filter("__hot", lambda x: x["p"].isin(*ps))
+    iris_of = lambda *ps: F.filter("__hot", lambda x: x["p"].isin(*ps) & is_iri(x))
+    ends = lambda found: F.transform(found, lambda x: x["o"])
+    hot = F.filter("statements", lambda x: x["p"].isin(TYPE, *properties))
+    marked = rows.withColumn("__d", F.xxhash64("s")).withColumn("__hot", hot)
+    shared = materialise(rows.select(F.xxhash64("s").alias("__d")).groupBy("__d").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__d", F.lit(True).alias("__shared")), "shared")
+
+    fields = [*[f"t{w}" for w in words], *[f"a{w}" for w in words], "n", "m", *[f"c{i}" for i in range(len(turned))], *[f"p{i}" for i in range(len(turned))]]
+    flags = ["known", "made", "once", *[f"one{i}" for i in range(len(turned))], *[f"had{i}" for i in range(len(turned))]]
+
+    def record(kind: int, parts: Sequence[Column], **values: Column) -> Column:
+        long = lambda c: values.get(c, F.lit(0)).cast("long").alias(c)
+        flag = lambda c: values.get(c, F.lit(False)).alias(c)
+        return F.struct(F.xxhash64(F.lit(kind), *parts).alias("d1"), F.xxhash64(*reversed(parts), F.lit(kind)).alias("d2"), *map(long, fields), *map(flag, flags))
+
+    zero = F.lit(0).cast("long")
+    gathered = lambda f, w: F.aggregate("__hot", zero, lambda acc, x: acc.bitwiseOR(f(x, w)))
+    classes = {f"{name}{w}": gathered(f, w) for w in words for name, f in (("t", subject), ("a", asserted))}
+    new = sum((F.size(F.array_except(ends(iris_of(*[p for p, _ in sources[q]])), ends(of(q)))).cast("long") for q in sorted(local)), zero)
+    turns = {f"c{i}": distinct_of(iris_of(entail_by[q])) for i, q in enumerate(turned)}
+    asserts = {f"p{i}": F.size(of(q)).cast("long") for i, q in enumerate(turned)}
+    node = F.array(record(0, [F.col("s")], n=F.size(F.array_distinct(F.transform("statements", listed))).cast("long"), m=new, **classes, **turns, **asserts))
+    node_of_many = F.array(record(0, [F.col("s")], **classes))
+    objects = F.transform(
+        F.filter("__hot", lambda x: F.greatest(*[target(x, w) for w in words], F.lit(0), F.lit(0)) > 0),
+        lambda x: record(0, [x["o"]], **{f"t{w}": target(x, w) for w in words}),
+    )
+
+    def sent(found: Column, kind: int, name: str, swap: bool = False, **flag: Column) -> Column:
+        place_of = lambda x: [x["o"], F.lit(name), F.col("s")] if swap else [F.col("s"), F.lit(name), x["o"]]
+        return F.transform(found, lambda x: record(kind, place_of(x), **flag))
+
+    def one_by_one(qs: set[str]) -> list[Column]:
+        """The statements of some properties, asserted or entailed, by their digests."""
+        parts = []
+        for q in sorted(qs):
+            parts.append(sent(of(q), 1, q, known=F.lit(True)))
+            parts += [sent(iris_of(p), 1, q, swap, made=F.lit(True)) for p, swap in sorted(sources[q])]
+        return parts
+
+    statements = F.transform("statements", lambda x: record(2, [F.col("s"), x["p"], x["o"], x["o_type"]], once=F.lit(True)))
+    turned_once = [sent(iris_of(entail_by[q]), 3, str(i), **{f"one{i}": F.lit(True)}) for i, q in enumerate(turned)]
+    had = [sent(of(q), 4, str(i), **{f"had{i}": F.lit(True)}) for i, q in enumerate(turned)]
+    everywhere = F.flatten(F.array(objects, *one_by_one(told)))
+    of_many = F.flatten(F.array(node_of_many, statements, *turned_once, *had, *one_by_one(local)))
+    each = marked.join(shared, "__d", "left").select(F.explode(F.concat(F.when(F.col("__shared"), of_many).otherwise(node), everywhere)).alias("x")).select("x.*")
+    held = each.groupBy("d1", "d2").agg(
+        *[(F.bit_or(c) if c[0] in "ta" and c[1:].isdigit() else F.sum(c)).alias(c) for c in fields], *[F.max(c).alias(c) for c in flags],
+    )
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    many = lambda cond: F.count_if(cond)
+    nothing, at = place["owl:Nothing"], place["owl:Nothing"] // CLASSES_PER_WORD
+    found = held.agg(
+        (total("n") + many(F.col("once"))).alias("asserted"), total("m").alias("local"), many(F.col("made") & ~F.col("known")).alias("told"),
+        sum((total(F.bit_count(F.col(f"t{w}").bitwiseAND(F.bitwise_not(f"a{w}")))) for w in words), zero).alias("types"),
+        many(F.col(f"t{at}").bitwiseAND(F.lit(1 << nothing % CLASSES_PER_WORD).cast("long")) != 0).alias("inconsistent"),
+        *[(total(f"c{i}") + many(F.col(f"one{i}"))).alias(f"turned{i}") for i in range(len(turned))],
+        *[(total(f"p{i}") + many(F.col(f"had{i}"))).alias(f"asserted{i}") for i in range(len(turned))],
+    ).first()
+    inferred = found.local + found.told + found.types
+    both = {q for i, q in enumerate(turned) if found[f"asserted{i}"] and found[f"turned{i}"]}
+    inferred += sum(found[f"turned{i}"] for i, q in enumerate(turned) if q not in both)
+    if both:  # asserted and entailed: its statements are told apart after all
+        again = marked.select(F.explode(F.flatten(F.array(*one_by_one(both)))).alias("x")).select("x.d1", "x.d2", "x.known", "x.made")
+        again = again.groupBy("d1", "d2").agg(F.max("known").alias("known"), F.max("made").alias("made"))
+        inferred += again.filter("made and not known").count()
+    out = [("asserted", found.asserted), ("total", found.asserted + inferred), ("inferred", inferred), ("inconsistent", found.inconsistent)]
+    return rows.sparkSession.createDataFrame(out, "measure string, n long")
+
+
 def entail(triples: DataFrame, schema: DataFrame, max_iter: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(all, inferred, report) under subclass, subproperty, inverse, symmetric, domain and range axioms.
 

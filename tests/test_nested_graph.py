@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from annospan.functions.cells import iri_fragment
@@ -63,3 +65,25 @@ def test_no_occurrence_is_dealt_by_its_type_or_term(spark):
     assert {r["occ"] for r in tp.occurrences_by_context(graph, "transmembrane", "scaffold").collect()} == {"o0"}
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(dt" not in plan and "hashpartitioning(x#" not in plan
+
+
+def test_entailment_is_counted_in_the_rows(spark, monkeypatch):
+    """The report wrote and shuffled every statement several times."""
+    rng = random.Random(5)
+    names = [f"n{i}" for i in range(14)]
+    properties = sorted(tp.OBJECT_PROPERTIES)
+    schema = tp.triples_schema(spark)
+    for words, left in ((62, ()), (5, ("hasDomainOccurrence", "isDomainTypeOfOccurrence"))):
+        monkeypatch.setattr(tp, "CLASSES_PER_WORD", words)
+        used = [p for p in properties if p not in left]
+        graph = [(rng.choice(names), f"core:{rng.choice(used)}", rng.choice(names), rng.choice(["iri"] * 5 + ["string"])) for _ in range(90)]
+        graph += [(rng.choice(names), "rdf:type", rng.choice(["core:GOTerm", "core:GOFunctionTerm", "core:Protein", "owl:Nothing", "x"]), "iri") for _ in range(25)]
+        graph += [("alone", "core:occursInProtein", "n1", "iri"), ("alone", "core:hasBindingTargetChEBI", "b", "iri"), ("alone", "core:hasBindingTarget", "b", "iri")]
+        plain = spark.createDataFrame(graph, "s string, p string, o string, o_type string")
+        one = plain.dropDuplicates(["s", "p", "o"]).persist()
+        gathered = one.filter("s > 'n2'").groupBy("s").agg(F.collect_list(F.struct("p", "o", "o_type")).alias("statements"))
+        rows = gathered.unionByName(tp.nested(one.filter("s <= 'n2'"))).unionByName(tp.nested(one.limit(9)))
+        want = sorted(tuple(r) for r in tp.entail(one, schema)[2].collect())
+        assert sorted(tuple(r) for r in tp.entailment_counts(rows, schema).collect()) == want
+    empty = tp.entailment_counts(rows.limit(0), schema).collect()
+    assert {r.n for r in empty} == {0} and len(empty) == 4
