@@ -346,9 +346,9 @@ def triples_occurrences(occ: DataFrame, only: Sequence[str] = ()) -> DataFrame:
     return out.filter(F.col("p").isin(*only)) if only else out
 
 
-def nested_occurrences(occ: DataFrame) -> list[DataFrame]:
+def nested_occurrences(occ: DataFrame, only: Sequence[str] = ()) -> list[DataFrame]:
     """The same as (s, statements): a row per occurrence, and those of the binding targets."""
-    own, rest = _occurrence_parts(occ, _nest)
+    own, rest = _occurrence_parts(occ, _nest, only)
     return [own, *rest]
 
 
@@ -751,7 +751,8 @@ def entailment_counts(rows: DataFrame, schema: DataFrame) -> DataFrame:
     had = [sent(of(q), 4, str(i), **{f"had{i}": F.lit(True)}) for i, q in enumerate(turned)]
     everywhere = F.flatten(F.array(objects, *one_by_one(told)))
     of_many = F.flatten(F.array(node_of_many, statements, *turned_once, *had, *one_by_one(local)))
-    each = marked.join(shared, "__d", "left").select(F.explode(F.concat(F.when(F.col("__shared"), of_many).otherwise(node), everywhere)).alias("x")).select("x.*")
+    # explode_outer: a plain explode would count the row once more to skip empty ones
+    each = marked.join(shared, "__d", "left").select(F.explode_outer(F.concat(F.when(F.col("__shared"), of_many).otherwise(node), everywhere)).alias("x")).select("x.*")
     held = each.groupBy("d1", "d2").agg(
         *[(F.bit_or(c) if c[0] in "ta" and c[1:].isdigit() else F.sum(c)).alias(c) for c in fields], *[F.max(c).alias(c) for c in flags],
     )

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from annospan.operators import rules, triples
 
 TRIPLES = "s string, p string, o string, o_type string"
@@ -74,3 +76,22 @@ def test_judged_rows_are_shuffled_by_subject_and_shape_number_alone(spark):
     types = [(s, o) for s, p, o, _ in made_graph() if p == "rdf:type"]
     want = {s for s, c in types if c == "A" and sum(x == s for x, _ in types) > 1}
     assert {r.focus for r in found.collect() if r.shape_id == "S1"} == want != set()
+
+
+def test_subjects_of_one_row_are_judged_in_it(spark, monkeypatch):
+    """Every statement was written and shuffled by its subject."""
+    graph = spark.createDataFrame([*made_graph(), *[x for x in made_graph() if x[1] == "size"][::3], ("n1", "near", None, "iri")], TRIPLES)
+    shapes = spark.createDataFrame([
+        ("S1", "A", "size", 1, 2, "integer", 2.0, 40.0, None), ("S2", "B", "near", 1, 1, None, None, None, "C"), ("S3", "C", "near", None, 2, None, None, None, "Missing"),
+        ("S4", "A", "rdf:type", 0, 1, "iri", None, None, None), ("S5", "Missing", "size", 1, 1, None, None, 3.0, None),
+    ], SHAPES)
+    want = sorted(tuple(r) for r in rules.shape_violations(graph, shapes).collect())
+    report = sorted(tuple(r) for r in rules.shape_report(graph, shapes, rules.shape_violations(graph, shapes)).collect())
+    whole = graph.filter("s > 'n3'").groupBy("s").agg(F.collect_list(F.struct("p", "o", "o_type")).alias("statements"))
+    rows = whole.unionByName(triples.nested(graph.filter("s <= 'n3'")))
+    for few in (1000, 2):
+        monkeypatch.setattr(rules, "FEW_MEMBERS", few)
+        judged = rules.judged_rows(rows, shapes)
+        found = rules.judged_violations(judged, shapes)
+        assert sorted(tuple(r) for r in found.collect()) == want
+        assert sorted(tuple(r) for r in rules.judged_report(judged, shapes, found).collect()) == report
