@@ -185,3 +185,12 @@ def test_tasks_evaluate_memberships_of_many_entities(spark, monkeypatch):
     monkeypatch.setattr(si, "_joined_memberships", None)
     rows = spark.range(200_100).selectExpr("id", "id % 7 AS x", "id % 3 AS y")
     assert si.mantel_membership(rows, "id", "x", "y", n=2).first().n_pairs == 200_100 * 200_099 // 2
+
+
+def test_tasks_evaluate_memberships_of_millions_of_entities(spark, monkeypatch):
+    """More than 2,000,000 entities were copied once an iteration."""
+    from annospan.operators import similarity as si
+
+    monkeypatch.setattr(si, "_joined_memberships", None)
+    rows = spark.range(2_000_100).selectExpr("id", "id % 7 AS x", "id % 3 AS y")
+    assert si.mantel_membership(rows, "id", "x", "y", n=2).first().n_pairs == 2_000_100 * 2_000_099 // 2
