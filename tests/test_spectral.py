@@ -194,3 +194,16 @@ def test_tasks_evaluate_memberships_of_millions_of_entities(spark, monkeypatch):
     monkeypatch.setattr(si, "_joined_memberships", None)
     rows = spark.range(2_000_100).selectExpr("id", "id % 7 AS x", "id % 3 AS y")
     assert si.mantel_membership(rows, "id", "x", "y", n=2).first().n_pairs == 2_000_100 * 2_000_099 // 2
+
+
+@pytest.mark.parametrize("cells", [40, 10_000])
+def test_chunks_of_rows_meet_without_a_row_per_iteration(spark, monkeypatch, cells):
+    """Beyond the limits of one task a row per iteration and pair was joined."""
+    x = spark.createDataFrame(distances(25, 1, 0.8), "a long, b long, distance double")
+    y = spark.createDataFrame(distances(25, 2, 0.8), "a long, b long, distance double")
+    want = si.mantel(x, y, spark.range(25), n=30).first()
+    monkeypatch.setattr(si, "DENSE_PAIRS", 0)
+    monkeypatch.setattr(si, "CHUNK_CELLS", cells)
+    monkeypatch.setattr(si, "HELD_CELLS", 60)
+    monkeypatch.setattr(si, "permute", None, raising=False)
+    assert si.mantel(x, y, spark.range(25), n=30).first().asDict() == pytest.approx(want.asDict())
